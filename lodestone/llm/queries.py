@@ -17,5 +17,37 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, tuple[Query, str | None]]:
-    return {"op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None)}
+    from . import exact_dedup
+
+    return {
+        "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
+        "op2_exact_dedup": (op2_exact_dedup, exact_dedup.ORACLE_SQL),
+        "op3_packing": (op3_packing, None),
+        "op5_bpe_encoding": (op5_bpe_encoding, None),
+        "op9_token_counts": (op9_token_counts, None),
+    }
