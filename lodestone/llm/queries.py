@@ -41,6 +41,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def all_queries() -> dict[str, tuple[Query, str | None]]:
     from . import exact_dedup
 
@@ -50,4 +57,5 @@ def all_queries() -> dict[str, tuple[Query, str | None]]:
         "op3_packing": (op3_packing, None),
         "op5_bpe_encoding": (op5_bpe_encoding, None),
         "op9_token_counts": (op9_token_counts, None),
+        "op10_quality_classifier": (op10_quality_classifier, None),
     }

@@ -39,8 +39,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of buf (at most BLOCK bytes) and their starts; cuts: where a document starts or ends."""
+def words_of(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of buf (at most BLOCK bytes), their starts and last bytes; cuts: where a document starts or ends."""
     byte, power, inverse, _ = _tables()
     space = _SPACE[buf]
     word = ~space
@@ -53,7 +53,12 @@ def _words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(first), np.flatnonzero(last)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(byte[buf] * power[: len(buf)], out=sums[1:])
-    return mix((sums[ends + 1] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    return mix((sums[ends + 1] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def _words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h, starts, _ = words_of(buf, cuts)
+    return h, starts
 
 
 def _long_words(buf: np.ndarray) -> np.ndarray:
