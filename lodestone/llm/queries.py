@@ -48,6 +48,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan
+
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.builtin_samples(spark)))
+
+
 def all_queries() -> dict[str, tuple[Query, str | None]]:
     from . import exact_dedup
 
@@ -55,7 +67,9 @@ def all_queries() -> dict[str, tuple[Query, str | None]]:
         "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
         "op2_exact_dedup": (op2_exact_dedup, exact_dedup.ORACLE_SQL),
         "op3_packing": (op3_packing, None),
+        "op4_embedding_near_dedup": (op4_embedding_near_dedup, None),
         "op5_bpe_encoding": (op5_bpe_encoding, None),
+        "op6_secret_scans": (op6_secret_scans, None),
         "op9_token_counts": (op9_token_counts, None),
         "op10_quality_classifier": (op10_quality_classifier, None),
     }
