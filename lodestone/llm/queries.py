@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,22 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.builtin_samples(spark)))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    archives = materialize(warc.write(table(spark, sf_dir, "pages")), "archives")
+    return warc.read(archives).drop("payload")
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    probe = "</s>[INST] ok [/INST]"
+    probes = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probes)
+    return chat.read_back(chat.render(chat.fold(chat.turn_events(turns))))
+
+
 def all_queries() -> dict[str, tuple[Query, str | None]]:
     from . import exact_dedup
 
@@ -70,6 +86,8 @@ def all_queries() -> dict[str, tuple[Query, str | None]]:
         "op4_embedding_near_dedup": (op4_embedding_near_dedup, None),
         "op5_bpe_encoding": (op5_bpe_encoding, None),
         "op6_secret_scans": (op6_secret_scans, None),
+        "op7_warc": (op7_warc, None),
+        "op8_chat_formatting": (op8_chat_formatting, None),
         "op9_token_counts": (op9_token_counts, None),
         "op10_quality_classifier": (op10_quality_classifier, None),
     }
