@@ -155,6 +155,23 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     return members.select("doc_id", "digest", "keep_id", "group_size", "kept").unionByName(single).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def redundant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Marks (doc_id, sha, twin) of rows that must go; twin: the mark is of the row that stays, held more than once."""
+    lost = exact_dedup(docs, None, id_col, text_col).where("not kept")
+    return lost.groupBy("doc_id", F.col("text_sha256").alias("sha")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("twin"))
+
+
+def without(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs less its marked rows; of rows marked as twins one stays. The columns of docs may have any names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col(id_col).cast("bigint").alias("id_"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("sha_"))
+    m = marks.selectExpr("doc_id AS mark_id", "sha AS mark_sha", "twin AS mark_twin")
+    joined = rows.join(m, F.col("id_").eqNullSafe(F.col("mark_id")) & (F.col("sha_") == F.col("mark_sha")), "left")
+    clean = joined.where("mark_twin IS NULL").select("row")
+    twins = joined.where("mark_twin").dropDuplicates(["id_", "sha_"]).select("row")
+    return clean.unionByName(twins).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 ORACLE_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

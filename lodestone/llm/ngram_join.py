@@ -52,7 +52,8 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _signatures(text: str, id_col: str):
-    """Rows (id, n_shingles, sid) and rows of locally frequent shingles (hot, hot_count)."""
+    """Rows (id, tag, n_shingles, sid) and rows of locally frequent shingles (hot, hot_count)."""
+    names = ["doc_id", "tag", "n_shingles", "sid", "hot", "hot_count"]
 
     def work(batches):
         kept, size = [], 0
@@ -61,7 +62,7 @@ def _signatures(text: str, id_col: str):
             values, counts = np.unique(np.concatenate(kept), return_counts=True)
             hot = counts >= FREQUENT
             n = int(hot.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(values[hot].astype(np.int64)), pa.array(counts[hot].astype(np.int64))], ["doc_id", "n_shingles", "sid", "hot", "hot_count"])
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(values[hot].astype(np.int64)), pa.array(counts[hot].astype(np.int64))], names)
 
         for batch in batches:
             lengths, sids = [], []
@@ -75,7 +76,7 @@ def _signatures(text: str, id_col: str):
                     yield frequent()
                     kept, size = [], 0
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(lengths, pa.int64()), pa.array(sids, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "n_shingles", "sid", "hot", "hot_count"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("tag_"), pa.array(lengths, pa.int64()), pa.array(sids, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
         if kept:
             yield frequent()
 
@@ -426,19 +427,21 @@ def _nothing():
     return pd.DataFrame({"region": [], "u": [], "sid": [], "n": []})
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region_mb: float = REGION_MB) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (least id reachable by links, itself included)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))
-    seen = materialize(rows.mapInArrow(_signatures("text_", "id_"), "doc_id bigint, n_shingles bigint, sid binary, hot bigint, hot_count bigint"), "signatures")
-    base = seen.where("hot IS NULL").select("doc_id", "n_shingles", "sid")
+def _groups(docs: DataFrame, id_col: str, text_col: str, region_mb: float, tagged: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tag, n_shingles, sid) of docs, and (sid, root) of the sets; tag: digest of the text, if asked for."""
+    text = F.col(text_col).cast("string")
+    tag = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)) if tagged else F.lit(None).cast("binary")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id_"), tag.alias("tag_"), text.alias("text_"))
+    seen = materialize(rows.mapInArrow(_signatures("text_", "id_"), "doc_id bigint, tag binary, n_shingles bigint, sid binary, hot bigint, hot_count bigint"), "signatures")
+    base = seen.where("hot IS NULL").select("doc_id", "tag", "n_shingles", "sid")
     frequent = seen.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("hot_count").alias("c")).orderBy(F.desc("c"), "hot").limit(TABLE).collect()
     hot = np.array([r["hot"] for r in frequent], np.int64).astype(np.uint64)
     hot_rank = {int(x): -i for i, x in enumerate(hot.tolist())}
 
     total = seen.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(max(24, total // 4 // PER_BUCKET))
-    heads = rows.select("text_").mapInArrow(_heads(hot), "sid binary, n bigint, first binary, hots binary, rest binary")
+    texts = rows.select("text_")
+    heads = texts.mapInArrow(_heads(hot), "sid binary, n bigint, first binary, hots binary, rest binary")
     heads = heads.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "first", "hots", "rest")))
     dealt = heads.mapInArrow(_deal(buckets), f"bucket int, shingles binary, owners binary, counts binary, metas {META_SQL}")
     shared = per_key(dealt, "bucket", _shared, "sid binary, shingles binary, dfs binary, meta struct<n:bigint,c:bigint,hots:binary,rest:binary>")
@@ -449,13 +452,31 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("n_shingles").alias("n"))
     members = materialize(members.join(sizes, "sid").select("region", "sid", "n"), "members")
     asked = members.select("sid").distinct()
-    sets = rows.mapInArrow(_full_sets("text_", _bloom(asked)), "sid binary, items binary")
+    sets = texts.mapInArrow(_full_sets("text_", _bloom(asked)), "sid binary, items binary")
     sets = materialize(sets.groupBy("sid").agg(F.first("items").alias("items")).join(asked, "sid", "left_semi"), "sets")
-    links = region_links(members, sets, region_mb)
+    group = components(region_links(members, sets, region_mb)).withColumnRenamed("node", "sid")
+    return base, group
 
-    group = components(links)
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region_mb: float = REGION_MB) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (least id reachable by links, itself included)."""
+    base, group = _groups(docs, id_col, text_col, region_mb, False)
     least = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    known = least.join(group.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
+    known = least.join(group, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
     top = known.groupBy("root").agg(F.min("least").alias("component_id"))
     by_sid = known.join(top, "root").select("sid", "component_id")
     return base.join(by_sid, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def redundant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region_mb: float = REGION_MB) -> DataFrame:
+    """Marks (doc_id, sha, twin) of rows that must go for one row of each component to stay: that of least id, then digest.
+
+    twin: the mark is of the row that stays, which the table holds more than once.
+    """
+    base, group = _groups(docs, id_col, text_col, region_mb, True)
+    rows = base.where("sid IS NOT NULL").join(group, "sid", "left").select("doc_id", "tag", F.coalesce("root", "sid").alias("root"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    stays = rows.groupBy("root").agg(F.min(key).alias("stays"), F.count("*").alias("n")).where("n > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("tag") == F.col("stays.tag"))
+    marks = rows.join(stays, "root").groupBy("doc_id", "tag").agg(F.max(same).alias("twin"), F.count("*").alias("n"))
+    return marks.where("not twin or n > 1").select("doc_id", F.lower(F.hex("tag")).alias("sha"), "twin")

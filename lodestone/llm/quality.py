@@ -198,22 +198,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.concatenate(bags).astype(float), starts, np.array([r["y"] for r in found], float))
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; with keep, the rows of docs with column score added instead."""
+def _scores(texts: pa.Array, model: Model | None) -> np.ndarray:
+    out = np.full(len(texts), 0.5)
+    if model is not None:
+        for rows, doc in passages(texts):
+            starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            out[doc[starts]] = model.score(rows.astype(np.float32).astype(float), starts)
+    return out
+
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row."""
 
     def work(batches):
         for batch in batches:
-            out = np.full(batch.num_rows, 0.5)
-            if model is not None:
-                for rows, doc in passages(batch.column("text_")):
-                    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                    out[doc[starts]] = model.score(rows.astype(np.float32).astype(float), starts)
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "text_"), pa.array(out)], [*(n for n in batch.schema.names if n != "text_"), "score_"])
-
-    if keep:
-        rows = docs.withColumn("text_", F.col(text_col).cast("string"))
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["score_ double"])
-        return rows.mapInArrow(work, schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch.column("text_"), model))], ["doc_id", "score_"])
+
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text_"))
     scored = rows.mapInArrow(work, "doc_id bigint, score_ double")
     return scored.select("doc_id", F.coalesce(_fold("doc_id") == 0, F.lit(False)).alias("held_out"), F.col("score_").alias("score"), (F.col("score_") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at least the threshold; only the text goes to the workers."""
+
+    @F.arrow_udf("double")
+    def rate(texts: pa.Array) -> pa.Array:
+        return pa.array(_scores(texts, model))
+
+    return docs.where(rate(F.col(text_col).cast("string")) >= threshold)

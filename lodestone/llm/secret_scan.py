@@ -120,11 +120,20 @@ def _rule_spans(df: DataFrame) -> DataFrame:
     return df
 
 
-def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, keep: bool = False) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans; with keep, docs with column found_ (array of s, kind, e) added."""
+def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
+    names = "array(" + ",".join(f"'{x}'" for x in KINDS) + ")"
+    joined = lambda c: f"array_join(transform({c}, x -> concat({names}[x.kind], ':', x.s, ':', x.e)), ',')"
+    return find_spans(rows, ratios, margin).selectExpr(
+        "doc_id", "cast(size(spans_assign) AS bigint) AS n_assign", "cast(size(spans_access) AS bigint) AS n_access", "cast(size(spans_hex) AS bigint) AS n_hex",
+        "cast(size(random_) AS bigint) AS n_random", f"sha2({joined('base_')}, 256) AS base_sha256", f"{joined('all_')} AS spans",
+    )
+
+
+def find_spans(df: DataFrame, ratios: list[float], margin: float = MARGIN) -> DataFrame:
+    """Adds arrays of spans over column text_: spans_assign, spans_access, spans_hex, base_ (these in order), random_ and all_."""
     k = len(ALPHABET)
-    base = docs if keep else docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text_src_"))
-    df = base.withColumn("text_", F.coalesce(F.col(text_col if keep else "text_src_").cast("string"), F.lit("")))
     df = _rule_spans(df).withColumn("base_", F.expr("array_sort(concat(spans_assign, spans_access, spans_hex))"))
     p = _quoted(CANDIDATE)
     df = df.withColumn("raw_", F.expr(f"CASE WHEN text_ rlike {p} THEN named_struct('m', regexp_extract_all(text_, {p}, 0), 'g', split(text_, {p}, -1)) END"))
@@ -135,25 +144,23 @@ def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col:
     step = f"element_at({table}, (instr('{ALPHABET}', substring(c.m, i, 1)) - 1) * {k} + instr('{ALPHABET}', substring(c.m, i + 1, 1)))"
     mean = f"aggregate(sequence(1, length(c.m) - 1), 0.0D, (acc, i) -> acc + {step}) / (length(c.m) - 1)"
     df = df.withColumn("random_", F.expr(f"filter(cand_, c -> {mean} >= {margin}D)"))
-    df = df.withColumn("all_", F.expr("CASE WHEN size(random_) = 0 THEN base_ ELSE array_sort(concat(base_, random_)) END"))
-    if keep:
-        return df.withColumn("found_", F.expr("transform(all_, x -> named_struct('s', x.s, 'kind', x.kind, 'e', x.e))")).drop("text_", "spans_assign", "spans_access", "spans_hex", "base_", "cand_", "random_", "all_")
-    names = "array(" + ",".join(f"'{x}'" for x in KINDS) + ")"
-    joined = lambda c: f"array_join(transform({c}, x -> concat({names}[x.kind], ':', x.s, ':', x.e)), ',')"
-    return df.selectExpr(
-        "doc_id", "cast(size(spans_assign) AS bigint) AS n_assign", "cast(size(spans_access) AS bigint) AS n_access", "cast(size(spans_hex) AS bigint) AS n_hex",
-        "cast(size(random_) AS bigint) AS n_random", f"sha2({joined('base_')}, 256) AS base_sha256", f"{joined('all_')} AS spans",
-    )
+    return df.withColumn("all_", F.expr("CASE WHEN size(random_) = 0 THEN base_ ELSE array_sort(concat(base_, random_)) END"))
+
 
+def redact(docs: DataFrame, ratios: list[float], text_col: str = "text", mark: str = "[SECRET]", length_col: str = "n_chars") -> DataFrame:
+    """docs with every span in its text replaced by the mark, and the length column brought up to date where there is one.
 
-def redact(docs: DataFrame, ratios: list[float], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span in its text replaced by the mark; a null text stays null."""
-    df = scan(docs, ratios, text_col=text_col, keep=True)
-    t = f"`{text_col}`"
+    A null text stays null. The columns of docs may have any names.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
     rebuilt = (
-        f"aggregate(found_, named_struct('at', 0, 'out', ''), (acc, x) -> CASE WHEN x.e <= acc.at THEN acc"
-        f" WHEN x.s < acc.at THEN named_struct('at', x.e, 'out', acc.out)"
-        f" ELSE named_struct('at', x.e, 'out', concat(acc.out, substring({t}, acc.at + 1, x.s - acc.at), '{mark}')) END,"
-        f" acc -> concat(acc.out, substring({t}, acc.at + 1, length({t}))))"
+        "aggregate(all_, named_struct('at', 0, 'out', ''), (acc, x) -> CASE WHEN x.e <= acc.at THEN acc"
+        " WHEN x.s < acc.at THEN named_struct('at', x.e, 'out', acc.out)"
+        f" ELSE named_struct('at', x.e, 'out', concat(acc.out, substring(text_, acc.at + 1, x.s - acc.at), '{mark}')) END,"
+        " acc -> concat(acc.out, substring(text_, acc.at + 1, length(text_))))"
     )
-    return df.withColumn(text_col, F.expr(f"CASE WHEN size(found_) = 0 THEN {t} ELSE {rebuilt} END")).select(docs.columns)
+    found = find_spans(rows, ratios).withColumn("clean_", F.expr(f"CASE WHEN size(all_) > 0 THEN {rebuilt} END"))
+    field = lambda c: F.col("row").getField(c)
+    new = {text_col: F.coalesce("clean_", field(text_col)), length_col: F.when(F.col("clean_").isNull(), field(length_col)).otherwise(F.length("clean_"))}
+    return found.select(*((new[c] if c in new else field(c)).alias(c) for c in docs.columns))
