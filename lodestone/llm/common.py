@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,45 @@ def per_key(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table | None],
     return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(work, schema)
 
 
+BLOOM_BITS = 1 << 24  # 2 MB whatever the input; a full filter lets everything through, which costs time and no results
+
+
+def _slots(keys: list[bytes]) -> np.ndarray:
+    """Two bits for each key of 16 random bytes."""
+    return np.frombuffer(b"".join(keys), "<u4").reshape(-1, 4)[:, :2] % BLOOM_BITS
+
+
+def in_bloom(bits: bytes, keys: list[bytes]) -> np.ndarray:
+    at = _slots(keys)
+    return ((np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7)) & 1).all(1)
+
+
+def bloom(keys: DataFrame) -> bytes:
+    """A Bloom filter of fixed size over the first column, 16-byte digests; or-ed block by block on the executors."""
+    blocks = 32
+    size = BLOOM_BITS // 8 // blocks
+
+    def build(batches):
+        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        for batch in batches:
+            at = _slots(batch.column(0).to_pylist()).ravel()
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for b in range(blocks):
+            if (part := bits[b * size : (b + 1) * size]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "bits"])
+
+    def merge(part: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.uint8)
+        for x in part.column("bits").to_pylist():
+            total |= np.frombuffer(x, np.uint8)
+        return pa.table([pa.array([part.column("block")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "bits"])
+
+    bits = bytearray(BLOOM_BITS // 8)
+    for row in per_key(keys.mapInArrow(build, "block int, bits binary"), "block", merge, "block int, bits binary").collect():
+        bits[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
+    return bytes(bits)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of edges(u, v), by repeated contraction of each node into its least neighbour.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, per_key
+from .common import bloom, in_bloom, materialize, per_key
 
 SHARD_KEYS, LEAST_SHARDS, MOST_SHARDS = 20_000, 64, 1 << 16
 SALT_ROWS = 20_000
@@ -162,14 +162,28 @@ def redundant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def without(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs less its marked rows; of rows marked as twins one stays. The columns of docs may have any names."""
+    """docs less its marked rows; of rows marked as twins one stays. The columns of docs may have any names.
+
+    Most rows carry no mark, and a Bloom filter over the marked ids lets them pass where they are read. Only the others,
+    with what the filter takes for marked, go to the join, so whole texts aren't shuffled to drop a few.
+    """
+    spark = docs.sparkSession
+    digest = lambda c: F.unhex(F.md5(F.coalesce(c.cast("string"), F.lit("null"))))
+    bits = spark.sparkContext.broadcast(bloom(marks.select(digest(F.col("doc_id")).alias("k"))))
+
+    @F.arrow_udf("boolean")
+    def suspected(keys: pa.Array) -> pa.Array:
+        return pa.array(in_bloom(bits.value, keys.to_pylist()))
+
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select(row, F.col(id_col).cast("bigint").alias("id_"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("sha_"))
+    rows = docs.select(row, F.col(id_col).cast("bigint").alias("id_"), F.col(text_col).cast("string").alias("text_")).withColumn("suspect_", suspected(digest(F.col("id_"))))
+    clean = rows.where("not suspect_").select("row")
+    suspects = materialize(rows.where("suspect_").select("row", "id_", F.sha2(F.coalesce("text_", F.lit("")), 256).alias("sha_")), "suspects")
     m = marks.selectExpr("doc_id AS mark_id", "sha AS mark_sha", "twin AS mark_twin")
-    joined = rows.join(m, F.col("id_").eqNullSafe(F.col("mark_id")) & (F.col("sha_") == F.col("mark_sha")), "left")
-    clean = joined.where("mark_twin IS NULL").select("row")
+    joined = suspects.join(m.hint("merge"), F.col("id_").eqNullSafe(F.col("mark_id")) & (F.col("sha_") == F.col("mark_sha")), "left")
     twins = joined.where("mark_twin").dropDuplicates(["id_", "sha_"]).select("row")
-    return clean.unionByName(twins).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    out = clean.unionByName(joined.where("mark_twin IS NULL").select("row")).unionByName(twins)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = """

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, per_key
+from .common import bloom, components, in_bloom, materialize, per_key
 from .shingles import shingle_sets
 
 NUM, DEN = 4, 5  # links at similarity >= NUM / DEN
@@ -196,14 +196,13 @@ def _head_of(hot_rank: dict[int, int]):
 
 def _full_sets(text: str, bits: bytes):
     """The whole sets of texts whose digest may be among those asked for."""
-    wanted = np.frombuffer(bits, np.uint8)
 
     def work(batches):
         for batch in batches:
             sids, sets = [], []
             seen = set()
             for s in shingle_sets(batch.column(text)):
-                if len(s) and (sid := _digest(s)) not in seen and _in(wanted, sid):
+                if len(s) and (sid := _digest(s)) not in seen and in_bloom(bits, [sid])[0]:
                     seen.add(sid)
                     sids.append(sid)
                     sets.append(s.tobytes())
@@ -215,44 +214,6 @@ def _full_sets(text: str, bits: bytes):
     return work
 
 
-BLOOM_BITS = 1 << 24  # 2 MB whatever the input; when it fills up, more sets than needed are read
-
-
-def _slots(sid: bytes) -> tuple[int, int]:
-    return int.from_bytes(sid[:4], "little") % BLOOM_BITS, int.from_bytes(sid[4:8], "little") % BLOOM_BITS
-
-
-def _in(bits: np.ndarray, sid: bytes) -> bool:
-    return all(bits[k >> 3] >> (k & 7) & 1 for k in _slots(sid))
-
-
-def _bloom(sids: DataFrame) -> bytes:
-    """A Bloom filter of fixed size over column sid, or-ed block by block on the executors."""
-    blocks, size = 32, BLOOM_BITS // 8 // 32
-
-    def build(batches):
-        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").reshape(-1, 4)
-            for k in (0, 1):
-                at = raw[:, k] % BLOOM_BITS
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for b in range(blocks):
-            if (part := bits[b * size : (b + 1) * size]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "bits"])
-
-    def merge(part: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.uint8)
-        for x in part.column("bits").to_pylist():
-            total |= np.frombuffer(x, np.uint8)
-        return pa.table([pa.array([part.column("block")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "bits"])
-
-    bits = bytearray(BLOOM_BITS // 8)
-    for row in per_key(sids.mapInArrow(build, "block int, bits binary"), "block", merge, "block int, bits binary").collect():
-        bits[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
-    return bytes(bits)
-
-
 class Region:
     """Sets of one region in memory, as one array of item numbers with offsets."""
 
@@ -452,7 +413,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, region_mb: float, tagge
     sizes = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("n_shingles").alias("n"))
     members = materialize(members.join(sizes, "sid").select("region", "sid", "n"), "members")
     asked = members.select("sid").distinct()
-    sets = texts.mapInArrow(_full_sets("text_", _bloom(asked)), "sid binary, items binary")
+    sets = texts.mapInArrow(_full_sets("text_", bloom(asked)), "sid binary, items binary")
     sets = materialize(sets.groupBy("sid").agg(F.first("items").alias("items")).join(asked, "sid", "left_semi"), "sets")
     group = components(region_links(members, sets, region_mb)).withColumnRenamed("node", "sid")
     return base, group
