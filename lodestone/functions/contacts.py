@@ -34,9 +34,10 @@ def phone_digits(candidate: str) -> str:
 
 
 def _dated(d: str) -> str:
-    part = lambda a, n: f"cast(substring({d}, {a}, {n}) AS int)"
-    first = f"{part(1, 2)} BETWEEN 1 AND 31 AND {part(3, 2)} BETWEEN 1 AND 12 AND {part(5, 4)} BETWEEN 1900 AND 2100"
-    second = f"{part(1, 4)} BETWEEN 1900 AND 2100 AND {part(5, 2)} BETWEEN 1 AND 12 AND {part(7, 2)} BETWEEN 1 AND 31"
+    """Eight digits that read as day, month, year or year, month, day. Fixed-width digits compare as text."""
+    part = lambda a, n: f"substring({d}, {a}, {n})"
+    first = f"{part(1, 2)} BETWEEN '01' AND '31' AND {part(3, 2)} BETWEEN '01' AND '12' AND {part(5, 4)} BETWEEN '1900' AND '2100'"
+    second = f"{part(1, 4)} BETWEEN '1900' AND '2100' AND {part(5, 2)} BETWEEN '01' AND '12' AND {part(7, 2)} BETWEEN '01' AND '31'"
     return f"(length({d}) = 8 AND (({first}) OR ({second})))"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.plan import barrier
 from ..functions.text import any_in, collapse, even, first_in, quoted, starts_any, strings
 from ..rules import hits as rules
 
@@ -44,7 +45,7 @@ def classify(hits: DataFrame, allow_social: bool = False, blocked: list[str] = r
     handle = "get(segs, 0)"
     instagram = f"contains(host_l, 'instagram.com') AND size(segs) = 1 AND NOT {starts_any(handle, NO_HANDLE)}"
     tiktok = f"NOT contains(host_l, 'instagram.com') AND contains(host_l, 'tiktok.com') AND size(segs) = 1 AND startswith({handle}, '@')"
-    df = df.withColumn("segs", F.expr("filter(split(path_l, '/'), s -> s <> '')"))
+    df = barrier(df.withColumn("segs", F.expr("filter(split(path_l, '/'), s -> s <> '')")))
     df = df.withColumns({
         "blocked_by": F.expr(first_in("url_l", blocked, "blocked_domain:")),
         "is_reference": F.expr(f"{any_in('host_l', rules.REFERENCE_HOSTS)} OR {any_in('blob', rules.REFERENCE_WORDS)}"),
@@ -88,7 +89,7 @@ def classify(hits: DataFrame, allow_social: bool = False, blocked: list[str] = r
         f" WHEN is_social AND NOT {allowed} THEN 'social_off' WHEN is_social AND is_post THEN 'post' WHEN is_social AND NOT is_profile THEN 'not_profile'"
         " WHEN is_social THEN 'profile' ELSE 'website' END"
     )
-    df = df.withColumn("stage", stage)
+    df = barrier(df.withColumn("stage", stage))
     home = "CASE WHEN is_root THEN 'website_home' ELSE 'website_inner_page' END"
     return df.select(
         *hits.columns,
@@ -119,7 +120,7 @@ def process(hits: DataFrame, allow_social: bool = False, **options) -> DataFrame
     blob = f"lower(concat({collapse('title')}, ' ', {collapse('snippet')}))"
     confidence = f"CASE WHEN contains({blob}, 'oficial') OR contains({blob}, 'official') OR result_kind = 'social_profile' OR score >= 0.45D THEN 'high' WHEN score <= 0.2D THEN 'low' ELSE 'medium' END"
     df = df.withColumn("exclusion_reason", F.expr(f"CASE WHEN coalesce({valid}, false) THEN exclusion_reason ELSE 'invalid_url' END"))
-    return df.withColumn("discovery_confidence", F.expr(f"CASE WHEN exclusion_reason IS NULL THEN {confidence} END"))
+    return barrier(df.withColumn("discovery_confidence", F.expr(f"CASE WHEN exclusion_reason IS NULL THEN {confidence} END")))
 
 
 def rank(hits: DataFrame, partition: list[str], ordinal: str) -> DataFrame:

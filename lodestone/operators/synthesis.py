@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import barrier
 from ..functions.text import any_in, collapse, quoted, strings
 from ..rules import queries as rules
 
@@ -43,8 +44,8 @@ def has_phrase(query: str, phrase: str) -> str:
 
 def negated(query: str, terms: str) -> str:
     """Query with the negative terms that it doesn't hold already."""
-    q = collapse(query)
-    return f"CASE WHEN {q} = '' THEN '' ELSE trim(concat_ws(' ', {q}, array_join(filter({terms}, t -> NOT contains(lower({q}), lower(t))), ' '))) END"
+    whole = f"CASE WHEN q = '' THEN '' ELSE trim(concat_ws(' ', q, array_join(filter({terms}, t -> NOT contains(lower(q), lower(t))), ' '))) END"
+    return f"transform(array({collapse(query)}), q -> {whole})[0]"
 
 
 def variants(fragment: str) -> str:
@@ -66,7 +67,7 @@ def _fragments(value: str) -> str:
 
 def intents(df: DataFrame) -> DataFrame:
     """Adds seeds: variants of all fragments, interleaved: the first of each group, then the second, and so on."""
-    df = df.withColumn("groups_", F.expr(f"transform(concat({_fragments('target_niche')}, {_fragments('base_')}), f -> {variants('f')})"))
+    df = barrier(df.withColumn("groups_", F.expr(f"transform(concat({_fragments('target_niche')}, {_fragments('base_')}), f -> {variants('f')})")))
     ranks = "sequence(0, greatest(array_max(transform(groups_, g -> size(g))), 1) - 1)"
     return df.withColumn("seeds", F.expr(f"CASE WHEN size(groups_) = 0 THEN {EMPTY} ELSE array_distinct(array_compact(flatten(transform({ranks}, i -> transform(groups_, g -> get(g, i)))))) END")).drop("groups_")
 
@@ -94,16 +95,16 @@ def build_queries(jobs: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
     """Adds queries (canonical, at most `most`), retry_queries and query_batches (chunks of two: canonical, then new retries)."""
     df = jobs.withColumns({c: F.coalesce(c, F.expr(EMPTY)) for c in LISTS} | {c: F.expr(collapse(c)) for c in TEXTS})
     df = df.withColumn("base_", F.expr("CASE WHEN search_query <> '' THEN search_query ELSE trim(concat_ws(' ', nullif(target_niche, ''), nullif(target_location, ''))) END"))
-    df = intents(df).withColumns({
+    df = barrier(intents(df)).withColumns({
         "neg_": F.expr(negatives(df)), "budget_": F.expr(budget_keywords("target_budget_signals")), "here_": F.expr("CASE WHEN target_location = '' THEN '' ELSE concat(' ', target_location) END"),
         "niche_place": F.expr("trim(concat_ws(' ', nullif(target_niche, ''), nullif(target_location, '')))"), "social_": F.expr(any_in("lower(user_profession)", SOCIAL_ROLES)),
         "h_official": F.expr(_hint("official")), "h_contact": F.expr(_hint("contact")), "h_services": F.expr(_hint("services")), "h_commercial": F.expr(_hint("commercial")), "h_locations": F.expr(_hint("locations")),
     })
-    df = df.withColumns({
+    df = barrier(df).withColumns({
         "geo_": F.expr(f"CASE WHEN target_location <> '' AND NOT {has_phrase('base_', 'target_location')} THEN concat(base_, ' ', target_location) ELSE base_ END"),
         "placed": F.expr("transform(seeds, s -> concat(s, here_))"),
     })
-    df = df.withColumn("main_", F.expr("coalesce(nullif(niche_place, ''), nullif(geo_, ''), base_)"))
+    df = barrier(df.withColumn("main_", F.expr("coalesce(nullif(niche_place, ''), nullif(geo_, ''), base_)")))
     neg = lambda q: negated(q, "neg_")
     sites = lambda stem: f"array({neg(f"concat({stem}, ' site:instagram.com')")}, {neg(f"concat({stem}, ' site:tiktok.com')")})"
     hinted = lambda stem, hints: f"flatten(transform({hints}, h -> {sites(f"concat({stem}, ' ', h)")}))"
@@ -122,8 +123,8 @@ def build_queries(jobs: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
 
     # retries start from the query as given, without the niche in its place
     stem = "coalesce(nullif(niche_place, ''), nullif(trim(concat(search_query, here_)), ''), search_query)"
-    df = df.withColumn("stem_", F.expr(stem)).withColumnRenamed("seeds", "seeds_base")
-    df = intents(df.withColumn("base_", F.col("search_query"))).withColumn("placed_r", F.expr("transform(slice(seeds, 1, 4), s -> concat(s, here_))"))
+    df = barrier(df.withColumn("stem_", F.expr(stem))).withColumnRenamed("seeds", "seeds_base")
+    df = barrier(intents(df.withColumn("base_", F.col("search_query")))).withColumn("placed_r", F.expr("transform(slice(seeds, 1, 4), s -> concat(s, here_))"))
     commercial = lambda stem: f"transform(h_commercial, h -> {neg(f"concat({stem}, ' ', h)")})"
     retries = [
         commercial("stem_"),
@@ -133,6 +134,7 @@ def build_queries(jobs: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
         f"CASE WHEN target_location <> '' AND search_query <> '' AND NOT {has_phrase('search_query', 'target_location')} THEN array({neg("concat(search_query, here_)")}) ELSE {EMPTY} END",
     ]
     df = df.withColumn("retry_queries", F.expr(f"CASE WHEN stem_ = '' THEN {EMPTY} ELSE {distinct(retries)} END"))
+    df = barrier(df)
     others = [c for c in jobs.columns if c not in (*LISTS, *TEXTS)]
     return df.select(*others, *(c for c in jobs.columns if c in (*LISTS, *TEXTS)), "queries", "retry_queries", F.expr(f"concat({chunks('queries')}, {chunks('array_except(retry_queries, queries)')})").alias("query_batches"))
 

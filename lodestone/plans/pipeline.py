@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import barrier
 from ..operators import crawl, entity, extraction, features, kpi, quality, scoring, upsert
 from ..operators.parse import parse
 from ..sources.html import read_pages
@@ -41,7 +42,7 @@ def metadata(pages: DataFrame, hits: DataFrame | None = None) -> DataFrame:
 
 def assess(rows: DataFrame) -> DataFrame:
     """Features, entity type, quality gate and signature of pages with metadata and criteria."""
-    df = quality.evaluate(entity.classify(features.heuristics(rows)))
+    df = barrier(quality.evaluate(barrier(entity.classify(barrier(features.heuristics(barrier(rows)))))))
     return df.withColumn("signature", F.expr(quality.signature("domain", f"substring(clean_text, 1, {SIGNATURE_TEXT})", f"'{PROMPT_VERSION}'")))
 
 
@@ -52,7 +53,7 @@ def score(rows: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
     else:
         df = extraction.with_payloads(rows, payloads)
     df = df.withColumns({"heuristic_score": F.col("score"), "heuristic_confidence": F.col("confidence_level"), "heuristic_summary": F.col("fit_summary"), "inferred_niche": F.coalesce("ai_niche", "inferred_niche")})
-    return entity.taxonomy(scoring.final_score(df))
+    return entity.taxonomy(barrier(scoring.final_score(df)))
 
 
 def prospects(pages: DataFrame, criteria: dict | None = None, hits: DataFrame | None = None, payloads: DataFrame | None = None) -> DataFrame:

@@ -10,4 +10,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
-    return {}
+    from . import job_queries, page_queries
+
+    return page_queries.QUERIES | job_queries.QUERIES
