@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bloom, components, in_bloom, materialize, per_key
@@ -158,7 +158,7 @@ def _shared(part: pa.Table) -> pa.Table:
     order = np.argsort(o, kind="stable")
     s, o, df = s[order], o[order], df[order]
     cuts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(o)).astype(np.int64)
+    ends = np.append(cuts[1:], len(o)).astype(np.int64)[: len(cuts)]
     out_sid = [o[a].ljust(16, b"\0") for a in cuts]
     out = {"sid": out_sid, "shingles": [s[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], "dfs": [df[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, ends, strict=True)], "meta": [None] * len(cuts)}
     for metas in part.column("metas").to_pylist():
@@ -326,6 +326,7 @@ def _against_pivots(left, right):
 
     pivots, sets = right["sid"].tolist(), [np.frombuffer(x, np.uint64) for x in right["items"]]
     members = left[~left["sid"].isin(pivots)]
+    parent = left["region"].iloc[0]
     out = []
     if len(members):
         region = Region(sets + [np.frombuffer(x, np.uint64) for x in members["items"]])
@@ -333,59 +334,65 @@ def _against_pivots(left, right):
         ids = np.arange(k, k + len(members))
         got = [region.links(p, ids) for p in range(k)]
         dist, linked = np.stack([g[0] for g in got]), np.stack([g[1] for g in got])
-        near = dist.min(0)
-        cells = dist <= near + 2 * (1 - NUM / DEN + 1e-9)
+        cells = dist <= dist.min(0) + 2 * (1 - NUM / DEN + 1e-9)
         sids, n = members["sid"].tolist(), members["n"].tolist()
         for i, sid in enumerate(sids):
-            out += [(None, pivots[p], sid, 0) for p in np.flatnonzero(linked[:, i])]
-            out += [(left["region"].iloc[0] + pivots[p], None, sid, n[i]) for p in np.flatnonzero(cells[:, i])]
+            out += [(None, None, pivots[p], sid, 0) for p in np.flatnonzero(linked[:, i])]
+            out += [(parent, pivots[p], None, sid, n[i]) for p in np.flatnonzero(cells[:, i])]
     if left["chunk"].iloc[0] == 0:
         region = Region(sets)
         for p in range(len(pivots)):
             later = np.arange(p + 1, len(pivots))
-            out += [(None, pivots[p], pivots[q], 0) for q in later[region.links(p, later)[1]]]
-    return pd.DataFrame(out, columns=["region", "u", "sid", "n"])
+            out += [(None, None, pivots[p], pivots[q], 0) for q in later[region.links(p, later)[1]]]
+    return pd.DataFrame(out, columns=["parent", "pivot", "u", "sid", "n"])
 
 
 def region_links(members: DataFrame, sets: DataFrame, region_mb: float = REGION_MB, pivots: int = 64) -> DataFrame:
-    """Links (u, v) that connect what all links inside regions connect. members: region, sid, n; sets: sid, items."""
+    """Links (u, v) that connect what all links inside regions connect. members: region, sid, n; sets: sid, items.
+
+    A region beyond region_mb goes through distributed rounds. Each settles its pivots, members of the components that are
+    smallest there, against all members; what is left goes to cells, or stays one region where the windows don't part it,
+    and is dropped once all of it is one component. So every round takes pivots away and the rounds end.
+    """
     done = None
     cap = region_mb * 1e6 / 8
+    members = members.withColumn("weight", F.lit(0).cast("bigint"))
     while True:
         size = members.groupBy("region").agg(F.sum("n").alias("items"), F.count("*").alias("members"))
-        large = size.where((F.col("items") > cap) & (F.col("members") > 2 * pivots))
+        large = materialize(size.where((F.col("items") > cap) & (F.col("members") > 2 * pivots)), "large")
         small = members.join(large.select("region"), "region", "left_anti")
         found = per_key(small.join(sets, "sid").select("region", "sid", "items"), "region", _join_region, "u binary, v binary")
         links = materialize(found, "links")
         done = links if done is None else done.unionByName(links)
-        large = materialize(large, "large")
         if large.isEmpty():
             return done
-        # a distributed round: the least sets of each large region are its pivots, settled against all its members
-        inside = members.join(large.select("region", (F.ceil(F.col("items") / (cap / 4))).cast("int").alias("chunks")), "region")
-        rank = F.expr(f"slice(array_sort(collect_set(sid)), 1, {pivots})")
-        # the k least of each chunk first, so that no task gathers a whole region
-        spread = inside.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
-        least = spread.groupBy("region", "chunk").agg(rank.alias("s")).select("region", F.explode("s").alias("sid")).groupBy("region").agg(rank.alias("s")).select("region", F.explode("s").alias("sid"))
-        chosen = materialize(least.join(sets, "sid"), "pivots")
-        chunks = large.select("region", F.explode(F.expr(f"sequence(0, cast(ceil(items / {cap / 4}) AS int) - 1)")).alias("chunk"))
-        out = (
-            spread.join(sets, "sid").groupBy("region", "chunk").cogroup(chunks.join(chosen, "region").groupBy("region", "chunk"))
-            .applyInPandas(lambda a, b: _against_pivots(a, b) if len(a) else _nothing(), "region binary, u binary, sid binary, n bigint")
-        )
+        chunked = large.select("region", F.ceil(F.col("items") / (cap / 4)).cast("int").alias("chunks"))
+        spread = members.join(chunked, "region").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+        # the least of each chunk first, so that no task gathers a whole region
+        least = lambda df, *keys: df.groupBy(*keys).agg(F.expr(f"slice(array_sort(collect_set(struct(weight, sid))), 1, {pivots})").alias("s")).select(*keys, F.explode("s").alias("s")).select(*keys, "s.weight", "s.sid")
+        first = spread.withColumn("rank_", F.row_number().over(Window.partitionBy("region", "chunk").orderBy("weight", "sid"))).where(F.col("rank_") <= pivots)
+        chosen = materialize(least(first, "region").join(sets, "sid"), "pivots")
+        copies = chunked.select("region", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk")).join(chosen.select("region", "sid", "items"), "region")
+        out = spread.join(sets, "sid").groupBy("region", "chunk").cogroup(copies.groupBy("region", "chunk")).applyInPandas(lambda a, b: _against_pivots(a, b) if len(a) else _nothing(), "parent binary, pivot binary, u binary, sid binary, n bigint")
         out = materialize(out, "round")
         done = done.unionByName(out.where("u IS NOT NULL").selectExpr("u", "sid AS v"))
-        settled = components(done.select("u", "v"))
-        # cells whose members are all of one component need no more work
-        cells = out.where("u IS NULL").select("region", "sid", "n").join(settled.withColumnRenamed("node", "sid"), "sid", "left")
-        mixed = cells.groupBy("region").agg(F.min(F.coalesce("root", "sid")).alias("a"), F.max(F.coalesce("root", "sid")).alias("b")).where("a <> b").select("region")
-        members = materialize(cells.drop("root").join(mixed, "region", "left_semi").selectExpr("unhex(md5(region)) AS region", "sid", "n"), "members")
+        settled = components(done.select("u", "v")).withColumnRenamed("node", "sid")
+
+        cells = out.where("u IS NULL").select("parent", "pivot", "sid", "n")
+        widest = cells.groupBy("parent", "pivot").agg(F.count("*").alias("c")).groupBy("parent").agg(F.max("c").alias("widest"))
+        parts = cells.groupBy("parent").agg(F.count_distinct("sid").alias("all")).join(widest, "parent").select("parent", (F.col("widest") <= 0.7 * F.col("all")).alias("parted"))
+        placed = cells.join(parts, "parent").select(F.when(F.col("parted"), F.unhex(F.md5(F.concat("parent", "pivot")))).otherwise(F.col("parent")).alias("region"), "sid", "n").distinct()
+        placed = placed.join(settled, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        inside = placed.groupBy("region", "root").agg(F.count("*").alias("weight"))
+        mixed = inside.groupBy("region").agg(F.count("*").alias("k")).where("k > 1").select("region")
+        # pivots settled together with one component leave others that still have to meet the rest
+        members = materialize(placed.join(mixed, "region", "left_semi").join(inside, ["region", "root"]).select("region", "sid", "n", "weight"), "members")
 
 
 def _nothing():
     import pandas as pd
 
-    return pd.DataFrame({"region": [], "u": [], "sid": [], "n": []})
+    return pd.DataFrame({"parent": [], "pivot": [], "u": [], "sid": [], "n": []})
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, region_mb: float, tagged: bool) -> tuple[DataFrame, DataFrame]:
