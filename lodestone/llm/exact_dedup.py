@@ -61,11 +61,14 @@ class PerfectHash:
                 out[b] = -free - 1
                 continue
             d = 0
-            while True:
-                at = cls._at(rows, np.full(len(rows), d), n)
-                if len(set(at.tolist())) == len(at) and not taken[at].any():
+            while True:  # a block of displacements at a time
+                at = np.sort(cls._at(rows[None], np.arange(d, d + 64)[:, None], n), axis=1)
+                good = ~taken[at].any(1) & (np.diff(at, axis=1) > 0).all(1)
+                if good.any():
+                    d += int(good.argmax())
+                    at = at[d % 64]
                     break
-                d += 1
+                d += 64
             taken[at] = True
             out[b] = d
         return cls(out, n)
@@ -73,7 +76,7 @@ class PerfectHash:
     @staticmethod
     def _at(rows: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (_mix(rows[:, 2] + rows[:, 3] * d.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+            return (_mix(rows[..., 2] + rows[..., 3] * d.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
     def slot_of(self, keys: np.ndarray) -> np.ndarray:
         d = self.displacements[(keys[:, 1] % np.uint64(len(self.displacements))).astype(np.int64)]
