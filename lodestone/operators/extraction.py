@@ -42,7 +42,7 @@ def validate(payloads: DataFrame, raw: str = "payload") -> DataFrame:
         "ai_tech_stack": F.expr(f"CASE WHEN startswith({j('inferred_tech_stack')}, '[') THEN {string_list(array('inferred_tech_stack'))} END"),
         "ai_hiring": F.expr(boolean(j("hiring_signals"))),
         "ai_revenue": F.expr(f"CASE WHEN lower(trim({j('estimated_revenue_signal')})) IN ('low', 'medium', 'high') THEN lower(trim({j('estimated_revenue_signal')})) END"),
-        "ai_score": F.expr(f"CASE WHEN isnan(try_cast({j('score')} AS double)) THEN 1D ELSE greatest(0D, least(1D, try_cast({j('score')} AS double))) END"), "ai_confidence": F.expr(level(j("confidence_level"))),
+        "ai_score": F.expr(f"CASE WHEN try_cast({j('score')} AS double) IS NULL THEN NULL WHEN isnan(try_cast({j('score')} AS double)) THEN 1D ELSE greatest(0D, least(1D, try_cast({j('score')} AS double))) END"), "ai_confidence": F.expr(level(j("confidence_level"))),
         "ai_observed": F.expr(clean_list(f"coalesce({array(attributes + 'observed_signals')}, cast(array() AS array<string>))", 6)),
         "opp_": F.expr(opportunities(f"coalesce({array(attributes + 'inferred_opportunities')}, cast(array() AS array<string>))")),
         "pain_": F.expr(opportunities(f"coalesce({array(attributes + 'pain_points_detected')}, cast(array() AS array<string>))")),
