@@ -218,12 +218,12 @@ SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id % 4 = 0 THEN n.name ELSE o.nam
 
 
 def backfill_anti_join(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 150000").selectExpr("o_custkey AS id")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 450000").selectExpr("o_custkey AS id")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS segment")
     return upsert.backfill(orders, customers, ["id"])
 
 
-BACKFILL = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)"
+BACKFILL = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)"
 
 
 def contacts_unpivot(spark, sf_dir):
