@@ -27,10 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Written with Spark's committer, so retried and speculative tasks leave whole files only.
+    Written with Spark's committer, so retried and speculative tasks leave whole files only. All tables of an application
+    lie in one folder of its own, which can go once its results are written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
