@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import quoted, strings
+from ..functions.text import quoted
 from .features import clean_list, opportunities
 
 #: Fixed values.
@@ -91,4 +91,29 @@ def extraction_prompt(persona: str, pack: str, text: str) -> str:
     return f"concat({quoted('Perfil: ')}, {persona}, '\\n', CASE WHEN {pack} IS NOT NULL THEN substring({pack}, 1, {PACK_LIMIT}) ELSE substring({text}, 1, {TEXT_LIMIT}) END)"
 
 
-__all__ = ["boolean", "extraction_prompt", "level", "plan_key", "search_plan", "string_list", "strings", "usage_cost", "validate", "with_payloads"]
+
+#: Fields of the evidence pack that a model is shown beside the domain and the summary text.
+EVIDENCE = [
+    "title", "description", "location", "raw_location_text", "city", "region", "country", "postal_code", "validated_location", "location_match_status", "detected_language", "language_match_status", "primary_identity_type",
+    "primary_identity_url", "primary_cta", "booking_url", "pricing_page_url", "social_profiles", "social_profile", "contact_channels", "contact_consistency_status", "primary_email_confidence", "primary_phone_confidence",
+    "primary_contact_source", "heuristic_score", "heuristic_confidence", "observed_signals", "inferred_opportunities", "inferred_tech_stack", "inferred_niche", "taxonomy_top_level", "taxonomy_business_type", "entity_type_detected",
+    "entity_type_confidence", "is_target_entity", "acceptance_decision", "observed_business_model", "business_model_fit_status", "service_keywords",
+]
+PACK_TEXT = 1800
+
+
+def evidence_pack(df: DataFrame) -> DataFrame:
+    """Adds evidence_pack, JSON of the fields at hand; null fields stay in it as null."""
+    have = [c for c in EVIDENCE if c in df.columns]
+    text = f"substring(trim(regexp_replace(clean_text, '\\\\s+', ' ')), 1, {PACK_TEXT})"
+    parts = ["'domain', domain", f"'summary_text', {text}", *(f"'{c}', {c}" for c in have)]
+    return df.withColumn("evidence_pack", F.expr(f"to_json(named_struct({', '.join(parts)}), map('ignoreNullFields', 'false'))"))
+
+
+def trace(df: DataFrame, provider: str, version: str) -> DataFrame:
+    """Adds ai_trace: which method scored a page and why, with usage where columns for it are there. Pages the gate held back are skipped."""
+    usage = {"latency_ms": "bigint", "prompt_tokens": "bigint", "completion_tokens": "bigint", "total_tokens": "bigint", "estimated_cost_usd": "double", "cache_hit": "boolean", "error_type": "string", "retryable": "boolean", "message": "string"}
+    kept = [f"'{c}', {c if c in df.columns else f'cast(NULL AS {t})'}" for c, t in usage.items()]
+    status = "CASE WHEN ai_gate <> 'ai_required' THEN 'skipped' WHEN selected_method = 'ai' THEN 'success' ELSE 'fallback' END"
+    method = "CASE WHEN selected_method = 'ai' THEN 'model' ELSE 'heuristic' END"
+    return df.withColumn("ai_trace", F.expr(f"named_struct('provider', {quoted(provider)}, 'prompt_version', {quoted(version)}, 'status', {status}, 'selected_method', selected_method, 'evaluation_method', {method}, 'fallback_reason', fallback_reason, {', '.join(kept)})"))

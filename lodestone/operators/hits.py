@@ -176,3 +176,15 @@ def expand_seeds(hits: DataFrame, anchors: DataFrame, allow_social: bool = False
     plain = marked.where("seed_source_type IS NULL").selectExpr(*others, "url", "title", "snippet", "score", "reasons", "discovery_confidence", "cast(NULL AS string) AS seed_source_url", "seed_source_type")
     gone = seeds.selectExpr("url", "concat('excluded_as_directory_seed:', seed_source_type) AS reason", "title", "snippet")
     return plain.unionByName(resolved), gone
+
+
+#: What a result keeps of its discovery.
+METADATA = ["source_query", "serp_position", "title", "snippet", "discovery_confidence", "business_likeness_score", "website_result_score", "social_profile_score", "result_kind", "discovery_reasons", "seed_source_url", "seed_source_type"]
+
+
+def discovery_metadata(hits: DataFrame, queries: str = "queries") -> DataFrame:
+    """Adds discovery, a struct of a hit's discovery with all queries of its job; fields without a column are null."""
+    names = {"source_query": "query", "serp_position": "position", "business_likeness_score": "score", "discovery_reasons": "reasons"}
+    have = [(f, names.get(f, f)) for f in METADATA]
+    parts = [f"'{f}', {c if c in hits.columns else 'NULL'}" for f, c in have] + [f"'queries', {queries if queries in hits.columns else 'cast(array() AS array<string>)'}"]
+    return hits.withColumn("discovery", F.expr(f"named_struct({', '.join(parts)})"))

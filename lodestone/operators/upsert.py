@@ -100,3 +100,19 @@ def pages(prospects: DataFrame, key: str = "prospect_id") -> DataFrame:
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Last row of each key in a total order."""
     return rows.withColumn("n_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("n_ = 1").drop("n_")
+
+
+def skipped_counter(found: str = "total_found", saved: str = "total_saved") -> str:
+    """Candidates found and not saved, never negative."""
+    return f"greatest(coalesce({found}, 0) - coalesce({saved}, 0), 0)"
+
+
+def fill_defaults(df: DataFrame) -> DataFrame:
+    """Rows from before a column was there: quality accepted, identity by domain."""
+    fills = {"quality_status": "coalesce(quality_status, 'accepted')", "canonical_identity": "coalesce(canonical_identity, domain)"}
+    return df.withColumns({c: F.expr(e) for c, e in fills.items() if c in df.columns})
+
+
+def append_logs(logs: DataFrame, path: str) -> None:
+    """Log rows are only ever added."""
+    logs.write.mode("append").parquet(path)

@@ -19,6 +19,18 @@ CRITERIA = {
 }
 
 
+def job_context(jobs: DataFrame) -> DataFrame:
+    """Query parameters of jobs: criteria, the profile inside filters_json, targets, and names of sources as they are stored."""
+    profile = lambda k: F.get_json_object("filters_json", f"$.discovery_profile.{k}")
+    listed = lambda k: F.from_json(profile(k), "array<string>").alias(k)
+    number = lambda k: F.expr(f"try_cast(get_json_object(filters_json, '$.{k}') AS int)").alias(k)
+    plain = ["workspace_id", "user_profession", "user_technologies", "user_value_proposition", "user_past_successes", "user_roi_metrics", "target_niche", "target_location", "target_language", "target_company_size", "target_pain_points", "target_budget_signals"]
+    return jobs.select(
+        F.col("id").alias("job_id"), *(c for c in plain if c in jobs.columns), listed("user_service_offers"), listed("user_service_constraints"), profile("user_target_offer_focus").alias("user_target_offer_focus"), profile("user_ticket_size").alias("user_ticket_size"),
+        F.expr(upsert.source_type("source_type")).alias("source_type"), number("target_accepted_results"), number("max_candidates_to_process"),
+    )
+
+
 def with_criteria(pages: DataFrame, criteria: dict | None = None) -> DataFrame:
     """Adds a job's criteria as literals; missing ones are null."""
     given = criteria or {}

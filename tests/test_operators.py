@@ -254,3 +254,25 @@ def test_taxonomy_and_entity_ties(spark):
     assert entity.folded(["asociacion", "asociación"]) == ["asociacion", "asociacion"]
     r = one(spark, features.opportunities("array('- Mejorar X.', 'podria Y', 'mejorar x')"), features.clean_list("array('1) a', 'A', ' ', 'b')", 5))
     assert r["c0"] == ["Posible oportunidad: mejorar X", "podria Y"] and r["c1"] == ["a", "b"]
+
+
+def test_job_context_and_traces(spark, pages):
+    filters = json.dumps({"target_accepted_results": 5, "discovery_profile": {"user_service_offers": ["a", "b"], "user_ticket_size": "alto"}})
+    row = spark.createDataFrame([(1, "dental", filters, "ddg")], "id int, target_niche string, filters_json string, source_type string")
+    c = pipeline.job_context(row).first()
+    assert (c["target_accepted_results"], c["user_service_offers"], c["user_ticket_size"], c["source_type"], c["max_candidates_to_process"]) == (5, ["a", "b"], "alto", "duckduckgo_search", None)
+    df = extraction.trace(extraction.evidence_pack(pipeline.prospects(pages.where("page_id = 1"))), "p", "v1")
+    r = df.select("evidence_pack", "ai_trace").first()
+    assert json.loads(r["evidence_pack"])["domain"] == "clinica.es" and r["ai_trace"]["status"] in ("skipped", "fallback")
+    assert one(spark, upsert.skipped_counter("3", "5"))["c0"] == 0
+    hit = hits.discovery_metadata(spark.createDataFrame([("u", "q", 1)], "url string, query string, position int")).first()
+    assert hit["discovery"]["source_query"] == "q" and hit["discovery"]["title"] is None
+
+
+def test_schemas(spark):
+    from lodestone import schemas
+
+    for ddl in schemas.TABLES.values():
+        spark.createDataFrame([], ddl)
+    rows = spark.createDataFrame([(1, 2, "accepted"), (1, None, "accepted"), (1, 3, "odd")], "job_id int, prospect_id int, quality_status string")
+    assert schemas.invalid(rows, "job_prospects").count() == 2
