@@ -80,15 +80,18 @@ def collapse(column: str) -> str:
 
 def lower_padded(column: str) -> str:
     """Lower case, collapsed, a blank at each end; one blank if nothing is left. Accents stay."""
-    inner = f"lower({collapse(column)})"
-    return f"CASE WHEN {inner} = '' THEN ' ' ELSE concat(' ', {inner}, ' ') END"
+    return let("low", f"lower({collapse(column)})", "CASE WHEN low = '' THEN ' ' ELSE concat(' ', low, ' ') END")
+
+
+def let(name: str, value: str, body: str) -> str:
+    """body with name bound to value, so that a long value is computed once however often body names it."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def best_of(scores: dict[str, str], least: str) -> str:
     """Name of the greatest score if it is over least; the first name wins ties."""
-    top = f"greatest({', '.join(scores.values())})" if len(scores) > 1 else next(iter(scores.values()))
-    whens = " ".join(f"WHEN {s} = {top} THEN {quoted(n)}" for n, s in scores.items())
-    return f"CASE WHEN {top} > {least} THEN CASE {whens} END END"
+    ranked = "array_max(array(" + ", ".join(f"named_struct('s', {s}, 'o', {-i}, 'n', {quoted(n)})" for i, (n, s) in enumerate(scores.items())) + "))"
+    return let("best", ranked, f"CASE WHEN best.s > {least} THEN best.n END")
 
 
 def even(value: str, digits: int) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_in, ascii_fold, best_of, collapse, even, fold_padded, occurrences, quoted, strings
+from ..functions.text import any_in, ascii_fold, best_of, collapse, even, fold_padded, let, occurrences, quoted, strings
 from ..rules import features as rules
 
 #: Fixed values.
@@ -49,17 +49,17 @@ MOST_SIGNALS, MOST_OPPORTUNITIES = 6, 5
 
 
 def technologies(html: str) -> str:
-    low = f"lower({html})"
-    return "array_compact(array(" + ", ".join(f"CASE WHEN {any_in(low, signs)} THEN {quoted(name)} END" for name, signs in rules.TECHNOLOGIES.items()) + "))"
+    listed = "array_compact(array(" + ", ".join(f"CASE WHEN {any_in('page_l', signs)} THEN {quoted(name)} END" for name, signs in rules.TECHNOLOGIES.items()) + "))"
+    return let("page_l", f"lower({html})", listed)
 
 
 def hiring(text: str, links: str) -> str:
-    return f"({any_in(f'lower({text})', HIRING_PHRASES)} OR exists({links}, l -> {any_in('lower(l)', HIRING_LINKS)}))"
+    return f"({let('text_l', f'lower({text})', any_in('text_l', HIRING_PHRASES))} OR exists({links}, l -> {any_in('lower(l)', HIRING_LINKS)}))"
 
 
 def language_hint(folded: str, languages: dict[str, list[str]] = rules.LANGUAGES) -> str:
     """Language with most occurrences of its hint words if they are more than one."""
-    return best_of({name: occurrences(folded, hints) for name, hints in languages.items()}, "1")
+    return let("hint_f", folded, best_of({name: occurrences("hint_f", hints) for name, hints in languages.items()}, "1"))
 
 
 def keywords(value: str) -> str:

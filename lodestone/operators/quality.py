@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import any_in, best_of, even, fold_trimmed, lower_padded, occurrences, quoted, strings
+from ..functions.text import any_in, best_of, even, fold_trimmed, let, lower_padded, occurrences, quoted, strings
 from ..rules import countries as geo
 from ..rules import quality as rules
 
@@ -21,8 +21,7 @@ DIRECTORIES, MEDIA, ARTICLES = ["directory", "aggregator", "marketplace"], ["med
 
 def detect_language(text: str, html_lang: str = "cast(NULL AS string)", locale: str = "cast(NULL AS string)", languages: dict = rules.LANGUAGES) -> str:
     """Declared language, else locale, else the language with most hint words if more than one. Accents count."""
-    padded = lower_padded(text)
-    counted = best_of({name: occurrences(padded, hints) for name, hints in languages.items()}, "1")
+    counted = let("padded", lower_padded(text), best_of({name: occurrences("padded", hints) for name, hints in languages.items()}, "1"))
     declared = f"nullif(lower(trim({html_lang})), '')"
     local = f"nullif(lower(trim({locale})), '')"
     return f"coalesce(split({declared}, '-')[0], split(split({local}, '_')[0], '-')[0], {counted})"
@@ -53,24 +52,22 @@ def country_aliases() -> list[tuple[str, str]]:
 
 def country_of(text: str) -> str:
     """Country named by a text: the whole text as alias or code, else the longest alias inside it."""
-    folded = fold_trimmed(text)
     aliases = country_aliases()
-    exact = f"element_at(map({', '.join(f'{quoted(a)}, {quoted(n)}' for a, n in aliases)}), {folded})"
-    inside = " ".join(f"WHEN contains(concat(' ', {folded}, ' '), {quoted(f' {a} ')}) THEN {quoted(n)}" for a, n in aliases if len(a) > 2)
-    return f"coalesce({exact}, CASE {inside} END)"
+    exact = "CASE place " + " ".join(f"WHEN {quoted(f' {a} ')} THEN {quoted(n)}" for a, n in aliases) + " END"
+    inside = "CASE " + " ".join(f"WHEN contains(place, {quoted(f' {a} ')}) THEN {quoted(n)}" for a, n in aliases if len(a) > 2) + " END"
+    return let("place", f"concat(' ', {fold_trimmed(text)}, ' ')", f"coalesce({exact}, {inside})")
 
 
 def country_rule(target: str) -> str:
     """Key of the country that a target names, by alias or code."""
-    folded = fold_trimmed(target)
-    whens = " ".join(f"WHEN {folded} IN ({', '.join(quoted(x) for x in dict.fromkeys(_fold(a) for a in [*targets, *codes]))}) THEN {quoted(key)}" for key, _, targets, codes, _, _, _ in geo.COUNTRIES)
-    return f"CASE {whens} END"
+    whens = " ".join(f"WHEN target_f IN ({', '.join(quoted(x) for x in dict.fromkeys(_fold(a) for a in [*targets, *codes]))}) THEN {quoted(key)}" for key, _, targets, codes, _, _, _ in geo.COUNTRIES)
+    return let("target_f", fold_trimmed(target), f"CASE {whens} END")
 
 
 def same_country(text: str, country: str) -> str:
     """Whether a text is a name or code of the country."""
-    whens = " ".join(f"WHEN {quoted(_fold(name))} THEN {fold_trimmed(text)} IN ({', '.join(quoted(x) for x in dict.fromkeys(_fold(a) for a in [key, name, *targets, *codes]))})" for key, name, targets, codes, _, _, _ in geo.COUNTRIES)
-    return f"coalesce(CASE {fold_trimmed(country)} {whens} END, false)"
+    whens = " ".join(f"WHEN {quoted(_fold(name))} THEN name_f IN ({', '.join(quoted(x) for x in dict.fromkeys(_fold(a) for a in [key, name, *targets, *codes]))})" for key, name, targets, codes, _, _, _ in geo.COUNTRIES)
+    return let("name_f", fold_trimmed(text), f"coalesce(CASE {fold_trimmed(country)} {whens} END, false)")
 
 
 def sanitize(text: str) -> str:
@@ -84,14 +81,14 @@ def postal(text: str) -> str:
 
 
 def _noise(c: str) -> str:
-    f = fold_trimmed(c)
+    f = "noise_f"
     letters = f"{c} rlike '[A-Za-zÁÉÍÓÚáéíóúÑñ]'"
-    return f"({f} = '' OR contains({c}, '@') OR startswith(lower({c}), 'http://') OR startswith(lower({c}), 'https://') OR startswith(lower({c}), 'www.') OR {any_in(f, rules.LOCATION_NOISE)} OR (length(regexp_replace({c}, '[^0-9]', '')) >= 8 AND NOT {letters}))"
+    tests = f"({f} = '' OR contains({c}, '@') OR startswith(lower({c}), 'http://') OR startswith(lower({c}), 'https://') OR startswith(lower({c}), 'www.') OR {any_in(f, rules.LOCATION_NOISE)} OR (length(regexp_replace({c}, '[^0-9]', '')) >= 8 AND NOT {letters}))"
+    return let("noise_f", fold_trimmed(c), tests)
 
 
 def _street(c: str) -> str:
-    f = fold_trimmed(c)
-    return f"({f} <> '' AND ({' OR '.join(f'contains(concat({quoted(chr(32))}, {f}, {quoted(chr(32))}), {quoted(f" {h} ")})' for h in rules.STREETS)}))"
+    return let("street_f", f"concat(' ', {fold_trimmed(c)}, ' ')", any_in("street_f", [f" {h} " for h in rules.STREETS]))
 
 
 def parse_location(df: DataFrame, text: str, prefix: str) -> DataFrame:
@@ -236,9 +233,11 @@ def service_keywords(rows: DataFrame, key: str, text: str, most: int = 5, stopwo
 def keywords_of(text: str, most: int = 5, stopwords: list[str] = rules.STOPWORDS) -> str:
     """The same as one array per row, without a shuffle."""
     tokens = f"filter(regexp_extract_all(lower({text}), '[a-zA-ZáéíóúñÁÉÍÓÚÑ]{{4,}}', 0), t -> NOT array_contains({strings(stopwords)}, t))"
-    # equal words stand together once sorted, so run lengths are counts
-    runs = f"aggregate(array_sort({tokens}), cast(array() AS array<struct<n:int,t:string>>), (a, t) -> CASE WHEN try_element_at(a, -1).t = t THEN concat(slice(a, 1, size(a) - 1), array(named_struct('n', try_element_at(a, -1).n - 1, 't', t))) ELSE concat(a, array(named_struct('n', -1, 't', t))) END)"
-    return f"transform(slice(array_sort({runs}), 1, {most}), x -> x.t)"
+    # equal words stand together once sorted, so the distances between the ends of runs are counts
+    ends = "filter(sequence(0, size(words) - 1), i -> i = size(words) - 1 OR words[i] <> words[i + 1])"
+    counted = "array_sort(transform(ends, (x, k) -> named_struct('n', CASE WHEN k = 0 THEN -1 ELSE ends[k - 1] END - x, 't', words[x])))"
+    top = f"transform(slice({counted}, 1, {most}), c -> c.t)"
+    return let("words", f"array_sort({tokens})", f"CASE WHEN size(words) = 0 THEN cast(array() AS array<string>) ELSE {let('ends', ends, top)} END")
 
 
 # ---- business model and decisions ----
@@ -338,7 +337,7 @@ def evaluate(df: DataFrame) -> DataFrame:
     text = "lower(concat_ws(' ', substring(clean_text, 1, 2400), coalesce(title, ''), coalesce(description, ''), array_join(slice(internal_links, 1, 8), ' '), coalesce(website_url, '')))"
     df = df.withColumns({
         "detected_language": F.expr(detect_language("clean_text", "html_lang", "meta_locale")), "company_size_signal": F.expr(company_size()), "service_keywords": F.expr(keywords_of("clean_text")),
-        "target_business_models": F.expr(target_models("target_niche", "user_target_offer_focus")), "observed_business_model": F.expr(observed_model(text, "entity_type_detected")),
+        "target_business_models": F.expr(target_models("target_niche", "user_target_offer_focus")), "observed_business_model": F.expr(let("model_text", text, observed_model("model_text", "entity_type_detected"))),
         "has_target_location": F.expr("coalesce(trim(target_location), '') <> ''"),
     })
     df = df.withColumns({"language_match_status": F.expr(language_match("target_language", "detected_language")), "business_model_fit_status": F.expr(model_fit("target_business_models", "observed_business_model"))})
