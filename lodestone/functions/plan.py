@@ -12,3 +12,9 @@ def barrier(df: DataFrame) -> DataFrame:
     Long chains of rules otherwise get copied into every place that names their result, and planning time explodes.
     """
     return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
+def shared(df: DataFrame, key: str) -> DataFrame:
+    """The same rows dealt by key, in an exchange that several uses in one plan read: no use can prune its columns."""
+    packed = df.select(key, F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("row_"))
+    return packed.repartition(key).select(F.inline("row_"))

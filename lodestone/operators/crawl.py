@@ -33,7 +33,7 @@ def merge(parts: DataFrame, key: str, ordinal: str) -> DataFrame:
 
     parts: key, ordinal and the columns of parse(). An aggregate over (ordinal, value) pairs, so partial results combine.
     """
-    held = F.expr(f"array_sort(collect_list(struct({ordinal} AS o_, " + ", ".join([*LISTS, *TEXTS, "form_detected", "invalid_phone_candidates_count", "phone_validation_rejections", "social_profile", "clean_text", "page_type"]) + ")))")
+    held = F.expr(f"array_sort(collect_list(struct({ordinal} AS o_, " + ", ".join([*LISTS, *TEXTS, "form_detected", "url", "invalid_phone_candidates_count", "phone_validation_rejections", "social_profile", "clean_text", "page_type"]) + ")))")
     # maps can't be sorted, so they travel as entries
     parts = parts.withColumn("phone_validation_rejections", F.expr("map_entries(phone_validation_rejections)"))
     df = parts.groupBy(key).agg(held.alias("p"))
@@ -48,6 +48,7 @@ def merge(parts: DataFrame, key: str, ordinal: str) -> DataFrame:
         F.expr("try_element_at(filter(transform(p, x -> x.social_profile), v -> v IS NOT NULL), -1)").alias("social_profile"),
         F.expr("array_join(transform(filter(p, x -> x.clean_text <> ''), x -> concat('[', upper(coalesce(x.page_type, 'other')), '] ', substring(x.clean_text, 1, " + str(PAGE_TEXT) + "))), '\\n\\n')").alias("crawl_text"),
         F.expr("size(p)").alias("pages_crawled"),
+        F.expr("transform(p, x -> named_struct('url', x.url, 'page_type', x.page_type))").alias("crawled_pages"),
     )
 
 
@@ -60,13 +61,36 @@ def stop_when_enough(parts: DataFrame, key: str, ordinal: str) -> DataFrame:
     return parts.withColumn("enough_", contact * place * call).where("enough_ = 0").drop("enough_")
 
 
-def crawl(roots: DataFrame, pages: DataFrame) -> DataFrame:
-    """Merged metadata of the key pages of every root page: self-join of internal links with the pages at hand."""
-    links = roots.select(F.col("url").alias("root"), F.explode("internal_links").alias("url"))
-    found = key_links(links).join(pages, "url")
+def crawl(roots: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
+    """Merged metadata of the key pages of every root page: self-join of internal links with the pages at hand.
+
+    Of pages with one URL the least page_id counts. Only narrow rows meet by URL; metadata joins by page_id.
+    """
+    links = key_links(roots.select(F.col(key).alias("root"), F.explode("internal_links").alias("url")))
+    at_hand = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    texts = pages.drop("url").withColumn("clean_text", F.substring("clean_text", 1, PAGE_TEXT))
+    found = links.join(at_hand, "url").join(texts, "page_id")
     return merge(stop_when_enough(found, "root", "crawl_rank"), "root", "crawl_rank")
 
 
+def with_key_pages(roots: DataFrame, pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Root pages merged with their key pages, root first; adds crawled_pages. Social profiles stay as they are."""
+    found = crawl(roots.where("primary_identity_type <> 'social_profile'"), pages, key)
+    df = roots.join(found.select(F.col("root").alias(key), F.struct(*found.drop("root").columns).alias("k_")), key, "left")
+    merged = {c: f"array_distinct(concat(coalesce({c}, array()), coalesce(k_.{c}, array())))" for c in LISTS}
+    merged |= {c: f"coalesce(nullif({c}, ''), k_.{c}, {c})" for c in TEXTS}
+    merged |= {
+        "form_detected": "form_detected OR k_.form_detected",
+        "invalid_phone_candidates_count": "invalid_phone_candidates_count + k_.invalid_phone_candidates_count",
+        "phone_validation_rejections": "map_zip_with(phone_validation_rejections, k_.phone_validation_rejections, (k, a, b) -> coalesce(a, 0) + coalesce(b, 0))",
+        "social_profile": "coalesce(k_.social_profile, social_profile)",
+        "social_links_count": "size(array_distinct(concat(social_links, k_.social_links)))",
+        "clean_text": "CASE WHEN k_.crawl_text <> '' THEN concat(clean_text, '\\n\\n', k_.crawl_text) ELSE clean_text END",
+    }
+    crawled = F.expr("coalesce(k_.crawled_pages, cast(array() AS array<struct<url:string,page_type:string>>))")
+    return df.withColumns({c: F.expr(f"CASE WHEN k_ IS NULL THEN {c} ELSE {e} END") for c, e in merged.items()} | {"crawled_pages": crawled}).drop("k_")
+
+
 def identity(page: DataFrame) -> DataFrame:
     """Adds canonical_identity, domain, website_url and contact_page_url to pages with metadata."""
     social = "primary_identity_type = 'social_profile'"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.plan import barrier
+from ..functions.plan import barrier, shared
 from ..operators import crawl, entity, extraction, features, kpi, quality, scoring, upsert
 from ..operators.parse import parse
 from ..sources.html import read_pages
@@ -43,9 +43,9 @@ def with_criteria(pages: DataFrame, criteria: dict | None = None) -> DataFrame:
 
 
 def metadata(pages: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """Metadata of pages(page_id, url, html) with the raw HTML, identity and what discovery said of the URL."""
-    parsed = crawl.identity(parse(read_pages(pages)))
-    rows = parsed.join(pages.select("page_id", "html"), "page_id")
+    """Metadata of pages(page_id, url, html) merged with their key pages', with the raw HTML, identity and what discovery said of the URL."""
+    parsed = shared(parse(read_pages(pages)), "page_id")
+    rows = crawl.identity(barrier(crawl.with_key_pages(parsed, parsed))).join(pages.select("page_id", "html"), "page_id")
     if hits is None:
         return rows.withColumns({"discovery_title": F.lit(None).cast("string"), "discovery_snippet": F.lit(None).cast("string")})
     found = hits.select("url", F.col("title").alias("discovery_title"), F.col("snippet").alias("discovery_snippet"))
@@ -75,7 +75,7 @@ def prospects(pages: DataFrame, criteria: dict | None = None, hits: DataFrame |
 
 def sinks(rows: DataFrame, run_ts) -> dict[str, DataFrame]:
     """Rows of the persistent tables out of scored pages; run_ts stands for the clock."""
-    one = upsert.latest(rows, ["canonical_identity"], [F.desc("page_id")]).withColumn("prospect_id", F.xxhash64("canonical_identity")).withColumn("crawled_pages", F.expr("cast(array() AS array<struct<url:string,page_type:string>>)"))
+    one = upsert.latest(rows, ["canonical_identity"], [F.desc("page_id")]).withColumn("prospect_id", F.xxhash64("canonical_identity"))
     stamp = lambda df: df.withColumns({"created_at": F.lit(run_ts), "updated_at": F.lit(run_ts)})
     contact = one.withColumns({"email": F.col("primary_email"), "phone": F.col("primary_phone")})
     return {
