@@ -369,7 +369,8 @@ GEO_COUNTRY = _geo_sql()
 
 
 def location_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(i, p) for i, p in enumerate(_PLACES)], "id bigint, place string")
+    fixed = spark.createDataFrame([(-i - 1, p) for i, p in enumerate(_PLACES)], "id bigint, place string")
+    rows = fixed.unionByName(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("place")))
     df = quality.parse_location(rows, "place", "l_")
     return df.select("id", "l_raw", "l_country", "l_postal", "l_city", "l_region", F.expr(quality.format_location("l_city", "l_region", "l_country", "l_postal")).alias("formatted"))
 
