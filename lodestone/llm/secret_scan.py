@@ -1,12 +1,13 @@
 """Secret scan in DataFrame functions only: fixed rules, and character Markov models of random strings.
 
-Rules find assignments, access keys and long hexadecimal runs. Beyond them, every run of KEY characters that is long enough
-and mixes letters and digits is scored by two first-order character models, one of random strings and one of
-ordinary identifiers: the mean log-likelihood ratio of its transitions. At MARGIN or more it is a secret, unless a rule's
-span already covers part of it. The models are counted from labelled samples with add-one smoothing.
+Rules find assignments, access keys and long hexadecimal runs. Outside their spans, every run of 16 or more key characters,
+whatever its mix, is scored by two first-order character models, one of random strings and one of ordinary identifiers:
+the log-likelihood ratio of its transitions. With a mean of at least MARGIN and a sum of at least EVIDENCE it is a secret.
+The models are counted from labelled samples with add-one smoothing.
 
 Positions are code points with the end exclusive. They come from splitting the text at the matches: a match begins after all
-gaps and matches before it.
+gaps and matches before it. Running sums take doubling steps and texts are rebuilt from blocks, so time grows with
+n log n in the number of matches and linearly in the text.
 
 Cases: null and empty texts have no spans; matches that fail their length are dropped after matching, as a match
 consumes its text either way; null and repeated ids keep their rows; extra columns are ignored.
@@ -36,8 +37,10 @@ LONG = {"hex": r"(?<![0-9a-f])[0-9a-f]{32,}"}
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-MARGIN = 0.6
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+MARGIN = 0.6  # least mean log-likelihood ratio of a run's transitions
+EVIDENCE = 15.0  # least sum of them: short runs must be clearer than long ones
+BLOCK = 4096  # characters of a block where texts and runs are taken apart
 
 #: Parts of ordinary identifiers for the built-in sample.
 WORDS = (
@@ -94,19 +97,47 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _placed(kind: int, matches: str, gaps: str, keep: str) -> str:
-    """Structs (s, kind, e, m) of the matches that satisfy keep (in terms of i, the match's number)."""
+def _scan_up(values: str, merge: str) -> str:
+    """Running merge of an array, in terms of x (an element) and y (one before it): doubling steps, n log n altogether."""
+    y = "acc[i - shiftleft(1, r)]"
+    step = f"transform(acc, (x, i) -> CASE WHEN i < shiftleft(1, r) THEN x ELSE {merge.replace('y', y)} END)"
+    return f"aggregate(sequence(0, 30), {values}, (acc, r) -> CASE WHEN shiftleft(1, r) >= size(acc) THEN acc ELSE {step} END)"
+
+
+def _placed(df: DataFrame, out: str, kind: int, fields: str, keep: str) -> DataFrame:
+    """Adds the spans of raw_.m (with keep true of match number i); a match ends where all gaps and matches up to it end."""
+    lengths = "transform(raw_.m, (x, i) -> length(raw_.g[i]) + length(x))"
+    df = df.withColumn("ends_", F.expr(f"CASE WHEN size(raw_.m) > 0 THEN {_scan_up(lengths, 'x + y')} END"))
+    kept = f"filter(sequence(0, size(ends_) - 1), i -> {keep})"
+    span = fields.format(s="ends_[i] - length(raw_.m[i])", kind=kind, e="ends_[i]", m="raw_.m[i]")
+    return df.withColumn(out, F.expr(f"CASE WHEN ends_ IS NULL THEN cast(array() AS {_KINDS_OF[fields]}) ELSE transform({kept}, i -> {span}) END")).drop("raw_", "ends_")
+
+
+_SPAN = "named_struct('s', {s}, 'kind', {kind}, 'e', {e})"
+_WITH_MATCH = "named_struct('s', {s}, 'kind', {kind}, 'e', {e}, 'm', {m})"
+_KINDS_OF = {_SPAN: "array<struct<s:int,kind:int,e:int>>", _WITH_MATCH: "array<struct<s:int,kind:int,e:int,m:string>>"}
+
+
+def _cut(a: str, b: str) -> str:
+    """Characters a to b of the text, out of blocks_, so that a piece costs its own length and not its place."""
+    i, j = f"({a}) div {BLOCK}", f"({b}) div {BLOCK}"
     return (
-        f"filter(aggregate(sequence(0, size({matches}) - 1),"
-        f" named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,kind:int,e:int,m:string,ok:boolean>>)),"
-        f" (acc, i) -> named_struct('at', acc.at + length({gaps}[i]) + length({matches}[i]),"
-        f" 'out', concat(acc.out, array(named_struct('s', acc.at + length({gaps}[i]), 'kind', {kind},"
-        f" 'e', acc.at + length({gaps}[i]) + length({matches}[i]), 'm', {matches}[i], 'ok', {keep})))),"
-        f" acc -> acc.out), x -> x.ok)"
+        f"CASE WHEN {b} <= {a} THEN '' WHEN {i} = {j} THEN substring(get(blocks_, cast({i} AS int)), ({a}) % {BLOCK} + 1, {b} - ({a}))"
+        f" ELSE concat(substring(get(blocks_, cast({i} AS int)), ({a}) % {BLOCK} + 1), array_join(slice(blocks_, cast({i} AS int) + 2, cast({j} - {i} AS int) - 1), ''),"
+        f" substring(coalesce(get(blocks_, cast({j} AS int)), ''), 1, ({b}) % {BLOCK})) END"
     )
 
 
-_NONE = "cast(array() AS array<struct<s:int,kind:int,e:int,m:string,ok:boolean>>)"
+def _rebuilt(df: DataFrame, out: str, spans: str, piece: str) -> DataFrame:
+    """Adds the text with its spans rewritten (null without spans). piece: what stands for span number k, in terms of its
+    start s, the greatest end before it (before), and the greatest end up to it (until)."""
+    df = df.withColumn("blocks_", F.expr(f"CASE WHEN size({spans}) > 0 THEN regexp_extract_all(text_, '(?s).{{1,{BLOCK}}}', 0) END"))
+    ends = f"transform({spans}, x -> x.e)"
+    df = df.withColumn("until_", F.expr(f"CASE WHEN size({spans}) > 0 THEN {_scan_up(ends, 'greatest(x, y)')} END"))
+    before = "CASE WHEN k = 0 THEN 0 ELSE until_[k - 1] END"
+    parts = f"transform(sequence(0, size(until_) - 1), k -> {piece.format(s=f'{spans}[k].s', before=f'({before})', until='until_[k]')})"
+    rest = _cut("element_at(until_, -1)", "length(text_)")
+    return df.withColumn(out, F.expr(f"CASE WHEN until_ IS NOT NULL THEN concat(array_join({parts}, ''), {rest}) END")).drop("blocks_", "until_")
 
 
 def _rule_spans(df: DataFrame) -> DataFrame:
@@ -115,35 +146,37 @@ def _rule_spans(df: DataFrame) -> DataFrame:
         p = _quoted(LONG.get(kind, pattern))
         needed = f"contains(text_, 'AKIA') AND text_ rlike {_quoted(NEEDED[kind])}" if kind == "access" else f"text_ rlike {_quoted(NEEDED[kind])}"
         df = df.withColumn("raw_", F.expr(f"CASE WHEN {needed} THEN named_struct('m', regexp_extract_all(text_, {p}, 0), 'v', regexp_extract_all(text_, {p}, {group}), 'g', split(text_, {p}, -1)) END"))
-        placed = _placed(number, "raw_.m", "raw_.g", f"length(raw_.v[i]) >= {least}")
-        df = df.withColumn(f"spans_{kind}", F.expr(f"CASE WHEN raw_ IS NULL OR size(raw_.m) = 0 THEN {_NONE} ELSE {placed} END")).drop("raw_")
+        df = _placed(df, f"spans_{kind}", number, _SPAN, f"length(raw_.v[i]) >= {least}")
     return df
 
 
-def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, evidence: float = EVIDENCE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
     names = "array(" + ",".join(f"'{x}'" for x in KINDS) + ")"
     joined = lambda c: f"array_join(transform({c}, x -> concat({names}[x.kind], ':', x.s, ':', x.e)), ',')"
-    return find_spans(rows, ratios, margin).selectExpr(
+    return find_spans(rows, ratios, margin, evidence).selectExpr(
         "doc_id", "cast(size(spans_assign) AS bigint) AS n_assign", "cast(size(spans_access) AS bigint) AS n_access", "cast(size(spans_hex) AS bigint) AS n_hex",
         "cast(size(random_) AS bigint) AS n_random", f"sha2({joined('base_')}, 256) AS base_sha256", f"{joined('all_')} AS spans",
     )
 
 
-def find_spans(df: DataFrame, ratios: list[float], margin: float = MARGIN) -> DataFrame:
+def find_spans(df: DataFrame, ratios: list[float], margin: float = MARGIN, evidence: float = EVIDENCE) -> DataFrame:
     """Adds arrays of spans over column text_: spans_assign, spans_access, spans_hex, base_ (these in order), random_ and all_."""
     k = len(ALPHABET)
     df = _rule_spans(df).withColumn("base_", F.expr("array_sort(concat(spans_assign, spans_access, spans_hex))"))
+    # rule spans are blanked, so what is left of a run that a rule covers in part is a run of its own
+    blank = "concat(" + _cut("{before}", "{s}") + ", repeat(' ', {until} - greatest({before}, {s})))"
+    df = _rebuilt(df, "masked_", "base_", blank).withColumn("masked_", F.coalesce("masked_", "text_"))
     p = _quoted(CANDIDATE)
-    df = df.withColumn("raw_", F.expr(f"CASE WHEN text_ rlike {p} THEN named_struct('m', regexp_extract_all(text_, {p}, 0), 'g', split(text_, {p}, -1)) END"))
-    placed = _placed(3, "raw_.m", "raw_.g", "raw_.m[i] rlike '[0-9]' AND raw_.m[i] rlike '[A-Za-z]'")
-    df = df.withColumn("cand_", F.expr(f"CASE WHEN raw_ IS NULL OR size(raw_.m) = 0 THEN {_NONE} ELSE {placed} END")).drop("raw_")
-    df = df.withColumn("cand_", F.expr("filter(cand_, c -> NOT exists(base_, b -> b.s < c.e AND c.s < b.e))"))
+    df = df.withColumn("raw_", F.expr(f"CASE WHEN masked_ rlike {p} THEN named_struct('m', regexp_extract_all(masked_, {p}, 0), 'g', split(masked_, {p}, -1)) END")).drop("masked_")
+    df = _placed(df, "cand_", len(RULES), _WITH_MATCH, "true")
     table = "array(" + ",".join(f"{x}D" for x in ratios) + ")"
-    step = f"element_at({table}, (instr('{ALPHABET}', substring(c.m, i, 1)) - 1) * {k} + instr('{ALPHABET}', substring(c.m, i + 1, 1)))"
-    mean = f"aggregate(sequence(1, length(c.m) - 1), 0.0D, (acc, i) -> acc + {step}) / (length(c.m) - 1)"
-    df = df.withColumn("random_", F.expr(f"filter(cand_, c -> {mean} >= {margin}D)"))
+    here = f"instr('{ALPHABET}', ch)"
+    # character by character, a block at a time, with the last one carried along
+    step = f"named_struct('p', {here}, 't', a.t + CASE WHEN a.p = 0 THEN 0.0D ELSE element_at({table}, (a.p - 1) * {k} + {here}) END)"
+    total = f"aggregate(regexp_extract_all(c.m, '.{{1,{BLOCK}}}', 0), named_struct('p', 0, 't', 0.0D), (acc, block) -> aggregate(split(block, ''), acc, (a, ch) -> {step}), acc -> acc.t)"
+    df = df.withColumn("random_", F.expr(f"transform(filter(cand_, c -> {total} >= greatest({evidence}D, {margin}D * (length(c.m) - 1))), c -> named_struct('s', c.s, 'kind', c.kind, 'e', c.e))")).drop("cand_")
     return df.withColumn("all_", F.expr("CASE WHEN size(random_) = 0 THEN base_ ELSE array_sort(concat(base_, random_)) END"))
 
 
@@ -154,13 +187,8 @@ def redact(docs: DataFrame, ratios: list[float], text_col: str = "text", mark: s
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(row, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
-    rebuilt = (
-        "aggregate(all_, named_struct('at', 0, 'out', ''), (acc, x) -> CASE WHEN x.e <= acc.at THEN acc"
-        " WHEN x.s < acc.at THEN named_struct('at', x.e, 'out', acc.out)"
-        f" ELSE named_struct('at', x.e, 'out', concat(acc.out, substring(text_, acc.at + 1, x.s - acc.at), '{mark}')) END,"
-        " acc -> concat(acc.out, substring(text_, acc.at + 1, length(text_))))"
-    )
-    found = find_spans(rows, ratios).withColumn("clean_", F.expr(f"CASE WHEN size(all_) > 0 THEN {rebuilt} END"))
+    piece = "CASE WHEN {s} >= {before} THEN concat(" + _cut("{before}", "{s}") + f", {_quoted(mark)}) ELSE '' END"
+    found = _rebuilt(find_spans(rows, ratios), "clean_", "all_", piece)
     field = lambda c: F.col("row").getField(c)
     new = {text_col: F.coalesce("clean_", field(text_col)), length_col: F.when(F.col("clean_").isNull(), field(length_col)).otherwise(F.length("clean_"))}
     return found.select(*((new[c] if c in new else field(c)).alias(c) for c in docs.columns))
