@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizer import default_path, fast_encoder
+from .tokenizer import default_path, encoder
 
 CAPACITY = 1024
 SEPARATOR = 0
@@ -102,11 +102,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_
     path = path or default_path()
 
     def work(batches):
-        encode = fast_encoder(path).encode_to_numpy
+        encode = encoder(path)
         packer = Packer(TaskContext.get().partitionId(), capacity)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "", allowed_special="all")
+                ids = encode(text.as_py() or "")
                 packer.add(doc, np.append(ids, np.uint32(SEPARATOR)))
                 if len(packer.rows) >= 20_000:
                     yield packer.take()
