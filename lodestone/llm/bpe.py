@@ -4,7 +4,7 @@ A sequence of tokens is what the merges make of its bytes exactly when every adj
 tokens' bytes gives back the two tokens. So the encoder walks the text with the longest token at each position (an
 Aho-Corasick automaton over all token bytes). It keeps a token if the pair with the one before is compatible, else
 falls back to that token's longest proper prefix token, and steps back when none is left; a position found dead is never
-tried again, which makes the time linear in the text. Pair checks go down the two tokens' merge trees along their common
+tried again, and the automaton reads no further than the longest token, which makes the time linear in the text. Pair checks go down the two tokens' merge trees along their common
 border and are remembered.
 
 Decoding lays token bytes end to end in one array; an offset table turns ids into one gather.
@@ -39,6 +39,7 @@ class Backtracker:
         special = set(v.special.values())
         self.bytes = v.tokens
         self.size = [len(t) for t in v.tokens]
+        self.longest_token = max(n for i, n in enumerate(self.size) if i not in special)
         self.automaton = ahocorasick.Automaton()
         by_bytes: dict[bytes, int] = {}
         for i, t in enumerate(v.tokens):
@@ -95,8 +96,10 @@ class Backtracker:
         text, n = raw.decode("latin-1"), len(raw)
         out: list[int] = []
         dead = bytearray(n + 1)
-        longest, size, shorter = self.automaton.iter_long, self.size, self.shorter
-        at, token = 0, next(longest(text))[1]
+        reach, size, shorter = self.longest_token, self.size, self.shorter
+        # the automaton copies what it is given, so it gets what a token can span and no more
+        longest = lambda at: next(self.automaton.iter_long(text[at : at + reach]))[1]
+        at, token = 0, longest(0)
         while True:
             end = at + size[token]
             if not dead[end] and (not out or self.pair_ok(out[-1], token)):
@@ -104,7 +107,7 @@ class Backtracker:
                 at = end
                 if at == n:
                     return out
-                token = next(longest(text, at))[1]
+                token = longest(at)
                 continue
             token = shorter[token]
             while token < 0:

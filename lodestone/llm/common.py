@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,18 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in local tests.
-LOCAL_SHARED_DIR = "/tmp/checkpoints/lodestone"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or LOCAL_SHARED_DIR).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    Only a local master, whose executors are the driver, may do without: it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and context.master.startswith("local"):
+        found = f"{tempfile.gettempdir()}/lodestone-checkpoints"
+    if not found:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +42,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """At most `most` rows of counts: those above the least level that leaves no more, out of a histogram of a few hundred levels.
+
+    An ordered limit would send that many rows of every partition to one place; this sends the histogram. A level whose
+    rows would be too many goes whole, so fewer rows than asked for may come.
+    """
+    level = F.floor(F.log2(F.col(column)) * 16)
+    levels = sorted(counts.where(F.col(column) > 0).groupBy(level.alias("l")).count().collect(), key=lambda r: -r["l"])
+    least, n = None, 0
+    for r in levels:
+        if (n := n + r["count"]) > most:
+            break
+        least = r["l"]
+    return counts.where((F.col(column) > 0) & (level >= least)) if least is not None else counts.limit(0)
+
+
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of consecutive rows with one key, out of batches sorted by it."""
     held: list[pa.RecordBatch] = []

@@ -38,8 +38,6 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.pattern = regex.compile(PATTERN)
-        self.cut = regex.compile(r" (?=\S)")
-        self.blank = regex.compile(r"\s|$")
         self.splitter = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def pieces(self, text: str) -> list[str]:
@@ -48,42 +46,6 @@ class Vocabulary:
             return [p for part in self.splitter.split(text) if part for p in ([part] if part in self.special else self.pattern.findall(part))]
         return self.pattern.findall(text)
 
-    def units(self, text: str, known) -> tuple[str, list]:
-        """A text's first unit, and known[unit] for each of the others, which a space in front belongs to.
-
-        No pre-token crosses a space that stands before a character other than white space: white space up to it ends there,
-        and the space goes with what follows. So a unit can be looked up whole. str.split cuts at other spaces too; then a
-        unit is empty or begins with white space, which known must not hold and refuse with KeyError.
-        """
-        first, *rest = text.split(" ")
-        try:
-            return first, list(map(known.__getitem__, rest))
-        except KeyError:
-            first, *rest = self.cut.split(text)
-            return first, list(map(known.__getitem__, rest))
-
-
-class Remembered(dict):
-    """make(unit) for units of a text (see Vocabulary.units); short ones are kept in two generations of at most size each."""
-
-    def __init__(self, v: Vocabulary, make, size: int, longest: int = 64):
-        super().__init__()
-        self.v, self.make, self.size, self.longest, self.old = v, make, size, longest, {}
-
-    def __missing__(self, unit: str):
-        if self.v.blank.match(unit):
-            raise KeyError(unit)
-        if len(unit) > self.longest:
-            return self.make(" " + unit)
-        got = self.old.get(unit)
-        if got is None:
-            got = self.make(" " + unit)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[unit] = got
-        return got
-
 
 @cache
 def vocabulary(path: str) -> Vocabulary:
