@@ -1,16 +1,20 @@
-"""Exact dedup through a minimal perfect hash over distinct digests.
+"""Exact dedup through a minimal perfect hash over the distinct digests of history.
 
-The digests that history holds more than once go into an index of shards. A shard is a minimal perfect hash
-(hash and displace: keys fall in small buckets, each bucket stores a displacement that sends its keys to free slots);
-slot i holds the full 32-byte digest, the locator of the winner (largest id) and the size of the group. A row looks up
-one slot and compares all bytes, so a digest outside the index can't pass for a member; members that aren't the
-winner are removed. Nonmembers are grouped among themselves.
+The index is an artefact: rows of shards that build_index makes, that can be written, read (save, load), looked up and brought
+up to date (absorb). A shard is a minimal perfect hash (hash and displace: keys fall in small buckets, each bucket stores
+a displacement that sends its keys to free slots); slot i holds the full 32-byte digest, the locator of the winner
+(largest id) and the size of the group. A lookup reads one slot and compares all bytes, so a digest outside the index can't
+pass for a member. What a lookup doesn't find is grouped on its own and becomes a segment of its own.
 
-Rows go to (shard, salt): a shard with many rows is given to several tasks, each with a copy of the shard, so one text
-that makes up a third of all rows is spread. Rows of one id always share a salt.
+A table without a history is taken as history (the lower half of its ids) and increment (the rest): history is indexed, the
+increment's distinct digests are looked up, members bring winners and sizes up to date, nonmembers form a second
+segment, and every row is then looked up for its winner.
 
-Cases: null text counts as empty; null ids take part and never win against an id; of rows with equal text and equal
-id one stays; an empty table gives an empty result; extra columns are ignored.
+Rows of one id and text are counted before anything else, and go to (shard, salt): a shard with many rows is given to
+several tasks, each with a copy of the shard, so one text that makes up a third of all rows is spread.
+
+Cases: null text counts as empty; null ids take part, belong to the increment and never win against an id; of rows with equal
+text and equal id one stays; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bloom, in_bloom, materialize, per_key
 
 SHARD_KEYS, LEAST_SHARDS, MOST_SHARDS = 20_000, 64, 1 << 16
 SALT_ROWS = 20_000
+REPEATS = 10_000  # rows of one id and text that one task writes
+NO_ID = np.iinfo(np.int64).min
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,71 +97,163 @@ def _shard(column: str, shards: int):
     return F.pmod(F.conv(F.substring(F.hex(column), 1, 12), 16, 10).cast("bigint"), F.lit(shards)).cast("int")
 
 
-def build_index(groups: DataFrame, shards: int) -> DataFrame:
-    """Shards of the index over groups(digest, winner, size): one row (shard, n, displacements, digests, winners, sizes)."""
+INDEX = "shards int, shard int, segment int, displacements binary, digests binary, winners binary, sizes binary"
+GROUPS = "digest binary, winner bigint, size bigint"
+
+
+def _segment(shards: int, shard: int, segment: int, keys: list[bytes], winners: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    mph = PerfectHash.build(_words(keys))
+    order = np.argsort(mph.slot_of(_words(keys)))
+    blobs = (mph.displacements.tobytes(), b"".join(keys[i] for i in order), winners[order].tobytes(), sizes[order].tobytes())
+    return pa.table([*(pa.array([x], pa.int32()) for x in (shards, shard, segment)), *(pa.array([x], pa.binary()) for x in blobs)], ["shards", "shard", "segment", "displacements", "digests", "winners", "sizes"])
+
+
+def build_index(groups: DataFrame, shards: int, segment: int = 0) -> DataFrame:
+    """Index rows over groups(digest, winner, size) of distinct digests."""
 
     def one(part: pa.Table) -> pa.Table:
-        keys = part.column("digest").to_pylist()
-        mph = PerfectHash.build(_words(keys))
-        slots = mph.slot_of(_words(keys))
-        order = np.argsort(slots)
-        winners = part.column("winner").to_pandas().astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)[order]
-        sizes = part.column("size").to_numpy()[order]
-        return pa.table([pa.array([part.column("shard")[0].as_py()], pa.int32()), pa.array([len(keys)], pa.int32()), *(pa.array([x], pa.binary()) for x in (mph.displacements.tobytes(), b"".join(keys[i] for i in order), winners.tobytes(), sizes.astype(np.int64).tobytes()))], ["shard", "n", "displacements", "digests", "winners", "sizes"])
-
-    return per_key(groups.select(_shard("digest", shards).alias("shard"), "digest", "winner", "size"), "shard", one, "shard int, n int, displacements binary, digests binary, winners binary, sizes binary")
-
-
-def _lookup(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    found = np.zeros(len(rows), bool)
-    winner, size = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-    if len(index) and len(rows):
-        x = index.iloc[0]
-        mph = PerfectHash(np.frombuffer(x["displacements"], np.int64), int(x["n"]))
-        keys, slots = _words(rows["digest"]), _words([x["digests"]])
-        at = mph.slot_of(keys)
-        found = (slots[at] == keys).all(1)  # the byte check
-        winner, size = np.frombuffer(x["winners"], np.int64)[at], np.frombuffer(x["sizes"], np.int64)[at]
-    ids = rows["doc_id"].astype("Int64")
-    keep = pd.array(np.where(found, winner, 0), dtype="Int64")
-    keep[~found | (winner == np.iinfo(np.int64).min)] = pd.NA
-    first = ~rows.assign(doc_id=ids.fillna(np.iinfo(np.int64).min)).duplicated(["digest", "doc_id"]).to_numpy()
-    same = (ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64) == winner) & first
-    return pd.DataFrame({"doc_id": ids, "digest": rows["digest"], "found": found, "keep_id": keep, "group_size": size, "kept": np.where(found, same, first)})
+        winners = part.column("winner").fill_null(NO_ID).to_numpy().astype(np.int64)
+        return _segment(shards, part.column("shard")[0].as_py(), segment, part.column("digest").to_pylist(), winners, part.column("size").to_numpy().astype(np.int64))
 
+    return per_key(groups.select(_shard("digest", shards).alias("shard"), "digest", "winner", "size"), "shard", one, INDEX)
 
-def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    history: the texts already known, docs itself by default. A row whose text history repeats is held against history's
-    winner; the rest is grouped within docs.
-    """
+def save(index: DataFrame, path: str) -> None:
+    index.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(path)
+
+
+def shards_of(index: DataFrame) -> int:
+    row = index.select("shards").first()
+    return row[0] if row else 1
+
+
+class Slots:
+    """The segments of one shard, ready for lookups."""
+
+    def __init__(self, segments: list[dict]):
+        self.parts = []
+        for x in segments:
+            slots = _words([x["digests"]])
+            self.parts.append((PerfectHash(np.frombuffer(x["displacements"], np.int64), len(slots)), slots, np.frombuffer(x["winners"], np.int64).copy(), np.frombuffer(x["sizes"], np.int64).copy()))
+
+    def find(self, digests) -> tuple[np.ndarray, np.ndarray]:
+        """Segment (-1: none) and slot of each digest."""
+        keys = _words(digests)
+        where, slot = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for i, (mph, slots, _, _) in enumerate(self.parts):
+            at = mph.slot_of(keys)
+            found = (slots[at] == keys).all(1)  # the byte check
+            where[found], slot[found] = i, at[found]
+        return where, slot
+
+    def values(self, where: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        winner, size = np.full(len(where), NO_ID), np.zeros(len(where), np.int64)
+        for i, (_, _, winners, sizes) in enumerate(self.parts):
+            here = where == i
+            winner[here], size[here] = winners[slot[here]], sizes[slot[here]]
+        return winner, size
+
 
-    def digests(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).alias("digest"))
+def absorb(index: DataFrame, groups: DataFrame, shards: int, segment: int = 1) -> DataFrame:
+    """The index after an increment's groups(digest, winner, size): digests that it holds get the larger winner and the sum of
+    the sizes in their slots; the others form a new segment of each shard."""
 
-    rows = materialize(digests(docs), "digests")
-    known = rows if history is None else materialize(digests(history), "digests")
-    groups = known.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("size"))
-    # of a foreign history every digest counts, of docs itself those that repeat
-    groups = materialize(groups.where("size > 1") if history is None else groups, "groups")
-    shards = int(min(MOST_SHARDS, max(LEAST_SHARDS, groups.count() // SHARD_KEYS)))
-    index = build_index(groups, shards)
+    def one(part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        slots, out = Slots(held.to_dict("records")), held
+        if len(part):
+            shard = int(part["shard"].iloc[0])
+            digests, winners, sizes = part["digest"].tolist(), part["winner"].to_numpy(np.int64), part["size"].to_numpy(np.int64)
+            where, slot = slots.find(digests)
+            for i, (_, _, w, n) in enumerate(slots.parts):
+                here = where == i
+                w[slot[here]] = np.maximum(w[slot[here]], winners[here])
+                n[slot[here]] += sizes[here]
+            if len(held):
+                out = held.assign(winners=[p[2].tobytes() for p in slots.parts], sizes=[p[3].tobytes() for p in slots.parts])
+            if len(new := np.flatnonzero(where < 0)):
+                out = pd.concat([out, _segment(shards, shard, segment, [digests[i] for i in new], winners[new], sizes[new]).to_pandas()])
+        return out[["shards", "shard", "segment", "displacements", "digests", "winners", "sizes"]]
+
+    rows = groups.select(_shard("digest", shards).alias("shard"), "digest", F.coalesce("winner", F.lit(NO_ID)).alias("winner"), "size")
+    return rows.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(one, INDEX)
+
+
+def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """rows(doc_id, digest, n) with the index's winner and size, both null for digests that it doesn't hold."""
+
+    def one(part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        slots = Slots(held.to_dict("records"))
+        where, slot = slots.find(part["digest"])
+        winner, size = slots.values(where, slot)
+        known = pd.array(winner, dtype="Int64")
+        known[winner == NO_ID] = pd.NA
+        count = pd.array(size, dtype="Int64")
+        count[where < 0] = pd.NA
+        return pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "digest": part["digest"], "n": part["n"], "winner": known, "size": count})
 
     rows = rows.withColumn("shard", _shard("digest", shards))
-    load = rows.groupBy("shard").count().select("shard", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
-    load = materialize(load, "load")
-    salted = rows.join(load, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), "doc_id", "digest")
-    copies = index.join(load, "shard").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
-    looked = (
-        salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt"))
-        .applyInPandas(lambda a, b: _lookup(a, b), "doc_id bigint, digest binary, found boolean, keep_id bigint, group_size bigint, kept boolean")
-    )
-    looked = materialize(looked, "looked")
-    members, others = looked.where("found"), looked.where("not found")
-    own = others.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("size"))
-    single = others.join(own, "digest").select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"), (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("winner"))).alias("kept"))
-    return members.select("doc_id", "digest", "keep_id", "group_size", "kept").unionByName(single).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    loads = materialize(rows.groupBy("shard").count().select("shard", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts")), "loads")
+    salted = rows.join(F.broadcast(loads), "shard").select("shard", F.pmod(F.xxhash64("digest", "doc_id"), "salts").cast("int").alias("salt"), "doc_id", "digest", "n")
+    copies = index.join(F.broadcast(loads), "shard").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+    return salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(lambda a, b: one(a, b) if len(a) else _none(), "doc_id bigint, digest binary, n bigint, winner bigint, size bigint")
+
+
+def _none() -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": [], "digest": [], "n": [], "winner": [], "size": []})
+
+
+def _counted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, digest, n): how often an id has a text."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).alias("digest"))
+    return rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.sum("n").alias("size"))
+
+
+def _shards(keys: int) -> int:
+    """A power of two, so that an index tells its number of shards."""
+    return 1 << int(min(MOST_SHARDS, max(LEAST_SHARDS, keys // SHARD_KEYS)) - 1).bit_length()
+
+
+def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    history: the texts already known. A row whose text history holds is a repeat of history's winner, which stays, and the rest
+    is grouped within docs. Without it docs is split into history and increment, and the largest id of both stays.
+    """
+    rows = materialize(_counted(docs, id_col, text_col), "digests")
+    if history is None:
+        ends = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+        middle = None if ends[0] is None else (ends[0] + ends[1]) // 2
+        old = rows.where(F.col("doc_id") <= F.lit(middle).cast("bigint"))
+        new = rows.where(F.col("doc_id").isNull() | (F.col("doc_id") > F.lit(middle).cast("bigint")))
+        shards = _shards(rows.count())
+        index = materialize(build_index(_groups(old), shards), "index")
+        index = materialize(absorb(index, _groups(new), shards), "index")
+        found = lookup(rows, index, shards)
+    else:
+        known = materialize(_groups(_counted(history, id_col, text_col)), "groups")
+        shards = _shards(known.count())
+        index = materialize(build_index(known, shards), "index")
+        first = materialize(lookup(rows, index, shards), "members")
+        # nonmembers are grouped separately, in an index of their own
+        others = first.where("size IS NULL").select("doc_id", "digest", "n")
+        own = materialize(build_index(_groups(others), shards), "index")
+        found = first.where("size IS NOT NULL").unionByName(lookup(others, own, shards))
+    out = found.select("doc_id", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n")
+    # the first of rows that repeat is the one that stays; very many of them are written by several tasks
+    out = materialize(out, "looked")
+    single, several, many = out.where("n = 1"), out.where(f"n > 1 AND n <= {REPEATS}"), out.where(f"n > {REPEATS}")
+    dealt = many.withColumn("c", F.explode(F.expr(f"sequence(0, cast((n - 1) div {REPEATS} AS int))"))).repartition("text_sha256", "doc_id", "c")
+    spread = several.withColumn("c", F.lit(0)).unionByName(dealt).withColumn("i", F.explode(F.expr(f"sequence(1, cast(least({REPEATS}, n - c * {REPEATS}) AS int))")))
+    spread = spread.withColumn("kept", F.col("kept") & (F.col("c") == 0) & (F.col("i") == 1)).drop("c", "i")
+    return single.unionByName(spread).drop("n")
 
 
 def redundant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,3 +61,42 @@ def test_without_keeps_clashing_columns(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     kept = Counter(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in out.collect())
     assert set(kept.values()) == {1} and len(kept) == len({t or "" for _, t in rows})
+
+
+def test_winners_come_from_both_sides_and_nonmembers_group(spark):
+    """History holds the lower ids: one text wins there, one in the increment, and the increment has repeats of its own."""
+    rows = [(1, "a"), (2, "b"), (3, "c"), (4, "c"), (100, "b"), (101, "d"), (102, "d"), (103, "e"), (None, "a"), (None, "n"), (None, "n"), (100, "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(exact_dedup.exact_dedup(df)) == expected_with_nulls(rows)
+
+
+def expected_with_nulls(rows):
+    out, done = [], set()
+    for doc, text in rows:
+        same = [d for d, t in rows if t == text]
+        keep = max((d for d in same if d is not None), default=None)
+        out.append((doc, keep, len(same), doc == keep and (doc, text) not in done, hashlib.sha256(text.encode()).hexdigest()))
+        done.add((doc, text))
+    return Counter(out)
+
+
+def test_null_ids_en_masse_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "REPEATS", 40)
+    rows = [(None, "hot")] * 333 + [(7, "hot")] * 100 + [(i, f"t{i}") for i in range(200)] + [(None, None)] * 41
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(exact_dedup.exact_dedup(df)) == expected_with_nulls([(d, t or "") for d, t in rows])
+
+
+def test_index_is_an_artefact(spark, tmp_path):
+    texts = lambda names: spark.createDataFrame([(hashlib.sha256(n.encode()).digest(), w, s) for n, w, s in names], exact_dedup.GROUPS)
+    old = [(f"h{i}", i, 1 + i % 3) for i in range(500)]
+    index = exact_dedup.build_index(texts(old), 8)
+    exact_dedup.save(index, str(tmp_path / "index"))
+    index = exact_dedup.load(spark, str(tmp_path / "index"))
+    assert exact_dedup.shards_of(index) == 8
+    new = [("h3", 900, 2), ("h4", 1, 5), ("x1", 5, 1), ("x2", None, 2)]
+    index = exact_dedup.absorb(index, texts(new), 8)
+    want = {n: (w, s) for n, w, s in old} | {"h3": (900, 3), "h4": (4, 7), "x1": (5, 1), "x2": (None, 2), "gone": (None, None)}
+    names = {hashlib.sha256(n.encode()).digest(): n for n in want}
+    rows = spark.createDataFrame([(1, d, 1) for d in names], "doc_id bigint, digest binary, n bigint")
+    assert {names[bytes(r["digest"])]: (r["winner"], r["size"]) for r in exact_dedup.lookup(rows, index, 8).collect()} == want
