@@ -3,15 +3,17 @@
 Vectors are scaled to length 1; cosine >= t is then a Euclidean distance of at most r = sqrt(2 - 2 t), a metric. Equal vectors of one
 label fall together first, with their number as weight.
 
-Distribution: per label, centers chosen far apart are the top level of the tree. A vector belongs to the cell of its
-nearest center and is a guest in every cell whose center is at most 2 r farther than its own; two linked vectors then
-meet in the cell of either. Each pair counts in the lower-numbered of the two cells. A cell above CELL vectors is dealt as
-blocks of itself, every pair of blocks in one task, so no task holds an unbounded group.
+Distribution: a cell is at first all vectors of one label, and fits a task up to CELL vectors. A larger one is dealt again and
+again: centers chosen far apart in it are its next level, a vector is at home in the cell of its nearest center, and a guest in a
+lower-numbered one unless it lies more than r beyond the border between the two centers, so that two linked vectors always
+meet where the lower-numbered of the two is at home. Each vector carries in which levels it is a guest; a pair counts where it is
+not guests of one level, which is in one cell only. A cell that dealing doesn't part (vectors spread evenly in many dimensions
+are such) is dealt as blocks of itself, every pair of blocks in one task: exact, no task unbounded, quadratic in that cell.
 
 In a task: a cover tree has nested levels with halving radii; node pairs farther apart than both covering radii plus r
 hold no link, pairs whose farthest members are within r are all links and are counted without being listed, leaves are
-compared in double precision. Links are counted per vector; for the components only links that join something new
-are handed on.
+compared in double precision. Centers of a level are found and compared in matrix blocks. Links are counted per vector; for
+the components only links that join something new are handed on.
 
 Cases: null or zero vectors, null or non-finite components, and null labels link with nothing; vectors of different
 lengths don't link; null ids count as vectors without an id; repeated rows are vectors of their own; extra columns are ignored.
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import components, materialize
 
 THRESHOLD = 0.98
-CENTERS, SAMPLE, CELL, LEAF = 64, 2048, 4096, 24
-CHUNK = 8192
+CENTERS, SAMPLE, CELL, LEAF = 64, 2048, 16384, 24
+CELL_NUMBERS = 8_000_000  # most vector components of a cell, which lowers CELL for long vectors
+PARTED, COPIES, LEVELS = 0.7, 4.0, 40  # a dealt cell: largest part, all parts together, most times of dealing
+CHUNK, BATCH = 8192, 256
 SLACK = 1e-7
 
 
@@ -64,15 +68,27 @@ class CoverTree:
         if len(ids) <= LEAF or node.radius <= SLACK:
             return node
         half = min(level, node.radius) / 2
-        left, dist = ids, d
+        # nested: the node's own center is the first child's; the next ones are points that no center covers yet
+        near = (d <= half) | (ids == center)
+        node.children.append(self._grow(center, ids[near], d[near], half))
+        left = ids[~near]
         while len(left):
-            # nested: the node's own center is the first child's; each next one is the first point not yet covered
-            c = center if not node.children else int(left[0])
-            dist = self._from(c, left)
-            near = dist <= half
-            near[left == c] = True
-            node.children.append(self._grow(c, left[near], dist[near], half))
-            left = left[~near]
+            candidates = left[:BATCH]
+            dist = np.sqrt(np.maximum(0, 2 - 2 * (self.v[left] @ self.v[candidates].T)))
+            chosen, covered = [], np.zeros(len(candidates), bool)
+            for j in range(len(candidates)):
+                if not covered[j]:
+                    chosen.append(j)
+                    covered |= dist[: len(candidates), j] <= half
+            near = dist[:, chosen] <= half
+            near[chosen] = np.eye(len(chosen), dtype=bool)
+            got, which = near.any(1), near.argmax(1)
+            members = np.flatnonzero(got)
+            members = members[np.argsort(which[members], kind="stable")]
+            for part in np.split(members, np.flatnonzero(np.diff(which[members])) + 1):
+                j = chosen[which[part[0]]]
+                node.children.append(self._grow(int(candidates[j]), left[part], dist[part, j], half))
+            left = left[~got]
         return node
 
 
@@ -86,36 +102,44 @@ class Joiner:
         self.parent = np.arange(len(vectors))
         self.edges: list[tuple[int, int]] = []
 
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def _edge(self, a: int, b: int) -> None:
-        if (x := self.find(a)) != (y := self.find(b)):
-            self.parent[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
+    def roots(self, ids: np.ndarray) -> np.ndarray:
+        at = self.parent[ids]
+        while ((up := self.parent[at]) != at).any():
+            at = up
+        self.parent[ids] = at
+        return at
+
+    def _edges(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links a[i], b[i]: one is handed on for each two components that they join."""
+        while True:
+            x, y = self.roots(a), self.roots(b)
+            new = x != y
+            if not new.any():
+                return
+            a, b, x, y = a[new], b[new], x[new], y[new]
+            # of the links at each greater root, one; the others are looked at again
+            high, at = np.unique(np.maximum(x, y), return_index=True)
+            self.parent[high] = np.minimum(x, y)[at]
+            self.edges += zip(a[at].tolist(), b[at].tolist(), strict=True)
 
     def _brute(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
         for i in range(0, len(a), 1024):
-            hit = self.v[a[i : i + 1024]] @ self.v[b].T >= self.t
+            some = a[i : i + 1024]
+            hit = self.v[some] @ self.v[b].T >= self.t
             if same:
-                hit[np.arange(hit.shape[0]), np.arange(i, i + hit.shape[0])] = False
-            self.counts[a[i : i + 1024]] += hit @ self.w[b]
-            if not same:
-                self.counts[b] += self.w[a[i : i + 1024]] @ hit
-            for x in np.flatnonzero(hit.any(1)):
-                for y in np.flatnonzero(hit[x]):
-                    self._edge(int(a[i + x]), int(b[y]))
+                hit[np.arange(len(some)), np.arange(i, i + len(some))] = False
+            if hit.any():
+                self.counts[some] += hit @ self.w[b]
+                if not same:
+                    self.counts[b] += self.w[some] @ hit
+                x, y = np.nonzero(hit)
+                self._edges(some[x], b[y])
 
     def _all(self, a: np.ndarray, b: np.ndarray, wa: int, wb: int) -> None:
         self.counts[a] += wb
         self.counts[b] += wa
-        for y in b:
-            self._edge(int(a[0]), int(y))
-        for x in a[1:]:
-            self._edge(int(x), int(b[0]))
+        self._edges(np.full(len(b), a[0]), b)
+        self._edges(a[1:], np.full(len(a) - 1, b[0]))
 
     def within(self, node: Node) -> None:
         stack = [node]
@@ -123,8 +147,7 @@ class Joiner:
             n = stack.pop()
             if 2 * n.radius <= self.r - SLACK:
                 self.counts[n.points] += n.weight - self.w[n.points]
-                for y in n.points[1:]:
-                    self._edge(int(n.points[0]), int(y))
+                self._edges(np.full(len(n.points) - 1, n.points[0]), n.points[1:])
             elif not n.children:
                 self._brute(n.points, n.points, True)
             else:
@@ -160,46 +183,48 @@ class Joiner:
 
 
 def _centers(part: pd.DataFrame) -> pd.DataFrame:
-    """Top level of a label's tree: centers far from each other, out of a sample of its vectors; the first covers all."""
+    """Next level of a cell: centers far from each other, out of a sample of its vectors."""
     part = part.sort_values("key")
-    out = []
-    for dim, rows in part.groupby("dim"):
-        v = _unit(rows["vector"].tolist())
-        chosen, d = [0], np.linalg.norm(v - v[0], axis=1)
-        most = min(CENTERS, max(1, int(rows["total"].iloc[0]) // (CELL // 4)))
-        while len(chosen) < most and d.max() > 0.4:
-            chosen.append(int(d.argmax()))
-            d = np.minimum(d, np.linalg.norm(v - v[chosen[-1]], axis=1))
-        out += [(part["label"].iloc[0], dim, i, v[c].tobytes()) for i, c in enumerate(chosen)]
-    return pd.DataFrame(out, columns=["label", "dim", "cell", "center"])
-
-
-def _deal(rows: pd.DataFrame, centers: pd.DataFrame, radius: float) -> pd.DataFrame:
-    """Home cell and guest cells of each vector."""
+    v = _unit(part["vector"].tolist())
+    chosen, d = [0], np.linalg.norm(v - v[0], axis=1)
+    while len(chosen) < CENTERS and d.max() > 0.1:
+        chosen.append(int(d.argmax()))
+        d = np.minimum(d, np.linalg.norm(v - v[chosen[-1]], axis=1))
+    return pd.DataFrame({"cell": part["cell"].iloc[0], "number": np.arange(len(chosen)), "center": [v[c].tobytes() for c in chosen]})
+
+
+def _deal(rows: pd.DataFrame, centers: pd.DataFrame, radius: float, level: int) -> pd.DataFrame:
+    """Each vector in its home and in the cells where it is a guest."""
     if not len(rows):
-        return pd.DataFrame({"label": [], "dim": [], "cell": [], "home": [], "key": []})
-    centers = centers.sort_values("cell")
+        return pd.DataFrame({"cell": [], "number": [], "key": [], "guest": [], "dim": []})
+    centers = centers.sort_values("number")
     c, v = np.stack([np.frombuffer(x, np.float64) for x in centers["center"]]), _unit(rows["vector"].tolist())
-    d = np.sqrt(np.maximum(0, 2 - 2 * (v @ c.T)))
-    home = d.argmin(1)
-    near = d <= d.min(1, keepdims=True) + 2 * radius + SLACK
-    near &= np.arange(len(c))[None, :] <= home[:, None]  # the pair counts in the lower of the two cells
-    who, cell = np.nonzero(near)
+    between = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+    square = np.maximum(0, 2 - 2 * (v @ c.T))
+    home = square.argmin(1)
+    # how far v lies beyond the plane between its own center and another: at most r for a link across
+    beyond = square - square[np.arange(len(v)), home][:, None]
+    near = beyond <= 2 * (radius + SLACK) * between[home] + SLACK
+    near &= np.arange(len(c))[None, :] < home[:, None]  # the pair counts in the lower of the two cells
+    near[np.arange(len(v)), home] = True
+    who, number = np.nonzero(near)
     x = rows.iloc[who]
-    return pd.DataFrame({"label": x["label"].to_numpy(), "dim": x["dim"].to_numpy(), "cell": cell, "home": home[who] == cell, "key": x["key"].to_numpy()})
+    guest = x["guest"].to_numpy(np.int64) | np.where(home[who] == number, 0, 1 << level)
+    return pd.DataFrame({"cell": x["cell"].to_numpy(), "number": number, "key": x["key"].to_numpy(), "guest": guest, "dim": x["dim"].to_numpy()})
+
+
+def _dealer(radius: float, level: int):
+    return lambda rows, centers: _deal(rows, centers, radius, level)
 
 
 def _join_cell(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one task: blocks a and b of a cell; members of one block only, if a = b."""
     v, w = _unit(part["vector"].tolist()), part["weight"].to_numpy(np.int64)
-    home, block, keys = part["home"].to_numpy(bool), part["block"].to_numpy(), part["key"].tolist()
+    guest, block, keys = part["guest"].to_numpy(np.int64), part["block"].to_numpy(), part["key"].tolist()
     a, b = part["a"].iloc[0], part["b"].iloc[0]
     joiner = Joiner(v, w, threshold)
 
-    def tree(mask: np.ndarray):
-        ids = np.flatnonzero(mask)
-        if not len(ids):
-            return None
+    def tree(ids: np.ndarray) -> Node:
         t = CoverTree(v[ids], w[ids])
         stack = [t.root]
         while stack:
@@ -208,23 +233,59 @@ def _join_cell(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
             stack += n.children
         return t.root
 
-    sides = [(tree(home & (block == x)), tree(~home & (block == x))) for x in dict.fromkeys((a, b))]
-    if a == b:
-        h, g = sides[0]
-        if h is not None:
-            joiner.within(h)
-            if g is not None:
-                joiner.between(h, g)
-    else:
-        (ha, ga), (hb, gb) = sides
-        for x, y in ((ha, hb), (ha, gb), (ga, hb)):
-            if x is not None and y is not None:
+    def trees(of: int) -> dict[int, Node]:
+        return {int(g): tree(np.flatnonzero((block == of) & (guest == g))) for g in np.unique(guest[block == of])}
+
+    left = trees(a)
+    right = left if a == b else trees(b)
+    for g, x in left.items():
+        for h, y in right.items():
+            if g & h or (a == b and g > h):
+                continue  # guests of one level meet elsewhere
+            if x is y:
+                joiner.within(x)
+            else:
                 joiner.between(x, y)
     got = np.flatnonzero(joiner.counts)
     out = [(keys[i], None, int(joiner.counts[i])) for i in got] + [(keys[x], keys[y], 0) for x, y in joiner.edges]
     return pd.DataFrame(out, columns=["u", "v", "links"])
 
 
+def _room(cell: int):
+    """Vectors that a cell may hold, by column dim."""
+    return F.greatest(F.lit(16), F.least(F.lit(cell), F.lit(CELL_NUMBERS) / F.col("dim")))
+
+
+def _cells(points: DataFrame, radius: float, cell: int) -> DataFrame:
+    """Rows (cell, dim, guest, key): cells of at most cell_size vectors, but for those that dealing doesn't part."""
+    placed = materialize(points.select(F.xxhash64("label", "dim").alias("cell"), "dim", F.lit(0).cast("bigint").alias("guest"), "key"), "cells")
+    done, vectors = None, points.select("key", "vector")
+    for level in range(LEVELS):
+        sizes = materialize(placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("dim").alias("dim")), "sizes")
+        large = sizes.where(F.col("n") > _room(cell)).select("cell", "n")
+        if large.isEmpty():
+            break
+        fits = placed.join(large, "cell", "left_anti")
+        done = fits if done is None else done.unionByName(fits)
+        big = placed.join(large, "cell").join(vectors, "key")
+        share = F.greatest(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n") * (1 << 20))
+        sample = big.where(F.pmod(F.xxhash64("key", F.lit(level)), F.lit(1 << 20)) < share).select("cell", "key", "vector")
+        centers = materialize(sample.groupBy("cell").applyInPandas(_centers, "cell bigint, number int, center binary"), "centers")
+        chunks = large.select("cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+        spread = big.join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
+        copies = centers.join(chunks, "cell").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
+        dealt = (
+            spread.select("cell", "chunk", "dim", "guest", "key", "vector").groupBy("cell", "chunk").cogroup(copies.select("cell", "chunk", "number", "center").groupBy("cell", "chunk"))
+            .applyInPandas(_dealer(radius, level), "cell bigint, number int, key binary, guest bigint, dim int")
+        )
+        dealt = materialize(dealt, "dealt")
+        parts = dealt.groupBy("cell", "number").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+        parted = materialize(large.join(parts, "cell").where((F.col("most") <= PARTED * F.col("n")) & (F.col("all") <= COPIES * F.col("n"))).select("cell"), "parted")
+        done = done.unionByName(placed.join(large, "cell", "left_semi").join(parted, "cell", "left_anti"))
+        placed = materialize(dealt.join(parted, "cell", "left_semi").select(F.xxhash64("cell", "number", F.lit(level)).alias("cell"), "dim", "guest", "key"), "cells")
+    return placed if done is None else done.unionByName(placed)
+
+
 def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell: int = CELL) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
     radius = float(np.sqrt(2 - 2 * threshold))
@@ -250,27 +311,13 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     points = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("weight"))
     points = materialize(points.withColumn("dim", (F.length("vector") / 8).cast("int")), "points")
 
-    total = points.groupBy("label", "dim").agg(F.count("*").alias("total"))
-    rate = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("total"))
-    sample = points.join(total, ["label", "dim"]).where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.greatest(rate * (1 << 20), F.lit(1.0)))
-    # a small class may send nothing by chance: its least key always goes
-    least = points.groupBy("label", "dim").agg(F.min("key").alias("key")).join(points.select("key", "vector"), "key").join(total, ["label", "dim"])
-    cols = ["label", "dim", "key", "vector", "total"]
-    centers = materialize(sample.select(cols).unionByName(least.select(cols)).dropDuplicates(["key"]).groupBy("label").applyInPandas(_centers, "label string, dim int, cell int, center binary"), "centers")
-
-    chunks = total.select("label", "dim", F.ceil(F.col("total") / CHUNK).cast("int").alias("chunks"))
-    spread = points.join(chunks, ["label", "dim"]).withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
-    copies = centers.join(chunks, ["label", "dim"]).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
-    keys = ["label", "dim", "chunk"]
-    dealt = spread.select(*keys, "key", "vector").groupBy(*keys).cogroup(copies.select(*keys, "cell", "center").groupBy(*keys)).applyInPandas(lambda a, b: _deal(a, b, radius), "label string, dim int, cell int, home boolean, key binary")
-    dealt = materialize(dealt, "dealt")
-
-    # a cell of n vectors is one task, or the pairs of its blocks
-    sizes = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
-    placed = dealt.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), "blocks").cast("int"))
+    # a cell is one task, or the pairs of its blocks where dealing didn't part it
+    cells = _cells(points, radius, cell)
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / F.max(_room(cell))).cast("int").alias("blocks"))
+    placed = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), "blocks").cast("int"))
     pairs = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other"))
-    work = pairs.join(points.select("key", "vector", "weight"), "key").select("label", "dim", "cell", "a", "b", "block", "home", "key", "vector", "weight")
-    found = materialize(work.groupBy("label", "dim", "cell", "a", "b").applyInPandas(lambda p: _join_cell(p, threshold), "u binary, v binary, links bigint"), "pairs")
+    work = pairs.join(points.select("key", "vector", "weight"), "key").select("cell", "a", "b", "block", "guest", "key", "vector", "weight")
+    found = materialize(work.groupBy("cell", "a", "b").applyInPandas(lambda p: _join_cell(p, threshold), "u binary, v binary, links bigint"), "pairs")
 
     links = found.where("v IS NULL").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "key")
     group = components(found.where("v IS NOT NULL").select("u", "v")).withColumnRenamed("node", "key")

@@ -58,6 +58,33 @@ def test_near_dedup_against_brute_force(spark, seed, cell):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out if r["vec_id"] is not None)
 
 
+@pytest.mark.parametrize("dims,cell,spread", [(2, 60, 0.05), (3, 100, 0.1), (8, 100, 0.02), (64, 150, 0.01)])
+def test_cells_within_cells(spark, dims, cell, spread, monkeypatch):
+    """Cells are dealt several times over, or stay whole and go as blocks; every link counts once either way."""
+    monkeypatch.setattr(embedding_dedup, "CENTERS", 8)
+    rng = np.random.default_rng(dims)
+    v = rng.normal(size=(150, dims))[rng.integers(150, size=1200)] + rng.normal(size=(1200, dims)) * spread
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1, 0) for i, x in enumerate(v)], VECTORS)
+    u = v.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.98
+    root = np.arange(1200)
+    while True:
+        least = np.array([root[hit[i]].min() for i in range(1200)])
+        if (least == root).all():
+            break
+        root = least
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_dedup(df, cell=cell).collect()}
+    assert out == {i: (int(hit[i].sum()) - 1, int(root[i])) for i in range(1200)}
+
+
+def test_components_beyond_the_range_of_squares(spark):
+    rows = [(1, [1e300, 1e300], 1), (2, [1e-300, 1e-300], 1), (3, [1e300, -1e300], 1), (4, [1.0, 1.0], 1), (5, [float("inf"), 1.0], 1)]
+    out = embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == {1: (2, 1), 2: (2, 1), 4: (2, 1), 3: (0, 3), 5: (0, 5)}
+
+
 def test_near_dedup_empty(spark):
     assert embedding_dedup.near_dedup(spark.createDataFrame([], VECTORS)).collect() == []
 
