@@ -1,9 +1,9 @@
 """Chat formatting from an event log: reconstruct final messages, then render them with a template and a loss mask.
 
 Events are (conv_id, seq, kind, message, role, text). Kinds: delta appends to its message, edit replaces its text, regenerate discards it
-and starts again, delete removes it. Every kind touches one message only, so the log is folded per (conversation,
-message) in order of seq; a conversation that holds a third of all events is spread over its messages. Messages stand in the
-order of their first event.
+and starts again, delete removes it. The log is partitioned by conversation and, since every kind touches one message only,
+by message within it, and folded in order of seq; so a conversation that holds a third of all events is spread over its
+messages. Messages stand in the order of their first event; conversations are put together in that order when read back.
 
 The template is local to a message, so a conversation is a sequence of segments, whatever its length:
     user       <s>[INST] text [/INST]
@@ -69,45 +69,53 @@ def parse_segments(formatted: str) -> list[tuple[str, str]]:
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, seq, role, text) of an event log; seq is that of the message's first event."""
     keys = ["conv_id", "message"]
+    columns = [*keys, "seq", "kind", "role", "text"]
     rows = events.select("conv_id", "message", "seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
-    # the text is folded in the worker; the order column stays with Spark as the rank of the first event
-    first = F.min("seq").alias("seq")
-    order = events.groupBy("conv_id", "message").agg(first)
+    kind_of_seq = events.schema["seq"].dataType.simpleString()
 
     def work(batches):
-        state = None
+        state = None  # conversation, message, first sequence number, role, parts, alive
+        done: list[tuple] = []
+        type_ = None
 
-        def done():
-            conv, message, role, parts, alive = state
-            return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([message], pa.string()), pa.array([role], pa.string()), pa.array(["".join(parts)], pa.string()), pa.array([alive])], ["conv_id", "message", "role", "text", "alive"])
+        def close():
+            conv, _, seq, role, parts, alive = state
+            if alive:
+                done.append((conv, seq, role, "".join(parts)))
+
+        def take():
+            columns = list(zip(*done, strict=True)) or [[]] * 4
+            done.clear()
+            kinds = (pa.int64(), type_, pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "seq", "role", "text"])
 
-        out = []
         for batch in batches:
-            for conv, message, kind, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "message", "kind", "role", "text")), strict=True):
+            conv_, message_, _, kind_, role_, text_ = (batch.column(c).to_pylist() if c != "seq" else None for c in columns)
+            seqs = batch.column("seq")
+            type_ = seqs.type
+            for i, (conv, message, kind, role, text) in enumerate(zip(conv_, message_, kind_, role_, text_, strict=True)):
                 if state is None or (conv, message) != (state[0], state[1]):
                     if state is not None:
-                        out.append(done())
-                    state = [conv, message, role or "", [], True]
+                        close()
+                    state = [conv, message, seqs[i].as_py(), role or "", [], True]
                 if kind == "delta":
-                    state[3].append(text)
+                    state[4].append(text)
                 elif kind == "edit":
-                    state[3][:] = [text]
+                    state[4] = [text]
                 elif kind == "regenerate":
-                    state[3][:] = [text]
-                    state[4] = True
+                    state[4], state[5] = [text], True
                 elif kind == "delete":
-                    state[4] = False
+                    state[5] = False
                 else:
                     raise ValueError(f"unknown kind of event: {kind!r}")
-            if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                out = []
+            if done:
+                yield take()
         if state is not None:
-            yield done()
+            close()
+            if done:
+                yield take()
 
-    folded = rows.repartition(*keys).sortWithinPartitions(*keys, "seq").select("conv_id", "message", "kind", "role", "text").mapInArrow(work, "conv_id bigint, message string, role string, text string, alive boolean")
-    same = folded["conv_id"].eqNullSafe(order["conv_id"]) & folded["message"].eqNullSafe(order["message"])
-    return folded.where("alive").join(order, same).select(folded["conv_id"], "seq", folded["role"], folded["text"])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "seq").select(columns).mapInArrow(work, f"conv_id bigint, seq {kind_of_seq}, role string, text string")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -164,12 +172,24 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """A table of turns (conv_id, turn, role, text) as an event log: each turn streamed as two deltas."""
+    """A table of turns (conv_id, turn, role, text) as an event log with all kinds of events, whose final messages are the turns.
+
+    An assistant's turn is a draft that is regenerated and streamed in two deltas, and another message that is deleted; any
+    other turn is a delta that an edit replaces by the whole text.
+    """
     from pyspark.sql import Window
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    half = F.expr("cast(length(text) / 2 AS int)")
-    parts = F.array(F.substring("text", F.lit(1), half), F.expr("substring(text, cast(length(text) / 2 AS int) + 1, length(text))"))
-    return rows.select("conv_id", "role", F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("null")), "n").alias("message"), "turn", "n", F.posexplode(parts).alias("part", "text")).select("conv_id", F.struct("turn", "n", "part").alias("seq"), F.lit("delta").alias("kind"), "message", "role", "text")
+    rows = rows.withColumn("message", F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("null")), "n"))
+    half = "cast(length(text) / 2 AS int)"
+    event = lambda kind, text, message="message": f"named_struct('kind', '{kind}', 'message', {message}, 'text', {text})"
+    answer = [
+        event("delta", "right(text, 40)"), event("delta", "left(text, 40)", "concat(message, ':gone')"), event("regenerate", "''"),
+        event("delta", f"left(text, {half})"), event("delete", "''", "concat(message, ':gone')"), event("delta", f"substring(text, {half} + 1)"),
+    ]
+    other = [event("delta", f"left(text, {half})"), event("edit", "text")]
+    log = F.posexplode(F.expr(f"CASE WHEN role = 'assistant' THEN array({', '.join(answer)}) ELSE array({', '.join(other)}) END")).alias("part", "e")
+    events = rows.select("conv_id", "role", "turn", "n", log)
+    return events.select("conv_id", F.struct("turn", "n", "part").alias("seq"), "e.kind", "e.message", "role", "e.text")
