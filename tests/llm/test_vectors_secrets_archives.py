@@ -219,3 +219,50 @@ def test_turns_round_trip(spark):
         assert r["n_turns"] == len(turns) and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert (r["loss_chars"], r["loss_sha256"]) == (len(masked), hashlib.sha256(masked.encode()).hexdigest())
     assert chat.read_back(chat.render(chat.fold(chat.turn_events(df.limit(0))))).collect() == []
+
+
+def test_one_payload_in_most_rows(spark):
+    """A hot payload is broadcast, another that repeats is joined, single ones pass; a filter that is full changes nothing."""
+    rows = [(i, f"http://h.test/{i}", "hot") for i in range(3, 1500)] + [(None, None, "hot"), (2000, "u", "twice"), (2001, "u", "twice")] + [(3000 + i, "u", f"single {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = warc.read(warc.write(df)).collect()
+    assert len(out) == len(rows)
+    kinds = Counter((r["record_type"], r["refers_to"]) for r in out)
+    assert kinds == {("response", None): 302, ("revisit", 3): 1497, ("revisit", 2000): 1}
+
+
+def test_a_changed_payload_is_an_error():
+    raw = warc.record(1, "http://a.test", b"<p>one</p>", base64.b32encode(hashlib.sha1(b"<p>one</p>").digest()).decode(), None, False)
+    assert warc.parse(raw)["payload_bytes"] == 10
+    with pytest.raises(ValueError):
+        warc.parse(raw.replace(b"one", b"two"))
+
+
+def test_archives_as_files(spark, tmp_path):
+    df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string, first int")
+    archives = warc.write(df)
+    written = {r["archive"]: r["bytes"] for r in warc.export(archives, str(tmp_path)).collect()}
+    assert written and {p.name: p.stat().st_size for p in tmp_path.iterdir()} == written
+    found = [warc.parse(raw)["fields"] for p in tmp_path.iterdir() for raw in warc.read_archive(p.read_bytes())]
+    assert Counter(f["WARC-Type"] for f in found) == {"warcinfo": len(written), "response": 5, "revisit": 3}
+
+
+def test_nulls_in_every_key_of_a_log(spark):
+    events = [(None, None, "delta", None, None, "a"), (None, 1, "delta", None, None, "b"), (None, 2, "delta", "m", "user", None), (1, None, "edit", None, "assistant", "c")]
+    df = spark.createDataFrame(events, "conv_id bigint, seq bigint, kind string, message string, role string, text string")
+    got = Counter((r["conv_id"], r["seq"], r["role"], r["text"]) for r in chat.fold(df).collect())
+    assert got == Counter([(None, None, "", "ab"), (None, 2, "user", ""), (1, None, "assistant", "c")])
+    turns = spark.createDataFrame([(None, None, None, None), (None, None, None, None), (1, None, "assistant", "x"), (1, 2, "user", None)], "conv_id bigint, turn bigint, role string, text string")
+    out = {r["conv_id"]: r["n_turns"] for r in chat.read_back(chat.render(chat.fold(chat.turn_events(turns)))).collect()}
+    assert out == {None: 2, 1: 2}
+
+
+def test_log_of_a_query_holds_all_kinds(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "hi there")], "conv_id bigint, turn bigint, role string, text string")
+    assert {r["kind"] for r in chat.turn_events(turns).collect()} == set(chat.KINDS)
+
+
+def test_redact_and_marks_with_clashing_columns(spark, ratios):
+    df = spark.createDataFrame([(1, "token=abcdefgh1", 2, "r", 5)], "doc_id bigint, text string, row int, text_ string, id_ int")
+    out = secret_scan.redact(df, ratios)
+    assert out.columns == df.columns and out.collect()[0].asDict() == {"doc_id": 1, "text": "[SECRET]", "row": 2, "text_": "r", "id_": 5}
