@@ -85,3 +85,16 @@ def test_pipeline_stages(spark):
 @pytest.mark.parametrize("name", ["op4_embedding_near_dedup", "op7_warc", "op8_chat_formatting"])
 def test_queries_run(spark, name):
     assert all_queries()[name][0](spark, SF).count() > 0
+
+
+def test_repeated_ids_and_long_texts_are_bounded(spark, monkeypatch):
+    """The fit gets one row per id and label, and no text over the bound; scores are given to every row all the same."""
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 2000)
+    docs, labels = corpus(spark, 200)
+    more = docs.unionByName(docs).unionByName(spark.createDataFrame([(1, "the river " * 5000)], docs.schema))
+    assert quality.score(more, quality.train(more, labels)).count() == 401
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, starts, y: (seen.append(len(y)), fit(rows, starts, y))[1])
+    quality.train(more, labels.unionByName(labels))
+    assert seen[0] <= 200
