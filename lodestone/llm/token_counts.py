@@ -1,9 +1,11 @@
 """Token counts by a two-tier lookup on the map side.
 
 Tier 1 is one broadcast table: the most frequent pre-tokens of the corpus with their lengths in tokens, at most TABLE entries
-of at most LONGEST characters (about 2 MB, whatever the input). It comes from counts over all documents, of which each
-task hands on a bounded summary; no pre-token is shuffled to be counted or encoded. Tier 2 is a cache in each worker: a
-miss is encoded once and remembered, up to CACHE entries. The table only saves time: counts are exact without it.
+of at most LONGEST characters (under 2 MB, whatever the input). It comes from the words of all documents, of which each
+task hands on a bounded summary, split into pre-tokens only there; no pre-token is shuffled to be counted or encoded. The
+table is cut at a count that a histogram of counts gives, so neither a task nor the driver holds more than its entries.
+Tier 2 is a cache in each worker: a miss is encoded once and remembered, up to CACHE entries. The table only saves time:
+counts are exact without it.
 
 Cases: null and empty texts have 0 tokens and 0 bytes; special strings inside a text are special tokens, as the library's
 default has it; null and repeated ids keep their rows; extra columns are ignored. Files other than byte-level BPE
@@ -15,16 +17,18 @@ from __future__ import annotations
 from collections import Counter
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, most_frequent
 from .tokenizer import default_path, fast_encoder, vocabulary
 
 LIMIT = 512
 TABLE, LONGEST, CACHE = 1 << 16, 24, 300_000
-SUMMARY, HELD = 1 << 14, 400_000
+SUMMARY, HELD, WORD = 1 << 14, 400_000, 64  # WORD: most characters of a word that is counted
 
 
 class Lengths(dict):
@@ -60,32 +64,37 @@ def byte_level(path: str) -> bool:
 
 
 def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text") -> list[str]:
-    """The TABLE most frequent short pre-tokens, from bounded summaries of the tasks' counts over all documents."""
+    """At most TABLE of the most frequent short pre-tokens, from bounded summaries of the tasks' counts over all documents."""
 
     def summary(batches):
-        pieces, held, kept = vocabulary(path).pieces, Counter(), Counter()
+        held, kept = Counter(), Counter()
 
         def fold():
-            # what is kept of each full counter: its most frequent entries
-            for piece, n in held.most_common(SUMMARY):
-                kept[piece] += n
+            # the most frequent words of each full counter
+            for word, n in held.most_common(4 * SUMMARY):
+                kept[word] += n
             held.clear()
-            if len(kept) > 4 * SUMMARY:
-                top = kept.most_common(SUMMARY)
+            if len(kept) > 16 * SUMMARY:
+                top = kept.most_common(4 * SUMMARY)
                 kept.clear()
                 kept.update(dict(top))
 
         for batch in batches:
             for text in batch.column(0):
-                held.update(pieces(text.as_py() or ""))
+                held.update(word for word in (text.as_py() or "").split(" ") if len(word) <= WORD)
                 if len(held) > HELD:
                     fold()
         fold()
-        top = [(p, n) for p, n in kept.most_common(SUMMARY) if len(p) <= LONGEST]
+        pieces, found = vocabulary(path).pieces, Counter()
+        for word, n in kept.items():
+            for p in pieces(" " + word):
+                found[p] += n
+        top = [(p, n) for p, n in found.most_common(SUMMARY) if len(p) <= LONGEST]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(summary, "piece string, n bigint")
-    return [r["piece"] for r in counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE).collect()]
+    total = materialize(counted.groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    return [r["piece"] for r in most_frequent(total, "n", TABLE).select("piece").collect()]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,11 +107,15 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
         core = fast_encoder(path)._core_bpe
         special = vocabulary(path).special
         pieces = frequent_pieces(docs, path, text_col)
-        table = spark.sparkContext.broadcast({p: 1 if p in special else len(core.encode_single_piece(p.encode())) for p in pieces})
+        # names end to end with their ends, and a byte for each length
+        ends = np.cumsum([len(p) for p in pieces], dtype=np.uint32)
+        table = spark.sparkContext.broadcast(("".join(pieces), ends, bytes(1 if p in special else len(core.encode_single_piece(p.encode())) for p in pieces)))
 
     def count(batches):
         if table is not None:
-            split, lengths = vocabulary(path).pieces, Lengths(path, table.value)
+            names, ends, sizes = table.value
+            starts = [0, *ends[:-1].tolist()]
+            split, lengths = vocabulary(path).pieces, Lengths(path, {names[a:b]: n for a, b, n in zip(starts, ends.tolist(), sizes, strict=False)})
 
             def tokens(texts):
                 return [sum(map(lengths.__getitem__, split(t))) for t in texts]
