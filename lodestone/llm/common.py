@@ -58,6 +58,22 @@ def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
     return counts.where((F.col(column) > 0) & (level >= least)) if least is not None else counts.limit(0)
 
 
+HOT_SHARE = 1000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with groups on keys; count: how many rows of rows a group has.
+
+    A key with more than a HOT_SHARE-th of the groups' rows would weigh on one task. There are fewer than HOT_SHARE of them, so
+    they are broadcast and their rows stay where they are; the others are joined by key.
+    """
+    groups = materialize(groups, "groups")
+    least = max(groups.agg(F.sum(count)).first()[0] or 0, 1) // HOT_SHARE
+    hot, others = groups.where(F.col(count) > least), groups.where(F.col(count) <= least)
+    of_hot = F.broadcast(hot.select(keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(of_hot, keys, "left_anti").join(others, keys))
+
+
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of consecutive rows with one key, out of batches sorted by it."""
     held: list[pa.RecordBatch] = []

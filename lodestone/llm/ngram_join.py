@@ -14,8 +14,13 @@ at a distance of at most 1/5. The join finds every connected component of the li
    differ by more than 1/5 can't link (triangle inequality), and sets joined to one pivot need no comparison with
    each other. Remaining sets choose further pivots and go to the cell of the nearest; a set x is replicated to the
    cell of pivot p when d(x, p) <= d(x, nearest) + 2/5, and cells are joined recursively, at the end exactly.
-4. A region too large for one task is cut by the same rule in a distributed round: its least sets become pivots, every
-   member is compared with them in salted chunks, and cells, windows and links come out of that round.
+4. A region too large for one task goes through distributed rounds. A round by the same rule takes the members of its
+   smallest components as pivots, compares every member with them in salted chunks, and gives cells, windows and links.
+5. Where the windows don't part a region and the pivots don't connect it (sets at distances just beyond 1/5, such as pages of one
+   template), a second exact filter does: in the order of rarity inside the region, two linked sets share an element
+   among the first |A| - ceil(8/9 |A|) + 1 of the smaller set and the first |B| - ceil(4/5 |B|) + 1 of the larger. So every set
+   is compared only with those that hold one of its few rarest elements early, in memory or in tasks over bounded chunks.
+   Whatever the data, the rounds are few.
 
 Cases: null or blank texts have an empty set and link with nothing; null ids take part, and count for nothing in the
 least id of a component; repeated ids and rows stay one output row each; extra columns are ignored.
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom, components, in_bloom, materialize, per_key
+from .common import bloom, components, in_bloom, materialize, most_frequent, per_key, with_groups
 from .shingles import shingle_sets
 
 NUM, DEN = 4, 5  # links at similarity >= NUM / DEN
@@ -41,12 +46,24 @@ TABLE = 1 << 16  # most entries of the broadcast table of frequent shingles: 512
 PER_BUCKET = 1_000_000  # shingles counted in one task at a time
 REGION_MB = 48  # sets of a region that one task joins in memory
 LEAF = 16  # sets compared pair by pair
+PARTED, COPIES = 0.7, 4.0  # a dealt region or cell: largest part, all parts together
+ROUNDS = 40  # most distributed rounds; what they leave is finished by rare elements
 
 
 def head_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def probe_length(n):
+    """How much of a set of n elements must be looked at where the other one may have any size."""
+    return n + (-NUM * n) // DEN + 1
+
+
+def index_length(n):
+    """The same where the other set is at least as large."""
+    return n + (-2 * NUM * n) // (NUM + DEN) + 1
+
+
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -121,20 +138,19 @@ def _deal(buckets: int):
             values, owner, bucket = values[order], owner[order], bucket[order]
             home = np.array([int.from_bytes(x[:6], "little") % buckets for x in sids], np.int64)
             keys, blobs, owners, counts, metas = [], [], [], [], []
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
             by_home = np.argsort(home, kind="stable")
-            homes = np.searchsorted(home[by_home], np.arange(buckets + 1))
-            for b in range(buckets):
-                lo, hi = edges[b], edges[b + 1]
-                mine = by_home[homes[b] : homes[b + 1]]
-                if lo == hi and not len(mine):
-                    continue
+            # the buckets that this batch has something for, however many there are in all
+            present = np.union1d(bucket, home)
+            edges = np.searchsorted(bucket, present), np.searchsorted(bucket, present, "right")
+            homes = np.searchsorted(home[by_home], present), np.searchsorted(home[by_home], present, "right")
+            rows = batch.select(["n", "hots", "rest"]).to_pylist()
+            for b, lo, hi, first, last in zip(present.tolist(), *edges, *homes, strict=True):
                 who, n = np.unique(owner[lo:hi], return_counts=True)
                 keys.append(b)
                 blobs.append(values[lo:hi].tobytes())
                 owners.append(b"".join(sids[i] for i in who))
                 counts.append(n.astype(np.uint32).tobytes())
-                metas.append([{"sid": sids[i], "n": batch.column("n")[i].as_py(), "c": int(sizes[i]), "hots": batch.column("hots")[i].as_py(), "rest": batch.column("rest")[i].as_py()} for i in mine.tolist()])
+                metas.append([{"sid": sids[i], "c": int(sizes[i]), **rows[i]} for i in by_home[first:last].tolist()])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), pa.array(owners, pa.binary()), pa.array(counts, pa.binary()), pa.array(metas, META)], ["bucket", "shingles", "owners", "counts", "metas"])
 
     return work
@@ -214,15 +230,25 @@ def _full_sets(text: str, bits: bytes):
     return work
 
 
+def _cells(dist: np.ndarray) -> np.ndarray:
+    """Which sets belong to which pivot's cell: at home in the nearest one's, guests in those before it that a link may reach.
+    Linked sets meet where the one whose home comes first is at home."""
+    home = dist.argmin(0)
+    near = dist <= dist.min(0) + 2 * (1 - NUM / DEN + 1e-9)
+    order = np.arange(len(dist))[:, None]
+    return near & (order < home) | (order == home)
+
+
 class Region:
     """Sets of one region in memory, as one array of item numbers with offsets."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(x) for x in sets])
+        self.n = np.array([len(x) for x in sets], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.n)])
         values, self.items = np.unique(np.concatenate(sets), return_inverse=True)
         self.mark = np.zeros(len(values), bool)
         self.parent = np.arange(len(sets))
+        self.found: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -250,50 +276,88 @@ class Region:
         union = self.n[p] + self.n[ids] - both
         return 1 - both / union, DEN * both >= NUM * union
 
+    def link(self, a: int, ids: np.ndarray) -> None:
+        """Note links of a with ids: one for each component that they join."""
+        for b in ids.tolist():
+            if (x := self.find(a)) != (y := self.find(b)):
+                self.parent[max(x, y)] = min(x, y)
+                self.found.append((a, b))
+
     def join(self) -> list[tuple[int, int]]:
         """Links that connect exactly what all links connect."""
-        found: list[tuple[int, int]] = []
-        radius = 1 - NUM / DEN + 1e-9
+        self._cell(np.arange(len(self.n)), 0)
+        return self.found
 
-        def link(a: int, ids) -> None:
-            for b in ids:
-                if (x := self.find(a)) != (y := self.find(int(b))):
-                    self.parent[max(x, y)] = min(x, y)
-                    found.append((a, int(b)))
-
-        def cell(ids: np.ndarray, depth: int) -> None:
-            while len(ids) > 1:
-                if (r := self.roots(ids)).min() == r.max():
-                    return  # all connected already
-                if len(ids) <= LEAF or depth > 6:
-                    p, ids = ids[0], ids[1:]
-                    other = ids[self.roots(ids) != self.find(p)]
-                    link(p, other[self.links(p, other)[1]])
-                    continue
-                # one pivot at a time until its ball stops growing the component, then cells around several
-                pivots = self._pivots(ids, r)
-                rows = []
-                for p in pivots:
-                    d, linked = self.links(p, ids)
-                    link(p, ids[linked])
-                    rows.append(d)
-                dist = np.stack(rows)
-                left = ids[~np.isin(ids, pivots)]
-                dist = dist[:, ~np.isin(ids, pivots)]
-                r = self.roots(left)
-                if not len(left) or r.min() == r.max():
-                    return
-                near = dist.min(0)
-                cells = [left[dist[k] <= near + 2 * radius] for k in range(len(pivots))]
-                if max(map(len, cells)) <= 0.7 * len(left):
-                    for k, part in enumerate(cells):
-                        # members of one component that lie outside every window of the others need no more work
-                        cell(self._window(part, dist[k][np.isin(left, part)], radius), depth + 1)
-                    return
-                ids = left  # the pivots are settled; go on with the others
-
-        cell(np.arange(len(self.n)), 0)
-        return found
+    def _cell(self, ids: np.ndarray, depth: int) -> None:
+        radius = 1 - NUM / DEN + 1e-9
+        while len(ids) > 1:
+            r = self.roots(ids)
+            if r.min() == r.max():
+                return  # all connected already
+            if len(ids) <= LEAF:
+                p, ids = ids[0], ids[1:]
+                other = ids[self.roots(ids) != self.find(p)]
+                self.link(p, other[self.links(p, other)[1]])
+                continue
+            if depth > 6:
+                return self._by_prefix(ids)
+            # several pivots at a time, then cells around them
+            pivots = self._pivots(ids, r)
+            rows = []
+            for p in pivots:
+                d, linked = self.links(p, ids)
+                self.link(p, ids[linked])
+                rows.append(d)
+            stay = ~np.isin(ids, pivots)
+            left, dist = ids[stay], np.stack(rows)[:, stay]
+            after = self.roots(left)
+            if not len(left) or after.min() == after.max():
+                return
+            cells = _cells(dist)
+            sizes = cells.sum(1)
+            if sizes.max() <= PARTED * len(left) and sizes.sum() <= COPIES * len(left):
+                for k, part in enumerate(cells):
+                    # members of one component that lie outside every window of the others need no more work
+                    self._cell(self._window(left[part], dist[k][part], radius), depth + 1)
+                return
+            if len(np.unique(after)) > PARTED * len(np.unique(r)):
+                return self._by_prefix(left)  # neither parted nor connected
+            ids = left  # the pivots are settled; go on with the others
+
+    def _by_prefix(self, ids: np.ndarray) -> None:
+        """Every set against those that hold one of its rarest elements early enough, see point 5 above."""
+        n = self.n[ids]
+        starts = np.concatenate([[0], np.cumsum(n)])
+        owner = np.repeat(np.arange(len(ids)), n)
+        items = self.items[np.arange(starts[-1]) + np.repeat(self.offsets[ids] - starts[:-1], n)]
+        held = np.bincount(items, minlength=len(self.mark))
+        order = np.lexsort((items, held[items], owner))
+        items, place = items[order], np.arange(starts[-1]) - starts[owner]
+        early = (place < probe_length(n)[owner]) & (held[items] > 1)
+        items, owner, place = items[early], owner[early], place[early]
+        # postings: for each element the sets that hold it early
+        by_item = np.argsort(items, kind="stable")
+        values, first = np.unique(items[by_item], return_index=True)
+        last = np.append(first[1:], len(items))
+        of_set = np.searchsorted(owner, np.arange(len(ids) + 1))
+        index = index_length(n)
+        for a in range(len(ids)):
+            mine = np.arange(of_set[a], of_set[a + 1])
+            mine = mine[place[mine] < index[a]]
+            if not len(mine):
+                continue
+            at = np.searchsorted(values, items[mine])
+            size = last[at] - first[at]
+            which = np.repeat(np.arange(len(mine)), size)
+            entry = by_item[np.arange(size.sum()) + np.repeat(first[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)]
+            b = owner[entry]
+            # at the first element they share, what may still follow in both must suffice
+            most = 1 + np.minimum(n[a] - place[mine][which], n[b] - place[entry]) - 1
+            fits = (n[b] >= n[a]) & (b != a) & (DEN * n[a] >= NUM * n[b]) & ((NUM + DEN) * most >= NUM * (n[a] + n[b]))
+            others = ids[np.unique(b[fits])]
+            others = others[self.roots(others) != self.find(int(ids[a]))]
+            if len(others):
+                self.link(int(ids[a]), others[self.links(int(ids[a]), others)[1]])
 
     def _window(self, ids: np.ndarray, d: np.ndarray, radius: float) -> np.ndarray:
         """Drop what can't link to another component: no member of another one within the radius in distance to the pivot."""
@@ -334,59 +398,148 @@ def _against_pivots(left, right):
         ids = np.arange(k, k + len(members))
         got = [region.links(p, ids) for p in range(k)]
         dist, linked = np.stack([g[0] for g in got]), np.stack([g[1] for g in got])
-        cells = dist <= dist.min(0) + 2 * (1 - NUM / DEN + 1e-9)
+        cells = _cells(dist)
         sids, n = members["sid"].tolist(), members["n"].tolist()
         for i, sid in enumerate(sids):
             out += [(None, None, pivots[p], sid, 0) for p in np.flatnonzero(linked[:, i])]
             out += [(parent, pivots[p], None, sid, n[i]) for p in np.flatnonzero(cells[:, i])]
-    if left["chunk"].iloc[0] == 0:
-        region = Region(sets)
-        for p in range(len(pivots)):
-            later = np.arange(p + 1, len(pivots))
-            out += [(None, None, pivots[p], pivots[q], 0) for q in later[region.links(p, later)[1]]]
     return pd.DataFrame(out, columns=["parent", "pivot", "u", "sid", "n"])
 
 
+def _early_elements(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (region, item, sid, n, index) of the elements that stand early in a set in the order of rarity inside its region, of
+    those that several members hold; index: early enough for a partner of the same size or more."""
+
+    def unpack(batches):
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                times = np.repeat(np.arange(part.num_rows), sizes[i : i + 64])
+                items = np.concatenate([np.frombuffer(x, np.int64) for x in part.column("items").to_pylist()])
+                for j in range(0, len(items), 1 << 16):
+                    at = pa.array(times[j : j + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("region", "sid", "n")), pa.array(items[j : j + (1 << 16)])], ["region", "sid", "n", "item"])
+
+    unpacked = materialize(members.join(sets, "sid").select("region", "sid", "n", "items").mapInArrow(unpack, "region binary, sid binary, n bigint, item bigint"), "items")
+    held = unpacked.groupBy("region", "item").agg(F.count("*").alias("held"))
+    rows = with_groups(unpacked, held, ["region", "item"], "held")
+    # each set's own elements, a bounded group; ranks count the elements that no other set holds as well
+    order = Window.partitionBy("region", "sid").orderBy("held", "item")
+    rows = rows.withColumn("place", F.row_number().over(order) - 1)
+    whole = lambda length: F.expr(f"n - {length} + 1")
+    probe, index = whole(f"((n * {NUM} + {DEN - 1}) div {DEN})"), whole(f"((n * {2 * NUM} + {NUM + DEN - 1}) div {NUM + DEN})")
+    return rows.where((F.col("place") < probe) & (F.col("held") > 1)).select("region", "item", "sid", "n", (F.col("place") < index).alias("index"))
+
+
+def _against_index(part: pa.Table) -> pa.Table | None:
+    """Links of a task's index members with all members."""
+    rows = {}
+    for sid, index, items in zip(*(part.column(c).to_pylist() for c in ("sid", "index", "items")), strict=True):
+        rows[sid] = (index or rows.get(sid, (False,))[0], items)
+    sids, flags = list(rows), np.array([x[0] for x in rows.values()])
+    if len(sids) < 2 or not flags.any():
+        return None
+    region = Region([np.frombuffer(x[1], np.uint64) for x in rows.values()])
+    for a in np.flatnonzero(flags).tolist():
+        # sizes alone rule out many
+        others = np.flatnonzero((DEN * region.n >= NUM * region.n[a]) & (DEN * region.n[a] >= NUM * region.n))
+        others = others[region.roots(others) != region.find(a)]
+        region.link(a, others[region.links(a, others)[1]])
+    found = region.found
+    return pa.table([pa.array([sids[a] for a, _ in found], pa.binary()), pa.array([sids[b] for _, b in found], pa.binary())], ["u", "v"])
+
+
+def _by_rare_elements(members: DataFrame, sets: DataFrame, cap: float) -> DataFrame:
+    """Links of regions that neither windows nor pivots take apart: groups of sets that share an early element, in which those that
+    hold it as index elements are compared with all; chunk by chunk of both where a group is large."""
+    early = materialize(_early_elements(members, sets), "early")
+    pivot = early.groupBy("region", "item").agg(F.min(F.when(F.col("index"), F.col("sid"))).alias("pivot"), F.count("*").alias("k")).where("pivot IS NOT NULL AND k > 1")
+    rows = with_groups(early, pivot, ["region", "item"], "k")
+    rows = rows.groupBy(F.md5(F.concat("region", "pivot")).alias("group"), "sid").agg(F.max("index").alias("index"), F.max("n").alias("n"))
+    rows = materialize(rows, "rare")
+    size = rows.groupBy("group").agg(F.ceil(F.sum("n") / (cap / 4)).cast("int").alias("chunks"), F.ceil(F.sum(F.when(F.col("index"), F.col("n"))) / (cap / 4)).cast("int").alias("index_chunks"))
+    rows = rows.join(size, "group").withColumn("c", F.pmod(F.xxhash64("sid"), "chunks")).withColumn("i", F.pmod(F.xxhash64("sid", F.lit(1)), "index_chunks"))
+    all_ = rows.select("group", "c", F.explode(F.expr("sequence(0, index_chunks - 1)")).alias("i"), "sid", F.lit(False).alias("index"))
+    index = rows.where("index").select("group", F.explode(F.expr("sequence(0, chunks - 1)")).alias("c"), "i", "sid", F.lit(True).alias("index"))
+    tasks = all_.unionByName(index).select(F.concat_ws(":", "group", "c", "i").alias("task"), "sid", "index").join(sets, "sid")
+    return per_key(tasks.select("task", "sid", "index", "items"), "task", _against_index, "u binary, v binary")
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame, cap: float) -> DataFrame:
+    """Links of regions of a few long sets, each pair of bounded blocks of a region in a task of its own."""
+    blocks = members.groupBy("region").agg(F.ceil(F.sum("n") / (cap / 2)).cast("int").alias("blocks"))
+    rows = members.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    pairs = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(sets, "sid")
+    task = F.concat_ws(":", F.hex("region"), F.least("block", "other"), F.greatest("block", "other"))
+    return per_key(pairs.select(task.alias("task"), "sid", "items"), "task", _join_region, "u binary, v binary")
+
+
 def region_links(members: DataFrame, sets: DataFrame, region_mb: float = REGION_MB, pivots: int = 64) -> DataFrame:
     """Links (u, v) that connect what all links inside regions connect. members: region, sid, n; sets: sid, items.
 
-    A region beyond region_mb goes through distributed rounds. Each settles its pivots, members of the components that are
-    smallest there, against all members; what is left goes to cells, or stays one region where the windows don't part it,
-    and is dropped once all of it is one component. So every round takes pivots away and the rounds end.
+    A region beyond region_mb goes through distributed rounds (see the module's points 4 and 5). A round that parts it, or that
+    leaves at most PARTED of its components, is followed by another; otherwise its rare elements finish it. So the number of
+    rounds grows with the logarithm of a region's size.
     """
     done = None
     cap = region_mb * 1e6 / 8
-    members = members.withColumn("weight", F.lit(0).cast("bigint"))
-    while True:
-        size = members.groupBy("region").agg(F.sum("n").alias("items"), F.count("*").alias("members"))
-        large = materialize(size.where((F.col("items") > cap) & (F.col("members") > 2 * pivots)), "large")
+    members = members.withColumn("weight", F.lit(0).cast("bigint")).withColumn("root", F.col("sid"))
+    settled = None
+    for _ in range(ROUNDS):
+        size = members.groupBy("region").agg(F.sum("n").alias("items"), F.max("n").alias("longest"), F.count("*").alias("members"))
+        large = materialize(size.where((F.col("items") > cap) & (F.col("members") > 1)), "large")
         small = members.join(large.select("region"), "region", "left_anti")
         found = per_key(small.join(sets, "sid").select("region", "sid", "items"), "region", _join_region, "u binary, v binary")
         links = materialize(found, "links")
         done = links if done is None else done.unionByName(links)
         if large.isEmpty():
             return done
-        chunked = large.select("region", F.ceil(F.col("items") / (cap / 4)).cast("int").alias("chunks"))
-        spread = members.join(chunked, "region").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+        # few sets, which must be long ones, are compared in blocks at once
+        few = F.col("members") <= 2 * pivots
+        done = done.unionByName(materialize(_in_blocks(members.join(large.where(few).select("region"), "region", "left_semi"), sets, cap), "links"))
+        large = large.where(~few)
+        if large.isEmpty():
+            return done
+        # as many pivots as a task can hold beside a chunk
+        most = F.greatest(F.lit(1), F.least(F.lit(pivots), F.floor(cap / 4 / F.col("longest"))))
+        chunked = large.select("region", F.ceil(F.col("items") / (cap / 4)).cast("int").alias("chunks"), most.cast("int").alias("most"))
+        spread = materialize(members.join(chunked, "region").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")), "spread")
         # the least of each chunk first, so that no task gathers a whole region
-        least = lambda df, *keys: df.groupBy(*keys).agg(F.expr(f"slice(array_sort(collect_set(struct(weight, sid))), 1, {pivots})").alias("s")).select(*keys, F.explode("s").alias("s")).select(*keys, "s.weight", "s.sid")
-        first = spread.withColumn("rank_", F.row_number().over(Window.partitionBy("region", "chunk").orderBy("weight", "sid"))).where(F.col("rank_") <= pivots)
-        chosen = materialize(least(first, "region").join(sets, "sid"), "pivots")
+        rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("weight", "sid"))
+        first = spread.withColumn("rank_", rank("region", "chunk")).where("rank_ <= most")
+        chosen = materialize(first.withColumn("rank_", rank("region")).where("rank_ <= most").select("region", "sid").join(sets, "sid"), "pivots")
         copies = chunked.select("region", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk")).join(chosen.select("region", "sid", "items"), "region")
-        out = spread.join(sets, "sid").groupBy("region", "chunk").cogroup(copies.groupBy("region", "chunk")).applyInPandas(lambda a, b: _against_pivots(a, b) if len(a) else _nothing(), "parent binary, pivot binary, u binary, sid binary, n bigint")
+        out = spread.select("region", "chunk", "sid", "n").join(sets, "sid").groupBy("region", "chunk").cogroup(copies.groupBy("region", "chunk")).applyInPandas(lambda a, b: _against_pivots(a, b) if len(a) else _nothing(), "parent binary, pivot binary, u binary, sid binary, n bigint")
         out = materialize(out, "round")
-        done = done.unionByName(out.where("u IS NOT NULL").selectExpr("u", "sid AS v"))
-        settled = components(done.select("u", "v")).withColumnRenamed("node", "sid")
+        # the pivots among themselves
+        among = materialize(per_key(chosen.select("region", "sid", "items"), "region", _join_region, "u binary, v binary"), "links")
+        new = out.where("u IS NOT NULL").selectExpr("u", "sid AS v").unionByName(among)
+        done = done.unionByName(new)
+        # components so far: those of the rounds before, joined by the links of this one
+        joined = new.unionByName(links)
+        if settled is not None:
+            joined = joined.unionByName(settled.selectExpr("sid AS u", "root AS v"))
+        settled = components(joined).withColumnRenamed("node", "sid")
 
         cells = out.where("u IS NULL").select("parent", "pivot", "sid", "n")
-        widest = cells.groupBy("parent", "pivot").agg(F.count("*").alias("c")).groupBy("parent").agg(F.max("c").alias("widest"))
-        parts = cells.groupBy("parent").agg(F.count_distinct("sid").alias("all")).join(widest, "parent").select("parent", (F.col("widest") <= 0.7 * F.col("all")).alias("parted"))
-        placed = cells.join(parts, "parent").select(F.when(F.col("parted"), F.unhex(F.md5(F.concat("parent", "pivot")))).otherwise(F.col("parent")).alias("region"), "sid", "n").distinct()
+        sums = cells.groupBy("parent", "pivot").agg(F.count("*").alias("c")).groupBy("parent").agg(F.max("c").alias("widest"), F.sum("c").alias("copies"))
+        parted = (F.col("widest") <= PARTED * F.col("all")) & (F.col("copies") <= COPIES * F.col("all"))
+        parts = cells.groupBy("parent").agg(F.count_distinct("sid").alias("all")).join(sums, "parent").select("parent", parted.alias("parted"))
+        was = spread.groupBy("region").agg(F.count_distinct("root").alias("before"))
+        placed = cells.join(parts, "parent").select("parent", F.when(F.col("parted"), F.unhex(F.md5(F.concat("parent", "pivot")))).otherwise(F.col("parent")).alias("region"), "parted", "sid", "n").distinct()
         placed = placed.join(settled, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        inside = placed.groupBy("region", "root").agg(F.count("*").alias("weight"))
-        mixed = inside.groupBy("region").agg(F.count("*").alias("k")).where("k > 1").select("region")
+        inside = placed.groupBy("parent", "parted", "region", "root").agg(F.count("*").alias("weight"))
+        mixed = inside.groupBy("parent", "parted", "region").agg(F.count("*").alias("k")).where("k > 1")
+        state = mixed.join(was.withColumnRenamed("region", "parent"), "parent").select("region", (F.col("parted") | (F.col("k") <= PARTED * F.col("before"))).alias("goes_on"))
         # pivots settled together with one component leave others that still have to meet the rest
-        members = materialize(placed.join(mixed, "region", "left_semi").join(inside, ["region", "root"]).select("region", "sid", "n", "weight"), "members")
+        left = placed.join(state, "region").join(inside.select("region", "root", "weight"), ["region", "root"])
+        left = materialize(left.select("region", "sid", "n", "weight", "root", "goes_on"), "members")
+        stuck = left.where("NOT goes_on").select("region", "sid", "n")
+        if not stuck.isEmpty():
+            done = done.unionByName(materialize(_by_rare_elements(stuck, sets, cap), "links"))
+        members = left.where("goes_on").drop("goes_on")
+    return done.unionByName(materialize(_by_rare_elements(members.select("region", "sid", "n"), sets, cap), "links"))
 
 
 def _nothing():
@@ -402,7 +555,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, region_mb: float, tagge
     rows = docs.select(F.col(id_col).cast("bigint").alias("id_"), tag.alias("tag_"), text.alias("text_"))
     seen = materialize(rows.mapInArrow(_signatures("text_", "id_"), "doc_id bigint, tag binary, n_shingles bigint, sid binary, hot bigint, hot_count bigint"), "signatures")
     base = seen.where("hot IS NULL").select("doc_id", "tag", "n_shingles", "sid")
-    frequent = seen.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("hot_count").alias("c")).orderBy(F.desc("c"), "hot").limit(TABLE).collect()
+    counted = materialize(seen.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("hot_count").alias("c")), "frequent")
+    frequent = sorted(most_frequent(counted, "c", TABLE).collect(), key=lambda r: (-r["c"], r["hot"]))
     hot = np.array([r["hot"] for r in frequent], np.int64).astype(np.uint64)
     hot_rank = {int(x): -i for i, x in enumerate(hot.tolist())}
 
@@ -415,8 +569,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, region_mb: float, tagge
     shared = per_key(dealt, "bucket", _shared, "sid binary, shingles binary, dfs binary, meta struct<n:bigint,c:bigint,hots:binary,rest:binary>")
     head = materialize(per_key(shared, "sid", _head_of(hot_rank), "shingle bigint, sid binary"), "heads")
 
-    pivot = head.groupBy("shingle").agg(F.min("sid").alias("region"), F.count("*").alias("k")).where("k > 1").drop("k")
-    members = head.join(pivot, "shingle").select("region", "sid").distinct()
+    pivot = head.groupBy("shingle").agg(F.min("sid").alias("region"), F.count("*").alias("k")).where("k > 1")
+    members = with_groups(head, pivot, ["shingle"], "k").select("region", "sid").distinct()
     sizes = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("n_shingles").alias("n"))
     members = materialize(members.join(sizes, "sid").select("region", "sid", "n"), "members")
     asked = members.select("sid").distinct()
