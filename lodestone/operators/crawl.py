@@ -31,7 +31,8 @@ def enough(prefix: str = "") -> str:
 def merge(parts: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Metadata rows of one key merged in order: lists joined without repeats, counts added, flags or-ed, first value kept.
 
-    parts: key, ordinal and the columns of parse(). An aggregate over (ordinal, value) pairs, so partial results combine.
+    parts: key, ordinal and the columns of parse(). The rows of a key are gathered into one, so a key should have few of them, as
+    the key pages of a site are.
     """
     held = F.expr(f"array_sort(collect_list(struct({ordinal} AS o_, " + ", ".join([*LISTS, *TEXTS, "form_detected", "url", "invalid_phone_candidates_count", "phone_validation_rejections", "social_profile", "clean_text", "page_type"]) + ")))")
     # maps can't be sorted, so they travel as entries
@@ -64,12 +65,16 @@ def stop_when_enough(parts: DataFrame, key: str, ordinal: str) -> DataFrame:
 def crawl(roots: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
     """Merged metadata of the key pages of every root page: self-join of internal links with the pages at hand.
 
-    Of pages with one URL the least page_id counts. Only narrow rows meet by URL; metadata joins by page_id.
+    Of pages with one URL the least page_id counts. Only narrow rows meet by URL; metadata joins by the row's own key.
     """
+    own = "row_key" if "row_key" in pages.columns else "page_id"
     links = key_links(roots.select(F.col(key).alias("root"), F.explode("internal_links").alias("url")))
-    at_hand = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    texts = pages.drop("url").withColumn("clean_text", F.substring("clean_text", 1, PAGE_TEXT))
-    found = links.join(at_hand, "url").join(texts, "page_id")
+    at_hand = pages.groupBy("url").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", F.col(own).alias("k"))).alias("m")).select("url", F.col("m.k").alias("own_"))
+    texts = pages.drop("url").withColumn("clean_text", F.substring("clean_text", 1, PAGE_TEXT)).withColumnRenamed(own, "own_")
+    if own == "row_key":
+        texts = texts.drop("page_id")
+    # rows that repeat altogether give the same metadata; a link takes one of them
+    found = links.join(at_hand, "url").join(texts, "own_").dropDuplicates(["root", "crawl_rank"])
     return merge(stop_when_enough(found, "root", "crawl_rank"), "root", "crawl_rank")
 
 

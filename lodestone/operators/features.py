@@ -1,6 +1,6 @@
 """Heuristic features of a page and their weighted score. Native expressions over one row.
 
-Input columns: those of parse() plus html (raw), and the target's criteria as columns of the job:
+Input columns: those of parse() plus html_stack (technologies of the raw HTML) or html itself, and the target's criteria as columns of the job:
 target_niche, target_location, target_language, target_pain_points, target_budget_signals, user_technologies.
 """
 
@@ -114,7 +114,7 @@ def profile(df: DataFrame) -> DataFrame:
 def heuristics(df: DataFrame) -> DataFrame:
     """Adds the six components with evidence, score, confidence_level, revenue signal, fit summary, signals and opportunities."""
     df = profile(df).withColumns({
-        "inferred_tech_stack": F.expr(technologies("coalesce(html, '')")), "hiring_signals": F.expr(hiring("clean_text", "internal_links")),
+        "inferred_tech_stack": F.expr("html_stack" if "html_stack" in df.columns else technologies("coalesce(html, '')")), "hiring_signals": F.expr(hiring("clean_text", "internal_links")),
         "detected_hint": F.expr(language_hint("text_f")), "niche_words": F.expr(keywords("target_niche")), "clean_len": F.expr("length(trim(clean_text))"),
     })
     niche = ascii_fold("trim(target_niche)")

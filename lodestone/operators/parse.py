@@ -63,18 +63,15 @@ def addresses_in(text: str) -> str:
 
 
 def _nodes(df: DataFrame) -> DataFrame:
-    """Structured nodes: JSON blocks, lists and @graph flattened two levels, kept by keys and type."""
-    listed = "CASE WHEN startswith(ltrim(j), '[') THEN from_json(j, 'array<string>') ELSE array(j) END"
-    df = df.withColumn("n0", F.expr(f"flatten(transform(json_ld, j -> coalesce({listed}, cast(array() AS array<string>))))"))
-    df = df.withColumn("n1", F.expr("concat(n0, flatten(transform(n0, j -> coalesce(from_json(get_json_object(j, '$.@graph'), 'array<string>'), cast(array() AS array<string>)))))"))
+    """Structured nodes, kept by keys and type."""
     kept = " OR ".join(f"get_json_object(j, '$.{k}') IS NOT NULL" for k in ("@type", "address", "areaServed", "telephone", "email"))
     kind = "lower(coalesce(get_json_object(j, '$.@type'), ''))"
     types = ", ".join(quoted(t) for t in rules.NODE_TYPES)
-    return df.withColumn("structured_data", F.expr(f"filter(n1, j -> ({kept}) AND ({kind} = '' OR {kind} IN ({types})))")).drop("n0", "n1")
+    return df.withColumn("structured_data", F.expr(f"filter(json_ld, j -> ({kept}) AND ({kind} = '' OR {kind} IN ({types})))"))
 
 
-def parse(raw: DataFrame) -> DataFrame:
-    """Metadata of pages out of read_pages(): one row per page."""
+def parse(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Metadata of pages out of read_pages(): one row per page, with the columns to keep."""
     ref = any_in("lower(concat(coalesce(url, ''), ' ', title, ' ', description))", rules.REFERENCE_PAGES)
     df = _nodes(raw).withColumns({"reference": F.expr(ref), "primary_profile": F.expr(social_profile("url", "true"))})
     field = lambda k: f"get_json_object(j, '$.{k}')"
@@ -163,7 +160,7 @@ def parse(raw: DataFrame) -> DataFrame:
     kept = "transform(filter(transform(profiles, (p, i) -> named_struct('p', p, 'new', NOT exists(slice(profiles, 1, i), q -> q.platform = p.platform AND q.url = p.url))), x -> x.new), x -> x.p)"
     own = f"CASE WHEN social_profile IS NOT NULL AND p.url = url THEN named_struct('platform', p.platform, 'url', p.url, 'handle', p.handle, 'is_primary', p.is_primary, 'profile_kind', p.profile_kind, 'contact_signals', {signals}, 'activity_signals', social_profile.activity_signals, 'confidence', p.confidence) ELSE p END"
     return df.select(
-        "page_id", "url", "title", "description", "html_lang", "meta_locale", "clean_text", "form_detected", "anchors", "emails", "phones", "addresses", "opening_hours", "area_served",
+        *keep, "page_id", "url", "title", "description", "html_lang", "meta_locale", "clean_text", "form_detected", "anchors", "emails", "phones", "addresses", "opening_hours", "area_served",
         "social_links", "internal_links", "external_links", "map_links", "whatsapp_url", "booking_url", "pricing_page_url", "service_page_url", "cta_candidates", "primary_cta",
         "structured_data", "structured_data_evidence", "contact_channels", "social_profile",
         F.expr(f"transform({kept}, p -> {own})").alias("social_profiles"), F.expr("size(social_links)").alias("social_links_count"),

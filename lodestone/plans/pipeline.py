@@ -43,13 +43,21 @@ def with_criteria(pages: DataFrame, criteria: dict | None = None) -> DataFrame:
 
 
 def metadata(pages: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """Metadata of pages(page_id, url, html) merged with their key pages', with the raw HTML, identity and what discovery said of the URL."""
-    parsed = shared(parse(read_pages(pages)), "page_id")
-    rows = crawl.identity(barrier(crawl.with_key_pages(parsed, parsed))).join(pages.select("page_id", "html"), "page_id")
+    """Metadata of pages(page_id, url, html) merged with their key pages', with the technologies of the HTML, identity and what
+    discovery said of the URL: one row per row of pages.
+
+    Rows are told apart by a digest of what they hold, so null and repeated ids keep their rows; what the rules need of the HTML is
+    taken where it is read, and nothing is joined back. Of several hits for one URL the least title and snippet count.
+    """
+    told = F.md5(F.to_json(F.struct("page_id", "url", "html"))).alias("row_key")
+    raw = read_pages(pages.select("page_id", "url", "html", told), keep=("row_key", "html"))
+    raw = raw.withColumn("html_stack", F.expr(features.technologies("coalesce(html, '')"))).drop("html")
+    parsed = shared(parse(raw, ("row_key", "html_stack")), "row_key")
+    rows = crawl.identity(barrier(crawl.with_key_pages(parsed, parsed, "row_key"))).drop("row_key")
     if hits is None:
         return rows.withColumns({"discovery_title": F.lit(None).cast("string"), "discovery_snippet": F.lit(None).cast("string")})
-    found = hits.select("url", F.col("title").alias("discovery_title"), F.col("snippet").alias("discovery_snippet"))
-    return rows.join(found, "url", "left")
+    found = hits.groupBy("url").agg(F.min(F.struct(F.col("title").alias("t"), F.col("snippet").alias("s"))).alias("h"))
+    return rows.join(found.select("url", F.col("h.t").alias("discovery_title"), F.col("h.s").alias("discovery_snippet")), "url", "left")
 
 
 def assess(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ node, scripts and the like are left out, and links are resolved against the page
 
 from __future__ import annotations
 
+import json
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -104,6 +105,23 @@ def normalise_link(base: str, href: str) -> str | None:
         return None
 
 
+def nodes_of(block: str) -> list[dict]:
+    """Objects of a JSON-LD block at any depth of lists and @graph, an object before those of its graph; none if it isn't JSON."""
+    try:
+        waiting = [json.loads(block)]
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while waiting:
+        found = waiting.pop()
+        if isinstance(found, dict):
+            out.append(found)
+            found = found.get("@graph")
+        if isinstance(found, list):
+            waiting += reversed(found)
+    return out
+
+
 def read_page(html: str | None, base: str | None) -> dict:
     reader = Reader()
     reader.feed(html or "")
@@ -120,18 +138,20 @@ def read_page(html: str | None, base: str | None) -> dict:
     return {
         "title": "".join(reader.title or []).strip(), "description": ((named or {}).get("content") or "").strip(), "html_lang": (reader.lang or "").strip().lower() or None,
         "meta_locale": (meta("property", "og:locale") or "").lower() or None, "site_name": meta("property", "og:site_name"), "form_detected": reader.form,
-        "clean_text": re.sub(r"\s+", " ", " ".join(reader.texts)), "anchors": anchors, "buttons": buttons, "json_ld": ["".join(x) for x in reader.json],
+        "clean_text": re.sub(r"\s+", " ", " ".join(reader.texts)), "anchors": anchors, "buttons": buttons, "json_ld": [json.dumps(n, ensure_ascii=False) for x in reader.json for n in nodes_of("".join(x))],
     }
 
 
-def read_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url and the raw parts of every page."""
+def read_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, url, the raw parts of every page, and the columns to keep."""
+    names = ["page_id", "url", *keep]
 
     def work(batches):
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 got = [read_page(h, u) for h, u in zip(part.column("html").to_pylist(), part.column("url").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *(pa.array([g[name] for g in got], kind) for name, kind in FIELDS)], ["page_id", "url", *(name for name, _ in FIELDS)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array([g[name] for g in got], kind) for name, kind in FIELDS)], [*names, *(name for name, _ in FIELDS)])
 
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(work, f"page_id bigint, url string, {SCHEMA}")
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), *(c for c in keep if c != "html"))
+    kept = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.mapInArrow(work, f"page_id bigint, url string, {kept}{SCHEMA}")

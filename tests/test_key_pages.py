@@ -82,3 +82,26 @@ def test_prospect_uses_what_only_key_pages_say(pages):
     assert {r["page_id"]: r["primary_email"] for r in rows.where("page_id IN (1, 7)").collect()} == {1: "hola@a.es", 7: "info@b.es"}
     kinds = {(r["url"], r["page_type"]) for r in pipeline.sinks(rows.where("page_id = 7"), "2024-01-01")["prospect_pages"].collect()}
     assert ("https://b.es/about", "about") in kinds
+
+
+def test_null_and_repeated_ids_keep_their_rows(spark):
+    """One row out for each row in, whatever the ids; hits that repeat don't multiply pages."""
+    rows = [(1, "https://a.es/", f"<title>A</title>{LINKS}"), (1, "https://c.es/", "<title>C</title>react-dom"), (None, "https://n.es/", '<title>N</title><a href="/contacto">c</a>'), (None, "https://n.es/contacto", '<a href="mailto:hola@n.es">m</a>')]
+    rows += [rows[0], (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    hits = spark.createDataFrame([("https://a.es/", "t2", "s"), ("https://a.es/", "t1", "s")], "url string, title string, snippet string")
+    out = pipeline.metadata(pages, hits).collect()
+    assert sorted((r["page_id"] or 0, r["url"] or "") for r in out) == sorted((p or 0, u or "") for p, u, _ in rows)
+    by = {(r["page_id"], r["url"]): r for r in out}
+    assert by[1, "https://c.es/"]["html_stack"] == ["React"] and by[1, "https://a.es/"]["html_stack"] == []
+    assert by[None, "https://n.es/"]["emails"] == ["hola@n.es"]
+    assert by[1, "https://a.es/"]["discovery_title"] == "t1"
+    assert pipeline.prospects(pages, {"target_niche": "x"}, hits).count() == len(rows)
+
+
+def test_nodes_at_any_depth():
+    from lodestone.sources.html import nodes_of
+
+    block = '[{"@type": "Organization", "@graph": [{"@graph": [[{"email": "a@b.es"}]], "address": "x"}, 5]}, {"telephone": "1"}]'
+    assert [sorted(n) for n in nodes_of(block)] == [["@graph", "@type"], ["@graph", "address"], ["email"], ["telephone"]]
+    assert nodes_of("{broken") == [] and nodes_of("[" * 100_000) == [] and nodes_of("3") == []
