@@ -68,7 +68,10 @@ def with_payloads(pages: DataFrame, payloads: DataFrame) -> DataFrame:
     pages: signature, ai_gate, clean_text. The gate is applied before the join, so only gated pages meet the table.
     """
     asked = pages.where("ai_gate = 'ai_required'").select("signature").distinct()
-    found = validate(asked.join(payloads, "signature"))
+    # of several payloads for a signature the least counts, so pages aren't multiplied
+    others = [c for c in payloads.columns if c != "signature"]
+    one = payloads.groupBy("signature").agg(F.min(F.struct(*others)).alias("r")).select("signature", *(F.col(f"r.{c}").alias(c) for c in others))
+    found = validate(asked.join(one, "signature"))
     df = pages.join(found, "signature", "left")
     reason = f"CASE WHEN ai_gate <> 'ai_required' THEN ai_gate WHEN length(clean_text) < {LEAST_TEXT} THEN 'insufficient_text' WHEN valid IS NULL THEN 'missing_payload' ELSE fallback_reason END"
     return df.withColumn("fallback_reason", F.expr(reason)).withColumn("selected_method", F.expr("CASE WHEN fallback_reason IS NULL THEN 'ai' ELSE 'heuristic' END"))

@@ -72,6 +72,12 @@ def logs_page(logs: DataFrame, job_id=None, level: str | None = None, offset: in
     return rows.orderBy(F.desc_nulls_first("created_at"), F.desc("id")).offset(offset).limit(limit)
 
 
+def logs_total(logs: DataFrame, level: str | None = None) -> DataFrame:
+    """Rows of each job that its log pages are out of."""
+    rows = logs if level is None else logs.where(F.col("level") == level)
+    return rows.groupBy("job_id").agg(F.count("*").alias("total"))
+
+
 def recent_errors(logs: DataFrame, most: int = 3) -> DataFrame:
     w = Window.partitionBy("job_id").orderBy(F.desc_nulls_first("created_at"), F.desc("id"))
     return logs.where("level = 'ERROR'").withColumn("error_rank", F.row_number().over(w)).where(F.col("error_rank") <= most)
@@ -227,8 +233,22 @@ def next_unseen_batch(batches: DataFrame, seen: DataFrame, budget: int) -> DataF
     return fresh.join(first, ["job_id", "batch"]).withColumn("position", F.row_number().over(w)).where(F.col("position") <= budget)
 
 
-def job_status(jobs: DataFrame, errors: DataFrame, ai: DataFrame, quality: DataFrame, operational: DataFrame) -> DataFrame:
-    """One row per job with its summaries and last errors."""
-    last = errors.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("error_rank", "created_at", "context"))).alias("recent_errors"))
-    whole = lambda df, name: df.select("job_id", F.struct(*(c for c in df.columns if c != "job_id")).alias(name))
-    return jobs.join(last, "job_id", "left").join(whole(ai, "ai"), "job_id", "left").join(whole(quality, "quality"), "job_id", "left").join(whole(operational, "operational"), "job_id", "left")
+def status_message(status: str = "status") -> str:
+    """What a job says of itself, out of its counters, times and error."""
+    counts = "concat('Procesadas: ', total_processed, ', guardadas: ', total_saved, ', omitidas: ', total_skipped, ', fallidas: ', total_failed)"
+    return (
+        f"CASE {status} WHEN 'completed' THEN concat('Completado en ', finished_at, ' | ', {counts}) WHEN 'failed' THEN concat('Falló en ', finished_at, ' | ', coalesce(nullif(error_message, ''), 'Error no especificado'))"
+        f" WHEN 'running' THEN concat('En ejecución desde ', started_at, ' | ', {counts}) ELSE 'Pendiente' END"
+    )
+
+
+def job_status(jobs: DataFrame, errors: DataFrame, **summaries: DataFrame) -> DataFrame:
+    """One row per job with its message, its summaries (a struct each, by name, null if there is none) and last errors in order.
+
+    jobs: job_id, status, the four totals, started_at, finished_at and error_message as texts. errors: recent_errors().
+    """
+    last = errors.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("error_rank", "created_at", "message", "context"))).alias("recent_errors"))
+    df = jobs.withColumn("message", F.expr(status_message())).join(last, "job_id", "left")
+    for name, summary in summaries.items():
+        df = df.join(summary.select("job_id", F.struct(*(c for c in summary.columns if c != "job_id")).alias(name)), "job_id", "left")
+    return df

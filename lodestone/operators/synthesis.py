@@ -144,6 +144,11 @@ def chunks(items: str, size: int = QUERY_BATCH) -> str:
     return f"CASE WHEN size({items}) = 0 THEN cast(array() AS array<array<string>>) ELSE transform(sequence(0, size({items}) - 1, {size}), i -> slice({items}, i + 1, {size})) END"
 
 
+def flatten_batches(batches: str) -> str:
+    """All queries of batches in order, without repeats."""
+    return f"array_distinct(flatten({batches}))"
+
+
 # ---- budgets ----
 
 

@@ -5,6 +5,8 @@ Parquet has no MERGE: an upsert reads the old snapshot and the incoming rows and
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +57,14 @@ def upsert(old: DataFrame, incoming: DataFrame, keys: list[str], order: list[str
 
 
 def patch(old: DataFrame, incoming: DataFrame, keys: list[str], present: str) -> DataFrame:
-    """Partial update: a column of incoming overwrites, null included, where the array column `present` names it; else the old value stays."""
+    """Partial update: a column of incoming overwrites, null included, where the array column `present` names it; else the old value stays.
+
+    Null keys are keys like others. Of several incoming rows of a key the one with the greatest values counts.
+    """
     columns = [c for c in old.columns if c not in keys]
+    incoming = incoming.groupBy(*keys).agg(F.max(F.struct(*columns, present)).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in [*columns, present]))
     o, n = old.alias("o"), incoming.alias("n")
-    same = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
     df = o.join(n, same, "full_outer")
     return df.select(*(F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys), *(F.when(F.array_contains(f"n.{present}", c), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in columns))
 

@@ -208,12 +208,12 @@ SELECT job_id, prospect_id, first_at AS created_at, rank_position, price, qualit
 
 def patch_present(spark, sf_dir):
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    old = customers.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS segment", "c_acctbal AS balance")
+    old = customers.where("c_custkey % 3 <> 0 OR c_custkey % 2 <> 0").selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS segment", "c_acctbal AS balance")
     new = customers.where("c_custkey % 2 = 0").selectExpr("c_custkey AS id", "upper(c_name) AS name", "cast(NULL AS string) AS segment", "c_acctbal + 1 AS balance", "CASE WHEN c_custkey % 4 = 0 THEN array('name', 'segment') ELSE array('balance') END AS present")
     return upsert.patch(old, new, ["id"], "present")
 
 
-PATCH = """WITH o AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, upper(c_name) AS name, c_acctbal + 1 AS balance FROM customer WHERE c_custkey % 2 = 0)
+PATCH = """WITH o AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 <> 0), n AS (SELECT c_custkey AS id, upper(c_name) AS name, c_acctbal + 1 AS balance FROM customer WHERE c_custkey % 2 = 0)
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id % 4 = 0 THEN n.name ELSE o.name END AS name, CASE WHEN n.id % 4 = 0 THEN NULL ELSE o.segment END AS segment, CASE WHEN n.id % 4 <> 0 THEN n.balance ELSE o.balance END AS balance FROM o FULL JOIN n ON o.id = n.id"""
 
 

@@ -281,11 +281,11 @@ HIT_RANK = "WITH hc AS (" + HIT_CLASSIFY + f"), u AS (SELECT page_id, url FROM p
 
 def url_dedupe_position(spark, sf_dir):
     rows = _t(spark, sf_dir, "pages").select("page_id", F.expr(urls.host("url")).alias("url"), F.expr("page_id % 3").alias("job_id"))
-    df = hits.dedupe(rows, "url", ["page_id"], ["job_id"], limit=40)
+    df = hits.dedupe(rows, "url", ["page_id"], ["job_id"])
     return df.select("job_id", "page_id", "url", F.col("position").cast("bigint").alias("position"), "exclusion_reason")
 
 
-URL_DEDUPE = f"WITH h AS (SELECT page_id, {HOST} AS url, page_id % 3 AS job_id FROM pages), c AS (SELECT *, row_number() OVER (PARTITION BY job_id, url ORDER BY page_id) AS n FROM h), p AS (SELECT job_id, page_id, url, CASE WHEN n = 1 THEN row_number() OVER (PARTITION BY job_id, n = 1 ORDER BY page_id) END AS position, CASE WHEN n > 1 THEN 'duplicate_url' END AS exclusion_reason FROM c) SELECT * FROM p WHERE position IS NULL OR position <= 40"
+URL_DEDUPE = f"WITH h AS (SELECT page_id, {HOST} AS url, page_id % 3 AS job_id FROM pages), c AS (SELECT *, row_number() OVER (PARTITION BY job_id, url ORDER BY page_id) AS n FROM h), p AS (SELECT job_id, page_id, url, CASE WHEN n = 1 THEN row_number() OVER (PARTITION BY job_id, n = 1 ORDER BY page_id) END AS position, CASE WHEN n > 1 THEN 'duplicate_url' END AS exclusion_reason FROM c) SELECT * FROM p"
 
 
 def brand_overlap(spark, sf_dir):
@@ -317,9 +317,9 @@ _TAX = [("alpha", "a", "A", "A", ["tion", "ment", "the "], []), ("beta", "b", "B
 
 def taxonomy_topscore(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.lit("").alias("description"), F.expr("cast(array() AS array<string>)").alias("internal_links"), F.col("text").alias("clean_text"), F.expr("cast(array() AS array<string>)").alias("structured_data"), F.lit(None).cast("string").alias("inferred_niche"), F.lit(None).cast("string").alias("kind"))
-    own = entity.taxonomy(docs, "kind", table=_TAX).select("doc_id", "taxonomy_business_type", "taxonomy_top_level", "taxonomy_score")
-    real = entity.taxonomy(docs, "kind").select("doc_id", F.col("taxonomy_business_type").alias("real_type"))
-    return own.join(real, "doc_id")
+    made = ["taxonomy_business_type", "taxonomy_top_level", "display_category", "taxonomy_score", "taxonomy_niche"]
+    real = entity.taxonomy(docs, "kind").withColumn("real_type", F.col("taxonomy_business_type")).drop(*made)
+    return entity.taxonomy(real, "kind", table=_TAX).select("doc_id", "taxonomy_business_type", "taxonomy_top_level", "taxonomy_score", "real_type")
 
 
 def _taxonomy_sql() -> str:

@@ -21,8 +21,11 @@ HIT_SCHEMA = "url string, query string, position int, title string, snippet stri
 PROVIDER_ALIASES = {"brave_api": "brave_api", "duckduckgo_html": "duckduckgo", "ddg_html": "duckduckgo", "duckduckgo": "duckduckgo", "google_html": "google", "google": "google"}
 CREATIVE_ROLES = ["editor", "video", "videographer", "creative", "creador", "designer", "diseñador", "developer", "desarrollador", "marketing", "web", "seo", "fotograf", "photograph", "community manager", "social media"]
 CHALLENGES = ["anomaly.js", "challenge-form", "cc=botnet", 'id="challenge-form"']
+BLOCK_TOKENS = ["/sorry/", "detected unusual traffic", "captcha", "recaptcha"]
+BLOCKED_FAILURES = ["rate_limit", "anti_bot_challenge", "google_captcha"]
 DEMO_URLS = ["https://example.com", "https://example.org", "https://example.net"]
 MOST_RAW_HITS = 15
+LEAST_SNIPPET = 20
 MOST_ATTEMPTS = 3
 
 
@@ -73,7 +76,8 @@ def unwrap(url: str) -> str:
 
 
 class _Results(Reader):
-    """Result blocks of a result page: nodes of class `result` (links by class) or `g` (first link, h3 title)."""
+    """Result blocks of a result page: nodes of class `result` (links by class) or `g` (first link, h3 title), or where no node has
+    class `g`, those with the attribute data-sokoban-container."""
 
     def __init__(self):
         super().__init__()
@@ -86,8 +90,9 @@ class _Results(Reader):
         values = dict(attrs)
         classes = (values.get("class") or "").split()
         level = len(self.open)
-        if "result" in classes or (tag == "div" and "g" in classes):
-            block = {"plain": "result" in classes, "url": None, "link": None, "title": [], "snippet": [], "texts": []}
+        own = "result" in classes or (tag == "div" and ("g" in classes or "data-sokoban-container" in values))
+        if own:
+            block = {"plain": "result" in classes, "kind": "result" if "result" in classes else "g" if "g" in classes else "spare", "url": None, "link": None, "title": [], "snippet": [], "texts": []}
             self.blocks.append(block)
             self.depth.append((level, block))
         if not self.depth:
@@ -103,9 +108,11 @@ class _Results(Reader):
             self.sinks.append((level, block["title"]))
         elif "result__snippet" in classes:
             self.sinks.append((level, block["snippet"]))
-        elif not block["plain"] and tag in ("div", "span"):
-            block["texts"].append([])
-            self.sinks.append((level, block["texts"][-1]))
+        elif not block["plain"] and not own and tag in ("div", "span"):
+            style = values.get("style") or ""
+            likely = "data-sncf" in values or "VwiC3b" in classes or "line-clamp" in style if tag == "div" else "st" in (values.get("class") or "")
+            block["texts"].append((likely, []))
+            self.sinks.append((level, block["texts"][-1][1]))
 
     def handle_endtag(self, tag):
         super().handle_endtag(tag)
@@ -125,13 +132,17 @@ def read_results(html: str | None) -> list[dict]:
     reader.feed(html or "")
     reader.close()
     out = []
-    for b in reader.blocks:
+    blocks = reader.blocks
+    if any(b["kind"] == "g" for b in blocks):
+        blocks = [b for b in blocks if b["kind"] != "spare"]
+    for b in blocks:
         url = unwrap(b["url"] or b["link"] or "")
-        host = urlparse(url).netloc
-        if not b["plain"] and (not url.startswith("http") or "google." in host):
+        if not b["plain"] and (not url.startswith("http") or "google" in (urlparse(url).hostname or "")):
             continue
         title = " ".join(b["title"])
-        snippet = " ".join(b["snippet"]) or max((" ".join(t) for t in b["texts"] if " ".join(t) != title), key=len, default="")
+        texts = [(likely, " ".join(t)) for likely, t in b["texts"]]
+        # the longest text of the kinds that hold snippets, else the first of some length
+        snippet = " ".join(b["snippet"]) or max((t for likely, t in texts if likely), key=len, default="") or next((t for _, t in texts if t != title and len(t) > LEAST_SNIPPET), "")
         out.append({"ordinal": len(out), "url": url, "title": title, "snippet": snippet})
     return out
 
@@ -152,6 +163,44 @@ def challenged(status: str, html: str) -> str:
     return f"({status} = 202 AND {any_in(f'lower({html})', CHALLENGES)})"
 
 
+def blocked_page(status: str, html: str) -> str:
+    """Whether a response of the other HTML provider is a block page: by status, or by a token at any status."""
+    return f"coalesce({status} = 429 OR {any_in(f'lower({html})', BLOCK_TOKENS)}, false)"
+
+
+def search_error(found: str, message: str) -> str:
+    """Why a query brought nothing: no results, or by the text of the error; null if it brought some."""
+    low = f"lower({message})"
+    return (
+        f"CASE WHEN {message} IS NULL AND {found} > 0 THEN NULL WHEN {message} IS NULL THEN 'no_results' WHEN contains({low}, 'ratelimit') OR contains({low}, '429') THEN 'rate_limit'"
+        f" WHEN contains({low}, 'timeout') THEN 'timeout' ELSE 'unexpected_error' END"
+    )
+
+
+def discover(hits: DataFrame, runs: DataFrame, order: list[str], key: str = "job_id", demo: bool = False) -> DataFrame:
+    """One row per job: the provider that wins, its status, the failure of the last one asked, warnings and counts.
+
+    hits: key, provider, url, exclusion_reason. runs: key, provider, warning, failure_reason, one row for each provider a job could
+    ask. Providers are asked in order until one has a kept hit; warnings and exclusions of those asked add up.
+    """
+    rank = F.expr("CASE provider " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(order)) + " END")
+    counts = hits.groupBy(key, "provider").agg(F.count_if(F.col("exclusion_reason").isNull()).alias("kept"), F.count_if(F.col("exclusion_reason").isNotNull()).alias("excluded"))
+    rated = runs.join(counts, [key, "provider"], "left").withColumn("rank_", rank).where("rank_ IS NOT NULL")
+    won = rated.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("kept") > 0, F.col("rank_"))), F.max("rank_")).alias("last_"))
+    asked = rated.join(won, key).where("rank_ <= last_")
+    # at most one row for each provider, so the list is short
+    warnings = F.expr("array_join(transform(array_sort(collect_list(CASE WHEN warning <> '' THEN struct(rank_, warning) END)), w -> w.warning), '; ')")
+    df = asked.groupBy(key).agg(warnings.alias("warning"), F.sum(F.coalesce("excluded", F.lit(0))).alias("n_excluded"), F.max_by(F.struct("provider", F.coalesce("kept", F.lit(0)).alias("kept"), "failure_reason"), "rank_").alias("last_"))
+    blocked = ", ".join(f"'{f}'" for f in BLOCKED_FAILURES)
+    empty = "last_.kept = 0"
+    status = f"CASE WHEN NOT ({empty}) THEN 'ok' WHEN last_.failure_reason IN ({blocked}) THEN 'blocked' ELSE 'no_results' END"
+    provider = f"CASE WHEN {empty} AND {str(demo).lower()} THEN 'demo' ELSE last_.provider END"
+    return df.select(
+        key, F.expr(provider).alias("provider"), F.expr(f"CASE WHEN {empty} AND {str(demo).lower()} THEN 'ok' ELSE {status} END").alias("provider_status"),
+        F.expr(f"CASE WHEN {empty} THEN coalesce(last_.failure_reason, 'no_results') END").alias("failure_reason"), F.expr("nullif(warning, '')").alias("warning"), F.expr("last_.kept").alias("n_kept"), "n_excluded",
+    )
+
+
 # ---- fetch log ----
 
 
