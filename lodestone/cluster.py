@@ -9,11 +9,22 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of texts go to Python workers in batches of so many bytes at most, on both sides, whatever the length of a text.
+BATCH_BYTES = 4 << 20
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _shipped: set[str] = set()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a bound of its own."""
+    if spark.conf.get(_LIMIT) == _DEFAULT:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once per application."""
+    """Add the package to the session's Python files, once per application, and bound what goes to Python at a time."""
+    bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
