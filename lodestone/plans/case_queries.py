@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import kpi, synthesis, upsert
+from ..operators import crawl, kpi, quality, synthesis, upsert
 from ..operators.parse import parse
 from ..sources import providers
 from ..sources.html import read_pages
@@ -212,7 +212,87 @@ def batch_flatten(spark, sf_dir):
 BATCH_FLATTEN = "SELECT p_partkey, 'q' || (p_partkey % 3) || ',a' || CASE WHEN p_partkey % 3 <> p_partkey % 2 THEN ',q' || (p_partkey % 2) ELSE '' END || ',b' AS queries FROM part"
 
 
+# ---- location, sizes, social evidence ----
+
+_TARGETS = ["", "España", "Lima", "Madrid"]
+
+
+def location_assess(spark, sf_dir):
+    """What a page says of its place against the target of a job: six kinds of pages, four targets."""
+    none = "cast(array() AS array<string>)"
+    node = "array('{\"address\": {\"addressLocality\": \"Cusco\", \"addressRegion\": \"Sierra\", \"addressCountry\": \"PE\", \"postalCode\": \"08001\"}}')"
+    rows = _t(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", f"CASE c_custkey % 6 WHEN 0 THEN array('Calle Mayor 1, 28013 Madrid, España') WHEN 5 THEN array('Hotel Castellana') ELSE {none} END AS addresses", f"{none} AS map_links", f"CASE WHEN c_custkey % 6 = 1 THEN array('Lima') ELSE {none} END AS area_served",
+        f"CASE WHEN c_custkey % 6 = 2 THEN {node} ELSE {none} END AS structured_data", "CASE WHEN c_custkey % 6 = 3 THEN 'Taller en Madrid' ELSE '' END AS title", "'' AS description", "cast(NULL AS string) AS discovery_title", "cast(NULL AS string) AS discovery_snippet",
+        "CASE WHEN c_custkey % 6 = 4 THEN 'https://acme.es/' ELSE 'https://acme.com/' END AS website_url", f"CASE WHEN c_custkey % 6 = 4 THEN array('+34911223344') ELSE {none} END AS phones", f"{_case('c_custkey div 6', 4, _TARGETS, _spark_lit)} AS target_location",
+        f"CASE WHEN c_custkey % 7 = 0 THEN array('https://x.es/equipo') ELSE {none} END AS internal_links", f"CASE c_custkey % 4 WHEN 0 THEN array('a', 'b') WHEN 1 THEN array('a') ELSE {none} END AS social_links", "c_custkey % 9 = 0 AS form_detected", "c_custkey % 11 = 0 AS hiring_signals", "(c_custkey % 10) / 10D AS score",
+        f"CASE WHEN c_custkey % 2 = 0 THEN array('o') ELSE {none} END AS offer_signals", f"CASE WHEN c_custkey % 3 = 0 THEN array('c') ELSE {none} END AS platform_ctas", f"CASE WHEN c_custkey % 5 = 0 THEN array('l') ELSE {none} END AS profile_links", "CASE WHEN c_custkey % 8 = 0 THEN 'w' END AS whatsapp_url", f"{none} AS emails",
+        "CASE WHEN c_custkey % 13 = 0 THEN 'match' ELSE 'unknown' END AS language_match_status", f"{none} AS audience_signals", f"CASE WHEN c_custkey % 4 = 3 THEN array('a') ELSE {none} END AS activity_signals")
+    df = quality.assess_location(rows)
+    evidence = F.expr("array_join(transform(geo_evidence, e -> concat(e.source, ':', e.value)), '|')").alias("evidence")
+    return df.select("c_custkey", evidence, "city", "region", "country", "postal_code", "location", "location_match_status", "location_confidence", "validated_location", F.expr(quality.company_size()).alias("company_size"), F.expr(quality.social_evidence()).alias("social_evidence"))
+
+
+LOCATION_ASSESS = f"""WITH r AS (SELECT c_custkey, c_custkey % 6 AS k, {_case('c_custkey // 6', 4, _TARGETS)} AS t FROM customer), p AS (SELECT *, CASE k WHEN 0 THEN 'Madrid' WHEN 1 THEN 'Lima' WHEN 2 THEN 'Cusco' END AS city, CASE WHEN k = 2 THEN 'Sierra' END AS region, CASE WHEN k = 0 OR (k = 4 AND t = 'España') THEN 'España' WHEN k IN (1, 2) THEN 'Perú' END AS country, CASE k WHEN 0 THEN '28013' WHEN 2 THEN '08001' END AS postal_code,
+  CASE WHEN k = 0 THEN '28013 Madrid, España' WHEN k = 1 THEN 'Lima, Perú' WHEN k = 2 THEN '08001 Cusco, Sierra, Perú' WHEN k = 4 AND t = 'España' THEN 'España' END AS location, (k = 0 AND t = 'España') OR (k = 1 AND t = 'Lima') OR (k = 3 AND t IN ('España', 'Madrid')) OR (k = 4 AND t = 'España') AS hit, k = 0 AND t IN ('Lima', 'Madrid') AS against FROM r)
+SELECT c_custkey, CASE WHEN k = 0 THEN 'address:Calle Mayor 1, 28013 Madrid, España' WHEN k = 1 THEN 'area_served:Lima' WHEN k = 2 THEN 'postal_address_country:Perú' WHEN k = 3 THEN 'title:Taller en Madrid' WHEN k = 5 THEN 'address:Hotel Castellana' WHEN t = 'España' THEN 'tld:España|phone_prefix:España' ELSE '' END AS evidence, city, region, country, postal_code, location,
+  CASE WHEN hit THEN 'match' WHEN against THEN 'mismatch' ELSE 'unknown' END AS location_match_status, CASE WHEN k IN (0, 5) OR (k = 4 AND t = 'España') THEN 'high' WHEN k IN (1, 2, 3) THEN 'medium' ELSE 'low' END AS location_confidence, CASE WHEN hit THEN coalesce(location, 'Taller en Madrid') WHEN against THEN location END AS validated_location,
+  CASE WHEN c_custkey % 11 = 0 THEN 'medium' WHEN c_custkey % 7 = 0 OR c_custkey % 4 = 0 THEN 'small' WHEN (c_custkey % 10) / 10.0 <= 0.25 AND c_custkey % 9 <> 0 THEN 'solo' ELSE 'unknown' END AS company_size,
+  (c_custkey % 2 = 0)::int + (c_custkey % 3 = 0 OR c_custkey % 5 = 0)::int + (c_custkey % 8 = 0 OR k = 4)::int + (hit OR c_custkey % 13 = 0)::int + (c_custkey % 4 = 3)::int AS social_evidence FROM p"""
+
+
+# ---- key pages ----
+
+
+def crawl_merge(spark, sf_dir):
+    """Metadata of up to five pages of a site, with an early stop, merged in order; then the site's identity."""
+    none = "cast(array() AS array<string>)"
+    docs = _t(spark, sf_dir, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id div 5 AS root", "cast(doc_id % 5 AS int) AS o", "doc_id AS d", "coalesce(text, '') AS clean_text")
+    one = lambda k, expr: f"CASE WHEN d % {k} = 0 THEN array({expr}) ELSE {none} END"
+    made = {
+        "emails": one(7, "concat('e', d % 3)"), "phones": one(11, "'p'"), "social_links": none, "social_profiles": none, "internal_links": one(2, "concat('l', d % 4), 'x'"), "external_links": none, "map_links": none, "addresses": one(3, "concat('a', d % 2)"), "opening_hours": none, "cta_candidates": none,
+        "structured_data": none, "structured_data_evidence": one(4, "'json_ld_detected'"), "contact_channels": none, "area_served": none, "title": "CASE d % 4 WHEN 0 THEN '' WHEN 1 THEN concat('t', d) END", "description": "cast(NULL AS string)", "html_lang": "CASE WHEN d % 5 = 2 THEN 'es' END", "meta_locale": "cast(NULL AS string)",
+        "whatsapp_url": "CASE WHEN d % 6 = 0 THEN concat('w', d) END", "booking_url": "CASE WHEN d % 8 = 1 THEN concat('b', d) END", "pricing_page_url": "cast(NULL AS string)", "service_page_url": "cast(NULL AS string)", "primary_cta": "CASE WHEN d % 3 = 1 THEN 'booking' END", "primary_identity_type": "'website'", "primary_identity_url": "concat('https://www.', d, '.es/')",
+        "form_detected": "d % 13 = 0", "url": "concat('u', d)", "invalid_phone_candidates_count": "cast(d % 3 AS int)", "phone_validation_rejections": "CASE WHEN d % 2 = 0 THEN map('date_like', cast(d % 3 AS int), 'noise', 1) ELSE map('date_like', 1) END", "social_profile": "cast(NULL AS struct<handle:string>)", "page_type": "CASE d % 3 WHEN 0 THEN 'contact' WHEN 1 THEN 'about' END",
+    }
+    rows = docs.select("root", "o", "d", "clean_text", *(F.expr(e).alias(c) for c, e in made.items()))
+    df = crawl.merge(crawl.stop_when_enough(rows, "root", "o"), "root", "o")
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    counts = [F.expr(f"coalesce(element_at(phone_validation_rejections, '{k}'), 0)").alias(k) for k in ("date_like", "noise")]
+    return df.select("root", *map(joined, ["emails", "phones", "internal_links", "addresses", "structured_data_evidence"]), "title", "html_lang", "whatsapp_url", "booking_url", "primary_cta", "primary_identity_url", "form_detected", "invalid_phone_candidates_count", *counts, "pages_crawled", F.md5("crawl_text").alias("text_md5"), F.expr("array_join(transform(crawled_pages, p -> concat(p.url, ':', coalesce(p.page_type, ''))), '|')").alias("pages"))
+
+
+def _crawl_sql() -> str:
+    listed = lambda name, test, items: f"{name} AS (SELECT root, array_to_string(list(v ORDER BY place), '|') AS {name} FROM (SELECT root, v, min(o * 10 + i) AS place FROM (SELECT root, o, unnest({items}) AS v, unnest(range(len({items}))) AS i FROM k WHERE {test}) GROUP BY root, v) GROUP BY root)"
+    first = lambda name, expr: f"arg_min({expr}, o) FILTER (coalesce({expr}, '') <> '') AS {name}"
+    lists = [("emails", "d % 7 = 0", "['e' || (d % 3)]"), ("phones", "d % 11 = 0", "['p']"), ("internal_links", "d % 2 = 0", "['l' || (d % 4), 'x']"), ("addresses", "d % 3 = 0", "['a' || (d % 2)]"), ("structured_data_evidence", "d % 4 = 0", "['json_ld_detected']")]
+    before = "OVER (PARTITION BY root ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""WITH r AS (SELECT doc_id // 5 AS root, doc_id % 5 AS o, doc_id AS d, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT *, coalesce(max((d % 7 = 0 OR d % 11 = 0 OR d % 13 = 0)::int) {before}, 0) * coalesce(max((d % 3 = 0)::int) {before}, 0) * coalesce(max((d % 3 = 1 OR d % 8 = 1)::int) {before}, 0) AS enough FROM r), k AS (SELECT * FROM s WHERE enough = 0),
+{', '.join(listed(*x) for x in lists)},
+m AS (SELECT root, {first('title', "CASE WHEN d % 4 = 1 THEN 't' || d END")}, {first('html_lang', "CASE WHEN d % 5 = 2 THEN 'es' END")}, {first('whatsapp_url', "CASE WHEN d % 6 = 0 THEN 'w' || d END")}, {first('booking_url', "CASE WHEN d % 8 = 1 THEN 'b' || d END")}, {first('primary_cta', "CASE WHEN d % 3 = 1 THEN 'booking' END")}, {first('primary_identity_url', "'https://www.' || d || '.es/'")},
+  bool_or(d % 13 = 0) AS form_detected, sum(d % 3) AS invalid_phone_candidates_count, sum(CASE WHEN d % 2 = 0 THEN d % 3 ELSE 1 END) AS date_like, sum(CASE WHEN d % 2 = 0 THEN 1 ELSE 0 END) AS noise, count(*) AS pages_crawled, string_agg('u' || d || ':' || CASE d % 3 WHEN 0 THEN 'contact' WHEN 1 THEN 'about' ELSE '' END, '|' ORDER BY o) AS pages,
+  md5(coalesce(string_agg('[' || CASE d % 3 WHEN 0 THEN 'CONTACT' WHEN 1 THEN 'ABOUT' ELSE 'OTHER' END || '] ' || substr(t, 1, 1200), chr(10) || chr(10) ORDER BY o) FILTER (t <> ''), '')) AS text_md5 FROM k GROUP BY root)
+SELECT m.*, {', '.join(f"coalesce({n}, '') AS {n}" for n, _, _ in lists)} FROM m {' '.join(f'LEFT JOIN {n} USING (root)' for n, _, _ in lists)}"""
+
+
+def site_identity(spark, sf_dir):
+    """Canonical identity, website, domain and contact page of pages with metadata."""
+    none = "cast(array() AS array<string>)"
+    rows = _t(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN 'social_profile' ELSE 'website' END AS primary_identity_type", f"{_case('c_custkey', 4, ['https://www.Acme.es/x', 'https://instagram.com/Acme', 'http://acme.es:8080/', 'https://tiktok.com/@a'], _spark_lit)} AS primary_identity_url", "concat('https://www.s', c_custkey % 5, '.es/') AS url",
+        f"CASE WHEN c_custkey % 3 = 0 THEN named_struct('platform', 'instagram', 'handle', CASE WHEN c_custkey % 2 = 0 THEN 'Acme' END, 'external_links', CASE c_custkey % 4 WHEN 0 THEN array('mailto:x', 'https://www.out.es/a') ELSE {none} END) END AS social_profile",
+        f"CASE c_custkey % 5 WHEN 0 THEN array('https://x.es/nosotros', 'https://x.es/Contacto') WHEN 1 THEN array('https://x.es/equipo') ELSE {none} END AS internal_links")
+    return crawl.identity(rows).select("c_custkey", "canonical_identity", "website_url", "domain", "contact_page_url")
+
+
+SITE_IDENTITY = """WITH r AS (SELECT c_custkey AS c, c_custkey % 3 = 0 AS soc FROM customer), w AS (SELECT *, CASE WHEN NOT soc THEN 'https://www.s' || (c % 5) || '.es/' WHEN c % 4 = 0 THEN 'https://www.out.es/a' END AS website_url FROM r)
+SELECT c AS c_custkey, CASE WHEN soc AND c % 2 = 0 THEN 'instagram:acme' WHEN soc THEN ['', 'https://instagram.com/acme', '', 'https://tiktok.com/@a'][c % 4 + 1] ELSE ['acme.es', 'instagram.com', 'acme.es:8080', 'tiktok.com'][c % 4 + 1] END AS canonical_identity, website_url, CASE WHEN soc AND c % 4 = 0 THEN 'out.es' ELSE 's' || (c % 5) || '.es' END AS domain,
+  CASE c % 5 WHEN 0 THEN 'https://x.es/Contacto' WHEN 1 THEN 'https://x.es/equipo' END AS contact_page_url FROM w"""
+
+
 QUERIES = {
     "page_parse_cases": (page_parse_cases, PAGE_PARSE_CASES), "social_parse_cases": (social_parse_cases, SOCIAL_PARSE_CASES), "provider_errors": (provider_errors, PROVIDER_ERRORS), "provider_discovery": (provider_discovery, PROVIDER_DISCOVERY), "seed_and_json_hits": (seed_and_json_hits, SEED_AND_JSON_HITS),
     "result_page_hits": (result_page_hits, RESULT_PAGE_HITS), "upsert_contacts_pages": (upsert_contacts_pages, UPSERT_CONTACTS_PAGES), "page_rows": (page_rows, PAGE_ROWS), "counter_and_null_fills": (counter_and_null_fills, COUNTER_AND_NULL_FILLS), "job_status": (job_status, JOB_STATUS), "batch_flatten": (batch_flatten, BATCH_FLATTEN),
+    "location_assess": (location_assess, LOCATION_ASSESS), "crawl_merge": (crawl_merge, _crawl_sql()), "site_identity": (site_identity, SITE_IDENTITY),
 }

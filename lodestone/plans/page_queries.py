@@ -368,13 +368,6 @@ def _geo_sql() -> str:
 GEO_COUNTRY = _geo_sql()
 
 
-def location_parse(spark, sf_dir):
-    fixed = spark.createDataFrame([(-i - 1, p) for i, p in enumerate(_PLACES)], "id bigint, place string")
-    rows = fixed.unionByName(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("place")))
-    df = quality.parse_location(rows, "place", "l_")
-    return df.select("id", "l_raw", "l_country", "l_postal", "l_city", "l_region", F.expr(quality.format_location("l_city", "l_region", "l_country", "l_postal")).alias("formatted"))
-
-
 def contact_quality(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.expr("concat('https://www.', CASE pmod(doc_id, 3) WHEN 0 THEN 'mail.example.com' WHEN 1 THEN 'acme.com.ar' ELSE 'other.org' END, '/')").alias("website_url"))
     mail = "CASE pmod(doc_id, 5) WHEN 0 THEN 'a@acme.com.ar' WHEN 1 THEN 'b@gmail.com' WHEN 2 THEN 'c@shop.other.org' WHEN 3 THEN 'd@third.net' END"
@@ -473,7 +466,7 @@ QUERIES = {
     "language_confusion": (language_confusion, LANGUAGE_CONFUSION), "service_keywords_top5": (service_keywords_top5, SERVICE_KEYWORDS), "ai_signature": (ai_signature, AI_SIGNATURE), "text_fold": (text_fold, TEXT_FOLD), "url_identity": (url_identity, URL_IDENTITY), "page_type_classify": (page_type_classify, PAGE_TYPES),
     "html_links": (html_links, HTML_LINKS), "links_internal_external": (links_internal_external, LINKS_IN_OUT), "key_links_top5": (key_links_top5, KEY_LINKS), "page_merge_by_host": (page_merge_by_host, PAGE_MERGE), "html_text_parse": (html_text_parse, None), "page_metadata": (page_metadata, None),
     "hit_classify": (hit_classify, HIT_CLASSIFY), "hit_rank": (hit_rank, HIT_RANK), "url_dedupe_position": (url_dedupe_position, URL_DEDUPE), "brand_overlap": (brand_overlap, BRAND_OVERLAP), "entity_scores": (entity_scores, ENTITY_SCORES), "taxonomy_topscore": (taxonomy_topscore, TAXONOMY_TOPSCORE),
-    "business_model_fit": (business_model_fit, MODEL_FIT), "geo_country_match": (geo_country_match, GEO_COUNTRY), "location_parse": (location_parse, None), "contact_quality": (contact_quality, CONTACT_QUALITY), "quality_gate": (quality_gate, QUALITY_GATE), "technology_detect": (technology_detect, TECHNOLOGIES),
+    "business_model_fit": (business_model_fit, MODEL_FIT), "geo_country_match": (geo_country_match, GEO_COUNTRY), "contact_quality": (contact_quality, CONTACT_QUALITY), "quality_gate": (quality_gate, QUALITY_GATE), "technology_detect": (technology_detect, TECHNOLOGIES),
     "heuristic_score": (heuristic_score, None), "prospect_pipeline": (prospect_pipeline, None), "query_batches": (query_batches, None), "fetch_policy": (fetch_policy, FETCH_POLICY),
 }
 

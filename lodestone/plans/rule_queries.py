@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import entity, extraction, features
+from ..operators import entity, extraction, features, quality
 from ..rules import entities as entity_rules
 from ..rules import features as feature_rules
+from ..rules import quality as quality_rules
 from ..rules import taxonomy as taxonomy_rules
+from ..rules.countries import COUNTRIES
 from .page_queries import COLLAPSE, FOLD, _any, _count, _lit, _occ, _t
 
 STRINGS = "cast(array() AS array<string>)"
@@ -275,6 +277,45 @@ SELECT p_partkey, ai_niche, ai_tech_stack, ai_hiring, ai_revenue, ai_score, ai_c
   CASE WHEN p_partkey % 4 > 0 THEN round_even(((p_partkey % 900) * 0.14::double + (p_partkey % 70) * 0.28::double) / 1000000.0::double, 8) END AS cost_usd FROM v"""
 
 
+# ---- location ----
+
+_PLACES = [
+    "Calle Mayor 1, 28013 Madrid, España", "es", "Lima", "Ciudad de México 06000", "Hotel Castellana, Madrid", "Santiago; Chile", "tel 600 111 222, Bogotá", "Springfield", "La Paz, Bolivia", "Av. Corrientes 1234 | Buenos Aires | AR", "MADRID", "nowhere in particular",
+    "Córdoba, Argentina", "uruguay montevideo", "", "https://a.es/x Sevilla, España", "a@b.es, Cusco, Perú", "12345678, Toledo, Toledo, ES", "Plaza 5, Calle 7", "Valencia , , Valencia",
+]
+
+
+def location_parse(spark, sf_dir):
+    """Every document's text read as a location, with places that make each rule fire behind it and alone."""
+    fixed = spark.createDataFrame([(-i - 1, p) for i, p in enumerate(_PLACES)], "id bigint, place string")
+    place = "concat(coalesce(text, ''), CASE WHEN length(text) < 150 THEN element_at(array(" + ", ".join(_spark_lit(f", {x}") for x in _PLACES) + f"), cast(pmod(doc_id, {len(_PLACES)}) AS int) + 1) ELSE '' END)"
+    rows = fixed.unionByName(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(place).alias("place")))
+    df = quality.parse_location(rows, "place", "l_")
+    return df.select("id", "l_raw", "l_country", "l_postal", "l_city", "l_region", F.expr(quality.format_location("l_city", "l_region", "l_country", "l_postal")).alias("formatted"))
+
+
+def _location_sql() -> str:
+    fold = lambda x: COLLAPSE.format(FOLD.format(x))
+    aliases = quality.country_aliases()
+    of = lambda f: "coalesce(CASE " + f + " " + " ".join(f"WHEN {_lit(a)} THEN {_lit(n)}" for a, n in aliases) + " END, CASE " + " ".join(f"WHEN contains(' ' || {f} || ' ', {_lit(f' {a} ')}) THEN {_lit(n)}" for a, n in aliases if len(a) > 2) + " END)"
+    same = "CASE country " + " ".join(f"WHEN {_lit(name)} THEN bf IN ({', '.join(_lit(quality._fold(x)) for x in [key, name, *targets, *codes])})" for key, name, targets, codes, _, _, _ in COUNTRIES) + " ELSE false END"
+    street = _any("' ' || bf || ' '", [f" {h} " for h in quality_rules.STREETS])
+    postal = "(?i)\\b[A-Z]{0,2}\\d{4,6}[A-Z]{0,3}\\b"
+    values = ", ".join(f"({-i - 1}, {_lit(x)})" for i, x in enumerate(_PLACES))
+    tail = "[" + ", ".join(_lit(f", {x}") for x in _PLACES) + f"][doc_id % {len(_PLACES)} + 1]"
+    noise = f"(cf = '' OR contains(c, '@') OR regexp_matches(lower(c), '^(https?://|www[.])') OR {_any('cf', quality_rules.LOCATION_NOISE)} OR (length(regexp_replace(c, '[^0-9]', '', 'g')) >= 8 AND NOT regexp_matches(c, '[A-Za-zÁÉÍÓÚáéíóúÑñ]')))"
+    return f"""WITH r AS (SELECT * FROM (VALUES {values}) v(id, place) UNION ALL SELECT doc_id, coalesce(text, '') || CASE WHEN length(text) < 150 THEN {tail} ELSE '' END FROM documents),
+a AS (SELECT id, nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(place, '(?i)https?://\\S+', ' ', 'g'), '[\\n\\r\\t|;]+', ', ', 'g'), '\\s+', ' ', 'g'), ' ,.-'), 1, 240), '') AS l_raw FROM r), af AS (SELECT *, {fold("coalesce(l_raw, '')")} AS rf FROM a),
+a2 AS (SELECT *, {of('rf')} AS c0, nullif(upper(regexp_extract(l_raw, '{postal}')), '') AS l_postal FROM af),
+ch AS (SELECT id, unnest(range(1, len(string_split(l_raw, ',')) + 1)) AS o, unnest(string_split(l_raw, ',')) AS raw FROM a2 WHERE l_raw IS NOT NULL), c1 AS (SELECT id, o, substr(trim(regexp_replace(raw, '\\s+', ' ', 'g')), 1, 120) AS c FROM ch), c2 AS (SELECT *, {fold('c')} AS cf FROM c1),
+c3 AS (SELECT *, {of('cf')} AS cc FROM c2 WHERE c <> '' AND NOT {noise}), first AS (SELECT id, arg_min(cc, o) AS c1st FROM c3 WHERE cc IS NOT NULL GROUP BY id), k AS (SELECT a2.*, coalesce(c0, c1st) AS country FROM a2 LEFT JOIN first USING (id)),
+b1 AS (SELECT c3.id, o, country, trim(trim(regexp_replace(regexp_replace(c, '{postal}', ' ', 'g'), '\\s+', ' ', 'g')), ' ,.-') AS b FROM c3 JOIN k USING (id)), b2 AS (SELECT *, {fold('b')} AS bf FROM b1 WHERE b <> ''),
+b3 AS (SELECT *, {street} AS street FROM b2 WHERE NOT coalesce(country IS NOT NULL AND (bf = {fold('country')} OR {same}), false)), n AS (SELECT id, bool_or(NOT street) AS plain FROM b3 GROUP BY id),
+p AS (SELECT id, list(b ORDER BY o) AS pick FROM b3 JOIN n USING (id) WHERE NOT plain OR NOT street GROUP BY id), z AS (SELECT k.id, l_raw, country AS l_country, l_postal, pick[-1] AS l_city, pick[-2] AS reg FROM k LEFT JOIN p USING (id)),
+y AS (SELECT *, CASE WHEN {fold('reg')} <> {fold('l_city')} THEN reg END AS l_region, nullif(concat_ws(' ', l_postal, l_city), '') AS spot FROM z), x AS (SELECT *, CASE WHEN {fold("coalesce(l_region, '')")} NOT IN ({fold("coalesce(spot, '')")}, {fold("coalesce(l_country, '')")}) THEN l_region END AS shown FROM y)
+SELECT id, l_raw, l_country, l_postal, l_city, l_region, nullif(substr(concat_ws(', ', spot, shown, CASE WHEN {fold("coalesce(l_country, '')")} NOT IN ({fold("coalesce(spot, '')")}, {fold("coalesce(shown, '')")}) THEN l_country END), 1, 160), '') AS formatted FROM x"""
+
+
 QUERIES = {
-    "heuristic_components": (heuristic_components, _heuristics_sql()), "entity_classify": (entity_classify, _entity_sql()), "entity_taxonomy": (entity_taxonomy, _entity_taxonomy_sql()), "payload_validate": (payload_validate, _payload_sql()),
+    "heuristic_components": (heuristic_components, _heuristics_sql()), "entity_classify": (entity_classify, _entity_sql()), "entity_taxonomy": (entity_taxonomy, _entity_taxonomy_sql()), "payload_validate": (payload_validate, _payload_sql()), "location_parse": (location_parse, _location_sql()),
 }

@@ -3,7 +3,7 @@
 import re
 
 from lodestone.operators.quality import _fold, country_aliases
-from lodestone.plans.page_queries import _PLACES, location_parse
+from lodestone.plans.rule_queries import _PLACES, location_parse
 from lodestone.rules import quality as rules
 from lodestone.rules.countries import COUNTRIES
 
@@ -59,7 +59,8 @@ def plain(text):
 def test_location_parse_reads_all_documents(spark, tmp_path):
     texts = dict(enumerate(TEXTS, 1))
     spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    want = {k: plain(v) for k, v in texts.items()} | {-i - 1: plain(p) for i, p in enumerate(_PLACES)}
+    shown = lambda k, v: (v or "") + (f", {_PLACES[k % len(_PLACES)]}" if v is not None and len(v) < 150 else "")
+    want = {k: plain(shown(k, v)) for k, v in texts.items()} | {-i - 1: plain(p) for i, p in enumerate(_PLACES)}
     rows = location_parse(spark, str(tmp_path)).collect()
     got = {r["id"]: (r["l_raw"], r["l_country"], r["l_postal"], r["l_city"], r["l_region"], r["formatted"]) for r in rows}
     assert len(rows) == len(want)
