@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import contacts, urls
 from ..functions.text import fold_padded, fold_trimmed
 from ..functions.text import hits as count_hits
-from ..operators import crawl, entity, features, hits, quality, synthesis, upsert
+from ..operators import crawl, entity, features, hits, quality, upsert
 from ..rules import features as feature_rules
 from ..rules import hits as hit_rules
 from ..rules import quality as quality_rules
@@ -439,17 +439,6 @@ def prospect_pipeline(spark, sf_dir):
     return df.select("page_id", "canonical_identity", "entity_type_detected", "quality_status", "acceptance_decision", "final_score", "taxonomy_business_type", "detected_language")
 
 
-def query_batches(spark, sf_dir):
-    parts = _t(spark, sf_dir, "part")
-    null = F.lit(None)
-    jobs = parts.select(
-        "p_partkey", F.lit(None).cast("string").alias("search_query"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'Video editor' END").alias("user_profession"), F.expr("CASE WHEN p_partkey % 5 = 0 THEN array('Shopify', 'WordPress') END").alias("user_technologies"), F.col("p_name").alias("target_niche"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'Lima' END").alias("target_location"),
-        F.expr("CASE WHEN p_partkey % 4 = 0 THEN 'en' ELSE 'es' END").alias("target_language"), null.cast("array<string>").alias("user_service_offers"), null.cast("array<string>").alias("user_service_constraints"), null.cast("string").alias("user_target_offer_focus"),
-        F.expr("array('instagram activo')").alias("target_budget_signals"), null.cast("array<string>").alias("ai_dork_queries"), null.cast("array<string>").alias("ai_negative_terms"))
-    df = synthesis.build_queries(jobs)
-    return df.select("p_partkey", F.posexplode("query_batches").alias("batch", "b")).select("p_partkey", "batch", F.array_join("b", " || ").alias("queries"))
-
-
 def fetch_policy(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").selectExpr(
         "event_id", "CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 429 ELSE 503 END WHEN 'click' THEN 403 WHEN 'view' THEN 404 WHEN 'signup' THEN NULL ELSE 200 END AS status", "CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'tls' WHEN 2 THEN 'dns' ELSE 'other' END AS cause",
@@ -467,6 +456,6 @@ QUERIES = {
     "html_links": (html_links, HTML_LINKS), "links_internal_external": (links_internal_external, LINKS_IN_OUT), "key_links_top5": (key_links_top5, KEY_LINKS), "page_merge_by_host": (page_merge_by_host, PAGE_MERGE), "html_text_parse": (html_text_parse, None), "page_metadata": (page_metadata, None),
     "hit_classify": (hit_classify, HIT_CLASSIFY), "hit_rank": (hit_rank, HIT_RANK), "url_dedupe_position": (url_dedupe_position, URL_DEDUPE), "brand_overlap": (brand_overlap, BRAND_OVERLAP), "entity_scores": (entity_scores, ENTITY_SCORES), "taxonomy_topscore": (taxonomy_topscore, TAXONOMY_TOPSCORE),
     "business_model_fit": (business_model_fit, MODEL_FIT), "geo_country_match": (geo_country_match, GEO_COUNTRY), "contact_quality": (contact_quality, CONTACT_QUALITY), "quality_gate": (quality_gate, QUALITY_GATE), "technology_detect": (technology_detect, TECHNOLOGIES),
-    "heuristic_score": (heuristic_score, None), "prospect_pipeline": (prospect_pipeline, None), "query_batches": (query_batches, None), "fetch_policy": (fetch_policy, FETCH_POLICY),
+    "heuristic_score": (heuristic_score, None), "prospect_pipeline": (prospect_pipeline, None), "fetch_policy": (fetch_policy, FETCH_POLICY),
 }
 
