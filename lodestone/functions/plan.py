@@ -18,3 +18,9 @@ def shared(df: DataFrame, key: str) -> DataFrame:
     """The same rows dealt by key, in an exchange that several uses in one plan read: no use can prune its columns."""
     packed = df.select(key, F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("row_"))
     return packed.repartition(key).select(F.inline("row_"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it was read, dealt out evenly if it lies in fewer partitions than there are cores; a large one never does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contacts, urls
+from ..functions.plan import spread
 from ..functions.text import fold_padded, fold_trimmed
 from ..functions.text import hits as count_hits
-from ..operators import crawl, entity, features, hits, quality, upsert
+from ..operators import crawl, entity, features, hits, quality
 from ..rules import features as feature_rules
 from ..rules import hits as hit_rules
 from ..rules import quality as quality_rules
@@ -19,7 +20,7 @@ from . import pipeline
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # ---- SQL helpers, for the twins only ----
@@ -194,8 +195,10 @@ KEY_LINKS = ("WITH " + _LINKS + ", t AS (SELECT DISTINCT " + HOST + " AS host, C
 
 def page_merge_by_host(spark, sf_dir):
     raw = read_pages(_t(spark, sf_dir, "pages")).withColumn("host", F.expr(urls.host("url")))
-    links = raw.groupBy("host").agg(F.count("*").alias("pages"), F.array_distinct(F.flatten(F.collect_list(F.transform("anchors", lambda a: a["href"])))).alias("hrefs"), F.min_by("title", "page_id").alias("title"), F.min("page_id").alias("first_page"))
-    return links.select("host", "pages", F.size("hrefs").cast("bigint").alias("links"), F.expr("title <> ''").alias("titled"), "first_page")
+    # one row for each link, so that no host's links are gathered in one place
+    rows = raw.select("host", "page_id", "title", F.posexplode_outer(F.transform("anchors", lambda a: a["href"])).alias("place", "href"))
+    pages = F.count_if(F.col("place").isNull() | (F.col("place") == 0))
+    return rows.groupBy("host").agg(pages.alias("pages"), F.count_distinct("href").alias("links"), F.expr("min_by(title, page_id) <> ''").alias("titled"), F.min("page_id").alias("first_page"))
 
 
 PAGE_MERGE = ("WITH " + _LINKS + f", h AS (SELECT {HOST} AS host, count(*) AS pages, min(page_id) AS first_page, arg_min(contains(html, '<title>'), page_id) AS titled FROM pages GROUP BY 1), c AS (SELECT {HOST} AS host, count(DISTINCT href) AS links FROM l GROUP BY 1) SELECT h.host, pages, coalesce(links, 0) AS links, titled, first_page FROM h LEFT JOIN c ON h.host = c.host").replace("html_unescape", "")
@@ -206,6 +209,12 @@ def html_text_parse(spark, sf_dir):
     return raw.select("page_id", "title", "html_lang", "form_detected", F.length("clean_text").alias("chars"), F.sha2("clean_text", 256).alias("text_sha256"))
 
 
+_UNESCAPED = "replace(replace(replace(replace({0}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+_VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<!--.*?-->', ' ', 'gs'), '<[^>]+>', ' ', 'g')"
+HTML_TEXT = f"""WITH p AS (SELECT page_id, trim({_UNESCAPED.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS html_lang, contains(html, '<form') AS form_detected, {COLLAPSE.format(_UNESCAPED.format(_VISIBLE))} AS t FROM pages)
+SELECT page_id, title, html_lang, form_detected, length(t) AS chars, sha256(t) AS text_sha256 FROM p"""
+
+
 def page_metadata(spark, sf_dir):
     from ..operators.parse import parse
 
@@ -215,8 +224,7 @@ def page_metadata(spark, sf_dir):
 
 def site_summary(spark, sf_dir):
     raw = read_pages(_t(spark, sf_dir, "pages")).withColumns({"domain": F.expr(urls.domain("url")), "language": F.expr(quality.detect_language("clean_text", "html_lang")), "n_links": F.size("anchors").cast("bigint")})
-    first = upsert.latest(raw, ["domain"], ["page_id"]).select("domain", F.col("page_id").alias("first_page"))
-    return raw.groupBy("domain").agg(F.count("*").alias("pages"), F.sum("n_links").alias("links"), F.count_if(F.col("language") == "en").alias("english"), F.countDistinct("language").alias("languages")).join(first, "domain")
+    return raw.groupBy("domain").agg(F.count("*").alias("pages"), F.sum("n_links").alias("links"), F.count_if(F.col("language") == "en").alias("english"), F.countDistinct("language").alias("languages"), F.min("page_id").alias("first_page"))
 
 
 SITE_SUMMARY = ("WITH " + _LINKS + f", p AS (SELECT page_id, {HOST} AS domain, regexp_extract(html, '<html lang=\"([a-z]+)', 1) AS language FROM pages), n AS (SELECT page_id, count(*) AS n FROM l GROUP BY 1) SELECT domain, count(*) AS pages, cast(sum(coalesce(n, 0)) AS bigint) AS links, count(*) FILTER (language = 'en') AS english, count(DISTINCT language) AS languages, min(p.page_id) AS first_page FROM p LEFT JOIN n ON p.page_id = n.page_id GROUP BY domain").replace("html_unescape", "")
@@ -453,7 +461,7 @@ SELECT event_id, error_type, retryable, retryable AND h + 1 < 3 AS will_retry, C
 QUERIES = {
     "site_summary": (site_summary, SITE_SUMMARY), "email_extract": (email_extract, EMAIL_EXTRACT), "phone_classify": (phone_classify, PHONE_CLASSIFY), "phone_rejection_counts": (phone_rejection_counts, PHONE_COUNTS), "language_detect": (language_detect, LANGUAGE_DETECT),
     "language_confusion": (language_confusion, LANGUAGE_CONFUSION), "service_keywords_top5": (service_keywords_top5, SERVICE_KEYWORDS), "ai_signature": (ai_signature, AI_SIGNATURE), "text_fold": (text_fold, TEXT_FOLD), "url_identity": (url_identity, URL_IDENTITY), "page_type_classify": (page_type_classify, PAGE_TYPES),
-    "html_links": (html_links, HTML_LINKS), "links_internal_external": (links_internal_external, LINKS_IN_OUT), "key_links_top5": (key_links_top5, KEY_LINKS), "page_merge_by_host": (page_merge_by_host, PAGE_MERGE), "html_text_parse": (html_text_parse, None), "page_metadata": (page_metadata, None),
+    "html_links": (html_links, HTML_LINKS), "links_internal_external": (links_internal_external, LINKS_IN_OUT), "key_links_top5": (key_links_top5, KEY_LINKS), "page_merge_by_host": (page_merge_by_host, PAGE_MERGE), "html_text_parse": (html_text_parse, HTML_TEXT), "page_metadata": (page_metadata, None),
     "hit_classify": (hit_classify, HIT_CLASSIFY), "hit_rank": (hit_rank, HIT_RANK), "url_dedupe_position": (url_dedupe_position, URL_DEDUPE), "brand_overlap": (brand_overlap, BRAND_OVERLAP), "entity_scores": (entity_scores, ENTITY_SCORES), "taxonomy_topscore": (taxonomy_topscore, TAXONOMY_TOPSCORE),
     "business_model_fit": (business_model_fit, MODEL_FIT), "geo_country_match": (geo_country_match, GEO_COUNTRY), "contact_quality": (contact_quality, CONTACT_QUALITY), "quality_gate": (quality_gate, QUALITY_GATE), "technology_detect": (technology_detect, TECHNOLOGIES),
     "heuristic_score": (heuristic_score, None), "prospect_pipeline": (prospect_pipeline, None), "fetch_policy": (fetch_policy, FETCH_POLICY),
