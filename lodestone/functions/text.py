@@ -88,6 +88,13 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def first_of_each(items: str, key: str) -> str:
+    """The first item of each key, in order. key is in terms of x, an item. Sorted, so that time isn't the square of the items."""
+    ranked = f"array_sort(transform({items}, (x, n) -> named_struct('k', {key}, 'n', n, 'x', x)))"
+    new = "filter(ranked_, (e, j) -> j = 0 OR NOT (e.k <=> ranked_[j - 1].k))"
+    return let("ranked_", ranked, f"transform(array_sort(transform({new}, e -> named_struct('n', e.n, 'x', e.x))), e -> e.x)")
+
+
 def best_of(scores: dict[str, str], least: str) -> str:
     """Name of the greatest score if it is over least; the first name wins ties."""
     ranked = "array_max(array(" + ", ".join(f"named_struct('s', {s}, 'o', {-i}, 'n', {quoted(n)})" for i, (n, s) in enumerate(scores.items())) + "))"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_in, ascii_fold, best_of, collapse, even, fold_padded, let, occurrences, quoted, strings
+from ..functions.text import any_in, ascii_fold, best_of, collapse, even, first_of_each, fold_padded, let, occurrences, quoted, strings
 from ..rules import features as rules
 
 #: Fixed values.
@@ -72,7 +72,7 @@ def clean_list(items: str, most: int) -> str:
     edges = "'-*0123456789.)] '"
     strip = f"trim(BOTH ' .,:;' FROM {collapse(f'trim(BOTH {edges} FROM trim(i))')})"
     kept = f"filter(transform(array_compact({items}), i -> {strip}), i -> i <> '')"
-    return f"slice(transform(filter(transform({kept}, (v, n) -> named_struct('v', v, 'new', NOT exists(slice({kept}, 1, n), w -> lower(w) = lower(v)))), x -> x.new), x -> x.v), 1, {most})"
+    return f"slice({first_of_each(kept, 'lower(x)')}, 1, {most})"
 
 
 def opportunities(items: str) -> str:

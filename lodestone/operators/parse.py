@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contacts, urls
-from ..functions.text import any_in, collapse, quoted
+from ..functions.text import any_in, collapse, first_of_each, quoted
 from ..rules import pages as rules
 
 #: Fixed values. The street pattern without look-behind, so that it reads the same in other engines.
@@ -138,10 +138,10 @@ def parse(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         f"CASE WHEN booking_url IS NOT NULL THEN array({channel('booking', 'booking_url', 'booking_link')}) ELSE cast(array() AS array<struct<type:string,value:string,source:string>>) END",
     ]) + ")"
     df = df.withColumn("all_channels", F.expr(channels))
-    firsts = "filter(transform(all_channels, (c, i) -> named_struct('c', c, 'new', NOT exists(slice(all_channels, 1, i), d -> d.type = c.type AND d.value = c.value))), x -> x.new)"
+    firsts = first_of_each("all_channels", "named_struct('t', x.type, 'v', x.value)")
     profiles = f"array_compact(concat(array(primary_profile), transform(social, a -> {social_profile('a.url', 'false')})))"
     df = df.withColumns({
-        "contact_channels": F.expr(f"transform({firsts}, x -> x.c)"), "profiles": F.expr(profiles),
+        "contact_channels": F.expr(firsts), "profiles": F.expr(profiles),
         "structured_data_evidence": F.expr("array_compact(array(CASE WHEN size(structured_data) > 0 THEN 'json_ld_detected' END, CASE WHEN size(node_addresses) > 0 THEN 'structured_address_detected' END))"),
     })
     low = "lower(clean_text)"
@@ -157,7 +157,7 @@ def parse(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         f" 'audience_signals', {flag(['clientes', 'marcas', 'founder', 'ceo', 'coach'], 'buyer_audience_visible')}, 'content_text', substring(clean_text, 1, 1500)) END"
     ))
     signals = "array_compact(array(CASE WHEN size(emails) > 0 THEN 'public_email' END, CASE WHEN size(phones) > 0 THEN 'public_phone' END, CASE WHEN whatsapp_url IS NOT NULL THEN 'whatsapp' END, CASE WHEN size(social_profile.external_links) > 0 THEN 'external_link' END))"
-    kept = "transform(filter(transform(profiles, (p, i) -> named_struct('p', p, 'new', NOT exists(slice(profiles, 1, i), q -> q.platform = p.platform AND q.url = p.url))), x -> x.new), x -> x.p)"
+    kept = first_of_each("profiles", "named_struct('p', x.platform, 'u', x.url)")
     own = f"CASE WHEN social_profile IS NOT NULL AND p.url = url THEN named_struct('platform', p.platform, 'url', p.url, 'handle', p.handle, 'is_primary', p.is_primary, 'profile_kind', p.profile_kind, 'contact_signals', {signals}, 'activity_signals', social_profile.activity_signals, 'confidence', p.confidence) ELSE p END"
     return df.select(
         *keep, "page_id", "url", "title", "description", "html_lang", "meta_locale", "clean_text", "form_detected", "anchors", "emails", "phones", "addresses", "opening_hours", "area_served",

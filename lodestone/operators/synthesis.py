@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.plan import barrier
-from ..functions.text import any_in, collapse, quoted, strings
+from ..functions.text import any_in, collapse, first_of_each, quoted, strings
 from ..rules import queries as rules
 
 #: Fixed values.
@@ -35,7 +35,7 @@ EMPTY = "cast(array() AS array<string>)"
 def context_list(column: str) -> str:
     """Collapsed items, first of each spelling whatever its case."""
     kept = f"filter(transform(array_compact(coalesce({column}, {EMPTY})), v -> {collapse('v')}), v -> v <> '')"
-    return f"transform(filter(transform({kept}, (v, n) -> named_struct('v', v, 'new', NOT exists(slice({kept}, 1, n), w -> lower(w) = lower(v)))), x -> x.new), x -> x.v)"
+    return first_of_each(kept, "lower(x)")
 
 
 def has_phrase(query: str, phrase: str) -> str:
