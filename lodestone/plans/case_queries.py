@@ -186,6 +186,34 @@ def counter_and_null_fills(spark, sf_dir):
 COUNTER_AND_NULL_FILLS = """SELECT c_custkey, greatest(CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 7 ELSE 0 END - CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 4 ELSE 0 END, 0) AS total_skipped, CASE WHEN c_custkey % 2 = 0 THEN 'rejected' ELSE 'accepted' END AS quality_status, CASE WHEN c_custkey % 3 = 0 THEN 'acme' ELSE c_mktsegment || '.es' END AS canonical_identity FROM customer"""
 
 
+def save_four_tables(spark, sf_dir):
+    """Two runs saved one after the other: counts and checksums of the four tables of each prospect."""
+    from . import pipeline
+
+    rows = _t(spark, sf_dir, "lineitem").selectExpr("concat('s', l_suppkey, '.es') AS canonical_identity", "l_orderkey % 7 AS job_id", "l_quantity AS score", "cast(l_partkey % 4 AS string) AS v", "l_shipdate AS at", "l_orderkey * 10 + l_linenumber AS seq", "l_linestatus AS run")
+    kinds = {"prospects": "prospect_id, canonical_identity, score", "job_prospects": "job_id, prospect_id, score", "prospect_contacts": "prospect_id, contact_type, contact_value, score", "prospect_pages": "prospect_id, url, score"}
+
+    def tables(run: str) -> dict:
+        r = rows.where(f"run = '{run}'").selectExpr("canonical_identity", "job_id", "score", "'email' AS contact_type", "v AS contact_value", "concat('https://', v, '.es') AS url", f"concat('{run}', canonical_identity) AS prospect_id", "seq AS created_at", "seq AS updated_at")
+        return {name: r.select("canonical_identity", *(c for c in [*columns.split(", "), "created_at", "updated_at"] if c != "canonical_identity")) for name, columns in kinds.items()}
+
+    empty = {name: tables("F")[name].limit(0).select(*columns.split(", "), "created_at", "updated_at") for name, columns in kinds.items()}
+    saved = pipeline.save(pipeline.save(empty, tables("F")), tables("O"))
+    sums = [saved[n].groupBy("prospect_id").agg(F.count("*").alias(f"{n}_rows"), F.sum("score").alias(f"{n}_score"), F.sum("created_at").alias(f"{n}_created")) for n in kinds]
+    df = sums[0]
+    for other in sums[1:]:
+        df = df.join(other, "prospect_id")
+    return df
+
+
+def _save_sql() -> str:
+    keys = {"prospects": "1", "job_prospects": "job_id", "prospect_contacts": "v", "prospect_pages": "v"}
+    one = lambda n, k: f"{n} AS (SELECT s, count(*) AS {n}_rows, sum(score) AS {n}_score, sum(created)::bigint AS {n}_created FROM (SELECT s, {k} AS k, arg_max(score, {{'r': run, 'q': seq}}) AS score, arg_min(seq, {{'r': run, 'q': seq}}) AS created FROM r GROUP BY s, k) GROUP BY s)"
+    columns = ", ".join(f"{n}_rows, {n}_score, {n}_created" for n in keys)
+    return f"""WITH r AS (SELECT l_suppkey AS s, l_orderkey % 7 AS job_id, l_quantity AS score, l_partkey % 4 AS v, l_orderkey * 10 + l_linenumber AS seq, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS run FROM lineitem), f AS (SELECT s, min(run) AS run FROM r GROUP BY s), {', '.join(one(n, k) for n, k in keys.items())}
+SELECT CASE f.run WHEN 0 THEN 'F' ELSE 'O' END || 's' || s || '.es' AS prospect_id, {columns} FROM f {' '.join(f'JOIN {n} USING (s)' for n in keys)}"""
+
+
 # ---- jobs ----
 
 
@@ -407,6 +435,6 @@ def _batches_sql() -> str:
 
 QUERIES = {
     "page_parse_cases": (page_parse_cases, PAGE_PARSE_CASES), "social_parse_cases": (social_parse_cases, SOCIAL_PARSE_CASES), "provider_errors": (provider_errors, PROVIDER_ERRORS), "provider_discovery": (provider_discovery, PROVIDER_DISCOVERY), "seed_and_json_hits": (seed_and_json_hits, SEED_AND_JSON_HITS),
-    "result_page_hits": (result_page_hits, RESULT_PAGE_HITS), "upsert_contacts_pages": (upsert_contacts_pages, UPSERT_CONTACTS_PAGES), "page_rows": (page_rows, PAGE_ROWS), "counter_and_null_fills": (counter_and_null_fills, COUNTER_AND_NULL_FILLS), "job_status": (job_status, JOB_STATUS), "batch_flatten": (batch_flatten, BATCH_FLATTEN),
+    "result_page_hits": (result_page_hits, RESULT_PAGE_HITS), "upsert_contacts_pages": (upsert_contacts_pages, UPSERT_CONTACTS_PAGES), "page_rows": (page_rows, PAGE_ROWS), "counter_and_null_fills": (counter_and_null_fills, COUNTER_AND_NULL_FILLS), "save_four_tables": (save_four_tables, _save_sql()), "job_status": (job_status, JOB_STATUS), "batch_flatten": (batch_flatten, BATCH_FLATTEN),
     "location_assess": (location_assess, LOCATION_ASSESS), "crawl_merge": (crawl_merge, _crawl_sql()), "site_identity": (site_identity, SITE_IDENTITY), "query_batches": (query_batches, _batches_sql()),
 }

@@ -253,17 +253,17 @@ def hit_classify(spark, sf_dir):
     return df.select("page_id", "result_kind", "score", "exclusion_reason", "discovery_confidence", F.array_join("reasons", ",").alias("reasons"))
 
 
-def _hits_sql() -> str:
+def _hits_sql(positive=_WORDS, snippet: str = "''") -> str:
     rows = ", ".join(f"({-i - 1}, {_lit(u)}, {_lit(t)}, {_lit(s)})" for i, (u, t, s) in enumerate(_BRANCHES))
     r = hit_rules
-    rated = [(f"'{n}'", w, _any("b", ws)) for n, w, ws in _WORDS]
+    rated = [(f"'{n}'", w, _any("b", ws)) for n, w, ws in positive]
     rated += [(f"'{n}'", w, f"({_any('b', ws)} OR {_any('p', ws)})") for n, w, ws in (("product_page", -0.35, [*r.PRODUCT_PATHS, *r.PRODUCT_WORDS]), ("institutional_page", -0.25, r.INSTITUTIONS), ("marketplace_or_listing", -0.25, ["marketplace", "listing", "directory", "directorio"]))]
     rated += [("'shallow_url'", 0.12, "n <= 1"), ("'moderate_depth'", 0.04, "n = 2"), ("'deep_url'", -0.18, "n > 2"), ("'document_like_path'", -0.05, "(suffix(p, '.html') OR suffix(p, '.php'))"), ("'concise_title'", 0.08, "w BETWEEN 1 AND 10"), ("'brand_domain_match'", 0.22, "brand"), ("'root_domain_url'", 0.08, "p IN ('', '/')"), ("'directory_seed_candidate'", -0.2, _any("u", r.SEED_HOSTS))]
     social = [("'social_profile_candidate'", 0.35, "true"), ("'platform:' || CASE WHEN contains(h, 'instagram.com') THEN 'instagram' ELSE 'tiktok' END", 0.0, "true"), ("'canonical_handle_detected'", 0.2, "true"), ("'social_commercial_cta_hint'", 0.2, _any("b", r.PROFILE_HINTS)), ("'social_commercial_niche_hint'", 0.15, _any("b", r.COMMERCIAL)), ("'concise_title'", 0.05, "w BETWEEN 1 AND 12")]
     total = lambda x: " + ".join(f"CASE WHEN {c} THEN {w}::double ELSE 0::double END" for _, w, c in x)
     names = lambda x: "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN {n} END" for n, _, c in x) + ")"
     words = lambda c: f"list_filter(string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda t: length(t) >= 4 AND t NOT IN ('http', 'https', 'www', 'site', 'oficial', 'official', 'contacto', 'contact'))"
-    return f"""WITH i AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, '' AS snippet FROM pages UNION ALL SELECT * FROM (VALUES {rows})),
+    return f"""WITH i AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {snippet} AS snippet FROM pages UNION ALL SELECT * FROM (VALUES {rows})),
 c AS (SELECT page_id, lower(url) AS u, {COLLAPSE.format('title')} AS t, {COLLAPSE.format('snippet')} AS s FROM i), k AS (SELECT *, lower(t || ' ' || s) AS b, regexp_extract(u, '^[a-z]+://([^/?#]*)', 1) AS h, regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM c),
 x AS (SELECT *, list_filter(string_split(p, '/'), lambda g: g <> '') AS g, len(list_filter(string_split(p, '/'), lambda g: g <> '')) AS n, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS w, len(list_intersect({words('t')}, {words("string_split(regexp_replace(h, '^www[.]', ''), '.')[1]")})) > 0 AS brand FROM k),
 z AS (SELECT *, CASE {' '.join(f"WHEN contains(u, {_lit(t)}) THEN {_lit('blocked_domain:' + t)}" for t in r.BLOCKED)} END AS blk, {_any('p', r.EDITORIAL_PATHS)} AS ep, {total(rated)} AS web, {names(rated)} AS wr, least({total(social)}, 1.0::double) AS soc, {names(social)} AS sr FROM x),
@@ -278,6 +278,18 @@ SELECT page_id, result_kind, score, exclusion_reason, CASE WHEN exclusion_reason
 
 HIT_CLASSIFY = _hits_sql()
 
+_SNIPPETS = ["Sitio oficial de la casa", "contacto y servicios", "reserva tu cita", "clinica dental", "agencia para empresas y coaches", "comprar, carrito, sku", "ministerio de obras", "marketplace directory", ""]
+
+
+def hit_classify_real(spark, sf_dir):
+    """The same with the real word lists, and a snippet for every page."""
+    snippet = f"CASE WHEN page_id >= 0 THEN element_at(array({', '.join(_lit(x) for x in _SNIPPETS)}), cast(pmod(page_id, {len(_SNIPPETS)}) AS int) + 1) ELSE snippet END"
+    df = hits.process(_hit_rows(spark, sf_dir).withColumn("snippet", F.expr(snippet)), True)
+    return df.select("page_id", "result_kind", "score", "exclusion_reason", "discovery_confidence", F.array_join("reasons", ",").alias("reasons"))
+
+
+HIT_CLASSIFY_REAL = _hits_sql(hits.POSITIVE, "[" + ", ".join(map(_lit, _SNIPPETS)) + f"][page_id % {len(_SNIPPETS)} + 1]")
+
 
 def hit_rank(spark, sf_dir):
     df = hits.process(_hit_rows(spark, sf_dir), True, positive=_WORDS).withColumn("query", F.expr("pmod(page_id, 7)"))
@@ -352,6 +364,28 @@ def business_model_fit(spark, sf_dir):
 MODEL_FIT = """WITH d AS (SELECT doc_id, lower(substr(text, 1, 2400)) AS s, CASE doc_id % 3 WHEN 0 THEN 'ecommerce_business' WHEN 1 THEN 'ecommerce_business,education_business' ELSE '' END AS targets FROM documents), o AS (SELECT *, CASE WHEN contains(s, 'thatha') THEN 'service_provider' WHEN contains(s, 'ungen') THEN 'product_page' WHEN contains(s, 'tion ') THEN 'education_business' WHEN contains(s, 'que ') THEN 'ecommerce_business' END AS observed FROM d)
 SELECT doc_id, targets, observed, CASE WHEN targets = '' THEN 'unknown' WHEN observed IS NOT NULL AND contains(targets, observed) THEN 'match' WHEN observed IN ('service_provider', 'product_page') THEN 'mismatch' ELSE 'unknown' END AS fit FROM o"""
 
+_OFFERS = ["consultoria para empresas ", "anadir al carrito ", "curso online ", "tienda online ", "", "agencia de marketing "]
+
+
+def business_model_real(spark, sf_dir):
+    """Business models with the real word lists: an offer in front of every text, the entity type by id."""
+    offer = "element_at(array(" + ", ".join(map(_lit, _OFFERS)) + f"), cast(pmod(doc_id, {len(_OFFERS)}) AS int) + 1)"
+    docs = _t(spark, sf_dir, "documents").withColumns({"low": F.expr(f"lower(substring(concat({offer}, text), 1, 2400))"), "kind": F.expr("CASE pmod(doc_id, 5) WHEN 0 THEN ' Agency' WHEN 1 THEN 'media' END"), "niche": F.expr("CASE pmod(doc_id, 4) WHEN 0 THEN 'Tienda online' WHEN 1 THEN 'Academia' END"), "focus": F.expr("CASE pmod(doc_id, 7) WHEN 0 THEN 'cursos' END")})
+    df = docs.select("doc_id", F.expr(quality.target_models("niche", "focus")).alias("t"), F.expr(quality.observed_model("low", "kind")).alias("observed"))
+    return df.select("doc_id", F.array_join("t", ",").alias("targets"), "observed", F.expr(quality.model_fit("t", "observed")).alias("fit"))
+
+
+def _model_sql() -> str:
+    r = quality_rules
+    target = "lower(concat_ws(' ', CASE doc_id % 4 WHEN 0 THEN 'Tienda online' WHEN 1 THEN 'Academia' ELSE '' END, CASE doc_id % 7 WHEN 0 THEN 'cursos' ELSE '' END))"
+    offer = "[" + ", ".join(map(_lit, _OFFERS)) + f"][doc_id % {len(_OFFERS)} + 1]"
+    return f"""WITH d AS (SELECT doc_id, lower(substr({offer} || text, 1, 2400)) AS s, {target} AS n FROM documents), o AS (SELECT doc_id, concat_ws(',', CASE WHEN {_any('n', r.TARGET_ECOMMERCE)} THEN 'ecommerce_business' END, CASE WHEN {_any('n', r.TARGET_EDUCATION)} THEN 'education_business' END) AS targets,
+  CASE WHEN doc_id % 5 = 0 OR {_any('s', r.SERVICE_PROVIDER)} THEN 'service_provider' WHEN {_any('s', r.PRODUCT_PAGE)} THEN 'product_page' WHEN {_any('s', r.EDUCATION)} THEN 'education_business' WHEN {_any('s', r.ECOMMERCE)} THEN 'ecommerce_business' END AS observed FROM d)
+SELECT doc_id, targets, observed, CASE WHEN targets = '' THEN 'unknown' WHEN contains(',' || targets || ',', ',' || observed || ',') THEN 'match' WHEN observed IN ('service_provider', 'product_page') THEN 'mismatch' ELSE 'unknown' END AS fit FROM o"""
+
+
+BUSINESS_MODEL_REAL = _model_sql()
+
 _PLACES = ["Calle Mayor 1, 28013 Madrid, España", "es", "Lima", "Ciudad de México 06000", "Hotel Castellana, Madrid", "Santiago; Chile", "tel 600 111 222, Bogotá", "Springfield", "La Paz, Bolivia", "Av. Corrientes 1234 | Buenos Aires | AR", "MADRID", "nowhere in particular", "Córdoba, Argentina", "uruguay montevideo", ""]
 
 
@@ -463,7 +497,7 @@ QUERIES = {
     "language_confusion": (language_confusion, LANGUAGE_CONFUSION), "service_keywords_top5": (service_keywords_top5, SERVICE_KEYWORDS), "ai_signature": (ai_signature, AI_SIGNATURE), "text_fold": (text_fold, TEXT_FOLD), "url_identity": (url_identity, URL_IDENTITY), "page_type_classify": (page_type_classify, PAGE_TYPES),
     "html_links": (html_links, HTML_LINKS), "links_internal_external": (links_internal_external, LINKS_IN_OUT), "key_links_top5": (key_links_top5, KEY_LINKS), "page_merge_by_host": (page_merge_by_host, PAGE_MERGE), "html_text_parse": (html_text_parse, HTML_TEXT), "page_metadata": (page_metadata, None),
     "hit_classify": (hit_classify, HIT_CLASSIFY), "hit_rank": (hit_rank, HIT_RANK), "url_dedupe_position": (url_dedupe_position, URL_DEDUPE), "brand_overlap": (brand_overlap, BRAND_OVERLAP), "entity_scores": (entity_scores, ENTITY_SCORES), "taxonomy_topscore": (taxonomy_topscore, TAXONOMY_TOPSCORE),
-    "business_model_fit": (business_model_fit, MODEL_FIT), "geo_country_match": (geo_country_match, GEO_COUNTRY), "contact_quality": (contact_quality, CONTACT_QUALITY), "quality_gate": (quality_gate, QUALITY_GATE), "technology_detect": (technology_detect, TECHNOLOGIES),
+    "business_model_fit": (business_model_fit, MODEL_FIT), "business_model_real": (business_model_real, BUSINESS_MODEL_REAL), "hit_classify_real": (hit_classify_real, HIT_CLASSIFY_REAL), "geo_country_match": (geo_country_match, GEO_COUNTRY), "contact_quality": (contact_quality, CONTACT_QUALITY), "quality_gate": (quality_gate, QUALITY_GATE), "technology_detect": (technology_detect, TECHNOLOGIES),
     "heuristic_score": (heuristic_score, None), "prospect_pipeline": (prospect_pipeline, None), "fetch_policy": (fetch_policy, FETCH_POLICY),
 }
 

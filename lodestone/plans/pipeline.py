@@ -94,6 +94,24 @@ def sinks(rows: DataFrame, run_ts) -> dict[str, DataFrame]:
     }
 
 
+#: Keys of the persistent tables, and the column that orders versions of a row.
+KEYS = {"prospects": ["canonical_identity"], "job_prospects": ["job_id", "prospect_id"], "prospect_contacts": ["prospect_id", "contact_type", "contact_value"], "prospect_pages": ["prospect_id", "url"]}
+
+
+def save(old: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """New snapshots of the persistent tables: incoming rows win by key, creation times stay, prospects keep the id they have.
+
+    Rows of the other tables name prospects by identity and get its id: the known one, or the one that comes with the prospect.
+    """
+    prospects = upsert.upsert(old["prospects"], incoming["prospects"], KEYS["prospects"], ["updated_at"], ["created_at", "prospect_id"])
+    ids = prospects.select("canonical_identity", "prospect_id")
+    out = {"prospects": prospects}
+    for name in [n for n in incoming if n != "prospects"]:
+        rows = incoming[name].drop("prospect_id").join(ids, "canonical_identity").select(old[name].columns)
+        out[name] = upsert.upsert(old[name], rows, KEYS[name], ["updated_at"])
+    return out
+
+
 def metrics(jobs: DataFrame, rows: DataFrame, logs: DataFrame) -> dict[str, DataFrame]:
     """Summaries per job and the two global rows."""
     captures = kpi.capture_summary(jobs, rows)
