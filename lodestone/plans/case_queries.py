@@ -9,7 +9,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import crawl, kpi, quality, synthesis, upsert
+from ..operators import crawl, extraction, kpi, quality, synthesis, upsert
+from ..operators import hits as operators_hits
 from ..operators.parse import parse
 from ..sources import providers
 from ..sources.html import read_pages
@@ -433,8 +434,73 @@ def _batches_sql() -> str:
     return f"SELECT p_partkey, batch, queries FROM part JOIN (VALUES {values}) v(k, batch, queries) ON p_partkey % {len(_JOBS)} = k"
 
 
+# ---- what models are asked and what is kept of it ----
+
+
+def search_plans(spark, sf_dir):
+    """Search plans out of payloads, their cache key, and prompts cut to their limits."""
+    payloads = ['{"optimal_dork_queries": [" a ", "a", "", null, "b"], "dynamic_negative_terms": ["-x"], "target_entity_hints": [], "exclusion_entity_hints": ["y", "z"]}', "broken", None, '{"optimal_dork_queries": "no list"}']
+    rows = _t(spark, sf_dir, "part").selectExpr("p_partkey", f"{_case('p_partkey', 4, payloads, _spark_lit)} AS payload", "CASE WHEN p_partkey % 2 = 0 THEN 'Dentistas' END AS query", "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Editor' END AS profession", "repeat('x', cast(p_partkey * 7 AS int)) AS body", "CASE WHEN p_partkey % 5 = 0 THEN repeat('y', cast(p_partkey * 5 AS int)) END AS pack")
+    df = extraction.search_plan(rows)
+    lists = ["optimal_dork_queries", "dynamic_negative_terms", "target_entity_hints", "exclusion_entity_hints"]
+    return df.select("p_partkey", *(F.array_join(c, "|").alias(c) for c in lists), F.expr(extraction.plan_key("query", "profession", "cast(NULL AS string)", "'Lima'")).alias("plan_key"), F.md5(F.expr(extraction.extraction_prompt("'Perfil X'", "pack", "body"))).alias("prompt_md5"))
+
+
+SEARCH_PLANS = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a|b' ELSE '' END AS optimal_dork_queries, CASE p_partkey % 4 WHEN 0 THEN '-x' ELSE '' END AS dynamic_negative_terms, '' AS target_entity_hints, CASE p_partkey % 4 WHEN 0 THEN 'y|z' ELSE '' END AS exclusion_entity_hints,
+  CASE WHEN p_partkey % 2 = 0 THEN 'dentistas' ELSE '' END || '|' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'editor' END || '||lima' AS plan_key, md5('Perfil: Perfil X' || chr(10) || CASE WHEN p_partkey % 5 = 0 THEN repeat('y', least(p_partkey * 5, 4000)::int) ELSE repeat('x', least(p_partkey * 7, 10000)::int) END) AS prompt_md5 FROM part"""
+
+
+def model_traces(spark, sf_dir):
+    """Payloads met by signature, the method that scores a page, its trace, and fields of the evidence pack."""
+    good = '{"inferred_niche": "Dental", "inferred_tech_stack": [], "generic_attributes": {}, "hiring_signals": false, "estimated_revenue_signal": "low", "score": 0.5, "confidence_level": "high"}'
+    pages = _t(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "concat('s', c_custkey % 50) AS signature", f"{_case('c_custkey', 4, ['ai_required', 'quality_rejected', 'ai_required', 'commercial_rejected'], _spark_lit)} AS ai_gate", "repeat('a b  ', cast(c_custkey % 30 * 20 + 10 AS int)) AS clean_text", "'acme.es' AS domain", "CASE WHEN c_custkey % 3 = 0 THEN 'T' END AS title", "c_custkey / 1000D AS heuristic_score", "array('x') AS service_keywords")
+    payloads = _t(spark, sf_dir, "nation").selectExpr("explode(array(n_nationkey, n_nationkey + 25)) AS k").selectExpr("concat('s', k) AS signature", f"CASE k % 3 WHEN 0 THEN {_spark_lit(good)} WHEN 1 THEN 'broken' ELSE '{{}}' END AS payload", "cast(k AS bigint) AS total_tokens").where("signature <> 's7'")
+    df = extraction.evidence_pack(extraction.trace(extraction.with_payloads(pages, payloads.unionByName(payloads)), "acme", "v2"))
+    t = "ai_trace."
+    return df.select("c_custkey", "selected_method", "fallback_reason", "ai_niche", "ai_score", F.expr(t + "status").alias("status"), F.expr(t + "evaluation_method").alias("method"), F.expr(t + "prompt_version").alias("version"), F.expr(t + "total_tokens").alias("tokens"), F.expr("length(get_json_object(evidence_pack, '$.summary_text'))").alias("summary_chars"), F.expr("get_json_object(evidence_pack, '$.title')").alias("pack_title"), F.expr("get_json_object(evidence_pack, '$.service_keywords[0]')").alias("pack_keyword"))
+
+
+MODEL_TRACES = """WITH r AS (SELECT c_custkey, c_custkey % 50 AS k, c_custkey % 4 IN (0, 2) AS asked, (c_custkey % 30 * 20 + 10) AS n FROM customer), j AS (SELECT *, asked AND k <> 7 AS has FROM r),
+m AS (SELECT *, CASE WHEN NOT asked THEN CASE c_custkey % 4 WHEN 1 THEN 'quality_rejected' ELSE 'commercial_rejected' END WHEN n * 5 < 100 THEN 'insufficient_text' WHEN NOT has THEN 'missing_payload' WHEN k % 3 = 1 THEN 'invalid_json' WHEN k % 3 = 2 THEN 'invalid_payload' END AS reason FROM j)
+SELECT c_custkey, CASE WHEN reason IS NULL THEN 'ai' ELSE 'heuristic' END AS selected_method, reason AS fallback_reason, CASE WHEN has AND k % 3 = 0 THEN 'Dental' END AS ai_niche, CASE WHEN has AND k % 3 = 0 THEN 0.5::double END AS ai_score, CASE WHEN NOT asked THEN 'skipped' WHEN reason IS NULL THEN 'success' ELSE 'fallback' END AS status, CASE WHEN reason IS NULL THEN 'model' ELSE 'heuristic' END AS method, 'v2' AS version,
+  CASE WHEN has THEN k END AS tokens, least(n * 4 - 1, 1800) AS summary_chars, CASE WHEN c_custkey % 3 = 0 THEN 'T' END AS pack_title, 'x' AS pack_keyword FROM m"""
+
+
+def job_contexts(spark, sf_dir):
+    """Query parameters of jobs, and what a hit keeps of its discovery."""
+    from . import pipeline
+
+    filters = ['{"discovery_profile": {"user_service_offers": ["web", "seo"], "user_target_offer_focus": "tiendas"}, "target_accepted_results": 7}', '{"target_accepted_results": "x", "max_candidates_to_process": "12"}', None, "broken"]
+    jobs = _t(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{_case('o_orderkey', 4, filters, _spark_lit)} AS filters_json", f"{_case('o_orderkey', 5, ['ddg', 'url_list', 'google_search', None, 'mock'], _spark_lit)} AS source_type", "CASE WHEN o_orderkey % 2 = 0 THEN 'Dental' END AS target_niche")
+    df = pipeline.job_context(jobs).select("job_id", F.array_join("user_service_offers", "|").alias("offers"), "user_target_offer_focus", "source_type", "target_niche", "target_accepted_results", "max_candidates_to_process")
+    hits = df.selectExpr("*", "concat('q', job_id % 3) AS query", "cast(job_id % 9 AS int) AS position", "'T' AS title", "0.5D AS score", "array('q0', 'q1') AS queries")
+    d = operators_hits.discovery_metadata(hits)
+    return d.select(*df.columns, F.expr("discovery.source_query").alias("source_query"), F.expr("discovery.serp_position").alias("serp_position"), F.expr("discovery.business_likeness_score").alias("likeness"), F.expr("discovery.seed_source_url").cast("string").alias("seed"), F.expr("size(discovery.queries)").alias("n_queries"))
+
+
+JOB_CONTEXTS = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN 'web|seo' END AS offers, CASE WHEN o_orderkey % 4 = 0 THEN 'tiendas' END AS user_target_offer_focus, CASE o_orderkey % 5 WHEN 0 THEN 'duckduckgo_search' WHEN 1 THEN 'seed_url' WHEN 4 THEN 'mock_search' END AS source_type, CASE WHEN o_orderkey % 2 = 0 THEN 'Dental' END AS target_niche,
+  CASE WHEN o_orderkey % 4 = 0 THEN 7 END AS target_accepted_results, CASE WHEN o_orderkey % 4 = 1 THEN 12 END AS max_candidates_to_process, 'q' || (o_orderkey % 3) AS source_query, o_orderkey % 9 AS serp_position, 0.5::double AS likeness, NULL::varchar AS seed, 2 AS n_queries FROM orders"""
+
+
+def seed_expand(spark, sf_dir):
+    """Kept hits on directories give way to the official site that their page links, else they go."""
+    rows = _t(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "CASE WHEN s_suppkey % 4 = 3 THEN 'https://plain.es/' ELSE concat('https://www.yelp.com/biz/', s_suppkey) END AS url", "'Clinica dental' AS title", "'contacto y servicios' AS snippet")
+    kept = operators_hits.process(rows, True, blocked=["blocked.invalid"]).withColumnRenamed("result_kind", "kind_").withColumn("exclusion_reason", F.lit(None).cast("string"))
+    kept = kept.select("id", "url", "title", "snippet", "score", "reasons", "discovery_confidence")
+    anchors = rows.where("id % 4 < 2").selectExpr("url AS seed_url", "explode(array(named_struct('o', 0, 'u', 'https://www.yelp.com/about', 'l', 'sitio web'), named_struct('o', 1, 'u', 'https://facebook.com/x', 'l', 'web'), named_struct('o', 2, 'u', concat('https://s', id, '.es/a/b/c'), 'l', CASE WHEN id % 4 = 0 THEN 'Sitio web' ELSE 'x' END), named_struct('o', 3, 'u', concat('https://t', id, '.es/'), 'l', 'otro'))) AS a").selectExpr("seed_url", "a.o AS ordinal", "a.u AS url", "a.l AS label")
+    best = operators_hits.official_site(anchors)
+    found, gone = operators_hits.expand_seeds(kept, anchors, True)
+    out = found.select("id", "url", "seed_source_url", "seed_source_type").unionByName(gone.selectExpr("cast(NULL AS bigint) AS id", "url", "reason AS seed_source_url", "'gone' AS seed_source_type"))
+    return out.unionByName(best.selectExpr("cast(NULL AS bigint) AS id", "url", "concat(seed_url, ' ', score) AS seed_source_url", "'best' AS seed_source_type"))
+
+
+SEED_EXPAND = """WITH r AS (SELECT s_suppkey AS id, s_suppkey % 4 AS k, 'https://www.yelp.com/biz/' || s_suppkey AS seed FROM supplier), b AS (SELECT id, seed, CASE k WHEN 0 THEN 'https://s' || id || '.es/a/b/c' ELSE 'https://t' || id || '.es/' END AS url, CASE k WHEN 0 THEN '0.75' ELSE '0.55' END AS score FROM r WHERE k < 2)
+SELECT id, 'https://plain.es/' AS url, NULL AS seed_source_url, NULL AS seed_source_type FROM r WHERE k = 3 UNION ALL SELECT id, url, seed, 'directory_seed' FROM b UNION ALL SELECT NULL, seed, 'excluded_as_directory_seed:yelp', 'gone' FROM r WHERE k < 3 UNION ALL SELECT NULL, url, seed || ' ' || score, 'best' FROM b"""
+
+
 QUERIES = {
     "page_parse_cases": (page_parse_cases, PAGE_PARSE_CASES), "social_parse_cases": (social_parse_cases, SOCIAL_PARSE_CASES), "provider_errors": (provider_errors, PROVIDER_ERRORS), "provider_discovery": (provider_discovery, PROVIDER_DISCOVERY), "seed_and_json_hits": (seed_and_json_hits, SEED_AND_JSON_HITS),
     "result_page_hits": (result_page_hits, RESULT_PAGE_HITS), "upsert_contacts_pages": (upsert_contacts_pages, UPSERT_CONTACTS_PAGES), "page_rows": (page_rows, PAGE_ROWS), "counter_and_null_fills": (counter_and_null_fills, COUNTER_AND_NULL_FILLS), "save_four_tables": (save_four_tables, _save_sql()), "job_status": (job_status, JOB_STATUS), "batch_flatten": (batch_flatten, BATCH_FLATTEN),
-    "location_assess": (location_assess, LOCATION_ASSESS), "crawl_merge": (crawl_merge, _crawl_sql()), "site_identity": (site_identity, SITE_IDENTITY), "query_batches": (query_batches, _batches_sql()),
+    "location_assess": (location_assess, LOCATION_ASSESS), "crawl_merge": (crawl_merge, _crawl_sql()), "site_identity": (site_identity, SITE_IDENTITY), "query_batches": (query_batches, _batches_sql()), "search_plans": (search_plans, SEARCH_PLANS), "model_traces": (model_traces, MODEL_TRACES), "job_contexts": (job_contexts, JOB_CONTEXTS), "seed_expand": (seed_expand, SEED_EXPAND),
 }
