@@ -193,3 +193,11 @@ def turn_events(conversations: DataFrame) -> DataFrame:
     log = F.posexplode(F.expr(f"CASE WHEN role = 'assistant' THEN array({', '.join(answer)}) ELSE array({', '.join(other)}) END")).alias("part", "e")
     events = rows.select("conv_id", "role", "turn", "n", log)
     return events.select("conv_id", F.struct("turn", "n", "part").alias("seq"), "e.kind", "e.message", "role", "e.text")
+
+
+ORACLE_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|</s>|<s>|\[INST\]|\[/INST\]|\[ASST\]|\[ROLE\]|\[TEXT\]|\[/ROLE\]')) AS body, length(role) + len(regexp_extract_all(role, '\\|</s>|<s>|\[INST\]|\[/INST\]|\[ASST\]|\[ROLE\]|\[TEXT\]|\[/ROLE\]')) AS head FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(CASE role WHEN 'user' THEN length('<s>[INST]  [/INST]') + body WHEN 'assistant' THEN length('<s>[ASST]  </s>') + body ELSE length('<s>[ROLE]  [TEXT]  [/ROLE]') + head + body END)::bigint AS formatted_chars FROM e GROUP BY conv_id
+"""

@@ -328,3 +328,13 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     out = rows.select("vec_id", "key").join(by_key, "key", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+#: The same by comparing all pairs of a label and a transitive closure, for tables of test size.
+ORACLE_SQL = """
+WITH RECURSIVE t AS (SELECT vec_id, embedding::double[] AS v, label FROM embeddings),
+g AS (SELECT vec_id, v, label FROM t WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+c(u, v) AS (SELECT vec_id, vec_id FROM t UNION SELECT c.u, l.v FROM c JOIN l ON c.v = l.u), m AS (SELECT u, min(v) AS component_id FROM c GROUP BY u), n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM t JOIN m ON vec_id = m.u LEFT JOIN n ON vec_id = n.u
+"""

@@ -602,3 +602,15 @@ def redundant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     same = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("tag") == F.col("stays.tag"))
     marks = rows.join(stays, "root").groupBy("doc_id", "tag").agg(F.max(same).alias("twin"), F.count("*").alias("n"))
     return marks.where("not twin or n > 1").select("doc_id", F.lower(F.hex("tag")).alias("sha"), "twin")
+
+
+#: The same by a self-join on shingles and a transitive closure, for tables of test size.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+k AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) = 0 THEN 'empty ' || doc_id ELSE md5(array_to_string(list_sort(s), chr(10))) END AS sid FROM s),
+r AS (SELECT sid, min(doc_id) AS least, any_value(s) AS s, any_value(n) AS n FROM k GROUP BY sid), e AS (SELECT sid, n, unnest(s) AS x FROM r),
+l AS (SELECT a.sid AS u, b.sid AS v FROM e a JOIN e b ON a.x = b.x AND a.sid <> b.sid GROUP BY a.sid, b.sid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+c(u, v) AS (SELECT sid, sid FROM r UNION SELECT c.u, l.v FROM c JOIN l ON c.v = l.u), m AS (SELECT c.u AS sid, min(r.least) AS component_id FROM c JOIN r ON c.v = r.sid GROUP BY c.u)
+SELECT k.doc_id, k.n AS n_shingles, m.component_id FROM k JOIN m ON k.sid = m.sid
+"""

@@ -77,17 +77,17 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
-    from . import exact_dedup
+    from . import chat, embedding_dedup, exact_dedup, ngram_join, warc
 
     return {
-        "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
+        "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, ngram_join.ORACLE_SQL),
         "op2_exact_dedup": (op2_exact_dedup, exact_dedup.ORACLE_SQL),
         "op3_packing": (op3_packing, None),
-        "op4_embedding_near_dedup": (op4_embedding_near_dedup, None),
+        "op4_embedding_near_dedup": (op4_embedding_near_dedup, embedding_dedup.ORACLE_SQL),
         "op5_bpe_encoding": (op5_bpe_encoding, None),
         "op6_secret_scans": (op6_secret_scans, None),
-        "op7_warc": (op7_warc, None),
-        "op8_chat_formatting": (op8_chat_formatting, None),
+        "op7_warc": (op7_warc, warc.ORACLE_SQL),
+        "op8_chat_formatting": (op8_chat_formatting, chat.ORACLE_SQL),
         "op9_token_counts": (op9_token_counts, None),
         "op10_quality_classifier": (op10_quality_classifier, None),
     }

@@ -221,3 +221,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     columns = list(zip(*rows, strict=True)) or [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+
+
+def _base32_sql(digest: str) -> str:
+    """Base32 of a SHA-1 in hex: four times 40 bits, eight letters each."""
+    part = lambda i: f"('0x' || substr({digest}, {10 * i + 1}, 10))::bigint"
+    return " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({part(i)} >> {35 - 5 * j}) & 31)::int + 1, 1)" for i in range(4) for j in range(8))
+
+
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages), w AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, {_base32_sql('d')} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM w
+"""
