@@ -34,6 +34,7 @@ CENTERS, SAMPLE, CELL, LEAF = 64, 2048, 16384, 24
 CELL_NUMBERS = 8_000_000  # most vector components of a cell, which lowers CELL for long vectors
 PARTED, COPIES, LEVELS = 0.7, 4.0, 40  # a dealt cell: largest part, all parts together, most times of dealing
 CHUNK, BATCH = 8192, 256
+BLOCK_PAIRS = 300  # pairs of vectors that cost as much in a block as one pair of nodes does by itself
 SLACK = 1e-7
 
 
@@ -164,9 +165,35 @@ class Joiner:
             close = d <= rx[:, None] + ry[None, :] + self.r + SLACK
             if same:
                 close &= np.arange(len(ys))[None, :] > (i + np.arange(len(part)))[:, None]
+            found = int(close.sum())
+            if not found:
+                continue
+            # where most children are close to each other, as in a loose cluster of copies, one block of all their members is cheaper
+            left, right = sum(len(x.points) for x in part), sum(len(y.points) for y in ys)
+            if left * right <= BLOCK_PAIRS * found:
+                self._block(part, ys, i if same else None)
+                continue
             for p, q in zip(*np.nonzero(close), strict=True):
                 self.between(part[p], ys[q], d[p, q])
 
+    def _block(self, xs: list[Node], ys: list[Node], first: int | None) -> None:
+        """All members of xs against all of ys. first: the place of xs in ys where both are children of one node; then each pair of
+        different children counts once, and pairs inside a child don't."""
+        b = np.concatenate([y.points for y in ys])
+        vectors, child = self.v[b].T, np.repeat(np.arange(len(ys)), [len(y.points) for y in ys])
+        a = np.concatenate([x.points for x in xs])
+        mine = np.repeat(np.arange(len(xs)), [len(x.points) for x in xs])
+        for i in range(0, len(a), BATCH):
+            some = a[i : i + BATCH]
+            hit = self.v[some] @ vectors >= self.t
+            if first is not None:
+                hit &= child[None, :] > (first + mine[i : i + BATCH])[:, None]
+            if hit.any():
+                self.counts[some] += hit @ self.w[b]
+                self.counts[b] += self.w[some] @ hit
+                x, y = np.nonzero(hit & (self.roots(some)[:, None] != self.roots(b)[None, :]))
+                self._edges(some[x], b[y])
+
     def between(self, a: Node, b: Node, d: float | None = None) -> None:
         if d is None:
             d = float(np.sqrt(max(0, 2 - 2 * float(self.v[a.center] @ self.v[b.center]))))
