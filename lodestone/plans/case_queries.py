@@ -302,7 +302,7 @@ def _crawl_sql() -> str:
 s AS (SELECT *, coalesce(max((d % 7 = 0 OR d % 11 = 0 OR d % 13 = 0)::int) {before}, 0) * coalesce(max((d % 3 = 0)::int) {before}, 0) * coalesce(max((d % 3 = 1 OR d % 8 = 1)::int) {before}, 0) AS enough FROM r), k AS (SELECT * FROM s WHERE enough = 0),
 {', '.join(listed(*x) for x in lists)},
 m AS (SELECT root, {first('title', "CASE WHEN d % 4 = 1 THEN 't' || d END")}, {first('html_lang', "CASE WHEN d % 5 = 2 THEN 'es' END")}, {first('whatsapp_url', "CASE WHEN d % 6 = 0 THEN 'w' || d END")}, {first('booking_url', "CASE WHEN d % 8 = 1 THEN 'b' || d END")}, {first('primary_cta', "CASE WHEN d % 3 = 1 THEN 'booking' END")}, {first('primary_identity_url', "'https://www.' || d || '.es/'")},
-  bool_or(d % 13 = 0) AS form_detected, sum(d % 3) AS invalid_phone_candidates_count, sum(CASE WHEN d % 2 = 0 THEN d % 3 ELSE 1 END) AS date_like, sum(CASE WHEN d % 2 = 0 THEN 1 ELSE 0 END) AS noise, count(*) AS pages_crawled, string_agg('u' || d || ':' || CASE d % 3 WHEN 0 THEN 'contact' WHEN 1 THEN 'about' ELSE '' END, '|' ORDER BY o) AS pages,
+  bool_or(d % 13 = 0) AS form_detected, sum(d % 3)::bigint AS invalid_phone_candidates_count, sum(CASE WHEN d % 2 = 0 THEN d % 3 ELSE 1 END)::bigint AS date_like, sum(CASE WHEN d % 2 = 0 THEN 1 ELSE 0 END)::bigint AS noise, count(*) AS pages_crawled, string_agg('u' || d || ':' || CASE d % 3 WHEN 0 THEN 'contact' WHEN 1 THEN 'about' ELSE '' END, '|' ORDER BY o) AS pages,
   md5(coalesce(string_agg('[' || CASE d % 3 WHEN 0 THEN 'CONTACT' WHEN 1 THEN 'ABOUT' ELSE 'OTHER' END || '] ' || substr(t, 1, 1200), chr(10) || chr(10) ORDER BY o) FILTER (t <> ''), '')) AS text_md5 FROM k GROUP BY root)
 SELECT m.*, {', '.join(f"coalesce({n}, '') AS {n}" for n, _, _ in lists)} FROM m {' '.join(f'LEFT JOIN {n} USING (root)' for n, _, _ in lists)}"""
 
