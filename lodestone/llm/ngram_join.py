@@ -583,11 +583,15 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, region_mb: float, tagge
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region_mb: float = REGION_MB) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least id reachable by links, itself included)."""
     base, group = _groups(docs, id_col, text_col, region_mb, False)
-    least = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    known = least.join(group, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
-    top = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_sid = known.join(top, "root").select("sid", "component_id")
-    return base.join(by_sid, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows_"))
+    # only sets of a component have something to learn; the others are their own
+    known = materialize(least.join(group, "sid").select("sid", "root", "least"), "known")
+    top = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
+    found = with_groups(known, top, ["root"], "k").select("sid", F.col("component_id").alias("found"))
+    by_sid = least.join(found, "sid", "left").select("sid", "rows_", F.coalesce("found", "least").alias("component_id"))
+    own = F.coalesce("component_id", "doc_id").alias("component_id")
+    worded = with_groups(base.where("sid IS NOT NULL"), by_sid, ["sid"], "rows_").select("doc_id", "n_shingles", own)
+    return worded.unionByName(base.where("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def redundant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region_mb: float = REGION_MB) -> DataFrame:
@@ -596,11 +600,11 @@ def redundant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     twin: the mark is of the row that stays, which the table holds more than once.
     """
     base, group = _groups(docs, id_col, text_col, region_mb, True)
-    rows = base.where("sid IS NOT NULL").join(group, "sid", "left").select("doc_id", "tag", F.coalesce("root", "sid").alias("root"))
+    rows = materialize(base.where("sid IS NOT NULL").join(group, "sid", "left").select("doc_id", "tag", F.coalesce("root", "sid").alias("root")), "rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     stays = rows.groupBy("root").agg(F.min(key).alias("stays"), F.count("*").alias("n")).where("n > 1")
     same = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("tag") == F.col("stays.tag"))
-    marks = rows.join(stays, "root").groupBy("doc_id", "tag").agg(F.max(same).alias("twin"), F.count("*").alias("n"))
+    marks = with_groups(rows, stays, ["root"], "n").withColumnRenamed("n", "n_").groupBy("doc_id", "tag").agg(F.max(same).alias("twin"), F.count("*").alias("n"))
     return marks.where("not twin or n > 1").select("doc_id", F.lower(F.hex("tag")).alias("sha"), "twin")
 
 
