@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, with_groups
 
 THRESHOLD = 0.98
 CENTERS, SAMPLE, CELL, LEAF = 64, 2048, 16384, 24
@@ -350,8 +350,9 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     group = components(found.where("v IS NOT NULL").select("u", "v")).withColumnRenamed("node", "key")
     least_id = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("least"))
     known = points.select("key", "weight").join(least_id, "key").join(links, "key", "left").join(group, "key", "left").select("key", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root"), "least")
-    top = known.groupBy("root").agg(F.min("least").alias("component"))
-    by_key = known.join(top, "root").select("key", "n_links", "component")
+    known = materialize(known, "known")
+    top = known.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("k"))
+    by_key = with_groups(known, top, ["root"], "k").select("key", "n_links", "component")
     out = rows.select("vec_id", "key").join(by_key, "key", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
