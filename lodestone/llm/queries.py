@@ -76,8 +76,26 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold(chat.turn_events(turns))))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine, shift_labels
+
+    return mine(shift_labels(table(spark, sf_dir, "embeddings")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, tuple[Query, str | None]]:
-    from . import chat, embedding_dedup, exact_dedup, ngram_join, warc
+    from . import chat, embedding_dedup, exact_dedup, hard_negatives, ngram_join, vector_codes, warc
 
     return {
         "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, ngram_join.ORACLE_SQL),
@@ -90,4 +108,7 @@ def all_queries() -> dict[str, tuple[Query, str | None]]:
         "op8_chat_formatting": (op8_chat_formatting, chat.ORACLE_SQL),
         "op9_token_counts": (op9_token_counts, None),
         "op10_quality_classifier": (op10_quality_classifier, None),
+        "op11_mixing": (op11_mixing, None),
+        "op12_hard_negatives": (op12_hard_negatives, hard_negatives.ORACLE_SQL),
+        "op13_vector_codes": (op13_vector_codes, vector_codes.ORACLE_SQL),
     }
