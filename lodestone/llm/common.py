@@ -112,28 +112,29 @@ def per_key(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table | None],
     return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(work, schema)
 
 
-BLOOM_BITS = 1 << 24  # 2 MB whatever the input; a full filter lets everything through, which costs time and no results
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 20, 1 << 29, 12  # a filter has 128 KB to 64 MB; a full one lets everything through, which costs time and no results
 
 
-def _slots(keys: list[bytes]) -> np.ndarray:
-    """Two bits for each key of 16 random bytes."""
-    return np.frombuffer(b"".join(keys), "<u4").reshape(-1, 4)[:, :2] % BLOOM_BITS
+def _slots(keys: list[bytes], bits: int) -> np.ndarray:
+    """Four bits for each key of 16 random bytes."""
+    return np.frombuffer(b"".join(keys), "<u4").reshape(-1, 4) % np.uint32(bits)
 
 
 def in_bloom(bits: bytes, keys: list[bytes]) -> np.ndarray:
-    at = _slots(keys)
+    at = _slots(keys, 8 * len(bits))
     return ((np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7)) & 1).all(1)
 
 
 def bloom(keys: DataFrame) -> bytes:
-    """A Bloom filter of fixed size over the first column, 16-byte digests; or-ed block by block on the executors."""
-    blocks = 32
-    size = BLOOM_BITS // 8 // blocks
+    """A Bloom filter over the first column, 16-byte digests; sized by their number (45 million before it fills up), or-ed block by block on the executors."""
+    size_bits = 1 << max(LEAST_BITS, min(MOST_BITS, BITS_A_KEY * keys.count())).bit_length() - 1
+    blocks = max(32, size_bits // 8 >> 16)
+    size = size_bits // 8 // blocks
 
     def build(batches):
-        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        bits = np.zeros(size_bits // 8, np.uint8)
         for batch in batches:
-            at = _slots(batch.column(0).to_pylist()).ravel()
+            at = _slots(batch.column(0).to_pylist(), size_bits).ravel()
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         for b in range(blocks):
             if (part := bits[b * size : (b + 1) * size]).any():
@@ -145,7 +146,7 @@ def bloom(keys: DataFrame) -> bytes:
             total |= np.frombuffer(x, np.uint8)
         return pa.table([pa.array([part.column("block")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "bits"])
 
-    bits = bytearray(BLOOM_BITS // 8)
+    bits = bytearray(size_bits // 8)
     for row in per_key(keys.mapInArrow(build, "block int, bits binary"), "block", merge, "block int, bits binary").collect():
         bits[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
     return bytes(bits)

@@ -16,7 +16,7 @@ compared in double precision. Centers of a level are found and compared in matri
 the components only links that join something new are handed on.
 
 Cases: null or zero vectors, null or non-finite components, and null labels link with nothing; vectors of different
-lengths don't link; null ids count as vectors without an id; repeated rows are vectors of their own; extra columns are ignored.
+lengths don't link; null ids count as vectors without an id, kept only where no vector of their component has one; repeated rows are vectors of their own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -343,8 +343,8 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / F.max(_room(cell))).cast("int").alias("blocks"))
     placed = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), "blocks").cast("int"))
     pairs = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other"))
-    work = pairs.join(points.select("key", "vector", "weight"), "key").select("cell", "a", "b", "block", "guest", "key", "vector", "weight")
-    found = materialize(work.groupBy("cell", "a", "b").applyInPandas(lambda p: _join_cell(p, threshold), "u binary, v binary, links bigint"), "pairs")
+    work = pairs.join(points.select("key", "vector", "weight", "label"), "key").select("cell", "label", "dim", "a", "b", "block", "guest", "key", "vector", "weight")
+    found = materialize(work.groupBy("cell", "label", "dim", "a", "b").applyInPandas(lambda p: _join_cell(p, threshold), "u binary, v binary, links bigint"), "pairs")
 
     links = found.where("v IS NULL").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "key")
     group = components(found.where("v IS NOT NULL").select("u", "v")).withColumnRenamed("node", "key")
@@ -355,7 +355,7 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     by_key = with_groups(known, top, ["root"], "k").select("key", "n_links", "component")
     out = rows.select("vec_id", "key").join(by_key, "key", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 #: The same by comparing all pairs of a label and a transitive closure, for tables of test size.

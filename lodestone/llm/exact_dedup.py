@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import bloom, in_bloom, materialize, per_key
 
-SHARD_KEYS, LEAST_SHARDS, MOST_SHARDS = 20_000, 64, 1 << 16
+SHARD_KEYS, LEAST_SHARDS = 20_000, 64
+BROADCAST_SHARDS = 1 << 18  # most shards whose loads are broadcast (3 MB); more of them are joined by key
 SALT_ROWS = 20_000
 REPEATS = 10_000  # rows of one id and text that one task writes
-NO_ID = np.iinfo(np.int64).min
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,23 +97,24 @@ def _shard(column: str, shards: int):
     return F.pmod(F.conv(F.substring(F.hex(column), 1, 12), 16, 10).cast("bigint"), F.lit(shards)).cast("int")
 
 
-INDEX = "shards int, shard int, segment int, displacements binary, digests binary, winners binary, sizes binary"
+INDEX_COLUMNS = ["shards", "shard", "segment", "displacements", "digests", "winners", "named", "sizes"]  # named: whether a slot's winner has an id
+INDEX = "shards int, shard int, segment int, displacements binary, digests binary, winners binary, named binary, sizes binary"
 GROUPS = "digest binary, winner bigint, size bigint"
 
 
-def _segment(shards: int, shard: int, segment: int, keys: list[bytes], winners: np.ndarray, sizes: np.ndarray) -> pa.Table:
+def _segment(shards: int, shard: int, segment: int, keys: list[bytes], winners: np.ndarray, named: np.ndarray, sizes: np.ndarray) -> pa.Table:
     mph = PerfectHash.build(_words(keys))
     order = np.argsort(mph.slot_of(_words(keys)))
-    blobs = (mph.displacements.tobytes(), b"".join(keys[i] for i in order), winners[order].tobytes(), sizes[order].tobytes())
-    return pa.table([*(pa.array([x], pa.int32()) for x in (shards, shard, segment)), *(pa.array([x], pa.binary()) for x in blobs)], ["shards", "shard", "segment", "displacements", "digests", "winners", "sizes"])
+    blobs = (mph.displacements.tobytes(), b"".join(keys[i] for i in order), winners[order].tobytes(), named[order].tobytes(), sizes[order].tobytes())
+    return pa.table([*(pa.array([x], pa.int32()) for x in (shards, shard, segment)), *(pa.array([x], pa.binary()) for x in blobs)], INDEX_COLUMNS)
 
 
 def build_index(groups: DataFrame, shards: int, segment: int = 0) -> DataFrame:
     """Index rows over groups(digest, winner, size) of distinct digests."""
 
     def one(part: pa.Table) -> pa.Table:
-        winners = part.column("winner").fill_null(NO_ID).to_numpy().astype(np.int64)
-        return _segment(shards, part.column("shard")[0].as_py(), segment, part.column("digest").to_pylist(), winners, part.column("size").to_numpy().astype(np.int64))
+        winners, named = part.column("winner").fill_null(0).to_numpy().astype(np.int64), np.asarray(part.column("winner").is_valid())
+        return _segment(shards, part.column("shard")[0].as_py(), segment, part.column("digest").to_pylist(), winners, named, part.column("size").to_numpy().astype(np.int64))
 
     return per_key(groups.select(_shard("digest", shards).alias("shard"), "digest", "winner", "size"), "shard", one, INDEX)
 
@@ -138,24 +139,26 @@ class Slots:
         self.parts = []
         for x in segments:
             slots = _words([x["digests"]])
-            self.parts.append((PerfectHash(np.frombuffer(x["displacements"], np.int64), len(slots)), slots, np.frombuffer(x["winners"], np.int64).copy(), np.frombuffer(x["sizes"], np.int64).copy()))
+            values = [np.frombuffer(x[c], t).copy() for c, t in (("winners", np.int64), ("named", bool), ("sizes", np.int64))]
+            self.parts.append((PerfectHash(np.frombuffer(x["displacements"], np.int64), len(slots)), slots, *values))
 
     def find(self, digests) -> tuple[np.ndarray, np.ndarray]:
         """Segment (-1: none) and slot of each digest."""
         keys = _words(digests)
         where, slot = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        for i, (mph, slots, _, _) in enumerate(self.parts):
+        for i, (mph, slots, *_) in enumerate(self.parts):
             at = mph.slot_of(keys)
             found = (slots[at] == keys).all(1)  # the byte check
             where[found], slot[found] = i, at[found]
         return where, slot
 
-    def values(self, where: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        winner, size = np.full(len(where), NO_ID), np.zeros(len(where), np.int64)
-        for i, (_, _, winners, sizes) in enumerate(self.parts):
+    def values(self, where: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Winner, whether it has an id, and size."""
+        winner, named, size = np.zeros(len(where), np.int64), np.zeros(len(where), bool), np.zeros(len(where), np.int64)
+        for i, (_, _, winners, has, sizes) in enumerate(self.parts):
             here = where == i
-            winner[here], size[here] = winners[slot[here]], sizes[slot[here]]
-        return winner, size
+            winner[here], named[here], size[here] = winners[slot[here]], has[slot[here]], sizes[slot[here]]
+        return winner, named, size
 
 
 def absorb(index: DataFrame, groups: DataFrame, shards: int, segment: int = 1) -> DataFrame:
@@ -166,19 +169,21 @@ def absorb(index: DataFrame, groups: DataFrame, shards: int, segment: int = 1) -
         slots, out = Slots(held.to_dict("records")), held
         if len(part):
             shard = int(part["shard"].iloc[0])
-            digests, winners, sizes = part["digest"].tolist(), part["winner"].to_numpy(np.int64), part["size"].to_numpy(np.int64)
+            digests, sizes = part["digest"].tolist(), part["size"].to_numpy(np.int64)
+            winners, named = part["winner"].to_numpy(np.int64), part["named"].to_numpy(bool)
             where, slot = slots.find(digests)
-            for i, (_, _, w, n) in enumerate(slots.parts):
-                here = where == i
-                w[slot[here]] = np.maximum(w[slot[here]], winners[here])
+            for i, (_, _, w, has, n) in enumerate(slots.parts):
+                here = np.flatnonzero(where == i)
                 n[slot[here]] += sizes[here]
+                better = here[named[here] & (~has[slot[here]] | (winners[here] > w[slot[here]]))]
+                w[slot[better]], has[slot[better]] = winners[better], True
             if len(held):
-                out = held.assign(winners=[p[2].tobytes() for p in slots.parts], sizes=[p[3].tobytes() for p in slots.parts])
+                out = held.assign(**{c: [p[k].tobytes() for p in slots.parts] for k, c in ((2, "winners"), (3, "named"), (4, "sizes"))})
             if len(new := np.flatnonzero(where < 0)):
-                out = pd.concat([out, _segment(shards, shard, segment, [digests[i] for i in new], winners[new], sizes[new]).to_pandas()])
-        return out[["shards", "shard", "segment", "displacements", "digests", "winners", "sizes"]]
+                out = pd.concat([out, _segment(shards, shard, segment, [digests[i] for i in new], winners[new], named[new], sizes[new]).to_pandas()])
+        return out[INDEX_COLUMNS]
 
-    rows = groups.select(_shard("digest", shards).alias("shard"), "digest", F.coalesce("winner", F.lit(NO_ID)).alias("winner"), "size")
+    rows = groups.select(_shard("digest", shards).alias("shard"), "digest", F.coalesce("winner", F.lit(0)).alias("winner"), F.col("winner").isNotNull().alias("named"), "size")
     return rows.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(one, INDEX)
 
 
@@ -188,17 +193,18 @@ def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     def one(part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         slots = Slots(held.to_dict("records"))
         where, slot = slots.find(part["digest"])
-        winner, size = slots.values(where, slot)
+        winner, named, size = slots.values(where, slot)
         known = pd.array(winner, dtype="Int64")
-        known[winner == NO_ID] = pd.NA
+        known[~named] = pd.NA
         count = pd.array(size, dtype="Int64")
         count[where < 0] = pd.NA
         return pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "digest": part["digest"], "n": part["n"], "winner": known, "size": count})
 
     rows = rows.withColumn("shard", _shard("digest", shards))
     loads = materialize(rows.groupBy("shard").count().select("shard", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts")), "loads")
-    salted = rows.join(F.broadcast(loads), "shard").select("shard", F.pmod(F.xxhash64("digest", "doc_id"), "salts").cast("int").alias("salt"), "doc_id", "digest", "n")
-    copies = index.join(F.broadcast(loads), "shard").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+    loads = F.broadcast(loads) if shards <= BROADCAST_SHARDS else loads
+    salted = rows.join(loads, "shard").select("shard", F.pmod(F.xxhash64("digest", "doc_id"), "salts").cast("int").alias("salt"), "doc_id", "digest", "n")
+    copies = index.join(loads, "shard").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
     return salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(lambda a, b: one(a, b) if len(a) else _none(), "doc_id bigint, digest binary, n bigint, winner bigint, size bigint")
 
 
@@ -218,7 +224,7 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 def _shards(keys: int) -> int:
     """A power of two, so that an index tells its number of shards."""
-    return 1 << int(min(MOST_SHARDS, max(LEAST_SHARDS, keys // SHARD_KEYS)) - 1).bit_length()
+    return 1 << int(max(LEAST_SHARDS, keys // SHARD_KEYS) - 1).bit_length()
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

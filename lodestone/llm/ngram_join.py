@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,7 +211,7 @@ def _head_of(hot_rank: dict[int, int]):
     return one
 
 
-def _full_sets(text: str, bits: bytes):
+def _full_sets(text: str, bits: Broadcast):
     """The whole sets of texts whose digest may be among those asked for."""
 
     def work(batches):
@@ -218,7 +219,7 @@ def _full_sets(text: str, bits: bytes):
             sids, sets = [], []
             seen = set()
             for s in shingle_sets(batch.column(text)):
-                if len(s) and (sid := _digest(s)) not in seen and in_bloom(bits, [sid])[0]:
+                if len(s) and (sid := _digest(s)) not in seen and in_bloom(bits.value, [sid])[0]:
                     seen.add(sid)
                     sids.append(sid)
                     sets.append(s.tobytes())
@@ -573,8 +574,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, region_mb: float, tagge
     members = with_groups(head, pivot, ["shingle"], "k").select("region", "sid").distinct()
     sizes = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("n_shingles").alias("n"))
     members = materialize(members.join(sizes, "sid").select("region", "sid", "n"), "members")
-    asked = members.select("sid").distinct()
-    sets = texts.mapInArrow(_full_sets("text_", bloom(asked)), "sid binary, items binary")
+    asked = materialize(members.select("sid").distinct(), "asked")
+    sets = texts.mapInArrow(_full_sets("text_", docs.sparkSession.sparkContext.broadcast(bloom(asked))), "sid binary, items binary")
     sets = materialize(sets.groupBy("sid").agg(F.first("items").alias("items")).join(asked, "sid", "left_semi"), "sets")
     group = components(region_links(members, sets, region_mb)).withColumnRenamed("node", "sid")
     return base, group

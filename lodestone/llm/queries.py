@@ -57,7 +57,8 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan
 
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.builtin_samples(spark)))
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.model_of(docs))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

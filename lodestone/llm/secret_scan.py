@@ -1,21 +1,28 @@
-"""Secret scan in DataFrame functions only: fixed rules, and character Markov models of random strings.
+"""Secret scan in DataFrame functions only: fixed rules, and character Markov models of random strings and ordinary ones.
 
 Rules find assignments, access keys and long hexadecimal runs. Outside their spans, every run of 16 or more key characters,
-whatever its mix, is scored by two first-order character models, one of random strings and one of ordinary identifiers:
-the log-likelihood ratio of its transitions. With a mean of at least MARGIN and a sum of at least EVIDENCE it is a secret.
-The models are counted from labelled samples with add-one smoothing.
+whatever its mix, is judged by two first-order character models, one of random strings and one of ordinary identifiers and words:
+the log-likelihood ratios of its different transitions. A transition counts once, as its repeats are no further evidence (else any
+run of one letter would be clear evidence). With DIFFERENT of them or more, a mean of at least MARGIN and a sum of at least the model's evidence it
+is a secret.
+
+The models are counted from labelled samples with add-SMOOTHING: generated random strings and identifiers, repeated and
+sequential runs, and a bounded sample of the corpus (about SAMPLE_DOCS documents by the hash of their ids), whose values
+of rule matches are random and whose other runs of key characters are ordinary. A fifth of the samples is held out: the evidence asked for is
+CLEARANCE times what all but a thousandth of the ordinary ones held out reach, and at least EVIDENCE.
 
 Positions are code points with the end exclusive. They come from splitting the text at the matches: a match begins after all
 gaps and matches before it. Running sums take doubling steps and texts are rebuilt from blocks, so time grows with
 n log n in the number of matches and linearly in the text.
 
 Cases: null and empty texts have no spans; matches that fail their length are dropped after matching, as a match
-consumes its text either way; null and repeated ids keep their rows; extra columns are ignored.
+consumes its text either way; null and repeated ids keep their rows; without any document the generated samples train alone; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +45,11 @@ KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
-MARGIN = 0.6  # least mean log-likelihood ratio of a run's transitions
-EVIDENCE = 15.0  # least sum of them: short runs must be clearer than long ones
+MARGIN = 0.6  # least mean log-likelihood ratio of a run's different transitions
+EVIDENCE, CLEARANCE = 10.0, 1.3  # least sum of them, at least; and as a multiple of what ordinary runs held out reach
+DIFFERENT = 8  # least number of them: runs of a short period have few, random ones of 16 characters 12 or more
+SMOOTHING = 0.1
+SAMPLE_DOCS, PIECE = 4000, 64  # expected documents of the corpus in the sample; longest piece of a run in it
 BLOCK = 4096  # characters of a block where texts and runs are taken apart
 
 #: Parts of ordinary identifiers for the built-in sample.
@@ -55,42 +65,91 @@ WORDS = (
 ).split()
 
 
+@dataclass(frozen=True)
+class Model:
+    """Log-likelihood ratios of all transitions, row by row over ALPHABET, and the least sum that makes a secret."""
+
+    ratios: list[float]
+    evidence: float = EVIDENCE
+    margin: float = MARGIN
+
+
 def builtin_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """Labelled samples (text, random): n seeded random strings in three alphabets, and n identifiers in four styles with numbers."""
+    """Labelled samples (text, random): n seeded random strings in four alphabets, n identifiers in seven styles, and runs that repeat or count."""
     words = "split('" + " ".join(WORDS) + "', ' ')"
     pick = lambda k: f"element_at({words}, cast(pmod(xxhash64(id, {k}), {len(WORDS)}) AS int) + 1)"
     number = "pmod(xxhash64(id, 9), 2100)"
+    alnum = lambda tag: f"regexp_replace(base64(unhex(sha2(concat('{tag}', id), 256))), '[+/=]', '')"
     randoms = spark.range(n).selectExpr(
-        "CASE pmod(id, 3) WHEN 0 THEN substring(base64(unhex(sha2(concat('a', id), 256))), 1, 40)"
+        "CASE pmod(id, 4) WHEN 0 THEN substring(base64(unhex(sha2(concat('a', id), 256))), 1, 40)"
         " WHEN 1 THEN substring(sha2(concat('b', id), 256), 1, 40)"
-        " ELSE upper(substring(regexp_replace(base64(unhex(sha2(concat('c', id), 256))), '[+/=]', ''), 1, 32)) END AS text",
+        f" WHEN 2 THEN upper(substring({alnum('c')}, 1, 32)) ELSE substring({alnum('d')}, 1, 32) END AS text",
         "true AS random",
     )
     ordinary = spark.range(n).selectExpr(
-        f"CASE pmod(id, 4) WHEN 0 THEN concat_ws('_', {pick(1)}, {pick(2)}, {number}, {pick(3)})"
+        f"CASE pmod(id, 7) WHEN 0 THEN concat_ws('_', {pick(1)}, {pick(2)}, {number}, {pick(3)})"
         f" WHEN 1 THEN concat({pick(1)}, initcap({pick(2)}), initcap({pick(3)}), {number})"
         f" WHEN 2 THEN concat_ws('/', {pick(1)}, {pick(2)}, {pick(3)}, {number})"
-        f" ELSE upper(concat_ws('_', {pick(1)}, {pick(2)}, {pick(3)})) END AS text",
+        f" WHEN 3 THEN upper(concat_ws('_', {pick(1)}, {pick(2)}, {pick(3)})) WHEN 4 THEN concat_ws('-', {pick(1)}, {pick(2)}, {pick(3)})"
+        f" WHEN 5 THEN concat({pick(1)}, {pick(2)}, {pick(3)}) ELSE concat(initcap({pick(1)}), initcap({pick(2)}), initcap({pick(3)})) END AS text",
         "false AS random",
     )
-    return randoms.unionByName(ordinary)
-
-
-def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of all transitions, row by row over ALPHABET, from samples (text, random)."""
-    pairs = samples.selectExpr("random", "explode(transform(sequence(1, greatest(length(text) - 1, 1)), i -> substring(text, i, 2))) AS pair").where("length(pair) = 2")
+    # each run as often as 20 identifiers
+    letters = f"split('{ALPHABET}', '')"
+    runs = f"concat(transform({letters}, c -> repeat(c, 24)), array(repeat('0123456789', 3), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'))"
+    regular = spark.range(20).selectExpr(f"explode({runs}) AS text", "false AS random")
+    return randoms.unionByName(ordinary).unionByName(regular)
+
+
+def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """Labelled samples (text, random) of about sample_docs documents: values that the rules find, and the different runs outside of them."""
+    share = max(1, min(1 << 20, -(-(sample_docs << 20) // max(1, docs.count()))))
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("bigint"), F.lit(5)), F.lit(1 << 20)) < share)
+    df = _masked(_rule_spans(some.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))))
+    key = "[A-Za-z0-9+/_=-]"
+    ordinary = df.select(F.explode(F.expr(f"regexp_extract_all(masked_, {_quoted(key + '{6,' + str(PIECE) + '}')}, 0)")).alias("text")).distinct().withColumn("random", F.lit(False))
+    values = "concat(" + ", ".join(f"CASE WHEN size(spans_{k}) > 0 THEN regexp_extract_all(text_, {_quoted(LONG.get(k, p))}, {g}) ELSE array() END" for k, p, g, _ in RULES) + ")"
+    found = df.select(F.explode(F.expr(values)).alias("text")).where("length(text) >= 16").select(F.expr(f"explode(regexp_extract_all(text, '.{{1,{PIECE}}}', 0)) AS text")).distinct()
+    return ordinary.unionByName(found.withColumn("random", F.lit(True)))
+
+
+def train(samples: DataFrame) -> Model:
+    """A model of samples (text, random); texts of more than PIECE characters are taken in pieces."""
+    fifth = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)) == 0
+    samples = samples.where("text IS NOT NULL").select("random", F.expr(f"explode(regexp_extract_all(text, '.{{1,{PIECE}}}', 0)) AS text")).withColumn("held", fifth)
     k = len(ALPHABET)
-    count = {True: {}, False: {}}
-    for r in pairs.groupBy("random", "pair").count().collect():  # at most 2 k^2 rows of the alphabet
-        if r["pair"][0] in ALPHABET and r["pair"][1] in ALPHABET:
-            count[r["random"]][r["pair"]] = r["count"]
-    out = []
-    for a in ALPHABET:
-        total = {side: sum(count[side].get(a + b, 0) for b in ALPHABET) for side in count}
-        for b in ALPHABET:
-            p, q = ((count[side].get(a + b, 0) + 1) / (total[side] + k) for side in (True, False))
-            out.append(round(math.log(p / q), 6))
-    return out
+    pairs = samples.where("NOT held").selectExpr("random", f"explode({_codes('text', '0')}) AS code").where("code > 0")
+    count = {(side, code): 0 for side in (True, False) for code in range(1, k * k + 1)}
+    for r in pairs.groupBy("random", "code").count().collect():  # at most 2 k^2 rows
+        count[r["random"], r["code"]] = r["count"]
+    ratios = []
+    for a in range(k):
+        total = {side: sum(count[side, a * k + b] for b in range(1, k + 1)) for side in (True, False)}
+        for b in range(1, k + 1):
+            p, q = ((count[side, a * k + b] + SMOOTHING) / (total[side] + SMOOTHING * k) for side in (True, False))
+            ratios.append(round(math.log(p / q), 6))
+    reached = samples.where("held AND NOT random AND length(text) >= 16").select(F.expr(f"({_judged('text', ratios)}).t AS t"))
+    top = reached.agg(F.percentile_approx("t", 0.999, 10_000)).first()[0]
+    return Model(ratios, round(max(EVIDENCE, CLEARANCE * (top or 0.0)), 6))
+
+
+def model_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of generated samples and of the corpus itself."""
+    return train(builtin_samples(docs.sparkSession).unionByName(corpus_samples(docs, id_col, text_col)))
+
+
+def _codes(run: str, before: str) -> str:
+    """Numbers of the transitions of a run, from 1; 0 where one of two characters is none of ALPHABET. before: number of the character before it."""
+    places = f"transform(split({run}, ''), ch -> instr('{ALPHABET}', ch))"
+    return f"zip_with(concat(array({before}), slice({places}, 1, length({run}) - 1)), {places}, (a, b) -> CASE WHEN a = 0 OR b = 0 THEN 0 ELSE (a - 1) * {len(ALPHABET)} + b END)"
+
+
+def _judged(run: str, ratios: list[float]) -> str:
+    """Struct of the sum t and number n of the log-likelihood ratios of a run's different transitions; block by block, the last character carried along."""
+    table = "array(" + ",".join(f"{x}D" for x in ratios) + ")"
+    step = f"named_struct('p', instr('{ALPHABET}', right(block, 1)), 'seen', array_union(acc.seen, {_codes('block', 'acc.p')}))"
+    seen = f"aggregate(regexp_extract_all({run}, '.{{1,{BLOCK}}}', 0), named_struct('p', 0, 'seen', cast(array() AS array<int>)), (acc, block) -> {step}, acc -> array_remove(acc.seen, 0))"
+    return f"aggregate({seen}, named_struct('t', 0.0D, 'n', 0), (s, code) -> named_struct('t', s.t + element_at({table}, code), 'n', s.n + 1))"
 
 
 def _quoted(pattern: str) -> str:
@@ -150,37 +209,36 @@ def _rule_spans(df: DataFrame) -> DataFrame:
     return df
 
 
-def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, evidence: float = EVIDENCE) -> DataFrame:
+def _masked(df: DataFrame) -> DataFrame:
+    """Adds base_, all rule spans in order, and masked_: the text with them blanked, so that what is left of a run that a rule covers in part is a run of its own."""
+    df = df.withColumn("base_", F.expr("array_sort(concat(spans_assign, spans_access, spans_hex))"))
+    blank = "concat(" + _cut("{before}", "{s}") + ", repeat(' ', {until} - greatest({before}, {s})))"
+    return _rebuilt(df, "masked_", "base_", blank).withColumn("masked_", F.coalesce("masked_", "text_"))
+
+
+def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
     names = "array(" + ",".join(f"'{x}'" for x in KINDS) + ")"
     joined = lambda c: f"array_join(transform({c}, x -> concat({names}[x.kind], ':', x.s, ':', x.e)), ',')"
-    return find_spans(rows, ratios, margin, evidence).selectExpr(
+    return find_spans(rows, model).selectExpr(
         "doc_id", "cast(size(spans_assign) AS bigint) AS n_assign", "cast(size(spans_access) AS bigint) AS n_access", "cast(size(spans_hex) AS bigint) AS n_hex",
         "cast(size(random_) AS bigint) AS n_random", f"sha2({joined('base_')}, 256) AS base_sha256", f"{joined('all_')} AS spans",
     )
 
 
-def find_spans(df: DataFrame, ratios: list[float], margin: float = MARGIN, evidence: float = EVIDENCE) -> DataFrame:
+def find_spans(df: DataFrame, model: Model) -> DataFrame:
     """Adds arrays of spans over column text_: spans_assign, spans_access, spans_hex, base_ (these in order), random_ and all_."""
-    k = len(ALPHABET)
-    df = _rule_spans(df).withColumn("base_", F.expr("array_sort(concat(spans_assign, spans_access, spans_hex))"))
-    # rule spans are blanked, so what is left of a run that a rule covers in part is a run of its own
-    blank = "concat(" + _cut("{before}", "{s}") + ", repeat(' ', {until} - greatest({before}, {s})))"
-    df = _rebuilt(df, "masked_", "base_", blank).withColumn("masked_", F.coalesce("masked_", "text_"))
+    df = _masked(_rule_spans(df))
     p = _quoted(CANDIDATE)
     df = df.withColumn("raw_", F.expr(f"CASE WHEN masked_ rlike {p} THEN named_struct('m', regexp_extract_all(masked_, {p}, 0), 'g', split(masked_, {p}, -1)) END")).drop("masked_")
     df = _placed(df, "cand_", len(RULES), _WITH_MATCH, "true")
-    table = "array(" + ",".join(f"{x}D" for x in ratios) + ")"
-    here = f"instr('{ALPHABET}', ch)"
-    # character by character, a block at a time, with the last one carried along
-    step = f"named_struct('p', {here}, 't', a.t + CASE WHEN a.p = 0 THEN 0.0D ELSE element_at({table}, (a.p - 1) * {k} + {here}) END)"
-    total = f"aggregate(regexp_extract_all(c.m, '.{{1,{BLOCK}}}', 0), named_struct('p', 0, 't', 0.0D), (acc, block) -> aggregate(split(block, ''), acc, (a, ch) -> {step}), acc -> acc.t)"
-    df = df.withColumn("random_", F.expr(f"transform(filter(cand_, c -> {total} >= greatest({evidence}D, {margin}D * (length(c.m) - 1))), c -> named_struct('s', c.s, 'kind', c.kind, 'e', c.e))")).drop("cand_")
+    judged = f"filter(transform(cand_, c -> named_struct('s', c.s, 'kind', c.kind, 'e', c.e, 'j', {_judged('c.m', model.ratios)})), c -> c.j.n >= {DIFFERENT} AND c.j.t >= greatest({model.evidence}D, {model.margin}D * c.j.n))"
+    df = df.withColumn("random_", F.expr(f"transform({judged}, c -> named_struct('s', c.s, 'kind', c.kind, 'e', c.e))")).drop("cand_")
     return df.withColumn("all_", F.expr("CASE WHEN size(random_) = 0 THEN base_ ELSE array_sort(concat(base_, random_)) END"))
 
 
-def redact(docs: DataFrame, ratios: list[float], text_col: str = "text", mark: str = "[SECRET]", length_col: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, model: Model, text_col: str = "text", mark: str = "[SECRET]", length_col: str = "n_chars") -> DataFrame:
     """docs with every span in its text replaced by the mark, and the length column brought up to date where there is one.
 
     A null text stays null. The columns of docs may have any names.
@@ -188,7 +246,7 @@ def redact(docs: DataFrame, ratios: list[float], text_col: str = "text", mark: s
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(row, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
     piece = "CASE WHEN {s} >= {before} THEN concat(" + _cut("{before}", "{s}") + f", {_quoted(mark)}) ELSE '' END"
-    found = _rebuilt(find_spans(rows, ratios), "clean_", "all_", piece)
+    found = _rebuilt(find_spans(rows, model), "clean_", "all_", piece)
     field = lambda c: F.col("row").getField(c)
     new = {text_col: F.coalesce("clean_", field(text_col)), length_col: F.when(F.col("clean_").isNull(), field(length_col)).otherwise(F.length("clean_"))}
     return found.select(*((new[c] if c in new else field(c)).alias(c) for c in docs.columns))

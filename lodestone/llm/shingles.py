@@ -1,9 +1,11 @@
 """Word and shingle hashing over Arrow string buffers, in numpy.
 
-Words are the maximal runs of bytes outside space and 0x09-0x0D, with A-Z lower-cased. A word's hash is a
-polynomial over per-byte random 64-bit values, taken from one running sum over the buffer, so a batch of
-documents is hashed in a few array passes. Shingles are kept as 64-bit hashes: two different shingles of
-one pair of documents fall together with probability below 2^-30 even for texts of 100,000 words.
+Words are the maximal runs of bytes outside space and 0x09-0x0D, with A-Z lower-cased. A word's hash is the mixed sum of one random
+64-bit value for each pair of a byte and its place in the word: from a table for the first NEAR places, from a mixing function
+beyond. No two places share a multiplier, so patterns don't cancel as they do in polynomials modulo 2^64, and a word is hashed by
+its own bytes only, wherever blocks begin: a word that goes on in the next block carries its sum and its length along. Shingles are
+kept as 64-bit hashes: two given words or shingles fall together with probability about 2^-64, any two of a pair of documents of
+100,000 words with probability below 2^-30.
 """
 
 from __future__ import annotations
@@ -16,21 +18,19 @@ import pyarrow as pa
 
 WORDS = 5
 BLOCK = 1 << 20
+NEAR = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values by place and byte for the near places, seeds by byte for the others, weights of shingles."""
     rng = np.random.default_rng(20240229)
-    byte = rng.integers(1, 2**64, 256, np.uint64, endpoint=False)
-    byte[65:91] = byte[97:123]
-    base = 0x9E3779B97F4A7C15 | 1
-    power = np.full(BLOCK + 1, base, np.uint64)
-    power[0] = 1
-    inverse = np.full(BLOCK + 1, pow(base, -1, 2**64), np.uint64)
-    inverse[0] = 1
-    return byte, np.cumprod(power), np.cumprod(inverse), rng.integers(1, 2**63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+    near = rng.integers(0, 2**64, (NEAR, 256), np.uint64, endpoint=False)
+    far = rng.integers(0, 2**64, 256, np.uint64, endpoint=False)
+    near[:, 65:91], far[65:91] = near[:, 97:123], far[97:123]
+    return near.ravel(), far, rng.integers(1, 2**63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,9 +39,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of buf (at most BLOCK bytes), their starts and last bytes; cuts: where a document starts or ends."""
-    byte, power, inverse, _ = _tables()
+def _sums(buf: np.ndarray, cuts: np.ndarray, carried: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the words of buf, their starts and last bytes; carried: bytes that the word at the start of buf has before it."""
+    near, far, _ = _tables()
     space = _SPACE[buf]
     word = ~space
     first, last = word.copy(), word.copy()
@@ -51,9 +51,25 @@ def words_of(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(byte[buf] * power[: len(buf)], out=sums[1:])
-    return mix((sums[ends + 1] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends
+    sizes = ends - starts + 1
+    letters = buf[word]
+    firsts = np.cumsum(sizes) - sizes
+    place = np.arange(len(letters)) - np.repeat(firsts, sizes)
+    if carried and starts[0] == 0:
+        place[: sizes[0]] += carried
+    values = near[np.minimum(place, NEAR - 1) * 256 + letters]
+    beyond = np.flatnonzero(place >= NEAR)
+    if len(beyond):
+        values[beyond] = mix(far[letters[beyond]] + place[beyond].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.add.reduceat(values, firsts), starts, ends
+
+
+def words_of(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of buf, their starts and last bytes; cuts: where a document starts or ends."""
+    sums, starts, ends = _sums(buf, cuts)
+    return mix(sums), starts, ends
 
 
 def _words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,31 +78,23 @@ def _words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _long_words(buf: np.ndarray) -> np.ndarray:
-    """Word hashes of one document of any length, block by block; a word over BLOCK bytes is hashed in pieces."""
-    out, at, carry = [], 0, np.zeros(0, np.uint64)
-    while at < len(buf):
-        end = min(at + BLOCK, len(buf))
-        if len(carry) and _SPACE[buf[at]]:
-            out.append(np.array([_sequence(carry)], np.uint64))
-            carry = np.zeros(0, np.uint64)
-        if end < len(buf):
-            gaps = np.flatnonzero(_SPACE[buf[at:end]])
-            if len(gaps) and gaps[-1] > 0:
-                end = at + int(gaps[-1])
-            else:
-                carry = np.append(carry, _words(buf[at:end], np.zeros(0, np.int64))[0])
-                at = end
-                continue
-        h, starts = _words(buf[at:end], np.zeros(0, np.int64))
-        if len(carry):
-            if len(starts) and starts[0] == 0:
-                carry, h = np.append(carry, h[0]), h[1:]
-            out.append(np.array([_sequence(carry)], np.uint64))
-            carry = np.zeros(0, np.uint64)
-        out.append(h)
-        at = end
-    if len(carry):
-        out.append(np.array([_sequence(carry)], np.uint64))
+    """Word hashes of one document of any length, block by block."""
+    out: list[np.ndarray] = []
+    total, length = np.zeros(1, np.uint64), 0  # of a word that the last block left open
+    for at in range(0, len(buf), BLOCK):
+        block = buf[at : at + BLOCK]
+        sums, starts, ends = _sums(block, np.zeros(0, np.int64), length)
+        goes_on = bool(length and len(starts) and starts[0] == 0)
+        if goes_on:
+            sums[0] += total[0]
+        elif length:
+            out.append(mix(total))
+        if len(ends) and ends[-1] == len(block) - 1 and at + BLOCK < len(buf):
+            length = len(block) - int(starts[-1]) + (length if goes_on and len(starts) == 1 else 0)
+            total, sums = sums[-1:].copy(), sums[:-1]
+        else:
+            length = 0
+        out.append(mix(sums))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -100,7 +108,7 @@ def _sequence(h: np.ndarray) -> np.uint64:
 
 def _sets(h: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
     """Sorted distinct shingles of each document; bounds: its first word and the end."""
-    weights = _tables()[3]
+    weights = _tables()[2]
     n = max(0, len(h) - WORDS + 1)
     grams = np.full(n, weights[WORDS], np.uint64)
     for k in range(WORDS):

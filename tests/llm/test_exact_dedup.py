@@ -100,3 +100,16 @@ def test_index_is_an_artefact(spark, tmp_path):
     names = {hashlib.sha256(n.encode()).digest(): n for n in want}
     rows = spark.createDataFrame([(1, d, 1) for d in names], "doc_id bigint, digest binary, n bigint")
     assert {names[bytes(r["digest"])]: (r["winner"], r["size"]) for r in exact_dedup.lookup(rows, index, 8).collect()} == want
+
+
+def test_least_id_is_an_id(spark):
+    least = -(2**63)
+    rows = [(least, "alone"), (least, "twice"), (5, "twice"), (None, "nameless"), (None, "nameless"), (None, "both"), (least, "both")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df).collect())
+    assert out == Counter([(least, least, 1, True), (least, 5, 2, False), (5, 5, 2, True), (None, None, 2, True), (None, None, 2, False), (None, least, 2, False), (least, least, 2, True)])
+    kept = exact_dedup.without(df, exact_dedup.redundant(df)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(least, "alone"), (5, "twice"), (None, "nameless"), (least, "both")])
+    history = spark.createDataFrame([(least, "alone"), (None, "nameless")], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(df.where("text IN ('alone', 'nameless')"), history).collect()}
+    assert (least, least, True) in got and (None, None, True) in got

@@ -94,8 +94,8 @@ def brute_random_spans(text, ratios):
     at = {c: i for i, c in enumerate(secret_scan.ALPHABET)}
     out = []
     for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", "".join(blank)):
-        total = sum(ratios[at[a] * len(at) + at[b]] for a, b in zip(m[0], m[0][1:]))
-        if total >= max(secret_scan.EVIDENCE, secret_scan.MARGIN * (len(m[0]) - 1)):
+        seen = set(zip(m[0], m[0][1:]))
+        if len(seen) >= secret_scan.DIFFERENT and sum(ratios.ratios[at[a] * len(at) + at[b]] for a, b in seen) >= max(ratios.evidence, ratios.margin * len(seen)):
             out.append(f"random:{m.start()}:{m.end()}")
     return out
 
@@ -115,22 +115,36 @@ def test_random_spans_equal_brute_force(spark, ratios):
     assert found > 200
 
 
-def test_recall_and_precision_by_kind(spark, ratios):
-    """Fresh samples: random strings by alphabet and length, and identifiers made of other words than the training's."""
+def test_recall_and_precision_by_kind(spark):
+    """Fresh samples against a model of the corpus: random strings by alphabet and length, identifiers of words the samples lack, runs that repeat."""
+    model = secret_scan.model_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert model.evidence >= secret_scan.EVIDENCE
     draw = random.Random(4)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    kinds = {"mixed 16": (lower + upper + digits, 16), "mixed 20": (lower + upper + digits, 20), "mixed 32": (lower + upper + digits, 32), "letters 20": (lower + upper, 20), "letters 32": (lower + upper, 32)}
+    kinds = {"mixed": lower + upper + digits, "base64": lower + upper + digits + "+/", "letters": lower + upper, "upper and digits": upper + digits, "lower and digits": lower + digits, "hex": "0123456789abcdef"}
     words = "harbour planet velvet copper meadow lantern orbit thunder saddle pepper marble ribbon garden winter bridge castle".split()
-    samples = [(k, "".join(draw.choices(a, k=n))) for k, (a, n) in kinds.items() for _ in range(200)]
+    samples = [((k, n), "".join(draw.choices(a, k=n))) for k, a in kinds.items() for n in (16, 20, 24, 31) for _ in range(200)]
     samples += [("name", draw.choice("_-/").join(draw.choices(words, k=4))) for _ in range(400)]
+    samples += [("repeat", "".join(draw.choices(lower + upper + digits + "-=_/", k=k)) * (60 // k)) for k in (1, 1, 1, 2, 2, 3) for _ in range(60)]
+    samples += [("repeat", c * n) for c in secret_scan.ALPHABET for n in (16, 24, 5000)]
     df = spark.createDataFrame([(i, f"x {t} y") for i, (_, t) in enumerate(samples)], "doc_id bigint, text string")
     hits = {}
-    for r in secret_scan.scan(df, ratios).collect():
+    for r in secret_scan.scan(df, model).collect():
         kind = samples[r["doc_id"]][0]
-        hits[kind] = hits.get(kind, 0) + (r["spans"] != "")
+        hits[kind] = hits.get(kind, 0) + ("random:" in r["spans"])
+    print({k: n / 200 for k, n in hits.items() if isinstance(k, tuple)}, model.evidence)
+    assert all(hits[k, n] >= 0.9 * 200 for k in kinds for n in (16, 20, 24, 31))
     assert hits.get("name", 0) == 0
-    assert hits["mixed 32"] >= 195 and hits["mixed 20"] >= 180 and hits["letters 32"] >= 185
-    print({k: n / 200 for k, n in hits.items()})
+    assert hits.get("repeat", 0) == 0
+
+
+def test_corpus_samples_label_by_the_rules(spark):
+    texts = ["password=Xy12Zz34Ab56Cd78Ef ordinaryword and more_words_here", "AKIA" + "Q7" * 9 + " " + "z" * 200, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r["text"], r["random"]) for r in secret_scan.corpus_samples(df).collect()}
+    assert got == {("Xy12Zz34Ab56Cd78Ef", True), ("AKIA" + "Q7" * 9, True), ("ordinaryword", False), ("more_words_here", False), ("z" * 64, False), ("z" * 8, False)}
+    assert secret_scan.model_of(df.limit(0)).evidence >= secret_scan.EVIDENCE
+
 
 
 def test_shared_folder(spark):

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lodestone.llm import common, exact_dedup, ngram_join
+from lodestone.llm import shingles as hashing
 from lodestone.llm.shingles import BLOCK, shingle_sets
 
 
@@ -232,3 +233,34 @@ def test_redundant_keeps_one_of_each_component(docs):
     # one row of the near copies of 1, of far and its capitals, and of the two-word texts; texts without words all stay
     assert kept[1] == 1 and kept[2] == kept[3] == kept[13] == kept[9] == 0 and kept[8] == 1
     assert sum(r["text"] is None or not r["text"].strip() for r in rows) == 4
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096, 65536])
+def test_patterned_words_stay_apart(n):
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    sets = list(hashing.shingle_sets(pa.array([word, other, word.upper(), f"x {word} y z w", f"x {other} y z w"])))
+    assert (sets[0] != sets[1]).all() and (sets[0] == sets[2]).all() and (sets[3] != sets[4]).all()
+
+
+def test_long_words_hash_alike_at_any_place():
+    word = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3_000_000))
+    tail = " one two three four five six"
+    for before in (0, 1, 17, hashing.BLOCK - 1, hashing.BLOCK, hashing.BLOCK + 5):
+        sets = list(hashing.shingle_sets(pa.array([" " * before + word, "\t" + word + " " * before, " " * before + word + tail, word + tail, " " * before + word[:-1] + "A"])))
+        assert (sets[0] == sets[1]).all() and len(sets[0]) == 1
+        assert len(sets[2]) == 3 and (sets[2] == sets[3]).all()
+        assert sets[4][0] != sets[0][0]
+
+
+def test_words_across_blocks_equal_words_within(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("abC \n"), p=[0.35, 0.3, 0.2, 0.1, 0.05]) for _ in range(4000))
+    want = list(hashing.shingle_sets(pa.array([text])))[0]
+    for block in (1, 2, 3, 7, 64, 1000):
+        monkeypatch.setattr(hashing, "BLOCK", block)
+        assert (list(hashing.shingle_sets(pa.array([text])))[0] == want).all()

@@ -105,8 +105,8 @@ def plain_redaction(text, ratios):
                 blank[m.start() : m.end()] = " " * (m.end() - m.start())
     at = {c: i for i, c in enumerate(secret_scan.ALPHABET)}
     for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", "".join(blank)):
-        total = sum(ratios[at[a] * len(at) + at[b]] for a, b in zip(m[0], m[0][1:]))
-        if total >= max(secret_scan.EVIDENCE, secret_scan.MARGIN * (len(m[0]) - 1)):
+        seen = set(zip(m[0], m[0][1:]))
+        if len(seen) >= secret_scan.DIFFERENT and sum(ratios.ratios[at[a] * len(at) + at[b]] for a, b in seen) >= max(ratios.evidence, ratios.margin * len(seen)):
             spans.append(m.span())
     out, done = "", 0
     for a, b in sorted(spans):
@@ -175,7 +175,7 @@ def test_each_stage_equals_plain_python(spark, tables):
     step = stages["ngram_jaccard_join"](spark, step, tables)
     assert read(step) == near
 
-    ratios = secret_scan.train(secret_scan.builtin_samples(spark))
+    ratios = secret_scan.model_of(step)
     clean = {d: None if t is None else plain_redaction(t, ratios) for d, t in near.items()}
     assert sum("[SECRET]" in (t or "") for t in clean.values()) >= 3
     step = stages["secret_scan"](spark, step, tables)
