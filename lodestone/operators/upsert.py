@@ -43,26 +43,47 @@ def label_score(column: str) -> str:
     return f"CASE lower(trim({column})) " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in LABEL_SCORES.items()) + " ELSE 0.5D END"
 
 
-def upsert(old: DataFrame, incoming: DataFrame, keys: list[str], order: list[str], kept: list[str] = ("created_at",)) -> DataFrame:
-    """New snapshot of a keyed table: the last incoming row of a key wins, columns in kept stay from its first row ever.
+def last_rows(rows: DataFrame, keys: list[str], order: list[str] = (), sequence: str | None = None, kept: list[str] = ()) -> DataFrame:
+    """The last row of each key: the greatest in order, of ties the later one. One aggregate that combines before its shuffle.
 
-    Both sides have the same columns. One shuffle by key, with the winner picked by an aggregate that combines before it.
+    kept: columns that come from the key's first row instead, if it isn't null there.
+
+    sequence: a column that numbers rows in the order of their arrival (left out of the result). Without it rows come in the order in which they are read,
+    which holds for files and lists and not behind a shuffle. Columns may have any type, maps included, as values are never compared.
+    """
+    others = [c for c in rows.columns if c not in keys and c != sequence]
+    name = lambda c: F.col(f"`{c}`")
+    if not others:
+        return rows.select(*map(name, keys)).distinct()
+    rows = rows.withColumn("arrival_", name(sequence) if sequence else F.monotonically_increasing_id())
+    rank = F.struct(*map(name, order), "arrival_")
+    first = {c: f"first_{i}" for i, c in enumerate(c for c in kept if c in others)}
+    df = rows.groupBy(*map(name, keys)).agg(F.max_by(F.struct(*map(name, others)), rank).alias("last_"), *(F.min_by(name(c), rank).alias(f) for c, f in first.items()))
+    value = lambda c: F.col("last_").getField(c)
+    return df.select(*map(name, keys), *((F.coalesce(first[c], value(c)) if c in first else value(c)).alias(c) for c in others))
+
+
+def upsert(old: DataFrame, incoming: DataFrame, keys: list[str], order: list[str], kept: list[str] = ("created_at",), sequence: str | None = None) -> DataFrame:
+    """New snapshot of a keyed table: the last incoming row of a key wins (of ties the later one), columns in kept stay from its first row ever.
+
+    Both sides have the same columns; incoming may have one more, sequence (see last_rows). One shuffle by key, with the winner picked by an
+    aggregate that combines before it. Columns may have any type: only keys, order and sequence are compared.
     """
-    others = [c for c in old.columns if c not in keys]
-    tagged = old.withColumn("new_", F.lit(0)).unionByName(incoming.withColumn("new_", F.lit(1)))
-    latest = F.max(F.struct("new_", *order, *(c for c in others if c not in order))).alias("last")
-    first = [F.min_by(c, F.struct("new_", *order)).alias(f"first_{c}") for c in kept if c in others]
-    df = tagged.groupBy(*keys).agg(latest, *first)
-    return df.select(*keys, *((F.coalesce(f"first_{c}", f"last.{c}") if c in kept else F.col(f"last.{c}")).alias(c) for c in others))
+    name = lambda c: F.col(f"`{c}`")
+    arrival = name(sequence).cast("bigint") if sequence else F.monotonically_increasing_id()
+    new = incoming.withColumns({"arrival_": arrival, "new_": F.lit(1)}).select(*map(name, old.columns), "new_", "arrival_")
+    tagged = old.withColumns({"new_": F.lit(0), "arrival_": F.monotonically_increasing_id()}).unionByName(new)
+    both = tagged.withColumn("sequence_", F.struct("new_", *map(name, order), "arrival_")).drop("new_", "arrival_")
+    return last_rows(both, keys, [], "sequence_", kept).select(*map(name, [*keys, *(c for c in old.columns if c not in keys)]))
 
 
-def patch(old: DataFrame, incoming: DataFrame, keys: list[str], present: str) -> DataFrame:
+def patch(old: DataFrame, incoming: DataFrame, keys: list[str], present: str, order: list[str] = (), sequence: str | None = None) -> DataFrame:
     """Partial update: a column of incoming overwrites, null included, where the array column `present` names it; else the old value stays.
 
-    Null keys are keys like others. Of several incoming rows of a key the one with the greatest values counts.
+    Null keys are keys like others. Of several incoming rows of a key the last one counts (see last_rows).
     """
     columns = [c for c in old.columns if c not in keys]
-    incoming = incoming.groupBy(*keys).agg(F.max(F.struct(*columns, present)).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in [*columns, present]))
+    incoming = last_rows(incoming.select(*keys, *columns, present, *(c for c in {*order, *([sequence] if sequence else [])} if c not in {*keys, *columns})), keys, order, sequence)
     o, n = old.alias("o"), incoming.alias("n")
     same = functools.reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
     df = o.join(n, same, "full_outer")

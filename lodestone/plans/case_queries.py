@@ -5,8 +5,6 @@ Every row of a table takes part; which cases meet follows from remainders of its
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from ..operators import crawl, extraction, kpi, quality, synthesis, upsert
@@ -157,12 +155,12 @@ RESULT_PAGE_HITS = """SELECT s_suppkey AS query, o AS ordinal, u AS url, t AS ti
 def upsert_contacts_pages(spark, sf_dir):
     """Contacts by (prospect, type, value) and pages by (prospect, URL): the last row wins, the first creation time stays."""
     rows = _t(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS prospect_id", "CASE l_linenumber % 2 WHEN 0 THEN 'email' ELSE 'phone' END AS kind", "cast(l_partkey % 5 AS string) AS value", "l_quantity AS confidence", "l_orderkey * 10 + l_linenumber AS seq", "l_shipdate AS created_at", "l_linestatus AS part")
-    old, new = (upsert.upsert(rows.limit(0).drop("part"), rows.where(f"part = '{p}'").drop("part"), ["prospect_id", "kind", "value"], ["seq"]) for p in ("F", "O"))
-    return upsert.upsert(old, new, ["prospect_id", "kind", "value"], ["seq"]).select("prospect_id", "kind", "value", "confidence", "seq", "created_at")
+    old, new = (upsert.upsert(rows.limit(0).drop("part"), rows.where(f"part = '{p}'").drop("part"), ["prospect_id", "kind", "value"], ["seq", "confidence"]) for p in ("F", "O"))
+    return upsert.upsert(old, new, ["prospect_id", "kind", "value"], ["seq", "confidence"]).select("prospect_id", "kind", "value", "confidence", "seq", "created_at")
 
 
-UPSERT_CONTACTS_PAGES = """WITH r AS (SELECT l_suppkey AS prospect_id, CASE l_linenumber % 2 WHEN 0 THEN 'email' ELSE 'phone' END AS kind, (l_partkey % 5)::varchar AS value, l_quantity AS confidence, l_orderkey * 10 + l_linenumber AS seq, l_shipdate AS created_at, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS part FROM lineitem)
-SELECT prospect_id, kind, value, arg_max(confidence, {'p': part, 's': seq}) AS confidence, arg_max(seq, {'p': part, 's': seq}) AS seq, arg_min(created_at, {'p': part, 's': seq}) AS created_at FROM r GROUP BY prospect_id, kind, value"""
+UPSERT_CONTACTS_PAGES = """WITH r AS (SELECT l_suppkey AS prospect_id, CASE l_linenumber % 2 WHEN 0 THEN 'email' ELSE 'phone' END AS kind, (l_partkey % 5)::varchar AS value, l_quantity, l_quantity AS confidence, l_orderkey * 10 + l_linenumber AS seq, l_shipdate AS created_at, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS part FROM lineitem)
+SELECT prospect_id, kind, value, arg_max(confidence, {'p': part, 's': seq, 'c': l_quantity}) AS confidence, arg_max(seq, {'p': part, 's': seq, 'c': l_quantity}) AS seq, arg_min(created_at, {'p': part, 's': seq, 'c': l_quantity}) AS created_at FROM r GROUP BY prospect_id, kind, value"""
 
 
 def page_rows(spark, sf_dir):
@@ -187,11 +185,17 @@ def counter_and_null_fills(spark, sf_dir):
 COUNTER_AND_NULL_FILLS = """SELECT c_custkey, greatest(CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 7 ELSE 0 END - CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 4 ELSE 0 END, 0) AS total_skipped, CASE WHEN c_custkey % 2 = 0 THEN 'rejected' ELSE 'accepted' END AS quality_status, CASE WHEN c_custkey % 3 = 0 THEN 'acme' ELSE c_mktsegment || '.es' END AS canonical_identity FROM customer"""
 
 
+def saved_rows(spark, sf_dir):
+    """One row for each supplier, order, line and run, so that no two rows of a run have one place in the order."""
+    one = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber", "l_linestatus").agg(F.max(F.struct("l_quantity", "l_partkey")).alias("m"))
+    return one.selectExpr("concat('s', l_suppkey, '.es') AS canonical_identity", "l_orderkey % 7 AS job_id", "m.l_quantity AS score", "cast(m.l_partkey % 4 AS string) AS v", "l_orderkey * 10 + l_linenumber AS seq", "l_linestatus AS run")
+
+
 def save_four_tables(spark, sf_dir):
     """Two runs saved one after the other: counts and checksums of the four tables of each prospect."""
     from . import pipeline
 
-    rows = _t(spark, sf_dir, "lineitem").selectExpr("concat('s', l_suppkey, '.es') AS canonical_identity", "l_orderkey % 7 AS job_id", "l_quantity AS score", "cast(l_partkey % 4 AS string) AS v", "l_shipdate AS at", "l_orderkey * 10 + l_linenumber AS seq", "l_linestatus AS run")
+    rows = saved_rows(spark, sf_dir)
     kinds = {"prospects": "prospect_id, canonical_identity, score", "job_prospects": "job_id, prospect_id, score", "prospect_contacts": "prospect_id, contact_type, contact_value, score", "prospect_pages": "prospect_id, url, score"}
 
     def tables(run: str) -> dict:
@@ -211,7 +215,7 @@ def _save_sql() -> str:
     keys = {"prospects": "1", "job_prospects": "job_id", "prospect_contacts": "v", "prospect_pages": "v"}
     one = lambda n, k: f"{n} AS (SELECT s, count(*) AS {n}_rows, sum(score) AS {n}_score, sum(created)::bigint AS {n}_created FROM (SELECT s, {k} AS k, arg_max(score, {{'r': run, 'q': seq}}) AS score, arg_min(seq, {{'r': run, 'q': seq}}) AS created FROM r GROUP BY s, k) GROUP BY s)"
     columns = ", ".join(f"{n}_rows, {n}_score, {n}_created" for n in keys)
-    return f"""WITH r AS (SELECT l_suppkey AS s, l_orderkey % 7 AS job_id, l_quantity AS score, l_partkey % 4 AS v, l_orderkey * 10 + l_linenumber AS seq, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS run FROM lineitem), f AS (SELECT s, min(run) AS run FROM r GROUP BY s), {', '.join(one(n, k) for n, k in keys.items())}
+    return f"""WITH g AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_linestatus, max({{'q': l_quantity, 'p': l_partkey}}) AS m FROM lineitem GROUP BY ALL), r AS (SELECT l_suppkey AS s, l_orderkey % 7 AS job_id, m.q AS score, m.p % 4 AS v, l_orderkey * 10 + l_linenumber AS seq, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS run FROM g), f AS (SELECT s, min(run) AS run FROM r GROUP BY s), {', '.join(one(n, k) for n, k in keys.items())}
 SELECT CASE f.run WHEN 0 THEN 'F' ELSE 'O' END || 's' || s || '.es' AS prospect_id, {columns} FROM f {' '.join(f'JOIN {n} USING (s)' for n in keys)}"""
 
 
@@ -322,118 +326,6 @@ SELECT c AS c_custkey, CASE WHEN soc AND c % 2 = 0 THEN 'instagram:acme' WHEN so
   CASE c % 5 WHEN 0 THEN 'https://x.es/Contacto' WHEN 1 THEN 'https://x.es/equipo' END AS contact_page_url FROM w"""
 
 
-# ---- search queries ----
-
-#: Jobs by case: search query, niche, location, language, profession, technologies, offers, budget signals, dorks, negative terms.
-_JOBS = [
-    (None, "Dental", "Lima", "es", None, None, None, ["instagram activo"], None, None),
-    ("dentistas", "Dental", "", "es", None, ["Shopify", "WordPress", "shopify "], None, ["con anuncios", "Instagram"], ["dork uno", "Dork -blog"], ["-x", "-blog"]),
-    ("empresas ecommerce, cursos online", "ecommerce", "Lima", "es", "Video editor", None, None, ["instagram activo", "con anuncios"], None, None),
-    ("marcas de ropa en lima", "", "Lima", "en", None, None, ["Tienda online"], None, None, None),
-    ("  empresas   infoproductos / shopify y coaching ", "Academias online", "Madrid", "pt", "Social media", ["wordpress"], None, ["linktree", "muchos seguidores"], None, ["-x"]),
-    ("", "", "Lima", "fr", None, None, None, None, None, None),
-    (None, None, None, None, None, None, None, None, None, None),
-    ("tienda online Dental Lima", "Dental", "Lima", "EN", "diseñador web", None, None, ["curso"], ["  d  1 "], None),
-    ("sitios talleres & garajes", "talleres", "São Paulo (SP)", "pt", "Editor", None, None, [], None, None),
-    ("clinicas", "clinicas dentales", "Lima", "es", None, None, ["a", "A ", "productos digitales"], ["tienda oficial"], None, None),
-]
-
-
-def _plain_batches(job: tuple) -> list[list[str]]:
-    """The query batches of one job by a plain loop: canonical queries in twos, then new retry queries in twos."""
-    from ..rules import queries as words
-
-    def tidy(x):
-        return " ".join((x or "").split())
-
-    query, niche, place, language, role = (tidy(x) for x in job[:5])
-    tech, offers, signals, dorks, more = ([v for v in x or [] if v is not None] for x in job[5:])
-    hint = words.LANGUAGE_HINTS.get(language.lower(), words.LANGUAGE_HINTS["es"])
-    social = any(w in role.lower() for w in ["video", "editor", "community", "social", "creador", "diseño", "designer"])
-    creative = social or any(w in role.lower() for w in ["diseñador", "web", "desarrollador", "developer", "seo", "cro"])
-    here = f" {place}" if place else ""
-
-    def holds(q, phrase):
-        return bool(phrase) and f" {phrase.lower()} " in f" {q.lower()} "
-
-    refused = list(dict.fromkeys([*words.NEGATIVES, *more]))
-    if any(w in f"{niche} {' '.join(map(tidy, offers))}".lower() for w in ["ecommerce", "tienda online", "shopify", "academia online", "cursos online", "productos digitales", "infoproductos"]):
-        refused += [w for w in words.PROVIDER_NEGATIVES if w not in refused]
-    if creative:
-        refused = [w for w in refused if w not in ("-pinterest", "-linkedin", "-instagram", "-tiktok", "-youtube")]
-
-    def neg(q):
-        q = tidy(q)
-        return " ".join([q, *(w for w in refused if w.lower() not in q.lower())]) if q else ""
-
-    def fragments(text):
-        if place:
-            text = tidy(re.sub(r"(?i)(?<!\w)" + re.escape(place) + r"(?!\w)" if place[-1].isalnum() else r"(?!)", " ", text))
-        text = next((tidy(text[len(x) :]) for x in words.PREFIXES if text.lower().startswith(x)), text)
-        parts = [tidy(x) for x in re.split(r"(?i)\s*(?:,|/|&|\by\b|\be\b)\s*", text)]
-        return [x for x in parts if x] or ([text] if text else [])
-
-    def seeds(base):
-        groups = []
-        for f in [*fragments(niche), *fragments(base)]:
-            found = list(dict.fromkeys(v for key, vs in words.VARIANTS.items() if key in f.lower() for v in vs))
-            groups.append(found or [f])
-        longest = max(map(len, groups), default=0)
-        return list(dict.fromkeys(g[i] for i in range(longest) for g in groups if i < len(g)))
-
-    rules = [(["instagram", "tiktok"], ["instagram", "tiktok"]), (["linktree", "tienda oficial", "tienda"], ["link in bio", "linktree", "tienda online"]), (["curso", "infoproducto"], ["curso", "infoproductos"]), (["anuncio", "ads"], ["anuncios", "meta ads"]), (["seguidores"], ["creador", "marca personal"])]
-    wanted = {k for test, keys in rules for k in keys if any(t in s.lower() for s in signals for t in test)}
-    budget = [k for k in ["link in bio", "linktree", "tienda online", "curso", "infoproductos", "instagram", "tiktok", "meta ads", "anuncios", "creador", "marca personal"] if k in wanted]
-    both = tidy(f"{niche} {place}")
-    base = query or both
-    geo = base + here if place and not holds(base, place) else base
-    main = both or geo or base
-    placed = [x + here for x in seeds(base)]
-
-    def sites(stem):
-        return [neg(f"{stem} site:instagram.com"), neg(f"{stem} site:tiktok.com")]
-
-    queries = [*map(neg, dorks), base, both, geo, *placed[:3]]
-    if social:
-        for x in placed[:2]:
-            queries += sites(x) + [q for h in [*budget[:3], "marca personal", "coach", "coaches"][:3] for q in sites(f"{x} {h}")]
-        queries += sites(main) + [q for h in [*budget[:2], "instagram", "tiktok"] for q in sites(f"{main} {h}")]
-    techs = " ".join(map(tidy, tech)).lower()
-    queries += [neg(f'{main} "powered by shopify"')] * ("shopify" in techs) + [neg(f'{main} "creado con wordpress"')] * ("wordpress" in techs)
-    queries += [neg(f"{main} {hint[k]}") for k in ("official", "contact", "services")]
-    queries += [neg(f"{x} {hint[k]}") for x in placed[:2] for k in ("official", "contact")] + placed[3:]
-    if niche and not holds(base, niche):
-        queries.append(neg(f"{base} {niche}"))
-    canonical = [q for q in dict.fromkeys(map(tidy, queries)) if q][:16] if base else []
-
-    stem = both or tidy(query + here) or query
-    retries = [neg(f"{stem} {h}") for h in hint["commercial"]]
-    if social:
-        retries += sites(stem) + [q for h in [*budget[:2], "marca personal", "coach", "link in bio"] for q in sites(f"{stem} {h}")]
-    retries += [neg(f"{stem} {h}") for h in hint["locations"]] + [neg(f"{x}{here} {h}") for x in seeds(query)[:4] for h in hint["commercial"]]
-    if niche and query and not holds(query, niche):
-        retries += [neg(f"{niche}{here} {hint['official']}"), neg(f"{niche}{here} {hint['contact']}")]
-    if place and query and not holds(query, place):
-        retries.append(neg(query + here))
-    later = [q for q in dict.fromkeys(map(tidy, retries)) if q and q not in canonical] if stem else []
-    return [x[i : i + 2] for x in (canonical, later) for i in range(0, len(x), 2)]
-
-
-def query_batches(spark, sf_dir):
-    kinds = ["string"] * 5 + ["array<string>"] * 5
-    names = ["search_query", "target_niche", "target_location", "target_language", "user_profession", "user_technologies", "user_service_offers", "target_budget_signals", "ai_dork_queries", "ai_negative_terms"]
-    cases = spark.createDataFrame([(i, *j) for i, j in enumerate(_JOBS)], "case_ int, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
-    parts = _t(spark, sf_dir, "part").selectExpr("p_partkey", f"cast(p_partkey % {len(_JOBS)} AS int) AS case_")
-    jobs = parts.join(F.broadcast(cases), "case_").drop("case_").withColumns({"user_service_constraints": F.lit(None).cast("array<string>"), "user_target_offer_focus": F.lit(None).cast("string")})
-    df = synthesis.build_queries(jobs)
-    return df.select("p_partkey", F.posexplode("query_batches").alias("batch", "b")).select("p_partkey", F.col("batch").cast("bigint").alias("batch"), F.array_join("b", " || ").alias("queries"))
-
-
-def _batches_sql() -> str:
-    values = ", ".join(f"({i}, {n}, {_lit(' || '.join(b))})" for i, job in enumerate(_JOBS) for n, b in enumerate(_plain_batches(job)))
-    return f"SELECT p_partkey, batch, queries FROM part JOIN (VALUES {values}) v(k, batch, queries) ON p_partkey % {len(_JOBS)} = k"
-
-
 # ---- what models are asked and what is kept of it ----
 
 
@@ -502,5 +394,5 @@ SELECT id, 'https://plain.es/' AS url, NULL AS seed_source_url, NULL AS seed_sou
 QUERIES = {
     "page_parse_cases": (page_parse_cases, PAGE_PARSE_CASES), "social_parse_cases": (social_parse_cases, SOCIAL_PARSE_CASES), "provider_errors": (provider_errors, PROVIDER_ERRORS), "provider_discovery": (provider_discovery, PROVIDER_DISCOVERY), "seed_and_json_hits": (seed_and_json_hits, SEED_AND_JSON_HITS),
     "result_page_hits": (result_page_hits, RESULT_PAGE_HITS), "upsert_contacts_pages": (upsert_contacts_pages, UPSERT_CONTACTS_PAGES), "page_rows": (page_rows, PAGE_ROWS), "counter_and_null_fills": (counter_and_null_fills, COUNTER_AND_NULL_FILLS), "save_four_tables": (save_four_tables, _save_sql()), "job_status": (job_status, JOB_STATUS), "batch_flatten": (batch_flatten, BATCH_FLATTEN),
-    "location_assess": (location_assess, LOCATION_ASSESS), "crawl_merge": (crawl_merge, _crawl_sql()), "site_identity": (site_identity, SITE_IDENTITY), "query_batches": (query_batches, _batches_sql()), "search_plans": (search_plans, SEARCH_PLANS), "model_traces": (model_traces, MODEL_TRACES), "job_contexts": (job_contexts, JOB_CONTEXTS), "seed_expand": (seed_expand, SEED_EXPAND),
+    "location_assess": (location_assess, LOCATION_ASSESS), "crawl_merge": (crawl_merge, _crawl_sql()), "site_identity": (site_identity, SITE_IDENTITY),  "search_plans": (search_plans, SEARCH_PLANS), "model_traces": (model_traces, MODEL_TRACES), "job_contexts": (job_contexts, JOB_CONTEXTS), "seed_expand": (seed_expand, SEED_EXPAND),
 }

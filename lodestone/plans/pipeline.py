@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..cluster import written
 from ..functions.plan import barrier, shared
 from ..operators import crawl, entity, extraction, features, kpi, quality, scoring, upsert
 from ..operators.parse import parse
+from ..operators.upsert import last_rows
+from ..sinks.store import Store, Table
 from ..sources.html import read_pages
 
 PROMPT_VERSION = "v1"
@@ -112,6 +116,25 @@ def save(old: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> dict[str,
     return out
 
 
+def tables(schemas: dict[str, StructType], buckets: int = 64) -> dict[str, Table]:
+    """The persistent tables as a store holds them."""
+    kept = {"prospects": ("created_at", "prospect_id")}
+    return {n: Table(s, tuple(KEYS[n]), ("updated_at",), kept.get(n, ("created_at",)), buckets) for n, s in schemas.items()}
+
+
+def commit(store: Store, incoming: dict[str, DataFrame], writer: str = "main", number: int | None = None) -> bool:
+    """save() into a store: the four tables change together or not at all, and only buckets of incoming keys are read and written.
+
+    Prospects keep the id they have; rows of the other tables name them by canonical_identity.
+    """
+    new = last_rows(incoming["prospects"], KEYS["prospects"], ["updated_at"], None, ["created_at", "prospect_id"])
+    known = store.read_keys("prospects", new.select("canonical_identity")).select("canonical_identity", F.col("prospect_id").alias("known_"))
+    prospects = written(new.join(known, "canonical_identity", "left").withColumn("prospect_id", F.coalesce("known_", "prospect_id")).drop("known_"), "prospects")
+    ids = prospects.select("canonical_identity", "prospect_id")
+    others = {n: df.drop("prospect_id").join(ids, "canonical_identity").select(store.tables[n].schema.names) for n, df in incoming.items() if n != "prospects"}
+    return store.commit({"prospects": prospects, **others}, writer, number)
+
+
 def metrics(jobs: DataFrame, rows: DataFrame, logs: DataFrame) -> dict[str, DataFrame]:
     """Summaries per job and the two global rows."""
     captures = kpi.capture_summary(jobs, rows)

@@ -10,6 +10,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
-    from . import case_queries, job_queries, page_queries, rule_queries
+    from . import case_queries, job_queries, page_queries, rule_queries, search_queries, store_queries
 
-    return page_queries.QUERIES | rule_queries.QUERIES | case_queries.QUERIES | job_queries.QUERIES
+    return page_queries.QUERIES | rule_queries.QUERIES | case_queries.QUERIES | job_queries.QUERIES | search_queries.QUERIES | store_queries.QUERIES

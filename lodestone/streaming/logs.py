@@ -1,14 +1,12 @@
-"""Streaming forms: windowed counts of logs, deduplicated hits, upserts by micro-batch, capture with keyed state."""
+"""Streaming forms: windowed counts of logs, deduplicated hits, capture with keyed state. Upserts of a stream: sinks.store.sink."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.upsert import upsert
-
 
 def log_counts(logs: DataFrame, late: str = "10 minutes", window: str = "1 day") -> DataFrame:
     """Counts per window and level. Event times without a zone are read as session time first, as watermarks need it."""
@@ -21,19 +19,6 @@ def unique_hits(hits: DataFrame, late: str = "1 hour") -> DataFrame:
     return hits.withWatermark("found_at", late).dropDuplicatesWithinWatermark(["job_id", "url"])
 
 
-def upsert_batches(stream: DataFrame, spark: SparkSession, folder: str, keys: list[str], order: list[str], checkpoint: str):
-    """Keyed snapshot kept up to date by micro-batches: batch n reads snapshot n-1 and writes snapshot n, so a batch done twice gives the same."""
-
-    def step(batch: DataFrame, n: int) -> None:
-        if n == 0:
-            old = batch.limit(0)
-        else:
-            old = spark.read.schema(batch.schema).parquet(f"{folder}/v={n - 1}")
-        upsert(old, batch, keys, order).select(batch.columns).write.mode("overwrite").parquet(f"{folder}/v={n}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def capture(candidates: DataFrame, target: int, cap: int) -> DataFrame:
     """Candidates a capture still takes, job by job in order of arrival, with accepted and processed counts as state.
 

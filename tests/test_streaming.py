@@ -17,14 +17,6 @@ def test_windowed_counts(spark, tmp_path):
     assert {(str(r["start"].date()), r["level"], r["n"]) for r in spark.sql("SELECT * FROM counts").collect()} == {("2024-01-01", "INFO", 1), ("2024-01-01", "ERROR", 1), ("2024-01-02", "INFO", 1)}
 
 
-def test_upsert_batches(spark, tmp_path):
-    schema = "k int, created_at int, v string"
-    feed(spark, tmp_path / "in", [(1, 1, "a"), (2, 1, "b")], schema)
-    stream = feed(spark, tmp_path / "in", [(2, 5, "c"), (3, 5, "d")], schema)
-    logs.upsert_batches(stream, spark, str(tmp_path / "out"), ["k"], ["v"], str(tmp_path / "c")).awaitTermination(60)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "v=1")).select("k", "v").collect())) == [(1, "a"), (2, "c"), (3, "d")]
-
-
 def test_stateful_capture(spark, tmp_path):
     stream = feed(spark, tmp_path / "in", [(1, r, r % 2 == 0) for r in range(10)] + [(2, 0, False)], "job_id bigint, rank bigint, accepted boolean")
     q = logs.capture(stream, 2, 5).writeStream.outputMode("append").format("memory").queryName("capture").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
