@@ -12,41 +12,56 @@ def quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Lists of at least so many entries are one literal and one loop over it, so that a rule costs a few expressions whatever its dictionary holds.
+LONG_LIST = 3
+
+
 def strings(values: Iterable[str]) -> str:
+    """An array of texts. A long one is a single literal that is cut at compile time."""
     items = list(values)
+    if len(items) >= LONG_LIST and not any("\n" in x for x in items):
+        return f"split({quoted(chr(10).join(items))}, '\\n')"
     return "array(" + ", ".join(map(quoted, items)) + ")" if items else "cast(array() AS array<string>)"
 
 
+def _each(column: str, tokens: list[str], body: str) -> str:
+    """body over the text txt_ and the list toks_; a column that takes work is worked out once."""
+    listed = body.replace("toks_", strings(tokens))
+    return listed.replace("txt_", column) if column.isidentifier() else let("txt_", column, listed)
+
+
 def any_in(column: str, tokens: Iterable[str]) -> str:
     """Whether the text contains any token as a substring. Null counts as no."""
-    tests = [f"contains({column}, {quoted(t)})" for t in dict.fromkeys(tokens)]
-    return f"coalesce({' OR '.join(tests)}, false)" if tests else "false"
+    found = list(dict.fromkeys(tokens))
+    if len(found) < LONG_LIST:
+        return f"coalesce({' OR '.join(f'contains({column}, {quoted(t)})' for t in found)}, false)" if found else "false"
+    return f"coalesce({_each(column, found, 'exists(toks_, tok_ -> contains(txt_, tok_))')}, false)"
 
 
 def first_in(column: str, tokens: Iterable[str], prefix: str = "") -> str:
     """The first token, in order of the list, that the text contains, behind a prefix; else null."""
-    whens = " ".join(f"WHEN contains({column}, {quoted(t)}) THEN {quoted(prefix + t)}" for t in tokens)
-    return f"CASE {whens} END"
+    first = _each(column, list(tokens), "get(filter(toks_, tok_ -> contains(txt_, tok_)), 0)")
+    return f"concat({quoted(prefix)}, {first})" if prefix else first
 
 
 def starts_any(column: str, tokens: Iterable[str]) -> str:
-    tests = [f"startswith({column}, {quoted(t)})" for t in tokens]
-    return f"coalesce({' OR '.join(tests)}, false)"
+    found = list(tokens)
+    return f"coalesce({_each(column, found, 'exists(toks_, tok_ -> startswith(txt_, tok_))')}, false)" if found else "false"
 
 
 def hits(column: str, tokens: Iterable[str]) -> str:
     """How many entries of the list the text contains; entries that repeat count again."""
-    return "(" + " + ".join(f"cast(contains({column}, {quoted(t)}) AS int)" for t in tokens) + ")"
+    return _each(column, list(tokens), "size(filter(toks_, tok_ -> contains(txt_, tok_)))")
 
 
 def matched(column: str, tokens: Iterable[str]) -> str:
     """Array of the contained tokens in order of the list."""
-    return f"filter({strings(tokens)}, t -> contains({column}, t))"
+    return _each(column, list(tokens), "filter(toks_, tok_ -> contains(txt_, tok_))")
 
 
 def occurrences(column: str, tokens: Iterable[str]) -> str:
     """Sum of the counts of non-overlapping occurrences."""
-    return "(" + " + ".join(f"((length({column}) - length(replace({column}, {quoted(t)}, ''))) div {len(t)})" for t in tokens) + ")"
+    return _each(column, list(tokens), "aggregate(toks_, 0L, (n_, tok_) -> n_ + (length(txt_) - length(replace(txt_, tok_, ''))) div length(tok_))")
 
 
 @cache

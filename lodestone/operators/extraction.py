@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quoted
@@ -82,6 +82,35 @@ def plan_key(*columns: str) -> str:
     return "lower(concat_ws('|', " + ", ".join(f"coalesce({c}, '')" for c in columns) + "))"
 
 
+#: A signature with more rows than this, and more than a thousandth of all, is dealt over several tasks.
+HOT_ROWS, HOT_SHARE = 100_000, 1000
+
+
+def payloads_as_of(rows: DataFrame, payloads: DataFrame, clock: str = "run_at", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with payload, payload_at: the newest payload of a row's signature and prompt version that isn't later than its clock; else null.
+
+    rows: signature, prompt_version, the clock, anything else. payloads: signature, prompt_version, created_at, sequence, payload; of equal times the
+    greater sequence is newer. One pass over both sides sorted by time, no join. Signatures with very many rows (fewer than HOT_SHARE of them) are dealt
+    over several tasks, each with the signature's payloads. Null signatures, versions or clocks meet nothing.
+    """
+    keys = ["signature", "prompt_version"]
+    given = (F.col("signature").isNotNull() & F.col("prompt_version").isNotNull() & F.col(clock).isNotNull())
+    counts = rows.where(given).groupBy(*keys).agg(F.count("*").alias("n_"))
+    least = max(hot_rows, (rows.count() or 0) // HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("n_") > least).select(*keys, F.ceil(F.col("n_") / least).cast("int").alias("salts_")))
+    row = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    kind = "struct<payload:string,created_at:timestamp,sequence:bigint>"
+    asked = rows.where(given).select(row.alias("row_"), *keys, F.col(clock).cast("timestamp").alias("at_")).join(hot, keys, "left")
+    asked = asked.select(*keys, F.pmod(F.xxhash64(F.to_json("row_")), F.coalesce("salts_", F.lit(1))).cast("int").alias("salt_"), "at_", F.lit(1).alias("side_"), F.lit(None).cast(kind).alias("p_"), "row_")
+    known = payloads.where("created_at IS NOT NULL AND signature IS NOT NULL AND prompt_version IS NOT NULL").join(hot, keys, "left")
+    known = known.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("salts_", F.lit(1)) - 1)))
+    known = known.select(*keys, "salt_", F.col("created_at").cast("timestamp").alias("at_"), F.lit(0).alias("side_"), F.struct("payload", F.col("created_at").cast("timestamp").alias("created_at"), F.col("sequence").cast("bigint").alias("sequence")).cast(kind).alias("p_"), F.lit(None).cast(asked.schema["row_"].dataType).alias("row_"))
+    so_far = Window.partitionBy(*keys, "salt_").orderBy("at_", "side_", "p_.sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = known.unionByName(asked).withColumn("last_", F.last("p_", ignorenulls=True).over(so_far)).where("side_ = 1")
+    met = met.select("row_.*", F.col("last_.payload").alias("payload"), F.col("last_.created_at").alias("payload_at"))
+    return met.unionByName(rows.where(~given).withColumns({"payload": F.lit(None).cast("string"), "payload_at": F.lit(None).cast("timestamp")}))
+
+
 def search_plan(payloads: DataFrame, raw: str = "payload") -> DataFrame:
     """Adds the four lists of a search plan; an absent or broken plan has empty lists."""
     empty = "cast(array() AS array<string>)"

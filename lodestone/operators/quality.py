@@ -50,24 +50,29 @@ def country_aliases() -> list[tuple[str, str]]:
     return sorted(found.items(), key=lambda x: -len(x[0]))
 
 
+def _looked_up(keys: list[str], values: list[str], key: str) -> str:
+    """The value beside the first entry of keys that equals key, else null."""
+    return f"get({strings(values)}, cast(array_position({strings(keys)}, {key}) AS int) - 1)"
+
+
 def country_of(text: str) -> str:
     """Country named by a text: the whole text as alias or code, else the longest alias inside it."""
     aliases = country_aliases()
-    exact = "CASE place " + " ".join(f"WHEN {quoted(f' {a} ')} THEN {quoted(n)}" for a, n in aliases) + " END"
-    inside = "CASE " + " ".join(f"WHEN contains(place, {quoted(f' {a} ')}) THEN {quoted(n)}" for a, n in aliases if len(a) > 2) + " END"
-    return let("place", f"concat(' ', {fold_trimmed(text)}, ' ')", f"coalesce({exact}, {inside})")
+    keys, names = [a for a, _ in aliases], [n for _, n in aliases]
+    inside = f"get(filter({strings(a for a in keys if len(a) > 2)}, a_ -> contains(concat(' ', place, ' '), concat(' ', a_, ' '))), 0)"
+    return let("place", fold_trimmed(text), f"coalesce({_looked_up(keys, names, 'place')}, {let('found_', inside, _looked_up(keys, names, 'found_'))})")
 
 
 def country_rule(target: str) -> str:
     """Key of the country that a target names, by alias or code."""
-    whens = " ".join(f"WHEN target_f IN ({', '.join(quoted(x) for x in dict.fromkeys(_fold(a) for a in [*targets, *codes]))}) THEN {quoted(key)}" for key, _, targets, codes, _, _, _ in geo.COUNTRIES)
-    return let("target_f", fold_trimmed(target), f"CASE {whens} END")
+    words = [(_fold(a), key) for key, _, targets, codes, *_ in geo.COUNTRIES for a in [*targets, *codes]]
+    return let("target_f", fold_trimmed(target), _looked_up([w for w, _ in words], [k for _, k in words], "target_f"))
 
 
 def same_country(text: str, country: str) -> str:
     """Whether a text is a name or code of the country."""
-    whens = " ".join(f"WHEN {quoted(_fold(name))} THEN name_f IN ({', '.join(quoted(x) for x in dict.fromkeys(_fold(a) for a in [key, name, *targets, *codes]))})" for key, name, targets, codes, _, _, _ in geo.COUNTRIES)
-    return let("name_f", fold_trimmed(text), f"coalesce(CASE {fold_trimmed(country)} {whens} END, false)")
+    pairs = [f"{_fold(name)}|{_fold(a)}" for key, name, targets, codes, *_ in geo.COUNTRIES for a in [key, name, *targets, *codes]]
+    return f"coalesce(array_contains({strings(pairs)}, concat({fold_trimmed(country)}, '|', {fold_trimmed(text)})), false)"
 
 
 def sanitize(text: str) -> str:

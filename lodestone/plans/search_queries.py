@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
+from ..cluster import new_folder
 from ..operators import synthesis
 from ..rules import queries as rules
+from ..sinks.store import Store
+from ..sources import providers
+from . import ledger
 from .page_queries import _lit, _t
 
 _PHRASES = ["cursos online", "infoproductos / shopify y coaching", "ropa & moda", "academias online e idiomas", "tienda online"]
@@ -31,16 +37,46 @@ _INPUTS = {
 }
 
 
-def query_batches(spark, sf_dir):
+def jobs(spark, sf_dir):
     # a part's customer and nation follow from its key, so the job's texts take many forms
     parts = _t(spark, sf_dir, "part").join(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), F.expr("c_custkey = p_partkey"), "left")
     rows = parts.join(F.broadcast(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name")), F.expr("n_nationkey = coalesce(c_nationkey, 7)")).withColumn("c_mktsegment", F.coalesce("c_mktsegment", F.lit("RETAIL")))
     rows = rows.select("p_partkey", *(F.expr(e).alias(c) for c, e in _INPUTS.items()))
     lists = {"user_technologies": "array(technology)", "user_service_offers": "array(offer)", "user_service_constraints": "cast(NULL AS array<string>)", "target_budget_signals": "array_compact(array(signal_a, signal_b))", "ai_dork_queries": "array_compact(array(dork))", "ai_negative_terms": "array_compact(array(term))", "user_target_offer_focus": "cast(NULL AS string)"}
-    df = synthesis.build_queries(rows.selectExpr("p_partkey", "search_query", "target_niche", "target_location", "target_language", "user_profession", *(f"{e} AS {c}" for c, e in lists.items())))
+    return rows.selectExpr("p_partkey", "search_query", "target_niche", "target_location", "target_language", "user_profession", *(f"{e} AS {c}" for c, e in lists.items()))
+
+
+def query_batches(spark, sf_dir):
+    df = synthesis.build_queries(jobs(spark, sf_dir))
     return df.select("p_partkey", F.posexplode("query_batches").alias("batch", "b")).select("p_partkey", F.col("batch").cast("bigint").alias("batch"), F.array_join("b", " || ").alias("queries"))
 
 
+#: What three providers bring for a query: hosts out of the query's digest, with fewer of the first one's queries answered.
+_HOSTS = {"brave_api": ("'0'", "concat('https://b', substring(md5(q), 2, 2), '.es')"), "duckduckgo": ("'7'", "concat('https://d', substring(md5(q), 2, 2), '.es')"), "google": ("'g'", "concat('https://g', substring(md5(q), 2, 1), '.es')")}
+_ORDER = "brave_api, ddg_html, google"
+
+
+def _search(queries):
+    rows = queries.withColumnRenamed("query", "q")
+    each = [rows.where(f"substring(md5(q), 1, 1) <= {most}").select("job_id", "ordinal", F.col("q").alias("query"), F.lit(p).alias("provider"), F.expr(url).alias("url"), F.lit(None).cast("string").alias("exclusion_reason")) for p, (most, url) in _HOSTS.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def job_creation(spark, sf_dir):
+    """Jobs created from their texts to their candidates, stopped after the search and taken up again."""
+    rows = jobs(spark, sf_dir).withColumnRenamed("p_partkey", "job_id").withColumn("cap", F.expr("cast(job_id % 7 AS bigint) + 1"))
+    store = Store(spark, new_folder(spark, "store"), ledger.LEDGER)
+
+    def stopped(_):
+        raise InterruptedError
+
+    first = ledger.Ledger(store, "creation", {"jobs": sf_dir})
+    with contextlib.suppress(InterruptedError):
+        ledger.create_jobs(first, rows, stopped, providers.provider_order(_ORDER))
+    made = ledger.create_jobs(ledger.Ledger(store, "creation", {"jobs": sf_dir}), rows, _search, providers.provider_order(_ORDER))["insert"]
+    return made.select("job_id", "provider", "status", "total_found", F.coalesce("duplicates", F.lit(0)).alias("duplicates"), F.expr("array_join(transform(candidates, c -> concat(c.position, ' ', c.url)), ',')").alias("candidates"))
+
+
 def _values(rows) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _lit(x) for x in r) + ")" for r in rows)
 
@@ -65,7 +101,7 @@ f5_{stage} AS (SELECT p_partkey, g, seed, row_number() OVER (PARTITION BY p_part
 s_{stage} AS (SELECT p_partkey, seed, row_number() OVER (PARTITION BY p_partkey ORDER BY r, g) AS n FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey, seed ORDER BY r, g) AS again FROM f5_{stage}) WHERE again = 1)"""
 
 
-def _sql() -> str:
+def _ctes() -> str:
     variants = [(k, v, 100 * i + j) for i, (k, vs) in enumerate(rules.VARIANTS.items()) for j, v in enumerate(vs)]
     hints = [(lang, kind, text, n) for lang, h in rules.LANGUAGE_HINTS.items() for kind, v in h.items() for n, text in enumerate(v if isinstance(v, list) else [v])]
     budget = [(test, key, synthesis.BUDGET_ORDER.index(key)) for tests, keys in synthesis.BUDGET_RULES for test in tests for key in keys]
@@ -121,9 +157,24 @@ whole AS (SELECT stage, p_partkey, a, b, c, d, CASE WHEN t = '' OR NOT neg THEN
   FROM (SELECT *, {_tidy('text')} AS t FROM both_stages) LEFT JOIN terms USING (p_partkey)),
 once AS (SELECT *, row_number() OVER (PARTITION BY stage, p_partkey ORDER BY a, b, c, d) AS n FROM (SELECT *, row_number() OVER (PARTITION BY stage, p_partkey, q ORDER BY a, b, c, d) AS again FROM whole WHERE q <> '') WHERE again = 1),
 kept AS (SELECT stage, p_partkey, q, row_number() OVER (PARTITION BY stage, p_partkey ORDER BY n) - 1 AS n FROM once o
-  WHERE stage = 0 AND n <= {synthesis.MOST_QUERIES} OR stage = 1 AND NOT EXISTS (SELECT 1 FROM once e WHERE e.stage = 0 AND e.n <= {synthesis.MOST_QUERIES} AND e.p_partkey = o.p_partkey AND e.q = o.q)),
+  WHERE stage = 0 AND n <= {synthesis.MOST_QUERIES} OR stage = 1 AND NOT EXISTS (SELECT 1 FROM once e WHERE e.stage = 0 AND e.n <= {synthesis.MOST_QUERIES} AND e.p_partkey = o.p_partkey AND e.q = o.q))"""
+
+
+def _batches_sql() -> str:
+    return f"""{_ctes()},
 chunked AS (SELECT p_partkey, stage, n // {synthesis.QUERY_BATCH} AS k, string_agg(q, ' || ' ORDER BY n) AS queries FROM kept GROUP BY ALL)
 SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY stage, k) - 1 AS batch, queries FROM chunked"""
 
 
-QUERIES = {"query_batches": (query_batches, _sql())}
+def _creation_sql() -> str:
+    each = " UNION ALL ".join(f"SELECT job_id, o, {i} AS p, '{name}' AS provider, {url} AS url FROM flat WHERE substring(md5(q), 1, 1) <= {most}" for i, (name, (most, url)) in enumerate(_HOSTS.items()))
+    return f"""{_ctes()},
+flat AS (SELECT p_partkey AS job_id, q, row_number() OVER (PARTITION BY p_partkey ORDER BY stage, n) AS o FROM kept),
+h AS ({each}), b AS (SELECT * FROM h QUALIFY p = min(p) OVER (PARTITION BY job_id)),
+u AS (SELECT job_id, provider, url, min(o) AS o, count(*) - 1 AS again FROM b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY o) AS position FROM u),
+k AS (SELECT job_id, sum(again)::BIGINT AS duplicates, min(provider) AS provider, count(*) FILTER (position <= job_id % 7 + 1) AS total_found, string_agg(position || ' ' || url, ',' ORDER BY position) FILTER (position <= job_id % 7 + 1) AS candidates FROM r GROUP BY job_id)
+SELECT p_partkey AS job_id, provider, CASE WHEN total_found > 0 THEN 'pending' ELSE 'completed' END AS status, coalesce(total_found, 0) AS total_found, coalesce(duplicates, 0) AS duplicates, candidates FROM part LEFT JOIN k ON p_partkey = job_id"""
+
+
+QUERIES = {"query_batches": (query_batches, _batches_sql()), "job_creation": (job_creation, _creation_sql())}

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..cluster import new_folder, written
-from ..operators import discovery
+from ..operators import discovery, extraction, kpi, maintained, paging
 from ..sinks.store import Store, Table
 from . import pipeline
+from .adapters import adapter, with_sql
 from .case_queries import _save_sql, saved_rows
+from .job_queries import OPERATIONAL_METRICS, _exclusions
 from .page_queries import _t
 
 _KINDS = {"prospects": "prospect_id, canonical_identity, score", "job_prospects": "job_id, prospect_id, score", "prospect_contacts": "prospect_id, contact_type, contact_value, score", "prospect_pages": "prospect_id, url, score"}
@@ -87,6 +89,51 @@ s(job_id, i, batch, rank, url, copies, accepted, status, found, processed, good,
 SELECT job_id, batch, rank, url, copies, accepted, status, CASE WHEN status IN ('found', 'processed') THEN found END AS position, CASE WHEN status = 'processed' THEN processed END AS processed_order FROM s WHERE i > 0"""
 
 
+def payload_as_of(spark, sf_dir):
+    """Orders ask for the model payload of their customer's group as of their date; payloads come with line items, several a day."""
+    rows = _t(spark, sf_dir, "orders").selectExpr("o_orderkey", "concat('s', o_custkey % 40) AS signature", "CASE WHEN o_orderkey % 50 > 0 THEN concat('v', o_orderkey % 2 + 1) END AS prompt_version", "cast(o_orderdate AS timestamp) AS run_at")
+    payloads = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct("l_shipdate", "l_quantity", "l_partkey")).alias("m"))
+    payloads = payloads.where("m.l_quantity > 10").selectExpr("concat('s', m.l_partkey % 45) AS signature", "concat('v', l_linenumber % 3 + 1) AS prompt_version", "cast(m.l_shipdate AS timestamp) AS created_at", "l_orderkey * 10 + l_linenumber AS sequence", "concat('{\"score\": ', cast(m.l_quantity AS int), '}') AS payload")
+    met = extraction.payloads_as_of(rows, payloads, hot_rows=200)
+    return met.select("o_orderkey", "signature", "prompt_version", "payload", F.col("payload_at").cast("date").alias("payload_at"))
+
+
+PAYLOAD_AS_OF = """WITH r AS (SELECT o_orderkey, 's' || (o_custkey % 40) AS signature, CASE WHEN o_orderkey % 50 > 0 THEN 'v' || (o_orderkey % 2 + 1) END AS prompt_version, o_orderdate::timestamp AS run_at FROM orders),
+g AS (SELECT l_orderkey, l_linenumber, max({'d': l_shipdate, 'q': l_quantity, 'p': l_partkey}) AS m FROM lineitem GROUP BY ALL),
+p AS (SELECT 's' || (m.p % 45) AS signature, 'v' || (l_linenumber % 3 + 1) AS prompt_version, m.d::timestamp AS created_at, l_orderkey * 10 + l_linenumber AS sequence, '{"score": ' || m.q::int || '}' AS payload FROM g WHERE m.q > 10)
+SELECT o_orderkey, r.signature, r.prompt_version, arg_max(payload, {'c': created_at, 's': sequence}) AS payload, max(created_at)::date AS payload_at
+FROM r LEFT JOIN p ON r.signature = p.signature AND r.prompt_version = p.prompt_version AND p.created_at <= r.run_at GROUP BY ALL"""
+
+
+def keyset_pages(spark, sf_dir):
+    """The third page of ten log lines of every job, newest first, by the places of a clustered table."""
+    logs = adapter(spark, sf_dir, "logs")
+    clustered = paging.cluster(logs.select("job_id", "id", "created_at", "level", "message"), "job_id", [F.desc_nulls_first("created_at"), F.desc("id")])
+    return paging.pages(clustered, paging.bookmarks(clustered, "job_id", 10), "job_id", 2).select("job_id", "id", "level", "message")
+
+
+KEYSET_PAGES = with_sql("logs") + "SELECT job_id, id, level, message FROM logs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC NULLS FIRST, id DESC) BETWEEN 21 AND 30"
+
+
+def _maintained(spark, sf_dir):
+    jobs = kpi.newest(adapter(spark, sf_dir, "totals"), 500).select("job_id", "status", "total_processed", "total_found", "total_failed", "total_skipped")
+    rows = adapter(spark, sf_dir, "job_prospects").join(jobs.select("job_id"), "job_id", "left_semi").select("job_id", "prospect_id", "quality_status", "rejection_reason", "acceptance_decision", "contact_consistency_status", "raw_extraction", "part_id")
+    rows, jobs = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "rows"), written(jobs, "jobs")
+    store = Store(spark, new_folder(spark, "store"), maintained.tables(rows.schema, jobs.schema, ("job_id", "row_id"), 8))
+    exclusions = _exclusions(spark, sf_dir)
+    maintained.update(store, rows.where("part_id % 3 = 0"), jobs, exclusions, number=0)
+    # the two later changes bring rows of some jobs only
+    for n in (1, 2):
+        maintained.update(store, rows.where(f"part_id % 3 = {n}"), jobs.limit(0), exclusions, number=n)
+    return store
+
+
+def maintained_operational(spark, sf_dir):
+    """Operational metrics after three increments, out of summaries kept per job."""
+    return maintained.operational_metrics(_maintained(spark, sf_dir))
+
+
 QUERIES = {
     "commit_four_tables": (commit_four_tables, _save_sql()), "incremental_upserts": (incremental_upserts, INCREMENTAL_UPSERTS), "discovery_batches": (discovery_batches, DISCOVERY_BATCHES),
+    "payload_as_of": (payload_as_of, PAYLOAD_AS_OF), "keyset_pages": (keyset_pages, KEYSET_PAGES), "maintained_operational": (maintained_operational, OPERATIONAL_METRICS),
 }

@@ -19,6 +19,7 @@ empty commit is a version without deltas; tables that a commit leaves out stay a
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Iterable
@@ -35,13 +36,15 @@ TRIES = 20
 
 @dataclass(frozen=True)
 class Table:
-    """A keyed table. schema: a StructType, or its columns as text. order: columns that order rows of one key within a commit; kept: columns that stay from a key's first commit."""
+    """A keyed table. schema: a StructType, or its columns as text. order: columns that order rows of one key within a commit; kept: columns that stay from a key's first commit.
+    by: the keys that choose a row's bucket, all of them if none are named."""
 
     schema: StructType | str
     keys: tuple[str, ...]
     order: tuple[str, ...] = ()
     kept: tuple[str, ...] = ("created_at",)
     buckets: int = 64
+    by: tuple[str, ...] = ()
 
 
 @dataclass
@@ -110,7 +113,7 @@ class Store:
     # ---- writing ----
 
     def _bucket(self, table: Table):
-        return F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in table.keys)), F.lit(table.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in table.by or table.keys)), F.lit(table.buckets)).cast("int")
 
     def stage(self, name: str, rows: DataFrame, sequence: str | None = None) -> dict:
         """Write one delta that nothing refers to yet; returns its entry for a manifest."""
@@ -187,11 +190,18 @@ class Store:
         value = lambda c: F.coalesce(f"first_{kept.index(c)}", F.col("last_").getField(c)) if c in kept else F.col("last_").getField(c)
         return df.select(*((F.col(f"`{c}`") if c in table.keys else value(c).alias(c)) for c in table.schema.names))
 
-    def read_keys(self, name: str, keys: DataFrame) -> DataFrame:
-        """The rows of some keys; only their buckets are opened."""
+    def read_keys(self, name: str, keys: DataFrame, on: list[str] | None = None) -> DataFrame:
+        """The rows of some keys, or of some values of the columns `on`, which must hold those that choose the bucket; only their buckets are opened.
+
+        Null keys are found like others.
+        """
         table = self.tables[name]
-        found = [r[0] for r in keys.select(self._bucket(table).alias("b")).distinct().collect()]  # at most `buckets` numbers
-        return self.read(name, found).join(keys.select(*table.keys).distinct(), list(table.keys), "left_semi")
+        on = on or list(table.keys)
+        wanted = keys.select(*(F.col(f"`{k}`") for k in on)).distinct()
+        found = [r[0] for r in wanted.select(self._bucket(table).alias("b")).distinct().collect()]  # at most `buckets` numbers
+        renamed = wanted.select(*(F.col(f"`{k}`").alias(f"key_{i}") for i, k in enumerate(on)))
+        same = functools.reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"key_{i}")) for i, k in enumerate(on)])
+        return self.read(name, found).join(renamed, same, "left_semi")
 
     # ---- upkeep ----
 
