@@ -8,8 +8,10 @@ from pyspark.sql.types import StructType
 
 from ..cluster import written
 from ..functions.plan import barrier, shared
-from ..operators import crawl, entity, extraction, features, kpi, quality, scoring, upsert
+from .. import schemas
+from ..operators import crawl, entity, extraction, features, kpi, projection, quality, scoring, upsert
 from ..operators.parse import parse
+from ..operators.projection import project
 from ..operators.upsert import last_rows
 from ..sinks.store import Store, Table
 from ..sources.html import read_pages
@@ -85,17 +87,51 @@ def prospects(pages: DataFrame, criteria: dict | None = None, hits: DataFrame |
     return score(assess(with_criteria(metadata(pages, hits), criteria)), payloads)
 
 
+#: Names in the evidence and the raw extraction of a job's row.
+EVIDENCE_FIELDS = [
+    "source_type", "discovery_method", "search_query", "canonical_identity", "primary_identity_type", "primary_identity_url", "emails", "phones", "socials", "social_profiles", "contact_page_url", "form_detected",
+    "contact_consistency_status", "primary_email_confidence", "primary_phone_confidence", "primary_contact_source", "geo_evidence", "raw_location_text", "parsed_location", "city", "region", "country", "postal_code",
+    "language_evidence", "cta_evidence", "structured_data_evidence", "discovery_evidence", "observed_signals", "inferred_opportunities", "acceptance_decision", "entity_type_detected", "entity_type_confidence",
+    "entity_type_evidence", "is_target_entity", "taxonomy_top_level", "taxonomy_business_type", "content_coverage", "heuristic_signals", "scoring_trace", "phone_validation_rejections", "invalid_phone_candidates_count",
+]
+EXTRACTION_FIELDS = [
+    "inferred_niche", "taxonomy_top_level", "taxonomy_business_type", "inferred_tech_stack", "generic_attributes", "observed_signals", "inferred_opportunities", "estimated_revenue_signal", "has_active_ads", "hiring_signals",
+    "raw_location_text", "parsed_location", "city", "region", "country", "postal_code", "validated_location", "location_match_status", "location_confidence", "detected_language", "language_match_status", "primary_cta",
+    "booking_url", "pricing_page_url", "whatsapp_url", "contact_channels_json", "contact_quality_score", "contact_consistency_status", "primary_email_confidence", "primary_phone_confidence", "primary_contact_source",
+    "primary_identity_type", "primary_identity_url", "social_profiles", "company_size_signal", "service_keywords", "acceptance_decision", "entity_type_detected", "entity_type_confidence", "entity_type_evidence",
+    "is_target_entity", "ai_trace", "heuristic_trace", "scoring_trace", "phone_validation_rejections", "invalid_phone_candidates_count",
+]
+
+
 def sinks(rows: DataFrame, run_ts) -> dict[str, DataFrame]:
-    """Rows of the persistent tables out of scored pages; run_ts stands for the clock."""
-    one = upsert.latest(rows, ["canonical_identity"], [F.desc("page_id")]).withColumn("prospect_id", F.xxhash64("canonical_identity"))
-    stamp = lambda df: df.withColumns({"created_at": F.lit(run_ts), "updated_at": F.lit(run_ts)})
-    contact = one.withColumns({"email": F.col("primary_email"), "phone": F.col("primary_phone")})
+    """Whole rows of the persistent tables out of scored pages, in their declared schemas; run_ts stands for the clock.
+
+    What a page lacks is null; nested values are JSON where the schema has text. Of pages of one identity the one with the greatest id counts.
+    """
+    one = upsert.latest(rows, ["canonical_identity"], [F.desc("page_id")])
+    text = {"match_status": "cast(NULL AS string)", "job_id": "cast(NULL AS bigint)", "source_url": "url", "workspace_id": "cast(NULL AS string)", "rank_position": "cast(NULL AS int)", "source_type": "cast(NULL AS string)", "discovery_method": "cast(NULL AS string)", "search_query": "cast(NULL AS string)", "source": "cast(NULL AS string)", "quality_flags": "cast(NULL AS array<string>)", "phone": "primary_phone", "email": "primary_email"}
+    one = one.withColumns({"prospect_id": F.xxhash64("canonical_identity"), "run_at_": F.lit(run_ts).cast("timestamp"), **{c: F.expr(e) for c, e in text.items() if c not in one.columns}})
+    place = "named_struct('formatted', location, 'city', city, 'region', region, 'country', country, 'postal_code', postal_code, 'source', cast(NULL AS string))"
+    one = one.withColumn("parsed_location", F.expr(f"CASE WHEN location IS NOT NULL THEN {place} END"))
+    stamps = {"created_at": "run_at_", "updated_at": "run_at_"}
+    socials = [c for c in ("linkedin_url", "instagram_url", "tiktok_url", "facebook_url") if c in one.columns]
+    derived = {
+        "emails": "array_compact(array(email))", "phones": "array_compact(array(phone))", "socials": f"array_compact(array({', '.join(socials)}))" if socials else "cast(array() AS array<string>)",
+        "source_type": upsert.source_type("coalesce(source_type, source)"), "discovery_method": upsert.discovery_method("discovery_method"), "contact_channels_json": "contact_channels",
+    }
+    struct = lambda names: f"to_json({projection.nested(one, {n: derived.get(n, n) for n in names})}, map('ignoreNullFields', 'false'))"
+    pains = "nullif(inferred_opportunities, cast(array() AS array<string>))"
+    job = stamps | {
+        "id": "cast(NULL AS bigint)", "processing_status": "'processed'", "quality_status": "coalesce(quality_status, 'accepted')", "match_score": "coalesce(final_score, 0D)", "search_query_snapshot": "search_query",
+        "source_type": derived["source_type"], "discovery_method": derived["discovery_method"], "pain_points": pains, "observed_signals": "nullif(observed_signals, cast(array() AS array<string>))", "inferred_opportunities": pains,
+        "evidence": struct(EVIDENCE_FIELDS), "raw_extraction": struct(EXTRACTION_FIELDS),
+    }
+    prospect = project(one, schemas.PROSPECTS, stamps | {"id": "prospect_id", "score": "final_score"}).withColumnRenamed("id", "prospect_id")
+    stamp = lambda df: df.withColumns({c: F.lit(run_ts).cast("timestamp") for c in ("created_at", "updated_at")})
     return {
-        "prospects": stamp(one.select("prospect_id", "canonical_identity", "domain", "company_name", "location", "city", "region", "country", "postal_code", "detected_language", "entity_type_detected", "taxonomy_business_type", F.col("final_score").alias("score"))),
-        "job_prospects": stamp(one.select("prospect_id", "quality_status", "rejection_reason", "acceptance_decision", "contact_consistency_status", F.col("final_score").alias("match_score"), "observed_signals", "inferred_opportunities")),
-        "prospect_contacts": stamp(upsert.contacts(contact.drop("contact_channels"))),
-        "prospect_pages": stamp(upsert.pages(one)),
-    }
+        "prospects": prospect, "job_prospects": project(one, schemas.JOB_PROSPECTS, job),
+        "prospect_contacts": stamp(upsert.contacts(one.drop("contact_channels"))), "prospect_pages": stamp(upsert.pages(one)),
+    }
 
 
 #: Keys of the persistent tables, and the column that orders versions of a row.
