@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -34,6 +35,8 @@ class Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, list | None]] = []
+        self.opened: Counter[str] = Counter()  # open tags by name, so that an end tag without its start costs nothing
+        self.sinks: list[list] = []  # of the open links, outermost first
         self.texts: list[str] = []
         self.links: list[tuple[str, dict, list[str]]] = []
         self.metas: list[dict] = []
@@ -63,6 +66,9 @@ class Reader(HTMLParser):
             self.in_json = True
         if tag not in VOID:
             self.open.append((tag, sink))
+            self.opened[tag] += 1
+            if sink is not None:
+                self.sinks.append(sink)
             self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
@@ -71,10 +77,13 @@ class Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.open):
+        if self.opened[tag]:
             while True:
-                t, _ = self.open.pop()
+                t, sink = self.open.pop()
+                self.opened[t] -= 1
                 self.hidden -= t in HIDDEN
+                if sink is not None:
+                    self.sinks.pop()
                 if t == tag:
                     break
         if tag == "script":
@@ -89,9 +98,8 @@ class Reader(HTMLParser):
         if not text or self.hidden:
             return
         self.texts.append(text)
-        for _, sink in self.open:
-            if sink is not None:
-                sink.append(text)
+        for sink in self.sinks:
+            sink.append(text)
 
 
 def normalise_link(base: str, href: str) -> str | None:

@@ -22,7 +22,8 @@ def unique_hits(hits: DataFrame, late: str = "1 hour") -> DataFrame:
 def capture(candidates: DataFrame, target: int, cap: int) -> DataFrame:
     """Candidates a capture still takes, job by job in order of arrival, with accepted and processed counts as state.
 
-    candidates: job_id bigint, rank bigint, accepted boolean. Rows of one micro-batch are taken by rank.
+    candidates: job_id bigint, rank bigint, accepted boolean. Rows of one micro-batch are taken by rank and held by one task
+    a job; discovery.follow keeps its states in a table, cuts batches before their rows meet, and streams.
     """
 
     def step(key, batches, state: GroupState):
