@@ -7,11 +7,13 @@ import contextlib
 from pyspark.sql import functions as F
 
 from ..cluster import new_folder
-from ..operators import synthesis
+from ..operators import parse, synthesis, upsert
+from ..rules import pages as page_rules
 from ..rules import queries as rules
 from ..sinks.store import Store
 from ..sources import providers
 from . import ledger
+from .adapters import adapter, with_sql
 from .page_queries import _lit, _t
 
 _PHRASES = ["cursos online", "infoproductos / shopify y coaching", "ropa & moda", "academias online e idiomas", "tienda online"]
@@ -177,4 +179,44 @@ k AS (SELECT job_id, sum(again)::BIGINT AS duplicates, min(provider) AS provider
 SELECT p_partkey AS job_id, provider, CASE WHEN total_found > 0 THEN 'pending' ELSE 'completed' END AS status, coalesce(total_found, 0) AS total_found, coalesce(duplicates, 0) AS duplicates, candidates FROM part LEFT JOIN k ON p_partkey = job_id"""
 
 
-QUERIES = {"query_batches": (query_batches, _batches_sql()), "job_creation": (job_creation, _creation_sql())}
+def demo_fallback(spark, sf_dir):
+    """Jobs whose search brought nothing get the demo hits."""
+    jobs_ = _t(spark, sf_dir, "customer").selectExpr("c_custkey AS job_id", "c_mktsegment AS query")
+    found = _t(spark, sf_dir, "orders").selectExpr("o_custkey AS job_id", "concat('https://o', o_orderkey, '.es') AS url", "cast(o_orderkey AS int) AS position")
+    missing = jobs_.join(found.select("job_id").distinct(), "job_id", "left_anti")
+    demo = providers.demo_hits(missing, 2).select("job_id", "url", "position", "discovery_confidence")
+    return found.groupBy("job_id").agg(F.min_by("url", "position").alias("url"), F.lit(1).alias("position"), F.lit("high").alias("discovery_confidence")).unionByName(demo)
+
+
+DEMO_FALLBACK = """SELECT o_custkey AS job_id, arg_min('https://o' || o_orderkey || '.es', o_orderkey) AS url, 1 AS position, 'high' AS discovery_confidence FROM orders GROUP BY o_custkey
+UNION ALL SELECT c_custkey, u.url, u.position, 'low' FROM customer, (VALUES ('https://example.com', 1), ('https://example.org', 2)) u(url, position) WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+
+
+def logs_appended(spark, sf_dir):
+    """Log rows appended in two runs, read back: rows, last id and errors of each job."""
+    logs, path = adapter(spark, sf_dir, "logs").select("id", "job_id", "level", "message", "context"), new_folder(spark, "logs")
+    for run in ("id % 3 = 0", "id % 3 > 0"):
+        upsert.append_logs(logs.where(run), path)
+    return spark.read.parquet(path).groupBy("job_id").agg(F.count("*").alias("n"), F.max("id").alias("last_id"), F.count_if(F.col("level") == "ERROR").alias("errors"))
+
+
+LOGS_APPENDED = with_sql("logs") + "SELECT job_id, count(*) AS n, max(id) AS last_id, count(*) FILTER (level = 'ERROR') AS errors FROM logs GROUP BY job_id"
+
+
+_ADDRESSED = "concat(coalesce(text, ''), '|Calle Mayor ', doc_id, ', ', coalesce(source, ''), '|Avenida ', coalesce(substring(text, 1, 60), ''), ' madrid|plaza x')"
+
+
+def visible_addresses(spark, sf_dir):
+    """Street addresses in whole texts, with lines of addresses out of the documents' own fields."""
+    rows = _t(spark, sf_dir, "documents").selectExpr("doc_id", f"{_ADDRESSED} AS t")
+    return rows.select("doc_id", F.expr(f"array_join({parse.addresses_in('t')}, ' # ')").alias("addresses"))
+
+
+VISIBLE_ADDRESSES = f"""WITH m AS (SELECT doc_id, list_transform(regexp_extract_all({_ADDRESSED}, {_lit(parse.ADDRESS)}, 1), lambda x: {_tidy('x')}) AS found FROM documents)
+SELECT doc_id, array_to_string(list_filter(found, lambda x: regexp_matches(x, '[0-9]') OR {_contains_any('lower(x)', page_rules.ADDRESS_PLACES)}), ' # ') AS addresses FROM m"""
+
+
+QUERIES = {
+    "query_batches": (query_batches, _batches_sql()), "job_creation": (job_creation, _creation_sql()), "demo_fallback": (demo_fallback, DEMO_FALLBACK), "logs_appended": (logs_appended, LOGS_APPENDED),
+    "visible_addresses": (visible_addresses, VISIBLE_ADDRESSES),
+}

@@ -11,7 +11,7 @@ from urllib.parse import parse_qs, urljoin, urlparse
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.text import any_in
 from .html import Reader
@@ -47,9 +47,11 @@ def provider_chain(hits: DataFrame, order: list[str], key: str = "job_id") -> Da
     return rated.join(first, [key, "rank_"], "left_semi").drop("rank_")
 
 
-def demo_hits(spark: SparkSession, query: str | None, most: int = 10) -> DataFrame:
-    rows = [(u, query, i, "Demo result", "low") for i, u in enumerate(DEMO_URLS[:most], 1)]
-    return spark.createDataFrame(rows, "url string, query string, position int, title string, discovery_confidence string")
+def demo_hits(jobs: DataFrame, most: int = 10) -> DataFrame:
+    """Stand-in hits of jobs(job_id, query) for which no provider is at hand: the demo URLs in order, at most so many each."""
+    urls_ = F.array(*map(F.lit, DEMO_URLS[:most]))
+    rows = jobs.select("job_id", "query", F.posexplode(urls_).alias("pos_", "url"))
+    return rows.select("job_id", "url", "query", (F.col("pos_") + 1).alias("position"), F.lit("Demo result").alias("title"), F.lit("low").alias("discovery_confidence"))
 
 
 def seed_hits(jobs: DataFrame, urls: str = "seed_urls", cap: str = "max_candidates_to_process") -> DataFrame:
@@ -258,8 +260,34 @@ class _HitReader(DataSourceReader):
             yield partition.query, i, urljoin(self.site, f"{partition.query.replace(' ', '-')}/{i}"), f"{partition.query} {i}", ""
 
 
+class _HitStream(DataSourceStreamReader):
+    """Queries in their order as a stream; the offset is the number of queries read, so a restart goes on behind the last whole batch."""
+
+    def __init__(self, options):
+        self.batch = _HitReader(options)
+        self.most = int(options.get("queriesPerBatch", 100))
+        self.sent = 0
+
+    def initialOffset(self):
+        return {"queries": 0}
+
+    def latestOffset(self):
+        self.sent = min(len(self.batch.queries), self.sent + self.most)
+        return {"queries": self.sent}
+
+    def partitions(self, start, end):
+        self.sent = max(self.sent, end["queries"])
+        return [_Part(q) for q in self.batch.queries[start["queries"] : end["queries"]]]
+
+    def read(self, partition):
+        return self.batch.read(partition)
+
+    def commit(self, end):
+        """Nothing is held back for a repeat: a query's hits can be asked for again."""
+
+
 class HitSource(DataSource):
-    """Template of a search provider as a data source: one partition per query. Register with spark.dataSource.register.
+    """Template of a search provider as a data source: one partition per query, in a batch or as a stream. Register with spark.dataSource.register.
 
     A provider overrides the reader's read(); this one makes deterministic rows for tests.
     """
@@ -273,3 +301,6 @@ class HitSource(DataSource):
 
     def reader(self, schema):
         return _HitReader(self.options)
+
+    def streamReader(self, schema):
+        return _HitStream(self.options)

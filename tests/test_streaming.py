@@ -31,3 +31,22 @@ def test_unique_hits(spark, tmp_path, late):
     q = logs.unique_hits(stream, late).writeStream.outputMode("append").format("memory").queryName("unique").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT * FROM unique").count() == 2
+
+
+def test_stream_of_hits_goes_on_after_a_restart(spark, tmp_path):
+    from lodestone.sources.providers import HitSource
+
+    spark.dataSource.register(HitSource)
+
+    def run(queries):
+        stream = spark.readStream.format("lodestone_hits").option("queries", "|".join(queries)).option("limit", 3).option("queriesPerBatch", 2).load()
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted((r["query"], r["ordinal"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run(["a", "b", "c"]) == [(q, i) for q in "abc" for i in range(3)]
+    # the same checkpoint, more queries: nothing is lost, nothing comes twice
+    assert run(["a", "b", "c", "d", "e", "f"]) == [(q, i) for q in "abcdef" for i in range(3)]
