@@ -134,6 +134,7 @@ def heuristics(df: DataFrame) -> DataFrame:
     })
     any_listed = lambda column: f"exists({_context_list(column)}, s -> contains(search_f, trim({ascii_fold('s')})))"
     in_stack = lambda names: f"arrays_overlap(inferred_tech_stack, {strings(names)})"
+    # Fixed values down to the opportunities: names of evidence, their points, what a component's points are out of, thresholds, texts.
     components = (
         _points([
             ("owned_contact_channel_visible", 2, "size(emails) > 0 OR size(phones) > 0"), ("contact_flow_visible", 2, "form_detected AND link_contact"), ("contact_surface_visible", 1, "form_detected <> link_contact"),

@@ -7,7 +7,7 @@ import contextlib
 from pyspark.sql import functions as F
 
 from ..cluster import new_folder
-from ..operators import parse, synthesis, upsert
+from ..operators import parse, prompts, synthesis, upsert
 from ..rules import pages as page_rules
 from ..rules import queries as rules
 from ..sinks.store import Store
@@ -216,7 +216,30 @@ VISIBLE_ADDRESSES = f"""WITH m AS (SELECT doc_id, list_transform(regexp_extract_
 SELECT doc_id, array_to_string(list_filter(found, lambda x: regexp_matches(x, '[0-9]') OR {_contains_any('lower(x)', page_rules.ADDRESS_PLACES)}), ' # ') AS addresses FROM m"""
 
 
+def prompt_sections(spark, sf_dir):
+    """Prompts of jobs: the seller's context, the planner's rules where there are hints, and evidence within its budget."""
+    df = jobs(spark, sf_dir).selectExpr("*", "ai_dork_queries AS target_entity_hints", "ai_negative_terms AS exclusion_entity_hints", "cast(NULL AS string) AS user_value_proposition", "array(target_niche, '') AS user_past_successes", "array('', NULL) AS user_roi_metrics", "concat(' ', target_location, ' ') AS target_company_size", "cast(NULL AS array<string>) AS target_pain_points", "array_join(target_budget_signals, '; ') AS evidence")
+    lists = ["user_technologies", "user_past_successes", "user_roi_metrics", "target_pain_points", "target_budget_signals"]
+    whole = prompts.template([prompts.persona(lists, "CONTEXTO DEL VENDEDOR", 400), prompts.entity_rules(), prompts.Section("EVIDENCIA", [prompts.Text("evidence")], 30, "size(target_budget_signals) > 1")])
+    return df.select("p_partkey", F.expr(whole).alias("prompt"))
+
+
+def _prompt_sql() -> str:
+    value = lambda e, empty=prompts.MISSING: f"coalesce(nullif(trim({e}), ''), '{empty}')"
+    shown = {
+        "user_profession": value("user_profession"), "user_technologies": value("technology"), "user_value_proposition": f"'{prompts.MISSING}'", "user_past_successes": value("target_niche"), "user_roi_metrics": f"'{prompts.MISSING}'",
+        "target_niche": value("target_niche", "General"), "target_location": value("target_location"), "target_language": value("target_language"), "target_company_size": value("target_location"), "target_pain_points": f"'{prompts.MISSING}'",
+        "target_budget_signals": value("concat_ws(', ', signal_a, signal_b)"),
+    }
+    context = " || chr(10) || ".join(f"'- {label}: ' || {shown[c]}" for label, c, _ in prompts.PERSONA)
+    return f"""WITH raw AS (SELECT p.*, n.n_name, coalesce(c.c_mktsegment, 'RETAIL') AS c_mktsegment FROM part p LEFT JOIN customer c ON c.c_custkey = p.p_partkey JOIN nation n ON n.n_nationkey = coalesce(c.c_nationkey, 7)),
+j AS (SELECT p_partkey, {', '.join(f'{e} AS {c}' for c, e in _INPUTS.items())} FROM raw)
+SELECT p_partkey, substr('CONTEXTO DEL VENDEDOR' || chr(10) || {context}, 1, 400)
+  || CASE WHEN dork IS NULL AND term IS NULL THEN '' ELSE chr(10) || chr(10) || '{prompts.RULES_TITLE}' || CASE WHEN dork IS NULL THEN '' ELSE chr(10) || '{prompts.RULES_FOR}' || chr(10) || '- ' || dork END || CASE WHEN term IS NULL THEN '' ELSE chr(10) || '{prompts.RULES_AGAINST}' || chr(10) || '- ' || term END END
+  || CASE WHEN signal_b IS NULL THEN '' ELSE chr(10) || chr(10) || substr('EVIDENCIA' || chr(10) || signal_a || '; ' || signal_b, 1, 30) END AS prompt FROM j"""
+
+
 QUERIES = {
     "query_batches": (query_batches, _batches_sql()), "job_creation": (job_creation, _creation_sql()), "demo_fallback": (demo_fallback, DEMO_FALLBACK), "logs_appended": (logs_appended, LOGS_APPENDED),
-    "visible_addresses": (visible_addresses, VISIBLE_ADDRESSES),
+    "visible_addresses": (visible_addresses, VISIBLE_ADDRESSES), "prompt_sections": (prompt_sections, _prompt_sql()),
 }

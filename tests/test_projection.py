@@ -48,3 +48,20 @@ def test_whole_rows_of_a_page(spark):
     assert raw["observed_signals"] == (job["observed_signals"] or []) and job["processing_status"] == "processed" and 0 <= job["match_score"] <= 1
     assert out["prospects"].first()["email"] == "info@clinicasol.es"
     assert projection.violations(out["job_prospects"], ["prospect_id", "processing_status"], schemas.ENUMS).count() == 0
+
+
+# prompts
+
+
+def test_prompt_of_a_job(spark):
+    from lodestone.operators import prompts
+
+    jobs = spark.createDataFrame([
+        (1, " Editor ", ["reels", " ", None, "edición"], "Moda", ["vende en Instagram"], [], "x" * 50), (2, None, None, " ", [], [], None), (3, "SEO", [], "Dental", [], ["blog", "agencia"], "corto"),
+    ], "id int, user_profession string, user_technologies array<string>, target_niche string, target_entity_hints array<string>, exclusion_entity_hints array<string>, evidence string")
+    lines = [prompts.Line("Profesion", "user_profession"), prompts.Line("Servicios", "user_technologies", True), prompts.Line("Nicho", "target_niche", False, "General")]
+    whole = prompts.template([prompts.Section("VENDEDOR", lines), prompts.entity_rules(), prompts.Section("TEXTO", [prompts.Text("evidence")], 16, "id < 3")])
+    got = {r["id"]: r["p"] for r in jobs.selectExpr("id", f"{whole} AS p").collect()}
+    assert got[1] == f"VENDEDOR\n- Profesion: Editor\n- Servicios: reels, edición\n- Nicho: Moda\n\n{prompts.RULES_TITLE}\n{prompts.RULES_FOR}\n- vende en Instagram\n\nTEXTO\nxxxxxxxxxx"
+    assert got[2] == "VENDEDOR\n- Profesion: No especificado\n- Servicios: No especificado\n- Nicho: General"
+    assert got[3] == f"VENDEDOR\n- Profesion: SEO\n- Servicios: No especificado\n- Nicho: Dental\n\n{prompts.RULES_TITLE}\n{prompts.RULES_AGAINST}\n- blog\n- agencia"
