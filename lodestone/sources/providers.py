@@ -85,7 +85,7 @@ class _Results(Reader):
         super().__init__()
         self.blocks: list[dict] = []
         self.depth: list[tuple[int, dict]] = []
-        self.sinks: list[tuple[int, list]] = []
+        self.pieces: list[tuple[int, list]] = []  # titles, snippets and texts that are open, with their level; `sinks` are the reader's own
 
     def handle_starttag(self, tag, attrs):
         super().handle_starttag(tag, attrs)
@@ -107,25 +107,25 @@ class _Results(Reader):
             elif block["link"] is None:
                 block["link"] = href
         if tag == "h3" or "result__title" in classes or "result__a" in classes and not block["title"]:
-            self.sinks.append((level, block["title"]))
+            self.pieces.append((level, block["title"]))
         elif "result__snippet" in classes:
-            self.sinks.append((level, block["snippet"]))
+            self.pieces.append((level, block["snippet"]))
         elif not block["plain"] and not own and tag in ("div", "span"):
             style = values.get("style") or ""
             likely = "data-sncf" in values or "VwiC3b" in classes or "line-clamp" in style if tag == "div" else "st" in (values.get("class") or "")
             block["texts"].append((likely, []))
-            self.sinks.append((level, block["texts"][-1][1]))
+            self.pieces.append((level, block["texts"][-1][1]))
 
     def handle_endtag(self, tag):
         super().handle_endtag(tag)
         level = len(self.open)
-        self.sinks = [s for s in self.sinks if s[0] <= level]
+        self.pieces = [s for s in self.pieces if s[0] <= level]
         self.depth = [d for d in self.depth if d[0] <= level]
 
     def handle_data(self, data):
         super().handle_data(data)
         if text := data.strip():
-            for sink in {id(s): s for _, s in self.sinks}.values():
+            for sink in {id(s): s for _, s in self.pieces}.values():
                 sink.append(text)
 
 

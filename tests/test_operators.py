@@ -250,6 +250,11 @@ def test_sources(spark):
     assert providers.provider_order("google, nope,ddg_html") == ["google", "duckduckgo"]
 
 
+def test_result_page_texts_inside_links():
+    page = '<div class="result"><a class="result__a" href="https://a.test/">A <b>bold</b></a><p><a class="result__snippet" href="https://a.test/">uno <i>dos</i></a></p></div><div class="g"><a href="https://c.test/"><h3>C</h3></a><div class="VwiC3b">text <a href="#x">more</a></div></div>'
+    assert [(r["ordinal"], r["url"], r["title"], r["snippet"]) for r in providers.read_results(page)] == [(0, "https://a.test/", "A bold", "uno dos"), (1, "https://c.test/", "C", "text more")]
+
+
 def test_taxonomy_and_entity_ties(spark):
     assert entity.folded(["asociacion", "asociación"]) == ["asociacion", "asociacion"]
     r = one(spark, features.opportunities("array('- Mejorar X.', 'podria Y', 'mejorar x')"), features.clean_list("array('1) a', 'A', ' ', 'b')", 5))
