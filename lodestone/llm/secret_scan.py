@@ -7,8 +7,8 @@ run of one letter would be clear evidence). With DIFFERENT of them or more, a me
 is a secret.
 
 The models are counted from labelled samples with add-SMOOTHING: generated random strings and identifiers, repeated and
-sequential runs, and a bounded sample of the corpus (about SAMPLE_DOCS documents by the hash of their ids), whose values
-of rule matches are random and whose other runs of key characters are ordinary. A fifth of the samples is held out: the evidence asked for is
+sequential runs, and all documents of the corpus, whose different values of rule matches are random and whose other
+different runs of key characters are ordinary. A fifth of the samples is held out: the evidence asked for is
 CLEARANCE times what all but a thousandth of the ordinary ones held out reach, and at least EVIDENCE.
 
 Positions are code points with the end exclusive. They come from splitting the text at the matches: a match begins after all
@@ -27,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Fixed values of the rules: kind, pattern, group that is measured, least length of it.
 RULES = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -49,7 +51,7 @@ MARGIN = 0.6  # least mean log-likelihood ratio of a run's different transitions
 EVIDENCE, CLEARANCE = 10.0, 1.3  # least sum of them, at least; and as a multiple of what ordinary runs held out reach
 DIFFERENT = 8  # least number of them: runs of a short period have few, random ones of 16 characters 12 or more
 SMOOTHING = 0.1
-SAMPLE_DOCS, PIECE = 4000, 64  # expected documents of the corpus in the sample; longest piece of a run in it
+PIECE = 64  # longest piece of a run in the samples
 BLOCK = 4096  # characters of a block where texts and runs are taken apart
 
 #: Parts of ordinary identifiers for the built-in sample.
@@ -101,16 +103,14 @@ def builtin_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     return randoms.unionByName(ordinary).unionByName(regular)
 
 
-def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled samples (text, random) of about sample_docs documents: values that the rules find, and the different runs outside of them."""
-    share = max(1, min(1 << 20, -(-(sample_docs << 20) // max(1, docs.count()))))
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("bigint"), F.lit(5)), F.lit(1 << 20)) < share)
-    df = _masked(_rule_spans(some.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))))
+def corpus_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Labelled samples (text, random) of all documents: the different values that the rules find, and the different runs outside of them."""
+    df = _masked(_rule_spans(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))))
     key = "[A-Za-z0-9+/_=-]"
-    ordinary = df.select(F.explode(F.expr(f"regexp_extract_all(masked_, {_quoted(key + '{6,' + str(PIECE) + '}')}, 0)")).alias("text")).distinct().withColumn("random", F.lit(False))
+    ordinary = f"transform(array_distinct(regexp_extract_all(masked_, {_quoted(key + '{6,' + str(PIECE) + '}')}, 0)), x -> named_struct('text', x, 'random', false))"
     values = "concat(" + ", ".join(f"CASE WHEN size(spans_{k}) > 0 THEN regexp_extract_all(text_, {_quoted(LONG.get(k, p))}, {g}) ELSE array() END" for k, p, g, _ in RULES) + ")"
-    found = df.select(F.explode(F.expr(values)).alias("text")).where("length(text) >= 16").select(F.expr(f"explode(regexp_extract_all(text, '.{{1,{PIECE}}}', 0)) AS text")).distinct()
-    return ordinary.unionByName(found.withColumn("random", F.lit(True)))
+    found = f"transform(flatten(transform(filter({values}, v -> length(v) >= 16), v -> regexp_extract_all(v, '.{{1,{PIECE}}}', 0))), x -> named_struct('text', x, 'random', true))"
+    return df.select(F.expr(f"inline(concat({ordinary}, {found}))")).distinct()
 
 
 def train(samples: DataFrame) -> Model:
@@ -133,9 +133,9 @@ def train(samples: DataFrame) -> Model:
     return Model(ratios, round(max(EVIDENCE, CLEARANCE * (top or 0.0)), 6))
 
 
-def model_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of generated samples and of the corpus itself."""
-    return train(builtin_samples(docs.sparkSession).unionByName(corpus_samples(docs, id_col, text_col)))
+def model_of(docs: DataFrame, text_col: str = "text") -> Model:
+    """The model of generated samples and of the whole corpus."""
+    return train(builtin_samples(docs.sparkSession).unionByName(materialize(corpus_samples(docs, text_col), "samples")))
 
 
 def _codes(run: str, before: str) -> str:

@@ -146,6 +146,12 @@ def test_corpus_samples_label_by_the_rules(spark):
     assert secret_scan.model_of(df.limit(0)).evidence >= secret_scan.EVIDENCE
 
 
+def test_corpus_samples_take_every_document(spark):
+    df = spark.range(9000).selectExpr("id AS doc_id", "concat('identifier_', id, ' and password=Xy12Zz34Ab56Cd78', id) AS text")
+    got = {(r["random"], r["count"]) for r in secret_scan.corpus_samples(df).groupBy("random").count().collect()}
+    assert got == {(False, 9000), (True, 9000)}
+
+
 
 def test_shared_folder(spark):
     class Conf:
