@@ -330,9 +330,12 @@ SELECT c AS c_custkey, CASE WHEN soc AND c % 2 = 0 THEN 'instagram:acme' WHEN so
 
 
 def search_plans(spark, sf_dir):
-    """Search plans out of payloads, their cache key, and prompts cut to their limits."""
+    """Search plans out of payloads, their cache key, and prompts cut to their limits.
+
+    The made-up texts grow with the key up to twice their limit: what a prompt leaves out is there, but a row's size doesn't grow with the table.
+    """
     payloads = ['{"optimal_dork_queries": [" a ", "a", "", null, "b"], "dynamic_negative_terms": ["-x"], "target_entity_hints": [], "exclusion_entity_hints": ["y", "z"]}', "broken", None, '{"optimal_dork_queries": "no list"}']
-    rows = _t(spark, sf_dir, "part").selectExpr("p_partkey", f"{_case('p_partkey', 4, payloads, _spark_lit)} AS payload", "CASE WHEN p_partkey % 2 = 0 THEN 'Dentistas' END AS query", "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Editor' END AS profession", "repeat('x', cast(p_partkey * 7 AS int)) AS body", "CASE WHEN p_partkey % 5 = 0 THEN repeat('y', cast(p_partkey * 5 AS int)) END AS pack")
+    rows = _t(spark, sf_dir, "part").selectExpr("p_partkey", f"{_case('p_partkey', 4, payloads, _spark_lit)} AS payload", "CASE WHEN p_partkey % 2 = 0 THEN 'Dentistas' END AS query", "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Editor' END AS profession", f"repeat('x', cast(least(p_partkey * 7, {2 * extraction.TEXT_LIMIT}) AS int)) AS body", f"CASE WHEN p_partkey % 5 = 0 THEN repeat('y', cast(least(p_partkey * 5, {2 * extraction.PACK_LIMIT}) AS int)) END AS pack")
     df = extraction.search_plan(rows)
     lists = ["optimal_dork_queries", "dynamic_negative_terms", "target_entity_hints", "exclusion_entity_hints"]
     return df.select("p_partkey", *(F.array_join(c, "|").alias(c) for c in lists), F.expr(extraction.plan_key("query", "profession", "cast(NULL AS string)", "'Lima'")).alias("plan_key"), F.md5(F.expr(extraction.extraction_prompt("'Perfil X'", "pack", "body"))).alias("prompt_md5"))

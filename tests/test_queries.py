@@ -37,3 +37,13 @@ def test_query(spark, duck, name):
         names = [d[0] for d in cursor.description]
         assert sorted(names) == columns
         assert rows == Counter(tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
+
+
+def test_search_plans_of_large_keys(spark, duck, tmp_path):
+    """The made-up texts don't grow with the keys without end."""
+    keys = [1, 4, 5, 1428, 1429, 2860, 5000, 400_000_000, 400_000_001, 400_000_005]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    query, sql = QUERIES["search_plans"]
+    df = query(spark, str(tmp_path))
+    want = duck.execute(f"WITH part AS (SELECT unnest({keys})::bigint AS p_partkey) {sql}").fetchall()
+    assert Counter(map(tuple, df.collect())) == Counter(want)
