@@ -55,7 +55,7 @@ def create_jobs(ledger: Ledger, jobs: DataFrame, search: Callable[[DataFrame], D
     unique = ledger.stage("unique", lambda: hit_rules.dedupe(found.drop("exclusion_reason"), "url", ["ordinal"], ["job_id"]))
 
     def insert() -> DataFrame:
-        caps = queries.select("job_id", cap).distinct()
+        caps = jobs.select("job_id", cap).distinct()
         kept = unique.join(caps, "job_id").where(F.col("position") <= F.col(cap))
         per_job = kept.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("bigint").alias("position"), "url"))).alias("candidates"), F.min("provider").alias("provider"))  # at most `cap` of a job
         gone = unique.groupBy("job_id").agg(F.count_if(F.col("exclusion_reason").isNotNull()).alias("duplicates"))

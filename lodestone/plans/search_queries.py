@@ -59,9 +59,11 @@ _ORDER = "brave_api, ddg_html, google"
 
 
 def _search(queries):
-    rows = queries.withColumnRenamed("query", "q")
-    each = [rows.where(f"substring(md5(q), 1, 1) <= {most}").select("job_id", "ordinal", F.col("q").alias("query"), F.lit(p).alias("provider"), F.expr(url).alias("url"), F.lit(None).cast("string").alias("exclusion_reason")) for p, (most, url) in _HOSTS.items()]
-    return each[0].unionByName(each[1]).unionByName(each[2])
+    # one pass over the queries, whatever the number of providers
+    told = queries.withColumn("digest", F.md5("query"))
+    each = ", ".join(f"CASE WHEN substring(digest, 1, 1) <= {most} THEN named_struct('provider', '{p}', 'url', {url.replace('md5(q)', 'digest')}) END" for p, (most, url) in _HOSTS.items())
+    hits = told.select("job_id", "ordinal", "query", F.explode(F.expr(f"array({each})")).alias("hit")).where("hit IS NOT NULL")
+    return hits.select("job_id", "ordinal", "query", "hit.provider", "hit.url", F.lit(None).cast("string").alias("exclusion_reason"))
 
 
 def job_creation(spark, sf_dir):

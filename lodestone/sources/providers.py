@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from urllib.parse import parse_qs, urljoin, urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -42,9 +42,9 @@ def allows_social(profession: str) -> str:
 def provider_chain(hits: DataFrame, order: list[str], key: str = "job_id") -> DataFrame:
     """Hits of the first provider, in order, that has any kept hit for the job."""
     rank = F.expr("CASE provider " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(order)) + " END")
-    rated = hits.withColumn("rank_", rank).where("rank_ IS NOT NULL AND exclusion_reason IS NULL")
-    first = rated.groupBy(key).agg(F.min("rank_").alias("rank_"))
-    return rated.join(first, [key, "rank_"], "left_semi").drop("rank_")
+    rated = hits.withColumn("rank_", rank).where(F.col("rank_").isNotNull() & F.col("exclusion_reason").isNull() & F.col(key).isNotNull())
+    first = rated.withColumn("first_", F.min("rank_").over(Window.partitionBy(key)))
+    return first.where("rank_ = first_").drop("rank_", "first_")
 
 
 def demo_hits(jobs: DataFrame, most: int = 10) -> DataFrame:

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import extraction, kpi, maintained, paging, synthesis
-from lodestone.plans import ledger
+from lodestone.plans import ledger, search_queries
 from lodestone.sinks.store import Store
+from lodestone.sources import providers
 
 # payloads as of a clock
 
@@ -146,3 +147,26 @@ def test_search_queries_of_creative_roles(spark):
     q = r["queries"]
     assert any("site:instagram.com" in x for x in q) and any("site:tiktok.com" in x for x in q) and any("link in bio" in x or "linktree" in x for x in q)
     assert not any("-instagram" in x or "-tiktok" in x for x in q)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_are_searched_in_one_pass(spark, tmp_path):
+    """However many providers there are, the chain reads the queries once and deals their hits out once."""
+    spark.createDataFrame([(i, o, f"q{i} {o}") for i in range(40) for o in range(3)], "job_id long, ordinal int, query string").write.parquet(f"{tmp_path}/queries")
+    hits = providers.provider_chain(search_queries._search(spark.read.parquet(f"{tmp_path}/queries")), ["brave_api", "duckduckgo", "google"])
+    assert plan_of(hits).count("Relation ") == 1 and "Join" not in plan_of(hits)
+    rows = hits.collect()
+    assert rows and all(len({r["provider"] for r in rows if r["job_id"] == i}) <= 1 for i in range(40))
+
+
+def test_query_synthesis_works_out_each_part_once(spark):
+    """What of the retries is new is worked out once, not once a batch, and a query isn't put to lower case once a term."""
+    job = tuple("a" if " string" in c else None for c in JOB.split(", "))
+    plan = plan_of(synthesis.build_queries(spark.createDataFrame([job], JOB)))
+    assert plan.count("array_except(retry_queries") <= 1 and "contains(lower(lambda q" not in plan
+    r = queries_of(spark, search_query="ropa -Blog", target_niche="ropa", target_location="Lima", ai_dork_queries=[" inurl:x   -IDEAS "], ai_negative_terms=["", " ", None, "-De   Segunda", "-blog"])
+    assert r["queries"][0].startswith("inurl:x -IDEAS -blog -noticias") and r["queries"][0].endswith("-linkedin -De Segunda")
+    assert [q for q in r["queries"] if "sitio oficial" in q][0].startswith("ropa Lima sitio oficial -blog -ideas")
