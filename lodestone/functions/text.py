@@ -61,7 +61,7 @@ def matched(column: str, tokens: Iterable[str]) -> str:
 
 def occurrences(column: str, tokens: Iterable[str]) -> str:
     """Sum of the counts of non-overlapping occurrences."""
-    return _each(column, list(tokens), "aggregate(toks_, 0L, (n_, tok_) -> n_ + (length(txt_) - length(replace(txt_, tok_, ''))) div length(tok_))")
+    return _each(column, list(tokens), "aggregate(toks_, 0L, (n_, tok_) -> CASE WHEN contains(txt_, tok_) THEN n_ + (length(txt_) - length(replace(txt_, tok_, ''))) div length(tok_) ELSE n_ END)")
 
 
 @cache

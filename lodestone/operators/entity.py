@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import any_in, fold_trimmed, hits, quoted, strings
+from ..functions.text import any_in, fold_trimmed, hits, matched, quoted, strings
 from ..rules import entities as rules
 from ..rules import taxonomy as taxa
 
@@ -60,6 +60,8 @@ def classify(pages: DataFrame, words: dict[str, list[str]] | None = None) -> Dat
         "article_types": F.expr(f"array_sort(array_intersect(types_, {strings(rules.ARTICLE_NODES)}))"), "listing_types": F.expr(f"array_sort(array_intersect(types_, {strings(rules.LISTING_NODES)}))"),
         "listicle": F.expr(f"nullif(regexp_extract(sum_, {quoted(LISTICLE)}, 0), '')"),
     })
+    # points and evidence both come from the words found, so each list is looked up once
+    df = df.withColumns({f"m_{kind}": F.expr(matched("sum_p", folded(ws))) for kind, ws in lists.items()})
     # (type, points, condition, evidence) in the order in which evidence is listed
     single = [
         ("direct_business", 2, "l_service", "'service_navigation_detected'"), ("direct_business", 1, "l_about", "'about_page_detected'"),
@@ -84,8 +86,8 @@ def classify(pages: DataFrame, words: dict[str, list[str]] | None = None) -> Dat
         terms = [f"CASE WHEN {c} THEN {p} ELSE 0 END" for _, p, c, _ in rows + tail]
         shown = [f"array(CASE WHEN {c} THEN {e} END)" for _, _, c, e in rows]
         if kind in lists:
-            terms.append(f"{points[kind]} * {hits('sum_p', folded(lists[kind]))}")
-            shown.append(f"transform(filter({strings(folded(lists[kind]))}, k -> contains(sum_p, k)), k -> concat('{kind}_keyword:', k))")
+            terms.append(f"{points[kind]} * size(m_{kind})")
+            shown.append(f"transform(m_{kind}, k -> concat('{kind}_keyword:', k))")
         shown += [f"array(CASE WHEN {c} THEN {e} END)" for _, _, c, e in tail]
         score[kind] = F.expr(" + ".join(terms) or "0")
         proof[kind] = F.expr(f"array_compact(concat({', '.join(shown)}))" if shown else "cast(array() AS array<string>)")

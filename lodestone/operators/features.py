@@ -96,8 +96,10 @@ def profile(df: DataFrame) -> DataFrame:
     social = lambda f: f"coalesce(social_profile.{f}, cast(array() AS array<string>))"
     only = lambda c, v: f"CASE WHEN {c} THEN array({quoted(v)}) ELSE cast(array() AS array<string>) END"
     done = lambda *parts: F.expr(f"array_sort(array_distinct(concat({', '.join(parts)})))")
-    text = fold_padded("concat_ws(' ', clean_text, coalesce(title, ''), coalesce(description, ''), coalesce(social_profile.bio, ''))")
-    df = df.withColumns({"text_f": F.expr(fold_padded("clean_text")), "search_f": F.expr(fold_padded("concat_ws(' ', clean_text, coalesce(title, ''), coalesce(description, ''))")), "profile_f": F.expr(text)})
+    # folding goes letter by letter, so the page's text is folded once for all three
+    df = df.withColumns({"clean_f": F.expr(ascii_fold("clean_text")), "head_f": F.expr(ascii_fold("concat_ws(' ', coalesce(title, ''), coalesce(description, ''))")), "bio_f": F.expr(ascii_fold("social_profile.bio"))})
+    joined = lambda *parts: F.expr(f"concat(' ', concat_ws(' ', CASE WHEN clean_text IS NOT NULL THEN clean_f END, {', '.join(parts)}), ' ')")
+    df = df.withColumns({"text_f": F.expr("concat(' ', clean_f, ' ')"), "search_f": joined("head_f"), "profile_f": joined("head_f", "bio_f")}).drop("clean_f", "head_f", "bio_f")
     has_link = f"size({social('external_links')}) > 0"
     signal = "contains(profile_f, " + ascii_fold("s") + ") OR (contains(s, 'instagram') AND exists(social_links, l -> contains(l, 'instagram.com'))) OR (contains(s, 'tiktok') AND exists(social_links, l -> contains(l, 'tiktok.com'))) OR (contains(s, 'linktree') AND exists(external_links, l -> contains(l, 'linktr.ee')))"
     return df.withColumns({
@@ -131,6 +133,8 @@ def heuristics(df: DataFrame) -> DataFrame:
         "is_social_": F.expr("coalesce(primary_identity_type = 'social_profile', false)"),
         "stack_f": F.expr(f"transform(inferred_tech_stack, t -> {ascii_fold('t')})"),
         "wanted_f": F.expr(f"transform({_context_list('user_technologies')}, t -> trim({ascii_fold('t')}))"),
+        # points, evidence and signals ask for these, so each dictionary is looked up once
+        "priced_": F.expr(any_in("text_f", rules.PRICING)), "praised_": F.expr(any_in("text_f", rules.TESTIMONIALS)), "shown_": F.expr(any_in("text_f", rules.PORTFOLIO)),
     })
     any_listed = lambda column: f"exists({_context_list(column)}, s -> contains(search_f, trim({ascii_fold('s')})))"
     in_stack = lambda names: f"arrays_overlap(inferred_tech_stack, {strings(names)})"
@@ -147,8 +151,8 @@ def heuristics(df: DataFrame) -> DataFrame:
             ("social_cta_or_link_visible", 2, "size(platform_ctas) > 0"),
         ], "contact_availability", 10)
         | _points([
-            ("ads_stack_detected", 4, "has_active_ads"), ("hiring_signal_detected", 3, "hiring_signals"), ("pricing_keywords_visible", 1, any_in("text_f", rules.PRICING)), ("testimonials_visible", 1, any_in("text_f", rules.TESTIMONIALS)),
-            ("portfolio_or_case_studies_visible", 1, any_in("text_f", rules.PORTFOLIO)), ("social_offer_signal_detected", 2, "size(offer_signals) > 0"), ("budget_signal_match_detected", 1, "size(budget_matches) > 0"),
+            ("ads_stack_detected", 4, "has_active_ads"), ("hiring_signal_detected", 3, "hiring_signals"), ("pricing_keywords_visible", 1, "priced_"), ("testimonials_visible", 1, "praised_"),
+            ("portfolio_or_case_studies_visible", 1, "shown_"), ("social_offer_signal_detected", 2, "size(offer_signals) > 0"), ("budget_signal_match_detected", 1, "size(budget_matches) > 0"),
         ], "commercial_intent", 10)
         | _points([
             ("title_present", 1, "title <> ''"), ("meta_description_present", 1, "description <> ''"), ("minimum_content_detected", 1, "clean_len >= 300"), ("substantial_content_detected", 1, "clean_len >= 1200"),
@@ -180,7 +184,7 @@ def heuristics(df: DataFrame) -> DataFrame:
         ("Meta description ausente", "coalesce(description, '') = ''"), ("Sin redes sociales visibles", "size(social_links) = 0"),
         ("Perfil social sin oferta comercial clara", "is_social_ AND size(offer_signals) = 0"), ("Perfil social sin CTA comercial visible", "is_social_ AND size(platform_ctas) = 0"),
         ("No muestra reservas online visibles", f"exists({_context_list('target_pain_points')}, p -> {booking}) AND NOT {any_in('text_f', rules.BOOKING)}"),
-        ("No muestra prueba social visible", f"clean_len >= 300 AND NOT {any_in('text_f', [*rules.TESTIMONIALS, *rules.PORTFOLIO])}"),
+        ("No muestra prueba social visible", "clean_len >= 300 AND NOT (praised_ OR shown_)"),
         ("No se detectan herramientas visibles de analitica o marketing", "size(inferred_tech_stack) = 0"),
     ]
     df = df.withColumns({
@@ -196,4 +200,4 @@ def heuristics(df: DataFrame) -> DataFrame:
     lookup = "map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in OPPORTUNITIES.items()) + ")"
     df = df.withColumn("inferred_opportunities", F.expr(opportunities(f"transform(observed_signals, s -> element_at({lookup}, s))")))
     company = "coalesce(nullif(social_profile.display_name, ''), trim(substring_index(title, '|', 1)))"
-    return df.withColumn("company_name", F.expr(company)).drop("evidence_", "strong_", "wanted_f", "stack_f", "niche_words", "niche_hits")
+    return df.withColumn("company_name", F.expr(company)).drop("evidence_", "strong_", "wanted_f", "stack_f", "niche_words", "niche_hits", "priced_", "praised_", "shown_", "text_f", "search_f", "profile_f")

@@ -237,12 +237,13 @@ def service_keywords(rows: DataFrame, key: str, text: str, most: int = 5, stopwo
 
 def keywords_of(text: str, most: int = 5, stopwords: list[str] = rules.STOPWORDS) -> str:
     """The same as one array per row, without a shuffle."""
-    tokens = f"filter(regexp_extract_all(lower({text}), '[a-zA-ZáéíóúñÁÉÍÓÚÑ]{{4,}}', 0), t -> NOT array_contains({strings(stopwords)}, t))"
+    # IN looks a word up in a set, and sort_array, unlike array_sort, compares without an expression
+    tokens = f"filter(regexp_extract_all(lower({text}), '[a-zA-ZáéíóúñÁÉÍÓÚÑ]{{4,}}', 0), t -> {f"NOT t IN ({', '.join(map(quoted, stopwords))})" if stopwords else 'true'})"
     # equal words stand together once sorted, so the distances between the ends of runs are counts
     ends = "filter(sequence(0, size(words) - 1), i -> i = size(words) - 1 OR words[i] <> words[i + 1])"
-    counted = "array_sort(transform(ends, (x, k) -> named_struct('n', CASE WHEN k = 0 THEN -1 ELSE ends[k - 1] END - x, 't', words[x])))"
+    counted = "sort_array(transform(ends, (x, k) -> named_struct('n', CASE WHEN k = 0 THEN -1 ELSE ends[k - 1] END - x, 't', words[x])))"
     top = f"transform(slice({counted}, 1, {most}), c -> c.t)"
-    return let("words", f"array_sort({tokens})", f"CASE WHEN size(words) = 0 THEN cast(array() AS array<string>) ELSE {let('ends', ends, top)} END")
+    return let("words", f"sort_array({tokens})", f"CASE WHEN size(words) = 0 THEN cast(array() AS array<string>) ELSE {let('ends', ends, top)} END")
 
 
 # ---- business model and decisions ----

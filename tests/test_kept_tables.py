@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import extraction, kpi, maintained, paging, synthesis
+from lodestone.operators import entity, extraction, kpi, maintained, paging, quality, synthesis
 from lodestone.plans import ledger, search_queries
 from lodestone.sinks.store import Store
 from lodestone.sources import providers
@@ -170,3 +170,21 @@ def test_query_synthesis_works_out_each_part_once(spark):
     r = queries_of(spark, search_query="ropa -Blog", target_niche="ropa", target_location="Lima", ai_dork_queries=[" inurl:x   -IDEAS "], ai_negative_terms=["", " ", None, "-De   Segunda", "-blog"])
     assert r["queries"][0].startswith("inurl:x -IDEAS -blog -noticias") and r["queries"][0].endswith("-linkedin -De Segunda")
     assert [q for q in r["queries"] if "sitio oficial" in q][0].startswith("ropa Lima sitio oficial -blog -ideas")
+
+
+def test_page_rules_look_each_dictionary_up_once(spark):
+    """Points and evidence of an entity type share one look-up; folded texts aren't carried along; words are counted without a loop over the stop words."""
+    pages = "title string, description string, discovery_title string, discovery_snippet string, website_url string, url string, internal_links array<string>, clean_text string, structured_data array<string>, emails array<string>, phones array<string>, form_detected boolean, addresses array<string>, map_links array<string>, booking_url string, pricing_page_url string, primary_identity_type string, social_profile struct<handle:string,offer_signals:array<string>,platform_ctas:array<string>>"
+    rows = spark.createDataFrame([("Asociacion", "", None, None, "https://a.es", "https://a.es", [], "camara de comercio y asociacion", [], [], [], False, [], [], None, None, "website", None)], pages).repartition(1)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        plan = plan_of(entity.classify(rows))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    listed = ",".join(entity.folded(entity.rules.ASSOCIATION)[:4])
+    assert plan.replace(", ", ",").count(listed) == 1
+    assert "array_contains" not in quality.keywords_of("t")
+    texts = [("casa casa perro para sobre perro casa árbol gato", ["para"], ["casa", "perro", "gato", "sobre", "árbol"]), ("para para", ["para"], []), ("", ["para"], []), ("para", [], ["para"]), (None, ["para"], None)]
+    for text, stop, want in texts:
+        row = spark.createDataFrame([(text,)], "t string").select(F.expr(quality.keywords_of("t", stopwords=stop)).alias("k")).first()
+        assert row["k"] == want
